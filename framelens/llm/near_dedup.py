@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import shingles
 from .arrow_groups import roots, whole_groups
-from .common import connected_components, documents_of, materialize
+from .common import connected_components, documents_of, materialize, ship_package
 
 #: Links: 100 * intersection >= SHARE * union.
 SHARE = 75
@@ -145,6 +145,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     from the texts. Only links that join are written, so rows stay linear in the documents, and no cap drops any.
     """
     docs = documents_of(docs)
+    ship_package(docs.sparkSession)
     signed = materialize(docs.mapInArrow(_sign, _SIGNED))
     filled = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     prints = ["fp1", "fp2", "n_shingles"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_dedup, sharding, url_rules
+from . import kd_search, mixing, near_dedup, sharding, url_rules, vector_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,13 +60,36 @@ def op10_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_near_vectors(spark, sf_dir):
+    return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"), 0.9)
+
+
+def op5_kd_search(spark, sf_dir):
+    return kd_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+OP5_SQL = """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+"""
+
+
 QUERIES = {
     "op1_url_rules": op1_url_rules,
     "op2_mixing": op2_mixing,
+    "op4_near_vectors": op4_near_vectors,
+    "op5_kd_search": op5_kd_search,
     "op6_sharding": op6_sharding,
     "op10_near_dedup": op10_near_dedup,
 }
 
 ORACLES = {
     "op1_url_rules": OP1_SQL,
+    "op5_kd_search": OP5_SQL,
 }
