@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kd_search, mixing, near_dedup, sharding, url_rules, vector_dedup
+from . import bpe, kd_search, mixing, near_dedup, sharding, token_files, url_rules, vector_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,12 +81,31 @@ FROM s QUALIFY rank <= 5
 """
 
 
+def op7_byte_bpe(spark, sf_dir):
+    coded = bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+#: The id that ends a document in query 8.
+END_ID = 2
+
+
+def op8_token_files(spark, sf_dir):
+    path = token_files.write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, END_ID)
+    read, starts = token_files.read_token_files(spark, path)
+    read = token_files.with_starts(read.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), starts)
+    return read.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 QUERIES = {
     "op1_url_rules": op1_url_rules,
     "op2_mixing": op2_mixing,
     "op4_near_vectors": op4_near_vectors,
     "op5_kd_search": op5_kd_search,
     "op6_sharding": op6_sharding,
+    "op7_byte_bpe": op7_byte_bpe,
+    "op8_token_files": op8_token_files,
     "op10_near_dedup": op10_near_dedup,
 }
 
