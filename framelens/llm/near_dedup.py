@@ -17,10 +17,12 @@ SHARE = 75
 #: standard deviation 9.6, so a true link is above this bound with a chance of about 1e-8; at 0.5 half the pairs are.
 ODD_BITS = 136
 #: Documents in a block of a band's bucket; larger buckets are compared block by block.
-BUCKET_BLOCK = 256
+BUCKET_BLOCK = 2048
 #: Shingles in a block of a family of candidates; a document counts as LEAST_COST at least.
 FAMILY_BLOCK = 1 << 16
 LEAST_COST = 64
+#: Pairs that a task holds before it joins them.
+PAIRS_HELD = 1 << 20
 
 _SIGNED = "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>, sketch binary"
 
@@ -51,7 +53,8 @@ def _candidates(batches):
         side, cross = table["side"].to_numpy(), table["lo"].to_numpy() != table["hi"].to_numpy()
         sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint64).reshape(n, -1)
         group = np.repeat(np.arange(len(first)), np.diff(np.append(first, n)))
-        left, a, b = np.arange(n), [], []
+        left, a, b, held = np.arange(n), [], [], 0
+        unique, back = np.unique(ids, return_inverse=True)
         for d in range(1, n):
             left = left[left + d < n]
             left = left[group[left] == group[left + d]]
@@ -61,11 +64,14 @@ def _candidates(batches):
             near = (4 * np.minimum(size[i], size[j]) >= 3 * np.maximum(size[i], size[j])) & (~cross[i] | (side[i] != side[j]))
             i, j = i[near], j[near]
             close = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1) <= ODD_BITS
-            a.append(i[close])
-            b.append(j[close])
+            a.append(back[i[close]])
+            b.append(back[j[close]])
+            held += len(a[-1])
+            if held > PAIRS_HELD:
+                root = roots(len(unique), np.concatenate(a), np.concatenate(b))
+                a, b, held = [np.arange(len(root))], [root], 0
         if a:
-            unique, back = np.unique(ids, return_inverse=True)
-            root = roots(len(unique), back[np.concatenate(a)], back[np.concatenate(b)])
+            root = roots(len(unique), np.concatenate(a), np.concatenate(b))
             moved = np.flatnonzero(root != np.arange(len(root)))
             yield _edges(unique[moved], unique[root[moved]])
 
