@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, kd_search, mixing, near_dedup, sharding, token_files, url_rules, vector_dedup
+from . import bpe, kd_search, mixing, near_dedup, quality, sharding, token_files, url_rules, vector_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op10_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_near_vectors(spark, sf_dir):
     return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"), 0.9)
 
@@ -101,6 +105,7 @@ def op8_token_files(spark, sf_dir):
 QUERIES = {
     "op1_url_rules": op1_url_rules,
     "op2_mixing": op2_mixing,
+    "op3_quality": op3_quality,
     "op4_near_vectors": op4_near_vectors,
     "op5_kd_search": op5_kd_search,
     "op6_sharding": op6_sharding,

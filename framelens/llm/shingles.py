@@ -44,8 +44,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def words(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word in the byte ranges, and the range that each stands in. ``data`` starts at first[0]."""
+def words(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of every word in the byte ranges, the range that each stands in, and its first byte."""
     base = int(first[0])
     data = data[base:int(last[-1])]
     solid = ~_SPACE[data]
@@ -61,7 +61,7 @@ def words(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.nda
     up, down = _powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[:len(data)], out=total[1:])
-    return mix((total[end] - total[begin]) * down[begin]), np.searchsorted(first - base, begin, "right") - 1
+    return mix((total[end] - total[begin]) * down[begin]), np.searchsorted(first - base, begin, "right") - 1, begin + base
 
 
 def _ranges(data: np.ndarray, a: int, b: int):
@@ -80,6 +80,18 @@ def _ranges(data: np.ndarray, a: int, b: int):
     yield a, b
 
 
+def run_words(data: np.ndarray, offsets: np.ndarray, at: int, to: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``words`` of the texts from ``at`` to ``to``, counted from ``at``: several short ones or a long one alone."""
+    if offsets[to] - offsets[at] > PIECE and to == at + 1:
+        parts = [words(data, np.array([a]), np.array([b])) for a, b in _ranges(data, int(offsets[at]), int(offsets[to]))]
+        return tuple(np.concatenate([p[k] for p in parts]) for k in range(3))
+    full = np.flatnonzero(offsets[at + 1:to + 1] > offsets[at:to])
+    if not len(full):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    found, owner, begin = words(data, offsets[at:to][full], offsets[at + 1:to + 1][full])
+    return found, full[owner], begin
+
+
 def sets(texts: pa.Array):
     """For consecutive runs of texts: (index of the first, sorted distinct shingle hashes of all, bounds by text).
 
@@ -97,15 +109,7 @@ def sets(texts: pa.Array):
     while at < n:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE, "right")) - 1)
         to = min(to, n)
-        if offsets[to] - offsets[at] > PIECE:  # one long text
-            parts = [words(data, np.array([a]), np.array([b]))[0] for a, b in _ranges(data, int(offsets[at]), int(offsets[to]))]
-            found, owner = np.concatenate(parts), np.zeros(sum(map(len, parts)), np.int64)
-        elif offsets[to] > offsets[at]:
-            full = np.flatnonzero(offsets[at + 1:to + 1] > offsets[at:to])
-            found, owner = words(data, offsets[at:to][full], offsets[at + 1:to + 1][full])
-            owner = full[owner]
-        else:
-            found, owner = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        found, owner, _ = run_words(data, offsets, at, to)
         yield at, *_shingles(found, owner, to - at)
         at = to
 
