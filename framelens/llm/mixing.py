@@ -11,7 +11,7 @@ from .common import WORD, materialize
 BLOCK_WORDS = 256
 LEAST_BLOCKS = 131_072
 #: Words in a shard of a source, on average.
-SHARD_WORDS = 1 << 19
+SHARD_WORDS = 1 << 17
 #: A prime above any number of blocks in a shard: multiples of it permute the blocks.
 PRIME = 2_147_483_647
 
