@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shingles
@@ -185,3 +185,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     out = signed.select("doc_id", *prints).join(named, same, "left")
     component = F.coalesce("of_component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all their columns, that stay: the smallest doc_id of every component, and one row of each
+    doc_id. Rows without a doc_id stay."""
+    kept = materialize(near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct())
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    one = docs.join(kept, "doc_id", "left_semi").withColumn("__turn", F.row_number().over(first)).where("__turn = 1")
+    return one.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))

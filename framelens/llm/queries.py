@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, kd_search, mixing, near_dedup, quality, sharding, token_files, url_rules, vector_dedup
+from . import bpe, kd_search, merkle, mixing, near_dedup, quality, sharding, token_files, url_rules, vector_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,27 @@ def op6_sharding(spark, sf_dir):
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_merkle_audit(spark, sf_dir):
+    """Pages as WARC segments against a replica with known faults: status of every record."""
+    path = merkle.write_warc(table(spark, sf_dir, "pages"))
+    ours = merkle.materialize(merkle.records(merkle.read_chunks(spark, path)))
+    theirs = merkle.materialize(merkle.records(merkle.damaged(merkle.read_chunks(spark, path))))
+    found = merkle.audit(ours, theirs).where("status <> 'extra'").select("segment", "offset", "status")
+    return ours.join(found, ["segment", "offset"], "left").select("page_id", "length", "digest", F.coalesce("status", F.lit("same")).alias("status"))
+
+
+OP9_SQL = """
+WITH r AS (
+  SELECT page_id, concat('WARC/1.1', chr(13), chr(10), 'WARC-Type: response', chr(13), chr(10), 'WARC-Record-ID: <urn:page:', coalesce(CAST(page_id AS VARCHAR), ''), '>', chr(13), chr(10),
+    'WARC-Target-URI: ', replace(replace(coalesce(url, ''), chr(13), '%0D'), chr(10), '%0A'), chr(13), chr(10), 'Content-Type: text/html', chr(13), chr(10),
+    'Content-Length: ', strlen(coalesce(html, '')), chr(13), chr(10), chr(13), chr(10), coalesce(html, ''), chr(13), chr(10), chr(13), chr(10)) AS rec
+  FROM pages)
+SELECT page_id, strlen(rec) AS length, sha256(rec) AS digest,
+  CASE substr(sha256(rec), 1, 2) WHEN '00' THEN 'changed' WHEN '01' THEN 'missing' ELSE 'same' END AS status
+FROM r
+"""
+
+
 def op10_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -111,10 +132,12 @@ QUERIES = {
     "op6_sharding": op6_sharding,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_token_files": op8_token_files,
+    "op9_merkle_audit": op9_merkle_audit,
     "op10_near_dedup": op10_near_dedup,
 }
 
 ORACLES = {
     "op1_url_rules": OP1_SQL,
     "op5_kd_search": OP5_SQL,
+    "op9_merkle_audit": OP9_SQL,
 }
