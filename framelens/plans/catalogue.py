@@ -1,4 +1,9 @@
 """Registered queries and their SQL."""
 
+from . import search
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for _module in (search,):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
