@@ -117,7 +117,7 @@ END_ID = 2
 
 
 def op8_token_files(spark, sf_dir):
-    path = token_files.write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, END_ID)
+    path = token_files.write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), END_ID)
     read, starts = token_files.read_token_files(spark, path)
     read = token_files.with_starts(read.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), starts)
     return read.select("doc_id", "start", "n_tokens", "ids_crc32")

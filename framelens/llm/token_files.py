@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from array import array
+from collections import ChainMap
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,8 +18,12 @@ from .common import documents_of, shared_dir, ship_package
 
 #: Ids after which a block is closed (a longer document is a block alone).
 BLOCK_IDS = 1 << 20
-#: Words that a task remembers; it starts afresh beyond that.
-REMEMBERED = 400_000
+#: Stretches of text that a Python worker remembers: up to twice as many, none longer than LONG.
+REMEMBERED = 250_000
+LONG = 64
+#: Marks of stretches that have no space before them.
+MARKS = ("\x01", "\x02")
+#: Bytes of text or ids that a task holds at a time (a longer text alone).
 HELD = 4 << 20
 
 MAGIC = b"FRVB0001"
@@ -70,33 +77,102 @@ def unpack(block: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None if z else d for z, d in zip(null.tolist(), doc_ids.tolist())], counts, by_rank[value]
 
 
-class Words(dict):
-    """A match of the pre-tokenizer's pattern to its packed ids by the tokenizers library."""
+class Words:
+    """Texts to ids by the tokenizers library, which sees each distinct stretch of text once in a while.
 
-    def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
+    A pre-tokenizer for byte-level BPE always cuts before a space that stands between two characters other than white
+    space, and around a line break that does. So a text in which no two white-space characters meet is the run of its
+    stretches between such cuts: its ids are theirs, one after the other. Other texts go to the library whole."""
 
-    def packed(self, words: list[str]) -> bytes:
-        new = list({w for w in words if w not in self})
-        if new:
-            if len(self) + len(new) > REMEMBERED:
-                self.clear()
-                new = list(set(words))
-            for word, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                self[word] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, words))
+    #: Two white-space characters side by side, or one of the marks.
+    WHOLE = r"[\s\v\x{1c}-\x{1f}\x{85}\p{Z}]{2}|[\x01\x02]"
 
+    def __init__(self, model: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core already
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(model)
+        self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for t, i in vocabulary.items() if t[0] == "\u0120"]] = True  # how byte-level vocabularies write a space
+        self.line = self.library(["\n"])[0]
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def library(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for k in range(0, len(texts), 4096) for e in self.tokenizer.encode_batch_fast(texts[k:k + 4096], add_special_tokens=False)]
+
+    def stretches(self, fresh: list[str]) -> dict[str, bytes]:
+        """Ids of stretches: after a mark the text stands alone, else it has a space before it. Stretches without
+        white space go to the library many at a time; the spaces or line breaks between them show where each ends."""
+        alone: list[str] = []
+        after: dict[bool, list[str]] = {True: [], False: []}
+        for w in fresh:
+            body = w[1:] if w[:1] in MARKS else w
+            if not body or len(body.split()) != 1 or len(body.split()[0]) != len(body):
+                alone.append(w)
+            else:
+                after[w[0] not in MARKS].append(w)
+        found = dict(zip(alone, self.library([w[1:] if w[:1] in MARKS else " " + w for w in alone])))
+        for spaced, all_ in after.items():
+            for k in range(0, len(all_), 2048):
+                part = all_[k:k + 2048]
+                ids = np.frombuffer(self.library([" " + " ".join(part) if spaced else "\n".join(w[1:] for w in part)])[0], "<u4")
+                if spaced:
+                    cut = np.append(np.flatnonzero(self.spaced[ids]), len(ids))
+                else:
+                    breaks = np.flatnonzero(ids == np.frombuffer(self.line, "<u4")[0])
+                    cut = np.concatenate([[0], breaks + 1, [len(ids) + 1]])
+                if len(cut) != len(part) + 1:
+                    found |= dict(zip(part, self.library([" " + w if spaced else w[1:] for w in part])))
+                    continue
+                data, gap = ids.tobytes(), 0 if spaced else 4
+                found |= {w: data[x:y] for w, x, y in zip(part, (4 * cut[:-1]).tolist(), (4 * cut[1:] - gap).tolist())}
+        return found
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, ``end_id`` after each, and the number of each one's, the end included."""
+        texts = texts.fill_null("")
+        whole = pc.match_substring_regex(texts, self.WHOLE)
+        plain = pc.binary_join_element_wise("", pc.replace_substring(texts, "\n", " \x02\n \x01"), "\x01")
+        parts = pc.split_pattern(pc.if_else(whole, "\x01", plain), " ")
+        coded = parts.flatten().dictionary_encode()
+        if len(self.new) > REMEMBERED:  # stretches that come again move from the old half to the new one
+            self.new, self.old = {}, self.new
+        words = coded.dictionary.to_pylist()
+        needed = set(words) - self.new.keys()
+        self.new.update((w, self.old[w]) for w in needed & self.old.keys())
+        fresh = self.stretches(list(needed - self.old.keys()))
+        long = {w: fresh.pop(w) for w in list(fresh) if len(w) > LONG}
+        self.new.update(fresh)
+        get = ChainMap(self.new, long).__getitem__ if long else self.new.__getitem__
+        blobs = [*map(get, words), np.array([end_id], "<u4").tobytes(), *self.library(texts.filter(whole).to_pylist())]
+        size = np.array(list(map(len, blobs))) // 4
+        start = np.cumsum(size) - size
+        # The order of stretches: those of each text (for one that went whole, its own ids), then the end.
+        index, bounds = coded.indices.to_numpy().astype(np.int64), parts.offsets.to_numpy().astype(np.int64)
+        index[bounds[:-1][whole.to_numpy(zero_copy_only=False)]] = len(words) + 1 + np.arange(len(blobs) - len(words) - 1)
+        index = np.insert(index, bounds[1:], len(words))
+        n = size[index]
+        stop = np.cumsum(n)
+        ids = np.frombuffer(b"".join(blobs), "<u4")[np.repeat(start[index] - stop + n, n) + np.arange(int(stop[-1]) if len(stop) else 0)]
+        last = stop[bounds[1:] + np.arange(len(texts))]
+        return ids, np.diff(np.concatenate([[0], last]))
 
-def write_token_files(docs: DataFrame, tokenizer_json: str, pattern: str, end_id: int, path: str | None = None) -> str:
+
+#: Kept from task to task of a Python worker.
+_WORDS: dict[int, Words] = {}
+
+
+def write_token_files(docs: DataFrame, tokenizer_json: str, end_id: int, path: str | None = None) -> str:
     """Encode every whole text of ``docs`` (doc_id, text), append ``end_id`` to each, and write the ids in ascending
     doc_id order as blocks under ``path`` (a new folder in the shared one if None). Returns the path.
 
     Rows are range-partitioned by doc_id, ties by the text's hash, and sorted; each task closes a block after a million
     ids and ranks ids by their frequency in all of it, so memory is bounded and a block can be read alone. Null and
     empty texts have the end id alone; null doc_ids come first; repeated rows stay; extra columns are left out; an empty
-    table gives no blocks. The library encodes a text's matches of its pre-tokenizer's ``pattern`` one by one, which
-    is how it encodes the text, so each distinct one is encoded once in a task; special tokens in a text are ordinary
-    text. Blocks are stored as the binary column of a Parquet table, which any store that Spark writes to can hold.
+    table gives no blocks. Special tokens in a text are ordinary text. Blocks are stored as the binary column of a Parquet table, which any store that Spark writes to can hold.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -105,32 +181,38 @@ def write_token_files(docs: DataFrame, tokenizer_json: str, pattern: str, end_id
         model = spark.sparkContext.broadcast(f.read())
 
     def run(batches):
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_str(model.value)
-        tokenizer.encode_special_tokens = True
-        words, find = Words(tokenizer), regex.compile(pattern).findall
-        end = np.array([end_id], "<u4").tobytes()
+        text_hash = hash(model.value)
+        if text_hash not in _WORDS:
+            _WORDS.clear()
+            _WORDS[text_hash] = Words(model.value)
+        words = _WORDS[text_hash]
         part, block = TaskContext.get().partitionId(), 0
         ids, ties, held, n = [], [], [], 0
 
         def closed():
-            flat = np.frombuffer(b"".join(held), "<u4")
-            counts = [len(x) // 4 for x in held]
+            flat = np.concatenate(held)
+            counts = list(map(len, held))
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array(ids[:1], pa.int64()), pa.array(ties[:1], pa.int64()),
                  pa.array([len(ids)], pa.int64()), pa.array([len(flat)], pa.int64()), pa.array([pack(ids, counts, flat)], pa.binary())],
                 names=["part", "block", "first_id", "first_tie", "n_docs", "n_ids", "payload"])
 
         for batch in batches:
-            for i, tie, text in zip(batch.column("doc_id").to_pylist(), batch.column("tie").to_pylist(), batch.column("text")):
-                ids.append(i)
-                ties.append(tie)
-                held.append(words.packed(find(text.as_py() or "")) + end)
-                n += len(held[-1]) // 4
-                if n >= BLOCK_IDS:
-                    yield closed()
-                    block, ids, ties, held, n = block + 1, [], [], [], 0
+            size = np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + HELD, "right")))
+                rows = batch.slice(at, to - at)
+                coded, count = words.encode(rows.column("text"), end_id)
+                for i, tie, own in zip(rows.column("doc_id").to_pylist(), rows.column("tie").to_pylist(), np.split(coded, np.cumsum(count)[:-1])):
+                    ids.append(i)
+                    ties.append(tie)
+                    held.append(own)
+                    n += len(own)
+                    if n >= BLOCK_IDS:
+                        yield closed()
+                        block, ids, ties, held, n = block + 1, [], [], [], 0
+                at = to
         if ids:
             yield closed()
 
