@@ -1,9 +1,9 @@
 """Registered queries and their SQL."""
 
-from . import search
+from . import media, search
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (search,):
+for _module in (search, media):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
