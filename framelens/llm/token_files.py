@@ -35,11 +35,12 @@ def pack(doc_ids: list[int | None], counts: list[int], ids: np.ndarray) -> bytes
     """One block: magic; documents, ids and distinct ids (8 bytes each); the distinct ids by falling frequency (4 bytes
     each); a null mark, doc_id and count for each document; control bytes; value bytes. A value is an id's place in
     the frequency order, little-endian in as few bytes as it needs."""
-    distinct, back, often = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.lexsort((distinct, -often))
-    place = np.empty(len(order), np.uint32)
-    place[order] = np.arange(len(order))
-    value = place[back]
+    often = np.bincount(ids) if len(ids) else np.zeros(1, np.int64)
+    distinct = np.flatnonzero(often)
+    order = np.lexsort((distinct, -often[distinct]))
+    place = np.zeros(len(often), np.uint32)
+    place[distinct[order]] = np.arange(len(order))
+    value = place[ids]
     size = 1 + (value > 0xFF).astype(np.uint8) + (value > 0xFFFF) + (value > 0xFFFFFF)
     codes = np.zeros(-(-len(value) // 4) * 4, np.uint8)
     codes[:len(value)] = size - 1
@@ -148,15 +149,17 @@ class Words:
         self.new.update(fresh)
         get = ChainMap(self.new, long).__getitem__ if long else self.new.__getitem__
         blobs = [*map(get, words), np.array([end_id], "<u4").tobytes(), *self.library(texts.filter(whole).to_pylist())]
-        size = np.array(list(map(len, blobs))) // 4
-        start = np.cumsum(size) - size
+        size = np.array(list(map(len, blobs)), np.int32) // 4
+        start = np.cumsum(size, dtype=np.int32) - size
         # The order of stretches: those of each text (for one that went whole, its own ids), then the end.
-        index, bounds = coded.indices.to_numpy().astype(np.int64), parts.offsets.to_numpy().astype(np.int64)
+        index, bounds = coded.indices.to_numpy().copy(), parts.offsets.to_numpy().astype(np.int64)
         index[bounds[:-1][whole.to_numpy(zero_copy_only=False)]] = len(words) + 1 + np.arange(len(blobs) - len(words) - 1)
         index = np.insert(index, bounds[1:], len(words))
         n = size[index]
-        stop = np.cumsum(n)
-        ids = np.frombuffer(b"".join(blobs), "<u4")[np.repeat(start[index] - stop + n, n) + np.arange(int(stop[-1]) if len(stop) else 0)]
+        stop = np.cumsum(n, dtype=np.int64)
+        place = np.repeat(start[index] - (stop - n).astype(np.int32), n)
+        place += np.arange(len(place), dtype=np.int32)
+        ids = np.frombuffer(b"".join(blobs), "<u4")[place]
         last = stop[bounds[1:] + np.arange(len(texts))]
         return ids, np.diff(np.concatenate([[0], last]))
 
