@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from array import array
 from collections import ChainMap
@@ -23,6 +24,8 @@ REMEMBERED = 250_000
 LONG = 64
 #: Marks of stretches that have no space before them.
 MARKS = ("\x01", "\x02")
+#: A stretch without white space, after a mark or not.
+SOLID = re.compile(r"[\x01\x02]?[^\s\x01\x02]\S*\Z")
 #: Bytes of text or ids that a task holds at a time (a longer text alone).
 HELD = 4 << 20
 
@@ -109,26 +112,28 @@ class Words:
         white space go to the library many at a time; the spaces or line breaks between them show where each ends."""
         alone: list[str] = []
         after: dict[bool, list[str]] = {True: [], False: []}
+        spaced, marked, fits = after[True].append, after[False].append, SOLID.match
         for w in fresh:
-            body = w[1:] if w[:1] in MARKS else w
-            if not body or len(body.split()) != 1 or len(body.split()[0]) != len(body):
+            if not fits(w):
                 alone.append(w)
+            elif w[0] > MARKS[1]:
+                spaced(w)
             else:
-                after[w[0] not in MARKS].append(w)
+                marked(w)
         found = dict(zip(alone, self.library([w[1:] if w[:1] in MARKS else " " + w for w in alone])))
-        for spaced, all_ in after.items():
+        for space, all_ in after.items():
             for k in range(0, len(all_), 2048):
                 part = all_[k:k + 2048]
-                ids = np.frombuffer(self.library([" " + " ".join(part) if spaced else "\n".join(w[1:] for w in part)])[0], "<u4")
-                if spaced:
+                ids = np.frombuffer(self.library([" " + " ".join(part) if space else "\n".join(w[1:] for w in part)])[0], "<u4")
+                if space:
                     cut = np.append(np.flatnonzero(self.spaced[ids]), len(ids))
                 else:
                     breaks = np.flatnonzero(ids == np.frombuffer(self.line, "<u4")[0])
                     cut = np.concatenate([[0], breaks + 1, [len(ids) + 1]])
                 if len(cut) != len(part) + 1:
-                    found |= dict(zip(part, self.library([" " + w if spaced else w[1:] for w in part])))
+                    found |= dict(zip(part, self.library([" " + w if space else w[1:] for w in part])))
                     continue
-                data, gap = ids.tobytes(), 0 if spaced else 4
+                data, gap = ids.tobytes(), 0 if space else 4
                 found |= {w: data[x:y] for w, x, y in zip(part, (4 * cut[:-1]).tolist(), (4 * cut[1:] - gap).tolist())}
         return found
 
