@@ -17,7 +17,7 @@ def stable_id(*parts: Column) -> Column:
 def vector_key(c: Column) -> Column:
     """First 8 bytes of the SHA-256 without the sign bit, as a long."""
     wide = F.conv(F.substring(F.sha2(c, 256), 1, 16), 16, 10).cast("decimal(20,0)")
-    return F.when(wide >= F.lit(1 << 63).cast("decimal(20,0)"), wide - F.lit(1 << 63).cast("decimal(20,0)")).otherwise(wide).cast("long")
+    return F.when(wide >= F.lit("9223372036854775808").cast("decimal(20,0)"), wide - F.lit("9223372036854775808").cast("decimal(20,0)")).otherwise(wide).cast("long")
 
 
 def keyframe_id(video: Column, frame: Column) -> Column:

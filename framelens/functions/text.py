@@ -74,8 +74,7 @@ def content_tokens(c: Column) -> Column:
 
 
 def is_boilerplate(c: Column) -> Column:
-    folded = fold_key(c)
-    return F.exists(F.array(*map(F.lit, BOILERPLATE)), lambda m: folded.contains(m))
+    return fold_key(c).rlike("|".join(BOILERPLATE))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -95,11 +94,12 @@ def scene_labels(c: Column) -> Column:
     return F.array_compact(F.array(*found))
 
 
-def phrase_ngrams(tokens: Column, sizes=(2, 3)) -> Column:
-    """Word n-grams of a token array, joined by spaces."""
-    made = [F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i, n=n: F.array_join(F.slice(tokens, i, n), " ")))
-            .otherwise(F.array().cast("array<string>")) for n in sizes]
-    return F.concat(*made)
+def phrase_ngrams(tokens: Column) -> Column:
+    """Word pairs and triples of a token array, joined by spaces."""
+    n = F.size(tokens)
+    pairs = F.zip_with(tokens, F.slice(tokens, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
+    triples = F.zip_with(pairs, F.slice(tokens, F.lit(3), n), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.array_compact(F.concat(pairs, triples))
 
 
 def join_distinct(texts: Column, limit: int, sep: str = " ") -> Column:

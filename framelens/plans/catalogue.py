@@ -1,9 +1,9 @@
 """Registered queries and their SQL."""
 
-from . import media, search
+from . import enrich, media, records, search
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (search, media):
+for _module in (search, media, records, enrich):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
