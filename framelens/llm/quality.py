@@ -18,9 +18,9 @@ PAIRS = len(CLASSES) ** 2
 #: Besides: the shares of words that equal the last word, and the last but one.
 FEATURES = PAIRS + 2
 #: Labelled rows that the model is fitted on at most, and the largest text among them: the fit's memory bound.
-FIT_ROWS = 8192
+FIT_ROWS = 4096
 FIT_BYTES = 1 << 18
-ENCODED, ATTENDED, EPOCHS, BATCH, RATE, DECAY = 16, 8, 14, 256, 0.01, 1e-4
+ENCODED, ATTENDED, EPOCHS, BATCH, RATE, DECAY = 16, 8, 24, 256, 0.01, 1e-4
 #: Text bytes that a task describes at a time (a longer text alone, in parts).
 HELD = shingles.PIECE
 
@@ -148,7 +148,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict | None:
         return None
     x = [np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES) for r in found]
     first = np.cumsum([0] + [len(v) for v in x])[:-1]
-    return fit(np.concatenate(x).astype(np.float64), first, np.array([r["y"] for r in found]))
+    return fit(np.concatenate(x), first, np.array([r["y"] for r in found]))
 
 
 def scored(docs: DataFrame, model: dict | None) -> DataFrame:
