@@ -89,7 +89,9 @@ def mix(docs: DataFrame, weights: list[float] = (1, 2, 3), cap: float = 3.0, see
     cells = cells.join(goal, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     cells = cells.withColumn("cell_share", F.col("cell_size").cast("double"))
     quota = apportion(cells, ["source"], ["shard"], "cell_share", "blocks", "quota")
-    words = F.least(F.col("quota") * block, (F.lit(cap) * F.col("cell_size")).cast("long"))
+    most = (F.lit(cap) * F.col("cell_size")).cast("long")
+    full = F.col("target") >= F.lit(cap) * F.col("source_size") * (1 - 1e-9)  # each shard stands at its own cap then
+    words = F.when(full, most).otherwise(F.least(F.col("quota") * block, most))
     quota = quota.select(
         F.col("source").alias("of"), F.col("shard").alias("at"), "source_size", "target", "cell_size",
         F.when(F.col("cell_size") > 0, F.expr("1L")).alias("has"), words.alias("words"))
