@@ -46,7 +46,7 @@ def read_artifacts(spark: SparkSession, root: str, name: str, required: list[str
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
     """Query files query-p<part>-<number>-<kis|qa|trake>.txt: part, number, qtype, text and, of trake, intro and events
     (lines that start with E and a number). Other names come back with matched false."""
-    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file_name"), F.trim("value").alias("text"))
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file_name"), F.regexp_replace("value", r"^\s+|\s+$", "").alias("text"))
     name = lambda k: F.regexp_extract("file_name", r"(?i)^query-(p\d+)-(\d+)-(kis|qa|trake)\.txt$", k)
     rows = rows.withColumns({"part": F.lower(name(1)), "number": F.expr("try_cast(regexp_extract(file_name, '(?i)^query-(p[0-9]+)-([0-9]+)-', 2) AS int)"), "qtype": F.lower(name(3))})
     lines = F.transform(F.split("text", r"\r?\n"), F.trim)
