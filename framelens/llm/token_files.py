@@ -6,7 +6,6 @@ import os
 import re
 import uuid
 from array import array
-from collections import ChainMap
 
 import numpy as np
 import pyarrow as pa
@@ -19,15 +18,15 @@ from .common import documents_of, shared_dir, ship_package
 
 #: Ids after which a block is closed (a longer document is a block alone).
 BLOCK_IDS = 1 << 20
-#: Stretches of text that a Python worker remembers: up to twice as many, none longer than LONG.
-REMEMBERED = 250_000
+#: Stretches of text that a Python worker remembers, none of more than LONG bytes.
+REMEMBERED = 800_000
 LONG = 64
 #: Marks of stretches that have no space before them.
 MARKS = ("\x01", "\x02")
 #: A stretch without white space, after a mark or not.
 SOLID = re.compile(r"[\x01\x02]?[^\s\x01\x02]\S*\Z")
 #: Bytes of text or ids that a task holds at a time (a longer text alone).
-HELD = 4 << 20
+HELD = 8 << 20
 
 MAGIC = b"FRVB0001"
 #: Lengths in bytes of the four values of a control byte, two bits each, lowest first.
@@ -101,8 +100,8 @@ class Words:
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
         self.spaced[[i for t, i in vocabulary.items() if t[0] == "\u0120"]] = True  # how byte-level vocabularies write a space
         self.line = self.library(["\n"])[0]
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        #: Stretches that came before, their ids one after the other, and the number of each one's.
+        self.known, self.flat, self.size = pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(0, np.int32)
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for k in range(0, len(texts), 4096) for e in self.tokenizer.encode_batch_fast(texts[k:k + 4096], add_special_tokens=False)]
@@ -144,27 +143,37 @@ class Words:
         plain = pc.binary_join_element_wise("", pc.replace_substring(texts, "\n", " \x02\n \x01"), "\x01")
         parts = pc.split_pattern(pc.if_else(whole, "\x01", plain), " ")
         coded = parts.flatten().dictionary_encode()
-        if len(self.new) > REMEMBERED:  # stretches that come again move from the old half to the new one
-            self.new, self.old = {}, self.new
-        words = coded.dictionary.to_pylist()
-        needed = set(words) - self.new.keys()
-        self.new.update((w, self.old[w]) for w in needed & self.old.keys())
-        fresh = self.stretches(list(needed - self.old.keys()))
-        long = {w: fresh.pop(w) for w in list(fresh) if len(w) > LONG}
-        self.new.update(fresh)
-        get = ChainMap(self.new, long).__getitem__ if long else self.new.__getitem__
-        blobs = [*map(get, words), np.array([end_id], "<u4").tobytes(), *self.library(texts.filter(whole).to_pylist())]
-        size = np.array(list(map(len, blobs)), np.int32) // 4
+        words = coded.dictionary
+        slot = pc.fill_null(pc.index_in(words, value_set=self.known), -1).to_numpy(zero_copy_only=False).copy()
+        at = np.flatnonzero(slot < 0)
+        taken = words.take(pa.array(at))
+        fresh = taken.to_pylist()
+        found = self.stretches(fresh)
+        blobs = [*map(found.__getitem__, fresh), np.array([end_id], "<u4").tobytes(), *self.library(texts.filter(whole).to_pylist())]
+        n_known, end = len(self.known), len(self.known) + len(fresh)
+        slot[at] = n_known + np.arange(len(fresh))
+        flat = np.concatenate([self.flat, np.frombuffer(b"".join(blobs), "<u4")])
+        size = np.concatenate([self.size, np.array(list(map(len, blobs)), np.int32) // 4])
         start = np.cumsum(size, dtype=np.int32) - size
+
+        def gather(index):
+            """Ids of the stretches in order, and where each one's end."""
+            n = size[index]
+            stop = np.cumsum(n, dtype=np.int64)
+            place = np.repeat(start[index] - (stop - n).astype(np.int32), n)
+            place += np.arange(len(place), dtype=np.int32)
+            return flat[place], stop
+
         # The order of stretches: those of each text (for one that went whole, its own ids), then the end.
-        index, bounds = coded.indices.to_numpy().copy(), parts.offsets.to_numpy().astype(np.int64)
-        index[bounds[:-1][whole.to_numpy(zero_copy_only=False)]] = len(words) + 1 + np.arange(len(blobs) - len(words) - 1)
-        index = np.insert(index, bounds[1:], len(words))
-        n = size[index]
-        stop = np.cumsum(n, dtype=np.int64)
-        place = np.repeat(start[index] - (stop - n).astype(np.int32), n)
-        place += np.arange(len(place), dtype=np.int32)
-        ids = np.frombuffer(b"".join(blobs), "<u4")[place]
+        index, bounds = slot[coded.indices.to_numpy()], parts.offsets.to_numpy().astype(np.int64)
+        index[bounds[:-1][whole.to_numpy(zero_copy_only=False)]] = end + 1 + np.arange(len(blobs) - len(fresh) - 1)
+        ids, stop = gather(np.insert(index, bounds[1:], end))
+        short = np.flatnonzero(pc.binary_length(words if end > REMEMBERED else taken).to_numpy(zero_copy_only=False) <= LONG)
+        if end > REMEMBERED:  # start again with what this call needed
+            self.known, self.flat, self.size = words.take(pa.array(short)), gather(slot[short])[0], size[slot[short]]
+        else:
+            added = n_known + short
+            self.known, self.flat, self.size = pa.concat_arrays([self.known, taken.take(pa.array(short))]), np.concatenate([self.flat, gather(added)[0]]), np.concatenate([self.size, size[added]])
         last = stop[bounds[1:] + np.arange(len(texts))]
         return ids, np.diff(np.concatenate([[0], last]))
 
