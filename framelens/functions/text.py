@@ -32,6 +32,14 @@ SCENE_CUES = {
 }
 
 
+# Words that speech recognition often gets wrong, and what was said.
+ASR_FIXES = [
+    (r"\bsông Cổ Long\b", "sông Cửu Long"), (r"\bsông Củ Long\b", "sông Cửu Long"), (r"\bsụt lúng\b", "sụt lún"), (r"\bsạt lỡ\b", "sạt lở"), (r"\bnước biển dân\b", "nước biển dâng"),
+    (r"\bthiên tài\b", "thiên tai"), (r"\bxã lũ\b", "xả lũ"), (r"\bmạnh thần quân\b", "mạnh thường quân"), (r"\bthiên nguyện\b", "thiện nguyện"), (r"\bđầy ấp\b", "đầy ắp"),
+    (r"\btrạng đua\b", "chặng đua"), (r"\bbà đồng viên\b", "vận động viên"), (r"\btân tốc\b", "tăng tốc"), (r"\bthết đải\b", "thiết đãi"), (r"\btiêu say\b", "tiêu xay"),
+]
+
+
 def _fold_map() -> tuple[str, str]:
     """Accented Latin letters and their base letters, by canonical decomposition; d with stroke besides."""
     pairs = {"đ": "d", "Đ": "D"}
@@ -127,3 +135,22 @@ def evidence_caption(ocr: Column, speech: Column, objects: Column, scenes: Colum
                        F.when(F.size(scenes) > 0, F.concat(F.lit("bối cảnh "), F.array_join(scenes, ", "))),
                        F.when(ocr != "", F.concat(F.lit("chữ nhìn thấy: "), F.substring(ocr, 1, 240))),
                        F.when(speech != "", F.concat(F.lit("lời thoại: "), F.substring(speech, 1, 240))))
+
+
+def clean_text(c: Column, most: int = 320) -> Column:
+    """A spoken line as a sentence: white space and dashes at the ends off, recognition fixes, greetings off, cut at a
+    word, first letter upper-cased, a final stop."""
+    out = F.regexp_replace(normalize_text(c), r"^[ \-–—,;:]+|[ \-–—,;:]+$", "")
+    for wrong, right in ASR_FIXES:
+        out = F.regexp_replace(out, "(?iU)" + wrong, right)
+    for greeting in (r"(?iu)^(thưa|kính thưa) quý vị[, ]+", r"(?iu)^(các bạn ơi|các bạn thân mến)[, ]+"):
+        out = F.regexp_replace(out, greeting, "")
+    cut = F.regexp_replace(F.regexp_replace(F.substring(out, 1, most + 1), r" [^ ]*$", ""), r"[ ,;:]+$", "")
+    return sentence(F.when(F.length(out) > most, F.concat(cut, F.lit("…"))).otherwise(out))
+
+
+def keyword_union(*lists: Column) -> Column:
+    """Keywords of all lists in order, each folded text once, blank ones left out."""
+    words = F.filter(F.concat(*lists), lambda w: fold_key(w) != "")
+    folded = F.transform(words, fold_key)
+    return F.filter(words, lambda w, i: F.array_position(folded, fold_key(w)) == i + 1)

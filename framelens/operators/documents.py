@@ -124,3 +124,34 @@ def novelty_selection(frames: DataFrame, n: int = 3, object_least: float = 0.45,
     others = others.withColumn("pick", F.row_number().over(rank) + 1).where(F.col("pick") <= n)
     columns = ["shot_id", "keyframe_id", "pick", "novelty"]
     return rows.where("place = 1").select("shot_id", "keyframe_id", F.lit(1).alias("pick"), F.lit(0.0).alias("novelty")).unionByName(others.select(columns))
+
+
+# Cues in a caption that decide a scene's facets.
+CAPTION_CUES = {
+    "indoor": ["phòng", "phòng mổ", "phòng phẫu thuật", "bệnh viện", "studio", "trong nhà", "văn phòng", "lớp học", "nhà bếp", "phòng khách", "hành lang"],
+    "outdoor": ["ngoài trời", "đường phố", "cánh đồng", "bờ sông", "con sông", "biển", "bãi biển", "công viên", "rừng", "đồng lúa", "trên thuyền", "kayak"],
+    "night": ["ban đêm", "ban tối", "nửa đêm", "nighttime", "at night", "trời tối"],
+    "daytime": ["ban ngày", "buổi sáng", "buổi trưa", "daytime", "day light", "ánh nắng", "trời sáng"],
+    "rain": ["trời mưa", "đang mưa", "mưa lớn", "mưa to", "rainy", "in the rain"],
+    "sunny": ["trời nắng", "nắng rõ", "ánh nắng", "sunny", "bright sunlight"],
+    "uncertain_time": ["hoàng hôn", "chạng vạng", "dusk", "twilight"],
+}
+
+
+def crosscheck_scene(rows: DataFrame) -> DataFrame:
+    """Facets (environment, time_of_day, weather) corrected by cues in the caption and the actions, with notes of what was
+    changed; indoor scenes have no weather."""
+    said = F.lower(normalize_text(F.concat_ws(" ", F.col("caption"), F.array_join("actions", " "))))
+    rows = rows.withColumn("__said", said)
+    has = lambda label: F.col("__said").rlike("|".join(CAPTION_CUES[label]))
+    environment = F.when(has("indoor"), "indoor").when(has("outdoor"), "outdoor")
+    time = F.when(has("night"), "night").when(has("daytime"), "daytime").when(has("uncertain_time"), "unknown")
+    weather = F.when(has("rain"), "rain").when(has("sunny"), "sunny")
+    rows = rows.withColumns({"__e": environment, "__t": time, "__w": weather})
+    forced = lambda new, old, name: F.when(F.col(new).isNotNull() & ~F.col(new).eqNullSafe(F.col(old)), name)
+    time_note = F.when(F.col("__t") == "unknown", F.lit("caption_cleared_uncertain_time")).otherwise(F.concat(F.lit("caption_forced_"), "__t"))
+    rows = rows.withColumn("notes", F.array_compact(F.array(forced("__e", "environment", F.concat(F.lit("caption_forced_"), "__e")), forced("__t", "time_of_day", time_note), forced("__w", "weather", F.concat(F.lit("caption_forced_"), "__w")))))
+    rows = rows.withColumns({"environment": F.coalesce("__e", "environment"), "time_of_day": F.coalesce("__t", "time_of_day"), "weather": F.coalesce("__w", "weather")})
+    cleared = (F.col("environment") == "indoor") & ~F.col("weather").eqNullSafe(F.lit("unknown"))
+    rows = rows.withColumn("notes", F.when(cleared, F.concat("notes", F.array(F.lit("indoor_cleared_weather")))).otherwise(F.col("notes")))
+    return rows.withColumn("weather", F.when(F.col("environment") == "indoor", F.lit("unknown")).otherwise(F.col("weather"))).drop("__said", "__e", "__t", "__w")

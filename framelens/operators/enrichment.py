@@ -182,3 +182,20 @@ def key_points(windows: DataFrame, k: int = 5) -> DataFrame:
         return out[["video_id", "point_no", "segment_id", "text", "score"]]
 
     return windows.groupBy("video_id").applyInPandas(choose, "video_id string, point_no int, segment_id string, text string, score double")
+
+
+def summaries(videos: DataFrame, intros: DataFrame, fallback: str = "{}") -> DataFrame:
+    """Summary of each video (video_id, group, detail, points, status): the group's intro with the detail in place of {},
+    then the points as a list, or a note on the transcript. ``intros`` (group, intro) is a short list."""
+    rows = videos.join(F.broadcast(intros.limit(10_000)), "group", "left")
+    intro = F.replace(F.coalesce("intro", F.lit(fallback)), F.lit("{}"), F.col("detail"))
+    points = F.concat(F.lit("\n\n"), F.array_join(F.transform("points", lambda p: F.concat(F.lit("- "), p)), "\n"))
+    return rows.select("video_id", F.concat(intro, F.when(F.size("points") > 0, points).otherwise(F.concat(F.lit("\n\n["), "status", F.lit("]")))).alias("summary"))
+
+
+def enrichment_report(videos: DataFrame) -> DataFrame:
+    """Counts by status (video_id, status, summary, conflict, text_hash): videos, title conflicts, summaries and
+    transcripts that other videos share."""
+    shared = lambda c: (F.count("*").over(Window.partitionBy(c)) > 1) & F.col(c).isNotNull()
+    rows = videos.withColumns({"same_summary": shared("summary"), "same_text": shared("text_hash")})
+    return rows.groupBy("status").agg(F.count("*").alias("videos"), F.count_if("conflict").alias("conflicts"), F.count_if("same_summary").alias("duplicate_summaries"), F.count_if("same_text").alias("duplicate_transcripts"))

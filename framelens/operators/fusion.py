@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lexical import filter_level, filter_time
+
 RRF_K = 60.0
 
 
@@ -121,3 +123,18 @@ def hybrid(channels: dict[str, DataFrame], docs: DataFrame, k: int, candidate_k:
         union = part if union is None else union.unionByName(part)
     full = hydrate(rrf(union, candidate_k, weights), docs)
     return collapse(full, k, collapse_key) if collapse_key else full.withColumn("new_rank", F.col("rank")).where(F.col("rank") <= k)
+
+
+def post_filter(ranked: DataFrame, docs: DataFrame, k: int, levels: list[str] | None = None, video_id: str | None = None, low: float | None = None, high: float | None = None, objects: list[str] = (), scenes: list[str] = ()) -> DataFrame:
+    """Filters after retrieval: ranked candidates (more than k are asked for) that pass, k at most; it can return fewer."""
+    rows = hydrate(ranked, docs)
+    if levels:
+        rows = filter_level(rows, levels)
+    if video_id:
+        rows = rows.where(F.col("video_id") == video_id)
+    rows = filter_time(rows, low, high)
+    for column, wanted in (("objects_text", objects), ("scene_text", scenes)):
+        for value in wanted:
+            rows = rows.where(F.contains(F.lower(column), F.lit(value.lower())))
+    by = Window.partitionBy("query_id").orderBy("rank")
+    return rows.withColumn("new_rank", F.row_number().over(by)).where(F.col("new_rank") <= k)

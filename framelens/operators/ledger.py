@@ -124,3 +124,23 @@ def submission_rows(answers: DataFrame) -> DataFrame:
     chain = F.array(F.concat_ws(",", F.try_element_at(F.col("frames"), F.lit(1))["video_id"], F.array_join(F.transform("frames", lambda x: x["frame_idx"].cast("string")), ",")))
     lines = F.when(F.size("frames") == 0, F.array().cast("array<string>")).when(F.col("qtype") == "trake", chain).otherwise(single)
     return answers.select("question_id", F.posexplode(lines).alias("pos", "line")).select("question_id", (F.col("pos") + 1).alias("line_no"), "line")
+
+
+def run_ledger(log: DataFrame) -> DataFrame:
+    """State of each run from its log (run_id, seq, status, items, error, at): the last entry's status; completed with its
+    time and counts; a restart clears the error and the completion."""
+    last = latest_by_key(log, ["run_id"], ["seq"])
+    done = F.col("status") == "completed"
+    return last.select("run_id", "status", F.when(done, F.col("items")).alias("items"), F.when(F.col("status") == "error", F.col("error")).alias("error"), F.when(done, F.col("at")).alias("completed_at"))
+
+
+def latest_questions(questions: DataFrame) -> DataFrame:
+    """Questions of the set that was imported last, by part and number."""
+    newest = questions.groupBy("set_id").agg(F.max("imported_at").alias("__at")).orderBy(F.desc("__at"), F.desc("set_id")).limit(1)
+    return questions.join(F.broadcast(newest), "set_id").drop("__at").orderBy("part", "number")
+
+
+def scope_options(rows: DataFrame, column: str) -> DataFrame:
+    """Distinct values of a scope column, and all."""
+    spark = rows.sparkSession
+    return rows.where(F.col(column).isNotNull()).select(F.col(column).alias("scope")).distinct().unionByName(spark.range(1).select(F.lit("all").alias("scope")))

@@ -6,8 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions.text import STOPWORDS, content_tokens
-from ..operators import documents, enrichment, selection
+from ..functions.text import BOILERPLATE, STOPWORDS, clean_text, content_tokens, keyword_union
+from ..operators import documents, enrichment, fusion, ledger, lexical, selection
 from ..streaming import ingest
 from . import fixtures as X
 from .fixtures import with_views
@@ -27,8 +27,7 @@ def query(sql: str | None = None):
 
 
 STOP = "(" + ", ".join(f"'{w}'" for w in STOPWORDS) + ")"
-MARKS = "[" + ", ".join(f"'{m}'" for m in ("cam on cac ban da theo doi", "hen gap lai", "hay subscribe", "khong bo lo nhung video", "dang ky kenh", "subscribe kenh", "fanpage", "youtube channel", "ban quyen",
-                                         "theo doi thong tin tai", "chuong trinh duoc tai tro", "cong ty ajinomoto viet nam", "xin chao tat ca cac ban", "chao mung quy vi den voi chuong trinh", "rat han hanh duoc gap lai")) + "]"
+MARKS = "[" + ", ".join(f"'{m}'" for m in BOILERPLATE) + "]"
 
 
 def tokens_sql(text: str) -> str:
@@ -171,6 +170,60 @@ def evidence_change(spark, d):
     return selection.evidence_changes(X.keyframes(spark, d).select("shot_id", "keyframe_id", "frame_idx", F.col("event_type").alias("signature")))
 
 
+@query(r"""WITH n AS (SELECT conv_id, turn, regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '^[ –—,;:-]+|[ –—,;:-]+$', '', 'g') AS t FROM conversations),
+c AS (SELECT conv_id, turn, CASE WHEN length(t) > 320 THEN regexp_replace(regexp_replace(substr(t, 1, 321), ' [^ ]*$', ''), '[ ,;:]+$', '') || '…' ELSE t END AS t FROM n)
+SELECT conv_id, turn, CASE WHEN t = '' THEN t WHEN regexp_matches(t, '[.!?…]$') THEN upper(t[1]) || substr(t, 2) ELSE upper(t[1]) || substr(t, 2) || '.' END AS sentence FROM c""")
+def clean_sentences(spark, d):
+    return X.table(spark, d, "conversations").select("conv_id", "turn", clean_text(F.col("text")).alias("sentence"))
+
+
+@query("""WITH b AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Trong nhà, trời mưa' WHEN 1 THEN 'ngoài trời ban đêm' WHEN 2 THEN 'hoàng hôn' ELSE 'nothing' END AS caption, CASE WHEN doc_id % 3 = 0 THEN 'indoor' ELSE 'unknown' END AS e, 'daytime' AS t, CASE WHEN doc_id % 5 = 0 THEN 'sunny' ELSE 'unknown' END AS w FROM documents),
+c AS (SELECT *, CASE doc_id % 4 WHEN 0 THEN 'indoor' WHEN 1 THEN 'outdoor' END AS e2, CASE doc_id % 4 WHEN 1 THEN 'night' WHEN 2 THEN 'unknown' END AS t2, CASE doc_id % 4 WHEN 0 THEN 'rain' END AS w2 FROM b),
+f AS (SELECT *, coalesce(e2, e) AS environment, coalesce(t2, t) AS time_of_day, coalesce(w2, w) AS weather0 FROM c)
+SELECT doc_id, environment, time_of_day, CASE WHEN environment = 'indoor' THEN 'unknown' ELSE weather0 END AS weather, concat_ws(',', CASE WHEN e2 <> e THEN 'caption_forced_' || e2 END, CASE WHEN t2 = 'unknown' THEN 'caption_cleared_uncertain_time' WHEN t2 <> t THEN 'caption_forced_' || t2 END,
+ CASE WHEN w2 <> w THEN 'caption_forced_' || w2 END, CASE WHEN environment = 'indoor' AND weather0 <> 'unknown' THEN 'indoor_cleared_weather' END) AS notes FROM f""")
+def scene_crosscheck(spark, d):
+    caption = F.element_at(F.array(F.lit("Trong nhà, trời mưa"), F.lit("ngoài trời ban đêm"), F.lit("hoàng hôn"), F.lit("nothing")), (F.col("doc_id") % 4 + 1).cast("int"))
+    rows = X.table(spark, d, "documents").select("doc_id", caption.alias("caption"), F.array().cast("array<string>").alias("actions"), F.when(F.col("doc_id") % 3 == 0, "indoor").otherwise("unknown").alias("environment"),
+                                                 F.lit("daytime").alias("time_of_day"), F.when(F.col("doc_id") % 5 == 0, "sunny").otherwise("unknown").alias("weather"))
+    return documents.crosscheck_scene(rows).select("doc_id", "environment", "time_of_day", "weather", F.array_join("notes", ",").alias("notes"))
+
+
+@query("SELECT CAST(o_orderpriority AS VARCHAR) AS scope FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY 1 UNION ALL SELECT 'all'")
+def scope_options(spark, d):
+    return ledger.scope_options(X.table(spark, d, "orders"), "o_orderpriority")
+
+
+@query("""WITH l AS (SELECT o_custkey AS run_id, o_orderkey AS seq, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'P' THEN 'error' ELSE 'running' END AS status, o_orderdate AS done_at FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1)
+SELECT run_id, status, CASE WHEN status = 'completed' THEN seq END AS items, CASE WHEN status = 'error' THEN 'failed' END AS error, CASE WHEN status = 'completed' THEN CAST(done_at AS VARCHAR) END AS completed_at FROM l""")
+def run_ledger(spark, d):
+    log = X.table(spark, d, "orders").select(F.col("o_custkey").alias("run_id"), F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "P", "error").otherwise("running").alias("status"),
+                                             F.col("o_orderkey").alias("items"), F.lit("failed").alias("error"), F.col("o_orderdate").cast("string").alias("at"))
+    return ledger.run_ledger(log)
+
+
+@query("WITH k AS (SELECT source, list_sort(list_distinct(list(lang))) AS a FROM documents GROUP BY source) SELECT source, array_to_string(list_concat(a, [upper(source), 'film']), ',') AS keywords FROM k")
+def keyword_lists(spark, d):
+    k = X.table(spark, d, "documents").groupBy("source").agg(F.array_sort(F.collect_set("lang")).alias("a"))
+    return k.select("source", F.array_join(keyword_union(F.col("a"), F.array(F.upper("source"), F.concat("source", F.lit("!")), F.lit("film"), F.lit(" - "))), ",").alias("keywords"))
+
+
+@query(with_views("speech", body=f", {TRANSCRIPTS_SQL}" + f""", t AS (SELECT video_id, CASE WHEN length(text) % 3 = 0 THEN 'sparse' ELSE 'usable' END AS status, substr(text, 1, 3) AS summary, length(text) % 5 = 0 AS conflict, sha256({FOLD_KEY.format('text')}) AS text_hash FROM transcripts),
+s AS (SELECT *, count(*) OVER (PARTITION BY summary) > 1 AS a, count(*) OVER (PARTITION BY text_hash) > 1 AS b FROM t) SELECT status, count(*) AS videos, count(*) FILTER (conflict) AS conflicts, count(*) FILTER (a) AS duplicate_summaries, count(*) FILTER (b) AS duplicate_transcripts FROM s GROUP BY status"""))
+def enrichment_report(spark, d):
+    from ..functions.text import fold_key
+    t = transcripts(spark, d).select("video_id", F.when(F.length("text") % 3 == 0, "sparse").otherwise("usable").alias("status"), F.substring("text", 1, 3).alias("summary"), (F.length("text") % 5 == 0).alias("conflict"), F.sha2(fold_key(F.col("text")), 256).alias("text_hash"))
+    return enrichment.enrichment_report(t)
+
+
+@query()
+def post_filtered_search(spark, d):
+    """Over-fetched lexical answers filtered after retrieval."""
+    docs = X.search_documents(spark, d)
+    ranked = lexical.bm25(docs.select("doc_id", "text"), X.queries(spark, d), 40)
+    return fusion.post_filter(ranked, docs.drop("text"), 10, ["frame", "shot"], low=60.0, high=400.0).select("query_id", "doc_id", "new_rank")
+
+
 def _shared(spark):
     """A new folder in the one the cluster shares; a local one where no cluster names it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
