@@ -195,11 +195,11 @@ def scope_options(spark, d):
 
 
 @query("""WITH l AS (SELECT o_custkey AS run_id, o_orderkey AS seq, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'P' THEN 'error' ELSE 'running' END AS status, o_orderdate AS done_at FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1)
-SELECT run_id, status, CASE WHEN status = 'completed' THEN seq END AS items, CASE WHEN status = 'error' THEN 'failed' END AS error, CASE WHEN status = 'completed' THEN CAST(done_at AS VARCHAR) END AS completed_at FROM l""")
+SELECT run_id, status, CASE WHEN status = 'completed' THEN seq ELSE -1 END AS items, CASE WHEN status = 'error' THEN 'failed' END AS error, CASE WHEN status = 'completed' THEN CAST(done_at AS VARCHAR) END AS completed_at FROM l""")
 def run_ledger(spark, d):
     log = X.table(spark, d, "orders").select(F.col("o_custkey").alias("run_id"), F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "P", "error").otherwise("running").alias("status"),
                                              F.col("o_orderkey").alias("items"), F.lit("failed").alias("error"), F.col("o_orderdate").cast("string").alias("at"))
-    return ledger.run_ledger(log)
+    return ledger.run_ledger(log).withColumn("items", F.coalesce("items", F.lit(-1)))
 
 
 @query("WITH k AS (SELECT source, list_sort(list_distinct(list(lang))) AS a FROM documents GROUP BY source) SELECT source, array_to_string(list_concat(a, [upper(source), 'film']), ',') AS keywords FROM k")

@@ -42,10 +42,10 @@ def nearest_keyframe(spark, d):
 
 @query(with_views("keyframes", body=""", c AS (SELECT shot_id, frame_idx AS c_frame, event_type AS caption FROM keyframes WHERE event_id % 5 = 0),
 n AS (SELECT keyframe_id, caption, c_frame, abs(frame_idx - c_frame) AS gap, row_number() OVER (PARTITION BY keyframe_id ORDER BY abs(frame_idx - c_frame), c_frame, caption) AS r FROM keyframes k LEFT JOIN c USING (shot_id))
-SELECT keyframe_id, caption, c_frame AS source_frame, CASE WHEN c_frame IS NULL THEN 'evidence_only' WHEN gap = 0 THEN 'direct' ELSE 'propagated' END AS caption_source FROM n WHERE r = 1"""))
+SELECT keyframe_id, caption, coalesce(c_frame, -1) AS source_frame, CASE WHEN c_frame IS NULL THEN 'evidence_only' WHEN gap = 0 THEN 'direct' ELSE 'propagated' END AS caption_source FROM n WHERE r = 1"""))
 def caption_propagation(spark, d):
     k = X.keyframes(spark, d)
-    return temporal.propagate_captions(k, k.where("event_id % 5 = 0").select("shot_id", "frame_idx", F.col("event_type").alias("caption")))
+    return temporal.propagate_captions(k, k.where("event_id % 5 = 0").select("shot_id", "frame_idx", F.col("event_type").alias("caption"))).withColumn("source_frame", F.coalesce("source_frame", F.lit(-1)))
 
 
 EDGES_SQL = """e AS (SELECT video_id, shot_id AS source, lag(shot_id) OVER w AS target, 'AFTER' AS relation, greatest(0.0, start_time - lag(end_time) OVER w) AS gap_sec FROM shots WINDOW w AS (PARTITION BY video_id ORDER BY shot_index)
