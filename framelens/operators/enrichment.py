@@ -186,8 +186,8 @@ def key_points(windows: DataFrame, k: int = 5) -> DataFrame:
 
 def summaries(videos: DataFrame, intros: DataFrame, fallback: str = "{}") -> DataFrame:
     """Summary of each video (video_id, group, detail, points, status): the group's intro with the detail in place of {},
-    then the points as a list, or a note on the transcript. ``intros`` (group, intro) is a short list."""
-    rows = videos.join(F.broadcast(intros.limit(10_000)), "group", "left")
+    then the points as a list, or the transcript's status. ``intros``: (group, intro)."""
+    rows = videos.join(intros, "group", "left")
     intro = F.replace(F.coalesce("intro", F.lit(fallback)), F.lit("{}"), F.col("detail"))
     points = F.concat(F.lit("\n\n"), F.array_join(F.transform("points", lambda p: F.concat(F.lit("- "), p)), "\n"))
     return rows.select("video_id", F.concat(intro, F.when(F.size("points") > 0, points).otherwise(F.concat(F.lit("\n\n["), "status", F.lit("]")))).alias("summary"))

@@ -118,8 +118,10 @@ def filter_scope(docs: DataFrame, batch: str = "", directory: str = "") -> DataF
 
 def object_search(detections: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Keyframes with a class that holds the query's text, by greatest confidence, then time, then id: labels are the
-    distinct classes in order. ``queries`` (query_id, text) is a short list of class names."""
-    hits = detections.join(F.broadcast(queries.limit(10_000)), ilike_any(["class_name"], F.col("text")))
+    distinct classes in order. Texts are matched with the distinct classes alone; detections then join on their class."""
+    classes = detections.select("class_name").distinct()
+    wanted = classes.join(queries, ilike_any(["class_name"], F.col("text"))).select("class_name", "query_id")
+    hits = detections.join(wanted, "class_name")
     grouped = hits.groupBy("query_id", "keyframe_id", "pts_time").agg(
         F.array_join(F.array_sort(F.collect_set("class_name")), ", ").alias("labels"), F.max("confidence").alias("score"))
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "pts_time", "keyframe_id")
