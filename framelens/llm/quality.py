@@ -19,7 +19,7 @@ PAIRS = len(CLASSES) ** 2
 FEATURES = PAIRS + 2
 #: Labelled rows that the model is fitted on at most, and the largest text among them: the fit's memory bound.
 FIT_ROWS = 4096
-FIT_BYTES = 1 << 18
+FIT_BYTES = 1 << 16
 ENCODED, ATTENDED, EPOCHS, BATCH, RATE, DECAY = 16, 8, 24, 256, 0.01, 1e-4
 #: Text bytes that a task describes at a time (a longer text alone, in parts).
 HELD = shingles.PIECE
