@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from heapq import heappop, heappush
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,12 +35,33 @@ def best_fit(items: list[tuple[int, int]], capacity: int) -> list[list]:
     return bins
 
 
+def least_loaded(items: list[tuple[int, int]], shards: int) -> list[list]:
+    """Each of (size, item), largest first, into the bin with the fewest bytes so far."""
+    bins: list[list] = [[] for _ in range(shards)]
+    loads = [(0, k) for k in range(shards)]
+    for size, item in items:
+        load, k = heappop(loads)
+        bins[k].append(item)
+        heappush(loads, (load + size, k))
+    return bins
+
+
 def pack(items: list[tuple[int, int]], shards: int) -> dict[int, int]:
-    """Item to shard: the smallest capacity, found by halving, at which best fit needs at most ``shards`` bins."""
+    """Item to shard. An item above the fair share of what is left gets a shard of its own, largest first. The others
+    go by best fit into the remaining shards, at the smallest capacity, found by halving, that needs no more of them.
+    Best fit can leave shards empty or light where items are near the fair share; if one holds under nine tenths of the
+    mean, the others go to the least loaded shard instead, where that brings the loads closer together."""
     items = sorted(((s, k) for s, k in items), key=lambda x: (-x[0], x[1]))
     if not items:
         return {}
-    total = sum(s for s, _ in items)
+    total, own = sum(s for s, _ in items), 0
+    while items[own][0] * (shards - own) > total:
+        total -= items[own][0]
+        own += 1
+        if own == len(items):
+            return {item: k for k, (_, item) in enumerate(items)}
+    place = {item: k for k, (_, item) in enumerate(items[:own])}
+    items, shards = items[own:], shards - own
     low, high = max(-(-total // shards), items[0][0]), max(2 * -(-total // shards), items[0][0])
     bins = best_fit(items, high)
     while len(bins) > shards:
@@ -52,7 +74,12 @@ def pack(items: list[tuple[int, int]], shards: int) -> dict[int, int]:
             bins, high = tried, mid
         else:
             low = mid + 1
-    return {item: k for k, held in enumerate(bins) for item in held}
+    bins += [[] for _ in range(shards - len(bins))]
+    size = {item: s for s, item in items}
+    loads = lambda bins: [sum(size[item] for item in held) for held in bins]
+    if 10 * shards * min(loads(bins)) < 9 * total:
+        bins = min(bins, least_loaded(items, shards), key=lambda b: max(loads(b)) - min(loads(b)))
+    return place | {item: own + k for k, held in enumerate(bins) for item in held}
 
 
 def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
@@ -60,7 +87,8 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
 
     size: UTF-8 bytes of the text plus 1 (null: 1). Rows with equal texts share a shard; null counts as empty. slot
     numbers a shard's rows from 0 without gaps. Repeated rows stay; null doc_ids are ordinary values; an empty table
-    gives an empty one; fewer groups than shards leave shards empty; a group above a fair share fills a shard alone.
+    gives an empty one; fewer groups than shards leave shards empty; a group above a fair share fills a shard alone, and the other shards
+    are near equal among themselves.
 
     Groups above 1/16384 of all bytes, fewer than 16384 of them, are packed one by one; all others in 16384 hashed
     bundles. So what is ordered in one place has a fixed bound whatever the corpus.

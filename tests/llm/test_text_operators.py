@@ -168,6 +168,27 @@ def test_shards_hold_whole_groups(docs):
     assert max(load) <= max(biggest, 1.1 * sum(load) / 4)
 
 
+def test_a_hot_group_leaves_no_shard_empty(spark):
+    def loads(sizes, shards=16):
+        place = sharding.pack([(s, k) for k, s in enumerate(sizes)], shards)
+        assert len(place) == len(sizes)
+        return sorted(sum(s for k, s in enumerate(sizes) if place[k] == b) for b in range(shards))
+
+    for hot in ([100_000], [24_000], [100_000, 40_000, 14_000]):
+        rest = 300_000 - sum(hot)
+        load = loads(hot + [20] * (rest // 20))
+        assert load[-len(hot):] == sorted(hot)
+        mean = rest / (16 - len(hot))
+        assert 0.99 * mean <= load[0] and load[-len(hot) - 1] <= 1.01 * mean
+    assert loads([40] * 25) == [40] * 7 + [80] * 9  # two in each would leave three shards empty
+    assert loads([7, 5, 3]) == [0] * 13 + [3, 5, 7]
+    rows = [(k, "the same text" * 4 if k % 3 == 0 else f"text {k:05d} of its own" * 2) for k in range(6000)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    load = sorted(sum(r["size"] for r in got if r["shard"] == b) for b in range(16))
+    mean = sum(load[:-1]) / 15
+    assert load[-1] == 2000 * 53 and 0.9 * mean <= load[0] and load[-2] <= 1.1 * mean
+
+
 def test_best_fit_takes_the_tightest_bin():
     assert sharding.best_fit([(6, 0), (5, 1), (4, 2), (3, 3), (2, 4)], 10) == [[0, 2], [1, 3, 4]]
     rnd = random.Random(2)
