@@ -235,7 +235,7 @@ def _shared(spark):
 
 @query("SELECT event_id, user_id, event_type FROM events")
 def streaming_ingest(spark, d):
-    """Events as files that arrive, replaced by user."""
+    """Events as files that arrive, kept by user."""
     at = _shared(spark)
     stream = ingest.file_stream(spark, f"{d}/events.parque[t]", X.table(spark, d, "events").schema)
     ingest.ingest_by_video(stream.withColumn("part", F.col("user_id") % 16), f"{at}/table", f"{at}/log", "part").awaitTermination()

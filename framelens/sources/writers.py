@@ -19,9 +19,9 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
 
-def replace_partitions(df: DataFrame, path: str, key: str = "video_id") -> None:
-    """Replace the partitions of the keys in ``df`` and leave all others."""
-    df.repartition(key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+def replace_partitions(df: DataFrame, path: str, key: str = "video_id", *inner: str) -> None:
+    """Replace the partitions of the keys (and of the ``inner`` columns below them) in ``df`` and leave all others."""
+    df.repartition(key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key, *inner).parquet(path)
 
 
 def write_submission(lines: DataFrame, path: str) -> None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.ledger import latest_by_key
 from ..sources.writers import replace_partitions
@@ -15,14 +16,17 @@ def file_stream(spark: SparkSession, path: str, schema, files: int = 100) -> Dat
 
 
 def ingest_by_video(stream: DataFrame, target: str, checkpoint: str, key: str = "video_id"):
-    """Each batch replaces its videos in ``target``. Returns the started query, which ends when all files are in."""
-    return (stream.writeStream.foreachBatch(lambda batch, _: replace_partitions(batch, target, key)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    """All rows that have arrived, in ``target`` by ``key`` and within it by the batch that brought them (ingest_batch).
+    A batch writes its own partitions alone, so later files of a key add to it, and a repeated batch replaces only
+    itself. A target belongs to one checkpoint. Returns the started query, which ends when all files are in."""
+    def add(batch: DataFrame, number: int) -> None:
+        replace_partitions(batch.withColumn("ingest_batch", F.lit(number)), target, key, "ingest_batch")
+
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def keep_latest(stream: DataFrame, target: str, checkpoint: str, keys: list[str], order: list[str], buckets: int = 64):
     """Latest row of each key of an append log, kept in hashed partitions of which a batch rewrites those it touches."""
-    from pyspark.sql import functions as F
-
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         new = latest_by_key(batch, keys, order).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))

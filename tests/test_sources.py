@@ -82,3 +82,17 @@ def test_streams_equal_a_batch_run(spark, tmp_path):
     build = lambda rows: rows.groupBy("key").count()
     ingest.refresh_touched(stream, lambda s: s.read.parquet(log), build, f"{tmp_path}/u", f"{tmp_path}/ck2", "key").awaitTermination()
     assert {(r["key"], r["count"]) for r in spark.read.parquet(f"{tmp_path}/u").collect()} == {(1, 2), (2, 2), (3, 1)}
+
+
+def test_ingest_keeps_what_earlier_batches_brought(spark, tmp_path):
+    log, rows = f"{tmp_path}/log", []
+    for part in ([(1, 1), (2, 1), (2, 1)], [(1, 2), (3, 2)], [(1, 3), (2, 3)]):
+        rows += part
+        spark.createDataFrame(part, "key int, at int").coalesce(1).write.mode("append").parquet(log)
+    for more in ([], [(3, 4), (1, 4)]):  # several batches in one run, then a run that brings one more file
+        if more:
+            rows += more
+            spark.createDataFrame(more, "key int, at int").coalesce(1).write.mode("append").parquet(log)
+        stream = ingest.file_stream(spark, log, "key int, at int", 1).withColumn("part", F.col("key") % 2)
+        ingest.ingest_by_video(stream, f"{tmp_path}/t", f"{tmp_path}/ck", "part").awaitTermination()
+        assert sorted((r["key"], r["at"]) for r in spark.read.parquet(f"{tmp_path}/t").collect()) == sorted(rows)
