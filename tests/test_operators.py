@@ -158,6 +158,21 @@ def test_exact_search_equals_numpy_and_cells_recall(spark):
         vectors.exact_top_k(q, df, 0)
 
 
+def test_cells_find_nine_tenths_without_a_number_of_probes(spark):
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((2500, 32)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, vector array<float>")
+    q = df.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    placed, centres = vectors.build_cells(df)
+    placed = placed.localCheckpoint()
+    assert len(centres) == 50
+    exact = vectors.exact_top_k(q, df, 10)
+    recall = lambda probes: vectors.recall_at(vectors.approximate_top_k(q, placed, centres, 10, probes), exact).first()["recall"]
+    probes = vectors.probes_for(q, placed, centres, 10)
+    assert recall(None) == recall(probes) >= 0.92 > recall(probes - 1)
+
+
 def test_bm25_needs_a_positive_k_and_folds_accents(spark):
     docs = spark.createDataFrame([(1, "trời mưa lớn"), (2, "nắng"), (3, None)], "doc_id long, text string")
     q = spark.createDataFrame([(1, "mua")], "query_id long, text string")
