@@ -124,20 +124,20 @@ def unique_topics(topics: DataFrame) -> DataFrame:
 
 def sentence_windows(segments: DataFrame, short: int = 120, gap: float = 2.5, most: int = 280) -> DataFrame:
     """From each segment, its text with the following ones while it is shorter than ``short``, the pause is not above
-    ``gap`` and the sum not above ``most`` characters. A window spans few segments, so each video is one sorted walk."""
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["segment_index", "segment_id"])
-        texts, starts, ends = rows.text.fillna("").tolist(), rows.start_time.tolist(), rows.end_time.tolist()
-        joined, until = [], []
-        for i, text in enumerate(texts):
-            end, j = ends[i], i + 1
-            while len(text) < short and j < len(texts) and starts[j] - end <= gap and len(text) + len(texts[j]) <= most:
-                text, end, j = f"{text} {texts[j]}", ends[j], j + 1
-            joined.append(text)
-            until.append(end)
-        return pd.DataFrame({"video_id": rows.video_id, "segment_id": rows.segment_id, "start_time": rows.start_time, "end_time": until, "text": joined})
-
-    return segments.groupBy("video_id").applyInPandas(walk, "video_id string, segment_id string, start_time double, end_time double, text string")
+    ``gap`` and the sum not above ``most`` characters. Each joined segment adds a space at least, so a window ends
+    within ``short`` segments and a frame of so many rows holds it, however long the video."""
+    following = Window.partitionBy("video_id").orderBy(F.asc_nulls_last("segment_index"), F.asc_nulls_last("segment_id")).rowsBetween(1, max(1, short))
+    rows = segments.select("video_id", "segment_id", "segment_index", "start_time", "end_time", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("next", F.collect_list(F.struct("start_time", "end_time", "text")).over(following))
+
+    def step(acc, x):
+        joins = acc["open"] & (F.length(acc["text"]) < short) & (x["start_time"] - acc["end"] <= gap) & (F.length(acc["text"]) + F.length(x["text"]) <= most)
+        grown = F.struct(F.concat(acc["text"], F.lit(" "), x["text"]).alias("text"), x["end_time"].alias("end"), F.lit(True).alias("open"))
+        return F.when(joins, grown).otherwise(F.struct(acc["text"].alias("text"), acc["end"].alias("end"), F.lit(False).alias("open")))
+
+    first = F.struct(F.col("text").alias("text"), F.col("end_time").alias("end"), F.lit(True).alias("open"))
+    rows = rows.withColumn("window", F.aggregate("next", first, step))
+    return rows.select("video_id", "segment_id", "start_time", F.col("window.end").alias("end_time"), F.col("window.text").alias("text"))
 
 
 def window_scores(windows: DataFrame, segments: DataFrame, titles: DataFrame) -> DataFrame:

@@ -246,6 +246,30 @@ def test_windows_and_key_points(spark):
     assert 1 <= len(points) <= 3 and [r["point_no"] for r in points] == list(range(1, len(points) + 1))
 
 
+def test_sentence_windows_by_brute_force_without_a_video_in_memory(spark, capsys):
+    rnd = random.Random(3)
+    rows, at = [], 0.0
+    for i in range(400):
+        text = None if i % 37 == 0 else "" if 200 <= i < 330 else "x" * rnd.choice([3, 40, 119, 120, 200, 281])
+        rows.append(("v" if i % 3 else "w", f"s{i:03d}", i, at, at + 1.0, text))
+        at += 1.0 + (rnd.random() if 200 <= i < 330 else rnd.choice([0.1, 1.5, 4.0]))
+    want = set()
+    for v in "vw":
+        own = [r for r in rows if r[0] == v]
+        for i, r in enumerate(own):
+            text, end = r[5] or "", r[4]
+            for n in own[i + 1:]:
+                if len(text) >= 120 or n[3] - end > 2.5 or len(text) + len(n[5] or "") > 280:
+                    break
+                text, end = f"{text} {n[5] or ''}", n[4]
+            want.add((v, r[1], r[3], end, text))
+    made = enrichment.sentence_windows(spark.createDataFrame(rows, "video_id string, segment_id string, segment_index int, start_time double, end_time double, text string"))
+    got = made.collect()
+    assert len(got) == len(rows) and {tuple(r) for r in got} == want
+    made.explain()
+    assert "InPandas" not in capsys.readouterr().out
+
+
 def test_review_and_lines(spark):
     kind = "question_id string, qtype string, events int, frames array<struct<video_id:string,frame_idx:long,pts_time:double>>, answer_text string"
     rows = [("a", "kis", 0, [("v", 5, 1.0)], None), ("b", "qa", 0, [("v", 5, 1.0)], ' red "x" '), ("c", "trake", 2, [("v", 5, 2.0), ("v", 9, 1.0)], None), ("d", "qa", 0, [], ""), ("e", "trake", 2, [("v", 1, 1.0), ("v", 2, 2.0)], None)]
