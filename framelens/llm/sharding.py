@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
 from heapq import heappop, heappush
 
 from pyspark.sql import DataFrame, Window
@@ -14,24 +13,97 @@ from .common import documents_of, materialize
 LARGE = 16_384
 #: The other groups are packed in so many hashed bundles. With LARGE this bounds what one place has to order.
 BUNDLES = 16_384
-#: Part of a shard in which rows get their slots.
+#: Rows get their slots in parts of a shard: PARTS at least, and as many as keep a part at about PART_ROWS.
 PARTS = 64
+PART_ROWS = 1 << 16
+
+
+class Rooms:
+    """Open bins by (room, bin) in a balanced tree: an AA tree, of height 2 log2(n) at most."""
+
+    def __init__(self):
+        self.root = None
+
+    def add(self, key: tuple[int, int]) -> None:
+        self.root = self._add(self.root, key)
+
+    def take_tightest(self, size: int) -> tuple[int, int] | None:
+        """Remove and return the bin with the least room that is at least ``size``; None if there is none."""
+        node, found = self.root, None
+        while node:
+            if node[0][0] >= size:
+                node, found = node[2], node[0]
+            else:
+                node = node[3]
+        if found is not None:
+            self.root = self._remove(self.root, found)
+        return found
+
+    # A node: [key, level, left, right]. Left children stand a level below, right ones at most one level in a row beside.
+
+    @staticmethod
+    def _skew(t):
+        if t and t[2] and t[2][1] == t[1]:
+            left = t[2]
+            t[2], left[3] = left[3], t
+            return left
+        return t
+
+    @staticmethod
+    def _split(t):
+        if t and t[3] and t[3][3] and t[1] == t[3][3][1]:
+            right = t[3]
+            t[3], right[2] = right[2], t
+            right[1] += 1
+            return right
+        return t
+
+    def _add(self, t, key):
+        if t is None:
+            return [key, 1, None, None]
+        side = 2 if key < t[0] else 3
+        t[side] = self._add(t[side], key)
+        return self._split(self._skew(t))
+
+    def _remove(self, t, key):
+        if key == t[0]:
+            if t[2] is None and t[3] is None:
+                return None
+            side, other = (3, 2) if t[2] is None else (2, 3)  # the neighbour in order takes this place
+            node = t[side]
+            while node[other]:
+                node = node[other]
+            t[0] = node[0]
+            t[side] = self._remove(t[side], node[0])
+        else:
+            side = 2 if key < t[0] else 3
+            t[side] = self._remove(t[side], key)
+        level = min(n[1] if n else 0 for n in t[2:]) + 1
+        if level < t[1]:
+            t[1] = level
+            if t[3] and t[3][1] > level:
+                t[3][1] = level
+        t = self._skew(t)
+        t[3] = self._skew(t[3])
+        if t[3]:
+            t[3][3] = self._skew(t[3][3])
+        t = self._split(t)
+        t[3] = self._split(t[3])
+        return t
 
 
 def best_fit(items: list[tuple[int, int]], capacity: int) -> list[list]:
-    """Best fit of (size, item), largest first, into bins of ``capacity``: each enters the bin with the least room
-    that still holds it. The open bins stand in a balanced order of (room, bin)."""
+    """Best fit of (size, item), largest first, into as few bins of ``capacity`` as it needs: each item enters the bin with
+    the least room that still holds it, found in a balanced tree. An item above the capacity has a bin of its own."""
     bins: list[list] = []
-    rooms: list[tuple[int, int]] = []
+    rooms = Rooms()
     for size, item in items:
-        at = bisect_left(rooms, (size, -1))
-        if at == len(rooms):
+        room, k = rooms.take_tightest(size) or (capacity, len(bins))
+        if k == len(bins):
             bins.append([])
-            room, k = capacity, len(bins) - 1
-        else:
-            room, k = rooms.pop(at)
         bins[k].append(item)
-        insort(rooms, (room - size, k))
+        if room > size:
+            rooms.add((room - size, k))
     return bins
 
 
@@ -48,7 +120,7 @@ def least_loaded(items: list[tuple[int, int]], shards: int) -> list[list]:
 
 def pack(items: list[tuple[int, int]], shards: int) -> dict[int, int]:
     """Item to shard. An item above the fair share of what is left gets a shard of its own, largest first. The others
-    go by best fit into the remaining shards, at the smallest capacity, found by halving, that needs no more of them.
+    go by best fit into the remaining shards, at the smallest capacity, found by halving to a thousandth, that needs no more of them.
     Best fit can leave shards empty or light where items are near the fair share; if one holds under nine tenths of the
     mean, the others go to the least loaded shard instead, where that brings the loads closer together."""
     items = sorted(((s, k) for s, k in items), key=lambda x: (-x[0], x[1]))
@@ -67,7 +139,7 @@ def pack(items: list[tuple[int, int]], shards: int) -> dict[int, int]:
     while len(bins) > shards:
         high *= 2
         bins = best_fit(items, high)
-    while low < high:
+    while high - low > total // (1000 * shards):
         mid = (low + high) // 2
         tried = best_fit(items, mid)
         if len(tried) <= shards:
@@ -82,43 +154,52 @@ def pack(items: list[tuple[int, int]], shards: int) -> dict[int, int]:
     return place | {item: own + k for k, held in enumerate(bins) for item in held}
 
 
+def fixed_capacity(docs: DataFrame, capacity: int) -> DataFrame:
+    """The rows of ``shard`` for shards of ``capacity`` bytes each, of which best-fit-decreasing opens as few as it needs.
+    A group above the capacity fills a shard alone; small groups are packed in hashed bundles, so ``capacity`` should be
+    well above 1/16384 of all bytes. Input is handled as by ``shard``."""
+    return _packed(docs, lambda items: {item: k for k, held in enumerate(best_fit(sorted(items, key=lambda x: (-x[0], x[1])), capacity)) for item in held})
+
+
 def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot for every row of ``docs`` (doc_id, text); shards near equal in bytes.
 
     size: UTF-8 bytes of the text plus 1 (null: 1). Rows with equal texts share a shard; null counts as empty. slot
-    numbers a shard's rows from 0 without gaps. Repeated rows stay; null doc_ids are ordinary values; an empty table
-    gives an empty one; fewer groups than shards leave shards empty; a group above a fair share fills a shard alone, and the other shards
-    are near equal among themselves.
+    numbers a shard's rows from 0 without gaps. Repeated rows stay; null doc_ids are ordinary values; texts of any length
+    are one item; an empty table gives an empty one; extra columns are left out; fewer groups than shards leave shards
+    empty; a group above a fair share fills a shard alone, and the other shards are near equal among themselves. Groups of
+    equal size are packed in the order of their hashes, so reruns agree.
 
     Groups above 1/16384 of all bytes, fewer than 16384 of them, are packed one by one; all others in 16384 hashed
     bundles. So what is ordered in one place has a fixed bound whatever the corpus.
     """
+    return _packed(docs, lambda items: pack(items, shards))
+
+
+def _packed(docs: DataFrame, packing) -> DataFrame:
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     rows = materialize(documents_of(docs).select(
         "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
         F.xxhash64(text).alias("family")))
-    total = rows.agg(F.sum("size").alias("bytes")).first()["bytes"]
-    schema = "kind int, item long, shard int"
+    found = rows.agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).first()
+    total = found["bytes"]
     if total is None:
         return rows.select("doc_id", "size", "text_crc32", F.lit(None).cast("int").alias("shard"), F.lit(None).cast("long").alias("slot"))
-    families = rows.groupBy("family").agg(F.sum("size").alias("bytes"))
-    large = materialize(families.where(F.col("bytes") * LARGE > total))
     bundle = F.pmod("family", F.lit(BUNDLES))
-    # Fewer than LARGE rows, and at most BUNDLES rows.
-    alone = [(r["bytes"], r["family"], 0) for r in large.collect()]
-    held = rows.groupBy(bundle.alias("item")).agg(F.sum("size").alias("bytes"))
-    most = {r["item"]: r["bytes"] for r in held.collect()}
-    for size, family, _ in alone:
-        most[family % BUNDLES] -= size
-    both = alone + [(size, item, 1) for item, size in most.items() if size > 0]
-    place = pack([(size, k) for k, (size, _, _) in enumerate(both)], shards)
-    table = spark.createDataFrame([(kind, item, place[k]) for k, (_, item, kind) in enumerate(both)], schema)
-    own = table.where("kind = 0").select(F.col("item").alias("family"), F.col("shard").alias("own_shard"))
-    shared = table.where("kind = 1").select("item", F.col("shard").alias("bundle_shard"))
-    rows = rows.join(F.broadcast(own), "family", "left").withColumn("item", bundle).join(F.broadcast(shared), "item", "left")
+    groups = materialize(rows.groupBy("family").agg(F.sum("size").alias("bytes")))
+    large = F.col("bytes") * LARGE > total
+    items = groups.groupBy(F.when(large, F.col("family")).alias("own"), F.when(~large, bundle).alias("item")).agg(F.sum("bytes").alias("bytes"))
+    # Fewer than LARGE groups alone, and at most BUNDLES bundles.
+    both = sorted(((r["bytes"], r["own"], r["item"]) for r in items.collect()), key=lambda x: (-x[0], x[1] is None, x[1] or 0, x[2] or 0))
+    place = packing([(size, k) for k, (size, _, _) in enumerate(both)])
+    table = spark.createDataFrame([(own, item, place[k]) for k, (_, own, item) in enumerate(both)], "own long, item long, shard int")
+    alone = table.where("own IS NOT NULL").select(F.col("own").alias("family"), F.col("shard").alias("own_shard"))
+    shared = table.where("own IS NULL").select("item", F.col("shard").alias("bundle_shard"))
+    rows = rows.join(F.broadcast(alone), "family", "left").withColumn("item", bundle).join(F.broadcast(shared), "item", "left")
+    parts = max(PARTS, found["n"] // (PART_ROWS * (max(place.values()) + 1)))
     rows = rows.withColumns({"shard": F.coalesce("own_shard", "bundle_shard"),
-                             "part": F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(PARTS)).cast("int")})
+                             "part": F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(parts)).cast("int")})
     return number(rows.select("doc_id", "size", "text_crc32", "shard", "part"))
 
 
