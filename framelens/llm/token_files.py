@@ -85,7 +85,8 @@ class Words:
 
     A pre-tokenizer for byte-level BPE always cuts before a space that stands between two characters other than white
     space, and around a line break that does. So a text in which no two white-space characters meet is the run of its
-    stretches between such cuts: its ids are theirs, one after the other. Other texts go to the library whole."""
+    stretches between such cuts: its ids are theirs, one after the other. Other texts go to the library whole, and so do
+    those that hold the content of an added token, such as a mark of the end of a text, which the library finds in them."""
 
     #: Two white-space characters side by side, or one of the marks.
     WHOLE = r"[\s\v\x{1c}-\x{1f}\x{85}\p{Z}]{2}|[\x01\x02]"
@@ -95,7 +96,10 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = "|".join([self.WHOLE, *map(re.escape, added)])
+        #: Stretches between white space may be joined by it unless an added token has some.
+        self.joins = not any(re.search(r"\s", t) for t in added)
         vocabulary = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
         self.spaced[[i for t, i in vocabulary.items() if t[0] == "\u0120"]] = True  # how byte-level vocabularies write a space
@@ -111,7 +115,7 @@ class Words:
         white space go to the library many at a time; the spaces or line breaks between them show where each ends."""
         alone: list[str] = []
         after: dict[bool, list[str]] = {True: [], False: []}
-        spaced, marked, fits = after[True].append, after[False].append, SOLID.match
+        spaced, marked, fits = after[True].append, after[False].append, SOLID.match if self.joins else lambda w: None
         for w in fresh:
             if not fits(w):
                 alone.append(w)
@@ -139,7 +143,7 @@ class Words:
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, ``end_id`` after each, and the number of each one's, the end included."""
         texts = texts.fill_null("")
-        whole = pc.match_substring_regex(texts, self.WHOLE)
+        whole = pc.match_substring_regex(texts, self.whole)
         plain = pc.binary_join_element_wise("", pc.replace_substring(texts, "\n", " \x02\n \x01"), "\x01")
         parts = pc.split_pattern(pc.if_else(whole, "\x01", plain), " ")
         coded = parts.flatten().dictionary_encode()
@@ -189,7 +193,9 @@ def write_token_files(docs: DataFrame, tokenizer_json: str, end_id: int, path: s
     Rows are range-partitioned by doc_id, ties by the text's hash, and sorted; each task closes a block after a million
     ids and ranks ids by their frequency in all of it, so memory is bounded and a block can be read alone. Null and
     empty texts have the end id alone; null doc_ids come first; repeated rows stay; extra columns are left out; an empty
-    table gives no blocks. Special tokens in a text are ordinary text. Blocks are stored as the binary column of a Parquet table, which any store that Spark writes to can hold.
+    table gives no blocks. A special token's content in a text becomes that token, as the library
+    does it; ``add_special_tokens=False`` only keeps it from adding any. A text of any length is encoded whole, and a
+    document of more than a million ids is a block alone, so a task's memory is bounded by the longest document. Blocks are stored as the binary column of a Parquet table, which any store that Spark writes to can hold.
     """
     spark = docs.sparkSession
     ship_package(spark)
