@@ -8,18 +8,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_groups import roots, whole_groups
-from .common import connected_components, materialize, ship_package
+from .common import connected_components, discard, materialize, ship_package, spread_join
 
 #: Dimensions of a subspace.
 WIDTH = 16
-#: Vectors in a block of a cell; larger cells are compared block by block.
-CELL_BLOCK = 4096
-#: Rows of a product of two blocks.
-TILE = 512
+#: Vectors in a cell on average; a cell of more than twice as many is compared in blocks.
+CELL = 32_768
+#: Vectors whose medians place the cuts between cells, in all, and most cells of a subspace. They decide on balance alone.
+SAMPLE = 65_536
+MOST_CELLS = 4096
+#: Rows of a product of two blocks, pairs that are verified at a time, and links that are held before they are joined.
+TILE = 256
+VERIFIED = 1 << 16
+LINKS_HELD = 1 << 20
 #: Added to squared-distance budgets against rounding in the single-precision search.
 SLACK = 1e-4
-#: A cell is compared with itself and with these neighbours; the other four see it from their side.
-FORWARD = ((0, 0), (1, 0), (0, 1), (1, 1), (1, -1))
 
 usable = "embedding IS NOT NULL AND size(embedding) > 0 AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(embedding, x -> x <> 0)"
 
@@ -54,9 +57,77 @@ def rotated(x: np.ndarray) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)) @ rotation(x.shape[1])
 
 
-def cells_of(y: np.ndarray, threshold: float) -> list[np.ndarray]:
-    """For each subspace the cell of every vector: its first two coordinates in steps of the budget's radius."""
-    return [np.floor(y[:, part][:, :2] / np.sqrt(budget + SLACK)).astype(np.int64) for part, budget in subspaces(y.shape[1], threshold)]
+class Cells:
+    """Cells of one subspace for vectors of one length: boxes from median cuts of its widest coordinates, over all 16, made
+    tight by the vectors in them. Two cells are joined only where their boxes lie within the subspace's budget."""
+
+    def __init__(self, sample: np.ndarray, depth: int):
+        """``sample``: some vectors of the subspace; ``depth``: halvings."""
+        self.depth = depth
+        self.axis, self.cut = np.zeros(2**depth - 1, np.int64), np.zeros(2**depth - 1)
+        held = [sample]
+        for node in range(2**depth - 1):
+            own = held[node]
+            if len(own):
+                self.axis[node] = np.argmax(own.max(axis=0) - own.min(axis=0))
+                self.cut[node] = np.median(own[:, self.axis[node]])
+            above = own[:, self.axis[node]] >= self.cut[node]
+            held += [own[~above], own[above]]
+        self.low = self.high = self.blocks = None
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        node = np.zeros(len(x), np.int64)
+        for _ in range(self.depth):
+            node = 2 * node + 1 + (x[np.arange(len(x)), self.axis[node]] >= self.cut[node])
+        return node - (2**self.depth - 1)
+
+    def bound(self, low: np.ndarray, high: np.ndarray, count: np.ndarray) -> None:
+        """Tight boxes and numbers of vectors of the cells; those without any have no blocks."""
+        self.low, self.high, self.blocks = low, high, np.ceil(count / (2 * CELL)).astype(np.int64)
+
+    def near(self, cell: int, budget: float) -> np.ndarray:
+        """Cells whose boxes lie within the budget of the cell's box, itself included."""
+        gap = np.maximum(0, np.maximum(self.low - self.high[cell], self.low[cell] - self.high))
+        return np.flatnonzero(((gap**2).sum(axis=1) <= budget + SLACK) & (self.blocks > 0))
+
+
+def cells_of(one: DataFrame, threshold: float) -> dict[tuple[int, int], Cells]:
+    """The cells by (length of vector, subspace). Cuts come from at most SAMPLE vectors of each length; boxes and numbers
+    from all vectors, in one pass. At most MOST_CELLS boxes a subspace reach the driver."""
+    lengths = {r["dim"]: r["n"] for r in one.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).collect()}
+    cells: dict[tuple[int, int], Cells] = {}
+    for dim, n in lengths.items():
+        depth = int(np.ceil(np.log2(min(MOST_CELLS, max(1.0, n / CELL)))))
+        held = one.where(F.size("embedding") == dim).select("embedding").orderBy(F.xxhash64("rep")).limit(SAMPLE).collect() if depth else []
+        sample = rotated(np.array([r["embedding"] for r in held])) if held else np.zeros((0, dim))
+        for b, (part, _) in enumerate(subspaces(dim, threshold)):
+            cells[dim, b] = Cells(sample[:, part], depth)
+
+    def measure(batches):
+        for batch in batches:
+            for at, x in by_length(batch.column("embedding")):
+                x = rotated(x)
+                for b, (part, _) in enumerate(subspaces(x.shape[1], threshold)):
+                    sub = x[:, part]
+                    cell = cells[x.shape[1], b].of(sub)
+                    order = np.argsort(cell, kind="stable")
+                    first = np.flatnonzero(np.diff(cell[order], prepend=-1))
+                    low, high = np.minimum.reduceat(sub[order], first), np.maximum.reduceat(sub[order], first)
+                    n, d = low.shape
+                    rep = lambda v: pa.array(np.repeat(v, d).astype(np.int64))
+                    yield pa.RecordBatch.from_arrays(
+                        [rep(np.full(n, x.shape[1])), rep(np.full(n, b)), rep(cell[order][first]), pa.array(np.tile(np.arange(d), n)), pa.array(low.ravel()), pa.array(high.ravel()),
+                         rep(np.diff(np.append(first, len(order))))], names=["dim", "b", "cell", "axis", "low", "high", "n"])
+
+    measured = one.select("embedding").mapInArrow(measure, "dim long, b long, cell long, axis long, low double, high double, n long")
+    boxes = measured.groupBy("dim", "b", "cell", "axis").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")).toPandas()
+    for (dim, b), own in boxes.groupby(["dim", "b"]):
+        c = cells[dim, b]
+        low, high, count = (np.zeros((2**c.depth, own["axis"].max() + 1)) for _ in range(3))
+        for out, name in ((low, "low"), (high, "high"), (count, "n")):
+            out[own["cell"], own["axis"]] = own[name]
+        c.bound(low, high, count[:, 0])
+    return cells
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
@@ -69,74 +140,61 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     table gives an empty one. ``threshold`` must lie in (0, 1).
 
     Equal vectors collapse to one with a weight. The others are rotated and split into subspaces of 16 dimensions; each
-    subspace is range-joined under its share of the squared distance, over cells of its first two coordinates, large
-    cells block by block. A pair is verified on whole vectors and counted in the first subspace that finds it. Blocks
-    return counts and joining links only, never all pairs. The number of cells depends on the dimensions alone.
+    subspace is range-joined under its share of the squared distance, over cells (see ``Cells``), large cells block by
+    block. A pair is verified on whole vectors and counted in the first subspace that finds it. Blocks return counts and
+    joining links only, never all pairs. Every subspace carries one copy of a vector for each near cell's block.
     """
     if not 0 < threshold < 1:
         raise ValueError("threshold must lie in (0, 1)")
     ship_package(vectors.sparkSession)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
     sound = rows.where("vec_id IS NOT NULL").where(usable)
     one = materialize(sound.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")))
-
-    def count_cells(batches):
-        for batch in batches:
-            found: dict = {}
-            for at, x in by_length(batch.column("embedding")):
-                for b, cell in enumerate(cells_of(rotated(x), threshold)):
-                    for (cx, cy), n in zip(*[v.tolist() for v in np.unique(cell, axis=0, return_counts=True)]):
-                        found[x.shape[1], b, cx, cy] = found.get((x.shape[1], b, cx, cy), 0) + n
-            if found:
-                yield pa.RecordBatch.from_pydict(dict(zip(("dim", "b", "cx", "cy"), map(pa.array, zip(*found)))) | {"n": pa.array(list(found.values()))})
-
-    counted = one.select("embedding").mapInArrow(count_cells, "dim long, b long, cx long, cy long, n long")
-    # At most (2 / radius + 2) squared cells in a subspace, whatever the number of vectors.
-    blocks = {tuple(r)[:4]: -(-r["n"] // CELL_BLOCK) for r in counted.groupBy("dim", "b", "cx", "cy").agg(F.sum("n").alias("n")).collect()}
+    cells = cells_of(one, threshold)
 
     def deal(batches):
-        """A copy of each vector for every pair of blocks that it takes part in."""
+        """A copy of each vector for every pair of blocks that it takes part in: left in (i, j) if it is of block i."""
         for batch in batches:
             ids = batch.column("rep").to_numpy()
             hashed = (ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             for at, x in by_length(batch.column("embedding")):
-                dim = x.shape[1]
-                for b, cell in enumerate(cells_of(rotated(x), threshold)):
-                    for cx, cy in np.unique(cell, axis=0).tolist():
-                        own = at[(cell == (cx, cy)).all(axis=1)]
-                        mine = blocks[dim, b, cx, cy]
-                        chunk = (hashed[own] % np.uint64(mine)).astype(np.int32)
-                        for k, (dx, dy) in enumerate(FORWARD):
-                            ways = [(cx, cy, blocks.get((dim, b, cx + dx, cy + dy), 0), 0)]
-                            if k:
-                                ways.append((cx - dx, cy - dy, blocks.get((dim, b, cx - dx, cy - dy), 0), 1))
-                            for hx, hy, theirs, side in ways:
-                                unit = (((dim * 1024 + b) * 4096 + hx + 2048) * 4096 + hy + 2048) * 8 + k
-                                for other in range(theirs):
-                                    i, j = (chunk, np.full(len(own), other, np.int32))[:: -1 if side else 1]
-                                    s = np.full(len(own), side, np.int32)
-                                    if not k:
-                                        i, j, s = np.minimum(i, j), np.maximum(i, j), (chunk > other).astype(np.int32)
-                                    part = batch.take(pa.array(own))
-                                    yield pa.RecordBatch.from_arrays(
-                                        [pa.array(np.full(len(own), unit, np.int64)), pa.array(i), pa.array(j), pa.array(s), part.column("rep"), part.column("weight"),
-                                         part.column("embedding").cast(pa.list_(pa.float64()))],
-                                        names=["unit", "i", "j", "side", "rep", "weight", "embedding"])
+                x = rotated(x)
+                for b, (part, budget) in enumerate(subspaces(x.shape[1], threshold)):
+                    c = cells[x.shape[1], b]
+                    first = np.concatenate([[0], np.cumsum(c.blocks)])  # number of each cell's first block
+                    cell = c.of(x[:, part])
+                    for own_cell in np.unique(cell).tolist():
+                        own = np.flatnonzero(cell == own_cell)
+                        mine = first[own_cell] + (hashed[at[own]] % np.uint64(c.blocks[own_cell])).astype(np.int64)
+                        rows_ = batch.take(pa.array(at[own]))
+                        for other in np.concatenate([np.arange(first[o], first[o + 1]) for o in c.near(own_cell, budget)]).tolist():
+                            low, high = np.minimum(mine, other), np.maximum(mine, other)
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array(np.full(len(own), x.shape[1] * 1024 + b, np.int64)), pa.array(low), pa.array(high), pa.array((mine > other).astype(np.int32)),
+                                 rows_.column("rep"), rows_.column("weight"), rows_.column("embedding")],
+                                names=["unit", "i", "j", "side", "rep", "weight", "embedding"])
 
     def compare(batches):
-        for table, first in whole_groups(batches, ["unit", "i", "j"], CELL_BLOCK):
+        for table, first in whole_groups(batches, ["unit", "i", "j"], CELL):
             for x, y in zip(first.tolist(), [*first[1:].tolist(), table.num_rows]):
                 group = table.slice(x, y - x)
-                unit, side = group["unit"][0].as_py(), group["side"].to_numpy()
-                whole = unit % 8 == 0 and group["i"][0].as_py() == group["j"][0].as_py()
+                side, b = group["side"].to_numpy(), group["unit"][0].as_py() % 1024
+                whole = group["i"][0].as_py() == group["j"][0].as_py()
                 left, right = (np.arange(y - x),) * 2 if whole else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
                 if not len(left) or not len(right):
                     continue
-                rot = rotated(by_length(group["embedding"])[0][1])
+                exact = by_length(group["embedding"])[0][1].astype(np.float64)
+                exact /= np.abs(exact).max(axis=1, keepdims=True)  # no overflow in the norm
+                norm = np.sqrt((exact * exact).sum(axis=1))
+                rot = rotated(exact)
                 parts = subspaces(rot.shape[1], threshold)
-                b = unit // (8 * 4096 * 4096) % 1024
-                n_links, a, c = np.zeros(y - x, np.int64), [], []
-                weight = group["weight"].to_numpy()
+                ids, weight = group["rep"].to_numpy(), group["weight"].to_numpy()
+                order = np.argsort(ids, kind="stable")
+                back = np.empty_like(order)
+                back[order] = np.arange(len(order))  # places by id, so that the smallest place is the smallest id
+                root, a, c, held = np.arange(y - x), [], [], 0
+                n_links = np.zeros(y - x, np.int64)
                 part, budget = parts[b]
                 sub = rot[:, part].astype(np.float32)
                 square = (sub * sub).sum(axis=1)
@@ -150,9 +208,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
                     p, q = rows_[p], cols[q]
                     if whole:
                         p, q = p[p < q], q[p < q]
-                    for s in range(0, len(p), 1 << 16):
-                        u, v = p[s:s + (1 << 16)], q[s:s + (1 << 16)]
-                        linked = np.einsum("ij,ij->i", rot[u], rot[v]) >= threshold
+                    for s in range(0, len(p), VERIFIED):
+                        u, v = p[s:s + VERIFIED], q[s:s + VERIFIED]
+                        linked = np.einsum("ij,ij->i", exact[u], exact[v]) >= threshold * (norm[u] * norm[v])
                         u, v = u[linked], v[linked]
                         diff = (rot[u] - rot[v]) ** 2
                         inside = np.stack([diff[:, o].sum(axis=1) <= most + SLACK / 2 for o, most in parts], axis=1)
@@ -160,27 +218,27 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
                         u, v = u[mine], v[mine]
                         np.add.at(n_links, u, weight[v])
                         np.add.at(n_links, v, weight[u])
-                        a.append(u)
-                        c.append(v)
+                        a.append(back[u])
+                        c.append(back[v])
+                        held += len(u)
+                        if held > LINKS_HELD:
+                            root, a, c, held = roots(y - x, np.concatenate([np.arange(y - x), *a]), np.concatenate([root, *c])), [], [], 0
                 hit = np.flatnonzero(n_links)
                 if len(hit):
-                    ids = group["rep"].to_numpy()
-                    order = np.argsort(ids, kind="stable")
-                    back = np.empty_like(order)
-                    back[order] = np.arange(len(order))
-                    root = roots(len(ids), back[np.concatenate(a)], back[np.concatenate(c)])
+                    root = roots(y - x, np.concatenate([np.arange(y - x), *a]), np.concatenate([root, *c]))
                     yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(ids[order][root[back[hit]]]), pa.array(n_links[hit])], names=["a", "b", "n"])
 
-    dealt = one.mapInArrow(deal, "unit long, i int, j int, side int, rep long, weight long, embedding array<double>")
-    dealt = dealt.withColumn("embedding", F.col("embedding").cast("array<double>")).repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j")
+    dealt = one.mapInArrow(deal, f"unit long, i long, j long, side int, rep long, weight long, embedding {kind}")
+    dealt = dealt.repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j")
     found = materialize(dealt.mapInArrow(compare, "a long, b long, n long"))
     linked = connected_components(found.select("a", "b")).select(F.col("id").alias("rep"), "component_id")
     counts = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     named = materialize(one.join(counts, "rep", "left").join(linked, "rep", "left").select(
-        F.col("embedding").alias("same"), (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"),
+        F.col("embedding").alias("same"), "weight", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"),
         F.coalesce("component_id", "rep").alias("component")))
-    out = rows.withColumn("same", F.when(F.expr(f"vec_id IS NOT NULL AND {usable}"), F.col("embedding"))).select("vec_id", "same")
-    out = out.join(named, "same", "left")
+    discard(found, one)
+    out = rows.select("vec_id", F.when(F.expr(f"vec_id IS NOT NULL AND {usable}"), F.col("embedding")).alias("same"))
+    out = spread_join(out, named, ["same"], F.col("vec_id"))
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
                       F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
