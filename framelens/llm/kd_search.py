@@ -38,56 +38,53 @@ def tree(x: np.ndarray) -> tuple[list[np.ndarray], list[tuple[int, int]], np.nda
 
 
 class Best:
-    """The k highest (score, smaller id first) of each query so far."""
+    """The k highest (score, smaller place first) of each query so far; ``floor`` is a score that its kth one reaches."""
 
-    def __init__(self, n: int, k: int):
-        self.k, self.score, self.id = k, np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+    def __init__(self, floor: np.ndarray, k: int):
+        n = len(floor)
+        self.k, self.floor, self.score, self.place = k, floor, np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
 
     @property
     def kth(self) -> np.ndarray:
-        return self.score[:, -1]
+        return np.maximum(self.floor, self.score[:, -1])
 
-    def add(self, rows: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+    def add(self, rows: np.ndarray, score: np.ndarray, places: np.ndarray) -> None:
         better = (score >= self.kth[rows][:, None]).any(axis=1)
         rows, score = rows[better], score[better]
         score = np.concatenate([self.score[rows], score], axis=1)
-        ids = np.concatenate([self.id[rows], np.broadcast_to(ids, (len(rows), len(ids)))], axis=1)
-        order = np.lexsort((ids, -score), axis=-1)[:, :self.k]
+        places = np.concatenate([self.place[rows], np.broadcast_to(places, (len(rows), len(places)))], axis=1)
+        order = np.lexsort((places, -score), axis=-1)[:, :self.k]
         self.score[rows] = np.take_along_axis(score, order, axis=1)
-        self.id[rows] = np.take_along_axis(ids, order, axis=1)
+        self.place[rows] = np.take_along_axis(places, order, axis=1)
 
 
-def search(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, best: Best) -> None:
-    """Best-first search of one tree for a block of queries. All queries walk down together: a node's bound is the
-    highest inner product of any point in its box; each query takes its leaves by falling bound, and stops at one below
-    its kth score, which it keeps from tree to tree. At an equal bound it goes on, as a smaller id may wait there."""
+def search(q: np.ndarray, own: np.ndarray, x: np.ndarray, places: np.ndarray, best: Best) -> None:
+    """Best-first search of one tree for a block of queries. Each query has a frontier of nodes with their bounds, the
+    highest inner product of any point in a node's box; it opens the node of highest bound, which puts the children's
+    bounds on the frontier or scans a leaf, and stops when that bound lies below its kth score, which it keeps from tree
+    to tree. At an equal bound it goes on, as a smaller id may wait there. Queries that open one node do so together.
+    ``own``: the place of each query's own row, which is no candidate."""
     leaves, children, low, high = tree(x)
     up, down = np.maximum(q, 0), np.minimum(q, 0)
-    bound = np.full((len(q), len(leaves)), -np.inf)
-    alive = {0: np.arange(len(q))}
-    for node, (left, right) in enumerate(children):
-        rows = alive.pop(node, None)
-        if rows is None or not len(rows):
-            continue
-        reach = up[rows] @ high[node] + down[rows] @ low[node]
-        within = reach >= best.kth[rows]
-        rows, reach = rows[within], reach[within]
-        if left < 0:
-            bound[rows, right] = reach
-        else:
-            alive[left] = alive[right] = rows
-    order = np.argsort(-bound, axis=1, kind="stable")
-    bound = np.take_along_axis(bound, order, axis=1)
+    reach = lambda rows, node: up[rows] @ high[node] + down[rows] @ low[node]
+    frontier = np.full((len(q), len(children)), -np.inf)
     rows = np.arange(len(q))
-    for turn in range(len(leaves)):
-        rows = rows[(bound[rows, turn] >= best.kth[rows]) & (bound[rows, turn] > -np.inf)]
-        if not len(rows):
-            break
-        for leaf in np.unique(order[rows, turn]).tolist():
-            own = rows[order[rows, turn] == leaf]
-            score = q[own] @ x[leaves[leaf]].T
-            score[q_ids[own][:, None] == ids[leaves[leaf]][None, :]] = -np.inf
-            best.add(own, score, ids[leaves[leaf]])
+    frontier[:, 0] = reach(rows, 0)
+    while len(rows):
+        node = np.argmax(frontier[rows], axis=1)
+        bound = frontier[rows, node]
+        live = (bound >= best.kth[rows]) & (bound > -np.inf)
+        rows, node = rows[live], node[live]
+        frontier[rows, node] = -np.inf
+        for k in np.unique(node).tolist():
+            some = rows[node == k]
+            left, right = children[k]
+            if left < 0:
+                score = q[some] @ x[leaves[right]].T
+                score[own[some][:, None] == places[leaves[right]][None, :]] = -np.inf
+                best.add(some, score, places[leaves[right]])
+            else:
+                frontier[some, left], frontier[some, right] = reach(some, left), reach(some, right)
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 5, scale: float = 256.0) -> DataFrame:
@@ -96,19 +93,22 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: float = 256.0) -> Dat
     smaller vec_id; fewer if there are fewer.
 
     Vectors that are null, empty or hold null or non-finite components, and null vec_ids, take no part. Only vectors
-    of equal length meet. Rows of one vec_id are one vector (the first by components); extra columns are left out; an
-    empty table gives an empty one. Sums must stay below 2**53.
+    of equal length meet. Every row is a candidate but the query's own: rows of one vec_id are told apart by ``copy``, their
+    number in the order of their components, and each is a query of its own, so that repeated rows repeat in the answer
+    (query_copy and copy are returned too). Extra columns are left out; an empty table gives an empty one. Sums must stay
+    below 2**53.
 
     Of equal quantised vectors only the k + 1 smallest ids can be in an answer (one may be the query's own), so the
     others leave before the search; that bounds the work on copies and loses nothing. Shards and query blocks have a
-    bounded size, so a task holds a few trees and a block of queries.
+    bounded size, so a task holds a few trees and a block of queries. A first pass searches one turn of shards for each
+    block of queries; the kth scores that it finds are the floors under which the second, over all shards, opens no node.
     """
     ship_package(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(sound)
-    rows = rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    rows = rows.select("vec_id", F.transform("embedding", lambda x: F.floor(F.lit(scale) * x).cast("double")).alias("v"))
+    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("vec_id").orderBy("embedding")))
+    rows = rows.select("vec_id", "copy", F.transform("embedding", lambda x: F.floor(F.lit(scale) * x).cast("double")).alias("v"))
     rows = materialize(rows.withColumn("dim", F.size("v")))
-    first = Window.partitionBy("v").orderBy("vec_id")
+    first = Window.partitionBy("v").orderBy("vec_id", "copy")
     useful = materialize(rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1).drop("n"))
     queries = rows.where(is_query)
     count = {r["dim"]: r["n"] for r in useful.groupBy("dim").agg(F.count("*").alias("n")).collect()}
@@ -123,10 +123,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: float = 256.0) -> Dat
 
     step = SHARD_ROWS * SHARDS_IN_TURN
     blocks, turns = parts(asked, QUERY_ROWS), parts(count, step)
-    spread = lambda n: F.pmod(F.xxhash64("vec_id"), n).cast("int")
-    left = queries.select("*", spread(blocks).alias("block"), F.explode(F.sequence(F.lit(0), turns - 1)).alias("turn"), F.lit(0).alias("side"))
-    right = useful.select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), spread(turns).alias("turn"), F.lit(1).alias("side"))
-    dealt = left.unionByName(right).repartition("dim", "block", "turn").sortWithinPartitions("dim", "block", "turn", "side", "vec_id")
+    spread = lambda n: F.pmod(F.xxhash64("vec_id", "copy"), n).cast("int")
+    queries = queries.withColumn("block", spread(blocks))
 
     def run(batches):
         for table, first_ in whole_groups(batches, ["dim", "block", "turn"], step):
@@ -136,14 +134,29 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: float = 256.0) -> Dat
                 if not m or m == b - a:
                     continue
                 v = part["v"].combine_chunks().flatten().to_numpy().reshape(b - a, -1)
-                ids = part["vec_id"].to_numpy()
-                best = Best(m, k)
-                for at in range(m, b - a, SHARD_ROWS):
-                    to = min(b - a, at + SHARD_ROWS)
-                    search(v[:m], ids[:m], v[at:to], ids[at:to], best)
-                q, place = np.nonzero(best.score > -np.inf)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[:m][q]), pa.array(best.id[q, place]), pa.array(best.score[q, place].astype(np.int64))], names=["query_id", "vec_id", "score"])
-
-    found = dealt.mapInArrow(run, "query_id long, vec_id long, score long")
-    rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                ids, copies = part["vec_id"].to_numpy(), part["copy"].to_numpy()
+                at = {key: p for p, key in enumerate(zip(ids[m:].tolist(), copies[m:].tolist()))}
+                own = np.array([at.get(key, -1) for key in zip(ids[:m].tolist(), copies[:m].tolist())])
+                best = Best(part["floor"].to_numpy()[:m], k)
+                for s in range(0, b - a - m, SHARD_ROWS):  # places are in the order of (vec_id, copy), as the rows are
+                    places = np.arange(s, min(b - a - m, s + SHARD_ROWS))
+                    search(v[:m], own, v[m + places], places, best)
+                q, rank = np.nonzero(best.score > -np.inf)
+                place = m + best.place[q, rank]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(copies[q]), pa.array(ids[place]), pa.array(copies[place]), pa.array(best.score[q, rank].astype(np.int64))],
+                                                 names=["query_id", "query_copy", "vec_id", "copy", "score"])
+
+    def searched(left: DataFrame, right: DataFrame) -> DataFrame:
+        left = left.select("vec_id", "copy", "v", "dim", "block", "turn", F.lit(0).alias("side"), "floor")
+        right = right.select("vec_id", "copy", "v", "dim", "block", "turn", F.lit(1).alias("side"), F.lit(0.0).alias("floor"))
+        dealt = left.unionByName(right).repartition("dim", "block", "turn").sortWithinPartitions("dim", "block", "turn", "side", "vec_id", "copy")
+        return dealt.mapInArrow(run, "query_id long, query_copy int, vec_id long, copy int, score long")
+
+    every = useful.withColumn("turn", spread(turns))
+    near = every.withColumn("block", F.explode(F.filter(F.sequence(F.lit(0), blocks - 1), lambda b: F.pmod(b, turns) == F.col("turn"))))
+    seeds = searched(queries.withColumns({"turn": F.pmod("block", turns), "floor": F.lit(float("-inf"))}), near)
+    seeds = seeds.groupBy(F.col("query_id").alias("vec_id"), F.col("query_copy").alias("copy")).agg(F.when(F.count("*") >= k, F.min("score").cast("double")).alias("floor"))
+    floors = queries.join(materialize(seeds), ["vec_id", "copy"], "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    found = searched(floors.withColumn("turn", F.explode(F.sequence(F.lit(0), turns - 1))), every.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))))
+    rank = Window.partitionBy("query_id", "query_copy").orderBy(F.desc("score"), "vec_id", "copy")
+    return found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "query_copy", "copy")

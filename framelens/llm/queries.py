@@ -91,7 +91,7 @@ def op4_near_vectors(spark, sf_dir):
 
 
 def op5_kd_search(spark, sf_dir):
-    return kd_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+    return kd_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5).select("query_id", "rank", "vec_id", "score")
 
 
 OP5_SQL = """

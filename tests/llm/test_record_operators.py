@@ -34,7 +34,7 @@ def urls():
 @pytest.mark.parametrize("broadcast", [True, False])
 def test_url_rules_equal_brute_force(spark, monkeypatch, broadcast):
     if not broadcast:
-        monkeypatch.setattr(url_rules, "MAX_BROADCAST_RULES", 0)
+        monkeypatch.setattr(url_rules, "MAX_BROADCAST_BYTES", 0)
     rules = spark.createDataFrame(URL_RULES + URL_RULES[:1], "host string, path string, verdict string")
     pages = spark.createDataFrame([(i if i != 9 else None, u, "x", "y", "z", "k") for i, u in enumerate(urls())], "page_id long, url string, host string, verdict string, key string, cut string")
     got = url_rules.judge_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict").collect()
@@ -42,6 +42,25 @@ def test_url_rules_equal_brute_force(spark, monkeypatch, broadcast):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
+def test_long_hosts_and_rules_of_many_labels(spark):
+    rules = [("a.b.c.d.com", "", "block"), ("com", "/x", "allow"), ("", "/y", "block")]
+    long = "http://" + "q." * 30_000
+    every = [long + "com/x", long + "a.b.c.d.com/", "http://a.b.c.d.com", "http://.a.b.c.d.com/x", "http://b.c.d.com/z", "http://com/" + "x" * 50_000, None, None]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(every)], "page_id long, url string")
+    got = url_rules.judge_urls(pages, spark.createDataFrame(rules, "host string, path string, verdict string"))
+    want = [(i, *fit(u, [r for r in rules if r[0]])) for i, u in enumerate(every)]
+    assert sorted(map(str, map(tuple, got.select("page_id", "host", "path", "rule", "verdict").collect()))) == sorted(map(str, want))
+
+
+def test_spread_join_deals_hot_and_null_keys(spark):
+    rows = [(i, None if i % 4 == 0 else "hot" if i % 2 else f"k{i % 90}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, k string")
+    classes = df.where("k IS NOT NULL").groupBy("k").agg(F.count("*").alias("weight")).withColumn("n", F.col("weight") * 2)
+    got = {r["id"]: r["n"] for r in common.spread_join(df, classes, ["k"], F.col("id")).collect()}
+    count = {k: sum(r[1] == k for r in rows) for _, k in rows}
+    assert got == {i: None if k is None else 2 * count[k] for i, k in rows}
+
+
 def test_url_rules_of_empty_tables(spark):
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     pages = spark.createDataFrame([(1, "http://a.com/en/")], "page_id long, url string")
@@ -59,7 +78,7 @@ def vectors(n=160, dim=32, seed=1):
         x[k] = x[k % 13] * rng.choice([0.5, 1, 3]) + rng.choice([0, 0.05, 0.3]) * rng.standard_normal(dim)
     rows = [(int(i) * 5, v.tolist(), 0) for i, v in enumerate(x)]
     rows += [(5001, rows[3][1], 1), (5002, rows[3][1], 1), (5003, None, 1), (5050, [], 1), (5005, [0.0] * dim, 1), (5100, [float("nan")] * dim, 1), (5007, [None] + [1.0] * (dim - 1), 1), (5150, [float("inf")] * dim, 1),
-             (5009, [1.0, 2.0], 1), (5200, [2.0, 4.0], 1), (None, rows[0][1], 1)]
+             (5009, [1.0, 2.0], 1), (5200, [2.0, 4.0], 1), (None, rows[0][1], 1), (5010, [3.0], 1), (5250, [0.5], 1), (5012, [-0.5], 1)]
     return [(*r, "a", "b", "c", "d") for r in rows]
 
 
@@ -79,8 +98,8 @@ def test_near_vectors_equal_brute_force(spark, monkeypatch):
     want = sorted(str((r[0], len(links.get(k, ())), label.get(k, r[0]), r[0] is None or label.get(k, r[0]) == r[0])) for k, r in enumerate(every))
     for small in (False, True):
         if small:
-            monkeypatch.setattr(vector_dedup, "CELL_BLOCK", 3)
-            monkeypatch.setattr(vector_dedup, "TILE", 2)
+            for name, value in (("CELL", 3), ("TILE", 2), ("VERIFIED", 5), ("LINKS_HELD", 3), ("SAMPLE", 40), ("MOST_CELLS", 16)):
+                monkeypatch.setattr(vector_dedup, name, value)
         got = vector_dedup.near_vectors(df, 0.9).collect()
         assert sorted(str(tuple(r)) for r in got) == want
     assert vector_dedup.near_vectors(df.limit(0)).count() == 0
@@ -95,24 +114,62 @@ def test_subspace_budgets_add_up():
         assert np.allclose(vector_dedup.rotation(dim) @ vector_dedup.rotation(dim).T, np.eye(dim))
 
 
+def test_cells_lose_no_near_pair():
+    rng = np.random.default_rng(8)
+    x = vector_dedup.rotated(rng.standard_normal((600, 48)))
+    x[300:] = vector_dedup.rotated(x[:300] + 0.2 * rng.standard_normal((300, 48)) / 7)
+    for part, budget in vector_dedup.subspaces(48, 0.9):
+        sub = x[:, part]
+        c = vector_dedup.Cells(sub[::3], 4)
+        cell = c.of(sub)
+        low, high = (np.stack([f(sub[cell == k], axis=0) if (cell == k).any() else np.zeros(16) for k in range(16)]) for f in (np.min, np.max))
+        c.bound(low, high, np.bincount(cell, minlength=16))
+        assert np.bincount(cell, minlength=16).max() < 100
+        near = [set(c.near(k, budget).tolist()) for k in range(16)]
+        for i, j in zip(*np.nonzero(((sub[:, None] - sub[None]) ** 2).sum(axis=2) <= budget)):
+            assert cell[j] in near[cell[i]] and cell[i] in near[cell[j]]
+
+
 def test_kd_search_equals_brute_force(spark, monkeypatch):
     rows = vectors(dim=6, seed=3) + [(k * 50 + 10_000, [0.25] * 6, 0, "a", "b", "c", "d") for k in range(20)]
+    rows += [rows[10], rows[10], (rows[10][0], rows[12][1], 7, *rows[10][3:]), (rows[3][0], rows[5][1], 7, *rows[3][3:])]  # ids that come again
     df = spark.createDataFrame(rows, SCHEMA).repartition(4)
-    sound = {r[0]: np.floor(256 * np.float64(np.float32(r[1]))) for r in rows if r[0] is not None and r[1] and all(v is not None and np.isfinite(v) for v in r[1])}
+    every = sorted((r[0], np.float32(r[1]).tolist()) for r in rows if r[0] is not None and r[1] and all(v is not None and np.isfinite(v) for v in r[1]))
+    v = [np.floor(256 * np.float64(x)) for _, x in every]
     want = []
-    for q in sound:
+    for p, (q, _) in enumerate(every):
         if q % 50 == 0:
-            best = sorted((-int(sound[q] @ v), i) for i, v in sound.items() if i != q and len(v) == len(sound[q]))[:5]
+            best = sorted((-int(v[p] @ v[o]), i) for o, (i, _) in enumerate(every) if o != p and len(v[o]) == len(v[p]))[:5]
             want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     for small in (False, True):
         if small:
             for name, value in (("SHARD_ROWS", 20), ("LEAF_ROWS", 3), ("SHARDS_IN_TURN", 2), ("QUERY_ROWS", 7)):
                 monkeypatch.setattr(kd_search, name, value)
-        got = kd_search.top_k(df, F.col("vec_id") % 50 == 0)
+        got = kd_search.top_k(df, F.col("vec_id") % 50 == 0).select("query_id", "rank", "vec_id", "score")
         assert sorted(map(tuple, got.collect())) == sorted(want)
     assert kd_search.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_best_first_opens_few_nodes():
+    """On clustered points a query scans its own cluster's leaves alone, and a floor keeps it from opening others."""
+    rng = np.random.default_rng(0)
+    x = np.floor(rng.standard_normal((2000, 4)) + 200 * np.eye(4)[np.arange(2000) % 4])
+    q = x[:8]
+    best = kd_search.Best(np.full(8, -np.inf), 5)
+    scanned = []
+    add = best.add
+    best.add = lambda rows, score, places: (scanned.append(len(rows) * len(places)), add(rows, score, places))
+    kd_search.search(q, np.arange(8), x, np.arange(2000), best)
+    for k in range(8):
+        score = x @ q[k]
+        score[k] = -np.inf
+        assert best.score[k].tolist() == np.sort(score)[::-1][:5].tolist()
+    assert sum(scanned) < 0.5 * 8 * 2000
+    again = kd_search.Best(best.kth, 5)
+    kd_search.search(q, np.arange(8), x, np.arange(2000), again)
+    assert (again.score == best.score).all()
+
+
 def test_components_of_chains_and_stars(spark):
     rnd = random.Random(5)
     chain = list(range(200))
