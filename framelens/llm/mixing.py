@@ -163,7 +163,7 @@ def draw(docs: DataFrame, weights: list[float] = (1, 2, 3), cap: float = 3.0, se
     1/LONG of the shard) come in at the rate of the rest, evenly over their order of size; short ones fill what these leave,
     in the shard's seeded order. So a shard misses its quota by half a short text; only texts longer than the rest count
     by their mean, so that over many shards they neither add nor lack. No text is taken more than ``cap`` times. Rows without words, of which nothing can be taken, stay once."""
-    rows = placed(docs, [F.col(c) for c in docs.columns], list(weights), cap, seed)
+    rows = placed(docs, [F.struct(*docs.columns).alias("__row")], list(weights), cap, seed)  # no clash of names
     size, rate = F.col("__size"), F.col("__rest") / F.col("__cell")
     shard = Window.partitionBy("__source", "__shard")
     rows = rows.withColumn("__long", size * LONG > F.col("__cell"))
@@ -175,4 +175,4 @@ def draw(docs: DataFrame, weights: list[float] = (1, 2, 3), cap: float = 3.0, se
     left = F.col("__rest") - F.sum(F.when(F.col("__long"), used).otherwise(F.lit(0.0))).over(shard)
     fits = ~F.col("__long") & (F.sum(size).over(order) - size / 2 <= left)
     rows = rows.withColumn("__times", F.when(size > 0, F.col("__passes") + (F.col("__picked") | fits).cast("int")).otherwise(F.lit(1)).cast("int"))
-    return rows.where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    return rows.where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select("__row.*")
