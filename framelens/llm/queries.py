@@ -58,23 +58,34 @@ def op6_sharding(spark, sf_dir):
 
 
 def op9_merkle_audit(spark, sf_dir):
-    """Pages as WARC segments against a replica with known faults: status of every record."""
+    """Pages as WARC segments against a replica with known faults: status of every record, ours and extra ones."""
     path = merkle.write_warc(table(spark, sf_dir, "pages"))
     ours = merkle.materialize(merkle.records(merkle.read_chunks(spark, path)))
     theirs = merkle.materialize(merkle.records(merkle.damaged(merkle.read_chunks(spark, path))))
-    found = merkle.audit(ours, theirs).where("status <> 'extra'").select("segment", "offset", "status")
-    return ours.join(found, ["segment", "offset"], "left").select("page_id", "length", "digest", F.coalesce("status", F.lit("same")).alias("status"))
+    found = merkle.materialize(merkle.audit(ours, theirs))
+    own = ours.join(found.where("status <> 'extra'").select("segment", "offset", "status"), ["segment", "offset"], "left")
+    extra = theirs.join(found.where("status = 'extra'").select("segment", "offset", "status"), ["segment", "offset"])
+    columns = ["page_id", "length", "digest", F.coalesce("status", F.lit("same")).alias("status")]
+    return own.select(*columns).unionByName(extra.select(*columns))
 
 
-OP9_SQL = """
+def _record_sql(page_id: str, url: str, html: str) -> str:
+    return f"""concat('WARC/1.1', chr(13), chr(10), 'WARC-Type: response', chr(13), chr(10), 'WARC-Record-ID: <urn:page:', {page_id}, '>', chr(13), chr(10),
+    'WARC-Target-URI: ', {url}, chr(13), chr(10), 'Content-Type: text/html', chr(13), chr(10),
+    'Content-Length: ', strlen({html}), chr(13), chr(10), chr(13), chr(10), {html}, chr(13), chr(10), chr(13), chr(10))"""
+
+
+OP9_SQL = f"""
 WITH r AS (
-  SELECT page_id, concat('WARC/1.1', chr(13), chr(10), 'WARC-Type: response', chr(13), chr(10), 'WARC-Record-ID: <urn:page:', coalesce(CAST(page_id AS VARCHAR), ''), '>', chr(13), chr(10),
-    'WARC-Target-URI: ', replace(replace(coalesce(url, ''), chr(13), '%0D'), chr(10), '%0A'), chr(13), chr(10), 'Content-Type: text/html', chr(13), chr(10),
-    'Content-Length: ', strlen(coalesce(html, '')), chr(13), chr(10), chr(13), chr(10), coalesce(html, ''), chr(13), chr(10), chr(13), chr(10)) AS rec
-  FROM pages)
-SELECT page_id, strlen(rec) AS length, sha256(rec) AS digest,
-  CASE substr(sha256(rec), 1, 2) WHEN '00' THEN 'changed' WHEN '01' THEN 'missing' ELSE 'same' END AS status
-FROM r
+  SELECT page_id, {_record_sql("coalesce(CAST(page_id AS VARCHAR), '')", "replace(replace(coalesce(url, ''), chr(13), '%0D'), chr(10), '%0A')", "coalesce(html, '')")} AS rec
+  FROM pages),
+d AS (SELECT page_id, rec, sha256(rec) AS digest FROM r),
+x AS (SELECT {_record_sql("''", "''", "digest")} AS rec FROM d WHERE substr(digest, 1, 2) = '03')
+SELECT page_id, strlen(rec) AS length, digest,
+  CASE substr(digest, 1, 2) WHEN '00' THEN 'changed' WHEN '01' THEN 'missing' WHEN '02' THEN 'missing' ELSE 'same' END AS status
+FROM d
+UNION ALL
+SELECT NULL, strlen(rec), sha256(rec), 'extra' FROM x
 """
 
 
