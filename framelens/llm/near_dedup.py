@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import shingles
 from .arrow_groups import roots, whole_groups
-from .common import connected_components, documents_of, materialize, ship_package
+from .common import connected_components, discard, documents_of, materialize, ship_package, spread_join
 
 #: Links: 100 * intersection >= SHARE * union.
 SHARE = 75
@@ -148,14 +148,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Equal sets collapse to their smallest doc_id first. MinHash bands (48 of 4) bring candidates together: at the
     threshold a pair is missed with a chance of 1.2e-8. Buckets, whatever their size, are compared block by block on
     odd sketches, and candidates gather to families; families are confirmed block by block on full sets read again
-    from the texts. Only links that join are written, so rows stay linear in the documents, and no cap drops any.
+    from the texts. Only links that join are written, so rows stay linear in the documents, and no cap drops any. Sets
+    that very many documents share, and the empty one, are dealt in parts when components are joined back.
     """
     docs = documents_of(docs)
     ship_package(docs.sparkSession)
     signed = materialize(docs.mapInArrow(_sign, _SIGNED))
     filled = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     prints = ["fp1", "fp2", "n_shingles"]
-    classes = materialize(filled.groupBy(*prints).agg(F.min("doc_id").alias("rep")))
+    classes = materialize(filled.groupBy(*prints).agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight")))
     heads = materialize(filled.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", *prints], "left_semi")
                         .select("doc_id", "n_shingles", "bands", "sketch").dropDuplicates(["doc_id", "n_shingles"]))
 
@@ -177,14 +178,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     cells = cells.join(docs.where("text IS NOT NULL"), "doc_id").repartition("family", "lo", "hi").sortWithinPartitions("family", "lo", "hi")
     linked = connected_components(cells.mapInArrow(_confirm, "a long, b long"))
 
-    named = materialize(classes.join(linked.withColumnRenamed("id", "rep"), "rep", "left").select(
-        *[F.col(c).alias(f"of_{c}") for c in prints], F.coalesce("component_id", "rep").alias("of_component")))
-    same = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    for c in prints:
-        same &= F.col(c) == F.col(f"of_{c}")
-    out = signed.select("doc_id", *prints).join(named, same, "left")
+    named = materialize(classes.join(linked.withColumnRenamed("id", "rep"), "rep", "left").select(*prints, "weight", F.coalesce("component_id", "rep").alias("of_component")))
+    discard(heads, buckets, family, blocks, classes)
+    linking = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    out = signed.select("doc_id", F.col("n_shingles").alias("size"), *[F.when(linking, F.col(c)).alias(c) for c in prints])
+    out = spread_join(out, named, prints, F.col("doc_id"))
     component = F.coalesce("of_component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", F.col("size").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
