@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 
 import numpy as np
@@ -20,6 +21,9 @@ DECODE_LEAF = 1 << 18
 REMEMBERED = 250_000
 #: Bytes of text and of answers that a task holds at a time (a longer text alone).
 HELD = 2 << 20
+#: How far the fixed pattern of the vocabularies looks: a match depends on so many characters beyond its end, and on so
+#: many from its start (the longest of its fixed endings, such as 'll).
+REACH = (1, 3)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -46,8 +50,8 @@ class Pieces(dict):
 
 
 class Codec:
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.find = ranks, regex.compile(pattern).findall
+    def __init__(self, ranks: dict[bytes, int], pattern: str, reach: tuple[int, int] = REACH):
+        self.ranks, self.find, (self.beyond, self.least) = ranks, regex.compile(pattern).findall, reach
         self.packed = Pieces(self)
         self.token = [b""] * (max(ranks.values()) + 1)
         for word, rank in ranks.items():
@@ -115,13 +119,13 @@ class Codec:
     # A text: matches of the pattern.
 
     def join_texts(self, left: list[str], right: list[str]) -> list[str]:
-        """Matches over the concatenation. A match depends on what follows its start: at most on one character beyond
-        its end and on three from its start. So the last matches of ``left`` that this reaches are matched again, on
+        """Matches over the concatenation. A match depends on what follows its start: at most on ``beyond`` characters past
+        its end and on ``least`` from its start. So the last matches of ``left`` that this reaches are matched again, on
         into ``right``, until a match starts where one of ``right`` starts: from there on nothing changes."""
         if not left or not right:
             return left or right
         tail, beyond = [], 0
-        while left and (beyond < 1 or beyond + len(left[-1]) < 3):
+        while left and (beyond < self.beyond or beyond + len(left[-1]) < self.least):
             beyond += len(left[-1])
             tail.append(left.pop())
         window, taken, grow = "".join(reversed(tail)), 0, 4
@@ -140,7 +144,7 @@ class Codec:
                 return left
             at = 0
             for k, piece in enumerate(found):
-                if at in starts and (not k or at + 1 <= len(window) and at - len(found[k - 1]) + 3 <= len(window)):
+                if at in starts and (not k or at + self.beyond <= len(window) and at - len(found[k - 1]) + self.least <= len(window)):
                     left += found[:k]
                     left += right[starts[at]:]
                     return left
@@ -167,13 +171,14 @@ class Codec:
 
 
 #: Kept from task to task of a Python worker.
-_CODECS: dict[int, Codec] = {}
+_CODECS: dict[str, Codec] = {}
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """doc_id, ids array<int>, decoded binary for every row of ``docs`` (doc_id, text): the byte-level BPE ids of the
-    whole text by the ranks in ``ranks_path``, each match of ``pattern`` separately and no special tokens, and the bytes
-    that these ids decode to.
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, reach: tuple[int, int] = REACH) -> DataFrame:
+    """doc_id, ids array<int>, decoded binary, exact boolean for every row of ``docs`` (doc_id, text): the byte-level BPE
+    ids of the whole text by the ranks in ``ranks_path``, each match of ``pattern`` separately and no special tokens, the
+    bytes that these ids decode to, and whether they are the text's. ``reach``: how far ``pattern`` looks (see REACH);
+    another pattern than the vocabularies' own needs its own.
 
     Null and empty texts have no ids and no bytes. Texts of any length are encoded whole; repeated rows stay; null
     doc_ids are kept; extra columns are left out; an empty table gives an empty one. The ranks (a fixed file of about a
@@ -182,32 +187,34 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     spark = docs.sparkSession
     ship_package(spark)
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
+    key = hashlib.sha256(repr((sorted(ranks.value.items()), pattern, reach)).encode()).hexdigest()
 
     def run(batches):
-        key = hash((pattern, len(ranks.value), *list(ranks.value)[-100:]))
         if key not in _CODECS:
             _CODECS.clear()
-            _CODECS[key] = Codec(ranks.value, pattern)
+            _CODECS[key] = Codec(ranks.value, pattern, reach)
         codec = _CODECS[key]
-        names = ["doc_id", "ids", "decoded"]
+        names = ["doc_id", "ids", "decoded", "exact"]
 
-        def packed(doc, held, decoded):
+        def packed(doc, held, decoded, exact):
             sizes = np.concatenate([[0], np.cumsum([len(x) for x in held])]).astype(np.int32)
             flat = pa.array(np.concatenate(held) if held else np.zeros(0, np.int32), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.ListArray.from_arrays(pa.array(sizes), flat), pa.array(decoded, pa.binary())], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.ListArray.from_arrays(pa.array(sizes), flat), pa.array(decoded, pa.binary()), pa.array(exact)], names=names)
 
         for batch in batches:
-            doc, held, decoded, size = [], [], [], 0
+            doc, held, decoded, exact, size = [], [], [], [], 0
             for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = codec.encode(text.as_py() or "")
+                text = text.as_py() or ""
+                ids = codec.encode(text)
                 doc.append(i)
                 held.append(ids)
                 decoded.append(codec.decode(ids))
+                exact.append(decoded[-1] == text.encode())
                 size += 4 * len(ids) + len(decoded[-1])
                 if size > HELD:
-                    yield packed(doc, held, decoded)
-                    doc, held, decoded, size = [], [], [], 0
+                    yield packed(doc, held, decoded, exact)
+                    doc, held, decoded, exact, size = [], [], [], [], 0
             if doc:
-                yield packed(doc, held, decoded)
+                yield packed(doc, held, decoded, exact)
 
-    return documents_of(docs).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    return documents_of(docs).mapInArrow(run, "doc_id long, ids array<int>, decoded binary, exact boolean")
