@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -195,9 +196,55 @@ def test_merkle_audit_finds_each_fault(spark, monkeypatch):
     assert sorted(str((r["page_id"], r["length"])) for r in ours.collect()) == sorted(str((r[0], len(merkle.record(*r[:3])))) for r in rows)
     assert merkle.audit(ours, ours).count() == 0
     theirs = common.materialize(merkle.records(merkle.damaged(merkle.read_chunks(spark, path))))
-    kind = {"00": "changed", "01": "missing"}
+    kind = {"00": "changed", "01": "missing", "02": "missing"}
     want = sorted((r["segment"], r["offset"], kind[r["digest"][:2]]) for r in ours.collect() if r["digest"][:2] in kind)
-    assert want and sorted((r["segment"], r["offset"], r["status"]) for r in merkle.audit(ours, theirs).collect()) == want
-    back = sorted((r["segment"], r["offset"], r["status"]) for r in merkle.audit(theirs, ours).collect())
-    assert back == [(s, o, {"missing": "extra"}.get(k, k)) for s, o, k in want]
+    found = merkle.audit(ours, theirs).collect()
+    assert want and sorted((r["segment"], r["offset"], r["status"]) for r in found if r["status"] != "extra") == want
+    inserted = {hashlib.sha256(merkle.record(None, None, r["digest"])).hexdigest() for r in ours.collect() if r["digest"][:2] == "03"}
+    assert inserted and sorted(r["theirs"] for r in found if r["status"] == "extra") == sorted(inserted)
+    back = sorted((r["ours"] or "", r["theirs"] or "", r["status"]) for r in merkle.audit(theirs, ours).collect())
+    assert back == sorted((r["theirs"] or "", r["ours"] or "", {"missing": "extra", "extra": "missing"}.get(r["status"], r["status"])) for r in found)
     assert merkle.audit(ours, ours.limit(0)).count() == len(rows) and merkle.audit(ours.limit(0), ours.limit(0)).count() == 0
+
+
+def test_audit_finds_records_again_after_a_length_change(spark, monkeypatch):
+    monkeypatch.setattr(merkle, "RANGE", 700)
+    monkeypatch.setattr(merkle, "FAN", 3)
+
+    def of(contents):
+        at, out = 0, []
+        for name, content in contents:
+            out.append((0, at, len(content), name, hashlib.sha256(content.encode()).hexdigest()))
+            at += len(content)
+        return spark.createDataFrame(out, "segment int, offset long, length long, record_id string, digest string")
+
+    base = [(f"id{k}", f"record {k} " * (1 + k % 9)) for k in range(300)]
+    again = base[:150] + [("same", "twin"), ("same", "twin"), ("same", "twin"), ("", "no id")] + base[150:]
+    status = lambda a, b: sorted((r["status"], r["offset"]) for r in merkle.audit(of(a), of(b)).collect())
+    offset = lambda rows, k: sum(len(c) for _, c in rows[:k])
+    assert status(base, base[1:]) == [("missing", 0)]
+    assert status(base[1:], base) == [("extra", 0)]
+    assert status(base, base[:7] + [("new", "inserted")] + base[7:]) == [("extra", offset(base, 7))]
+    assert status(base, base[:9] + [("id9", "longer than it was " * 5)] + base[10:]) == [("changed", offset(base, 9))]
+    assert status(base, base[:9] + base[10:200] + [("id200", "other")] + base[201:]) == sorted([("missing", offset(base, 9)), ("changed", offset(base, 200))])
+    assert status(base, base[::-1]) == []
+    assert status(again, again[:151] + again[152:]) == [("missing", offset(again, 152))]
+    assert status(again, again[:153] + [("", "no iq")] + again[154:]) == [("changed", offset(again, 153))]
+    assert status([], base[:2]) == [("extra", 0), ("extra", len(base[0][1]))]
+
+
+@pytest.mark.parametrize("compress", [True, False])
+def test_warc_files_round_trip(spark, tmp_path, compress):
+    rows = [(1, "http://a/\r\nb", "<p>é</p>\r\n\r\nWARC/1.1\r\n"), (None, None, None), (3, "http://c/", ""), (4, "http://d/", "x" * 200_000)]
+    path = str(tmp_path / "warc")
+    merkle.write_warc_files(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), path, compress=compress)
+    got = merkle.read_warc_files(spark, path).collect()
+    want = [(f"<urn:page:{'' if i is None else i}>", (u or "").replace("\r", "%0D").replace("\n", "%0A"), (h or "").encode()) for i, u, h in rows]
+    assert sorted((r["record_id"], r["uri"], bytes(r["payload"])) for r in got) == sorted(want)
+    assert {(r["record_type"], r["content_type"], r["date"]) for r in got} == {("resource", "text/html", "1970-01-01T00:00:00Z")}
+
+
+def test_records_are_parsed_among_damage():
+    whole = merkle.record(7, "u", "body")
+    members = b"garbage" + whole + b"WARC/1.1\r\nContent-Length: 99999\r\n\r\ncut" + whole.replace(b"Content-Length", b"content-length")
+    assert [(n, page) for _, n, _, page in merkle.split_records(members)] == [(len(whole), 7)] * 2

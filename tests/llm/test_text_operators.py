@@ -14,6 +14,7 @@ from framelens.llm import bpe, mixing, near_dedup, quality, sharding, token_file
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+LOWER_BYTES = bytes(range(65)) + b"abcdefghijklmnopqrstuvwxyz" + bytes(range(91, 256))
 #: Extra columns whose names the operators use themselves.
 CLASH = "doc_id long, text string, source string, size string, shard string, n_shingles string, tokens string, part string, start string, target string, taken string, family string, kept string"
 
@@ -364,31 +365,142 @@ def test_quality_is_learned_from_labels(spark):
     assert {r["score"] for r in none} == {0.5}
 
 
+def test_quality_of_empty_tables_and_long_texts(spark, empty):
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert quality.classify(empty, labels).count() == 0 and quality.keep_good(empty, labels).count() == 0
+    long = [(1, "good words " * 300_000), (2, "BAD !! " * 100), (3, None), (3, None)]
+    got = quality.classify(spark.createDataFrame(long, "doc_id long, text string"), labels).collect()
+    assert sorted(r["doc_id"] for r in got) == [1, 2, 3, 3] and all(0 <= r["score"] <= 1 for r in got)
+
+
 def test_long_texts_are_described_whole(monkeypatch):
     import pyarrow as pa
 
     text = ("word " * 300 + "\n") * 40
-    whole = list(quality.passages(pa.array([text, None, text])))
+    whole = [x for _, x in quality.passages(pa.array([text, None, text]))]
     monkeypatch.setattr(quality, "HELD", 1000)
-    parts = list(quality.passages(pa.array([text, None, text])))
-    assert np.allclose(np.concatenate([x[1] for x in whole]), np.concatenate([x[1] for x in parts]))
+    parts = [x for _, x in quality.passages(pa.array([text, None, text]))]
+    for k in range(3):
+        assert np.allclose(np.concatenate([x[k] for x in whole]), np.concatenate([x[k] for x in parts]))
+
+
+def some_bags(seed=2):
+    import pyarrow as pa
+
+    rnd = random.Random(seed)
+    texts = [" ".join(rnd.choice(["a", "Bc", "d!", "ef,", "77", "é|", "\n"]) for _ in range(n)) for n in (0, 1, 40, 400, 700)] + [None]
+    (_, bags), = quality.passages(pa.array(texts))
+    model = quality.fresh()
+    rng = np.random.default_rng(seed)
+    return texts, bags, {k: v + 0.3 * rng.standard_normal(v.shape) for k, v in model.items()}
+
+
+def test_attention_equals_brute_force():
+    """Passage by passage in plain Python, with features counted anew."""
+    texts, bags, p = some_bags()
+    kinds = {b: k for k, c in enumerate(quality.CLASSES) for b in c}
+    want = []
+    row = 0
+    for text in texts:
+        data = (text or "").encode()
+        encoded, logits = [], []
+        for a in range(0, max(1, len(data)), quality.PASSAGE):
+            pairs = [(kinds[data[i - 1]] if i else kinds[10], kinds[data[i]]) for i in range(a, min(len(data), a + quality.PASSAGE))]
+            x = np.zeros(quality.FEATURES)
+            for u, v in pairs:
+                x[u * len(quality.CLASSES) + v] += 1 / len(pairs)
+            starts = [m for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
+            inside = [i for i, m in enumerate(starts) if a <= m.start() < a + quality.PASSAGE]
+            for d in (1, 2):
+                x[quality.PAIRS + d - 1] = sum(i >= d and starts[i].group().translate(LOWER_BYTES) == starts[i - d].group().translate(LOWER_BYTES) for i in inside) / max(1, len(inside))
+            assert np.allclose(np.sqrt(x), bags.x[row], atol=1e-6) and bags.count[row] == len(inside)
+            place = int(bags.count[:row].sum())
+            words = [p["E"][bags.bucket[place + j]] for j in range(len(inside))]
+            h = np.tanh(np.sqrt(x) @ p["W"] + (sum(words) / len(words) if words else 0) + p["b"])
+            encoded.append(h)
+            logits.append(sum(p["w"][k] * np.tanh(h @ p["V"][:, k]) / (1 + np.exp(-(h @ p["U"][:, k]))) for k in range(quality.ATTENDED)))
+            row += 1
+        weights = np.exp(logits) / np.exp(logits).sum()
+        want.append(1 / (1 + np.exp(-((weights[:, None] * np.array(encoded)).sum(axis=0) @ p["c"] + p["c0"][0]))))
+    assert np.allclose(quality.forward(p, bags)["score"], want, atol=1e-5)
+    same = {}
+    for m, k in zip((m for t in texts for m in re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())), bags.bucket.tolist()):
+        assert same.setdefault(m.translate(LOWER_BYTES), k) == k  # a word has one place in the table
+
+
+def test_gradients_equal_differences():
+    _, bags, p = some_bags()
+    bags = bags._replace(x=bags.x.astype(np.float64))
+    y = np.array([1, 0, 1, 1, 0, 0.0])
+
+    def loss():
+        s = quality.forward(p, bags)["score"]
+        return -(y * np.log(s) + (1 - y) * np.log(1 - s)).mean()
+
+    rnd = random.Random(1)
+    for k, grad in quality.gradients(p, bags, y).items():
+        flat, found = p[k].reshape(-1), grad.reshape(-1)
+        for i in {rnd.randrange(len(flat)) for _ in range(12)} | ({int(bags.bucket[0]) * quality.ENCODED} if k == "E" else set()):
+            old = flat[i]
+            flat[i] = old + 1e-5
+            up = loss()
+            flat[i] = old - 1e-5
+            slope, flat[i] = (up - loss()) / 2e-5, old
+            assert abs(slope - found[i]) <= 1e-6 + 1e-4 * abs(slope), k
+
+
+def pipeline_tables(spark, path, rows, labels):
+    spark.createDataFrame([(r[0], r[1], "en", r[2], len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
 
 
-def test_pipeline_stages_keep_columns(spark, tmp_path):
+def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path):
     import corpus_pipeline
 
-    spark.createDataFrame([(r[0], r[1], "en", r[2], len(r[1] or "")) for r in corpus()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(i, 1 - (i % 9 == 0), 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    junk = [(2000 + k, "BUY!! now$$$ ### " * (20 + k), f"s{k % 4}") for k in range(12)]
+    rows = [r[:3] for r in corpus()] + junk
+    labels = [(r[0], int(r[0] < 2000), 0) for r in rows if r[0] is not None and r[0] % 3 != 2] + [(1, None, 0), (None, 1, 0)]
+    pipeline_tables(spark, tmp_path, rows, labels)
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns, name
         docs = out
-    got = corpus_pipeline.run(spark, str(tmp_path))
-    assert got.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"] and got.where(F.size("ids") != F.col("n_tokens")).count() == 0
-    text = {r[0]: r[1] or "" for r in corpus()}
-    for r in got.collect():
-        assert r["decoded_sha256"] == hashlib.sha256(text[r["doc_id"]].encode()).hexdigest()
+    predicted = {(r["doc_id"], r["n"]) for r in quality.classify(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet"))
+                 .where("predicted = 1").groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    good = {i for i, _ in predicted}
+    kept = [r for r in rows if r[0] in good]
+    label = components([(i, t) for i, t, _ in kept])
+    single = {r[0]: r for r in kept if r[0] is not None and label[r[0]] == r[0]}
+    loose = [r for r in kept if r[0] is None]
+    size = lambda r: len(WORD.findall(r[1] or ""))
+    left = [*single.values(), *loose]
+    order = sorted({r[2] for r in left if r[2] is not None}) + [None] * any(r[2] is None for r in left)
+    goal = dict(zip(order, water_level([sum(size(r) for r in left if r[2] == s) for s in order], [(1, 2, 3)[k % 3] for k in range(len(order))], 3)))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    tok, taken, seen = encoder(), {}, {}
+    for r in got:
+        own = single[r["doc_id"]] if r["doc_id"] is not None else loose[0]
+        assert r["ids"] == tok.encode_ordinary(own[1] or "") and r["n_tokens"] == len(r["ids"]) and r["exact"]
+        assert r["decoded_sha256"] == hashlib.sha256((own[1] or "").encode()).hexdigest()
+        taken[own[2]] = taken.get(own[2], 0) + size(own)
+        seen[r["doc_id"]] = seen.get(r["doc_id"], 0) + 1
+    assert max(seen.values()) <= 3 and all(seen.get(i) == 1 for i, r in single.items() if not size(r))
+    assert not any(i is not None and i >= 2000 for i in seen)
+    for s in order:
+        longest = max((size(r) for r in left if r[2] == s), default=0)
+        assert abs(taken.get(s, 0) - goal[s]) <= max(longest, 0.1 * goal[s])
+    assert sorted(map(str, got)) == sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).collect()))
+
+
+def test_pipeline_of_empty_and_null_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    pipeline_tables(spark, tmp_path / "empty", [], [(1, 1, 0)])
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
+    pipeline_tables(spark, tmp_path / "null", [(None, None, None), (None, "a b", None), (1, None, "s"), (1, None, "s"), (2, "", None)], [(None, None, None)])
+    got = corpus_pipeline.run(spark, str(tmp_path / "null")).collect()
+    assert {r["doc_id"] for r in got} == {None, 1, 2} and all(r["exact"] for r in got)
 
 
 def test_ranks_are_read_as_stated():
