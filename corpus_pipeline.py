@@ -32,9 +32,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE: doc_id, n_tokens and ids, of texts whose ids decode to their bytes."""
+    """Byte-level BPE: doc_id, n_tokens, ids, the hash of the bytes that they decode to, and whether these are the text's."""
     coded = bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"), "exact")
 
 
 STAGES = [("quality", keep_good), ("near_dedup", keep_one), ("mixing", mix), ("encoding", encode)]
