@@ -73,7 +73,7 @@ def quotas(cells: DataFrame, weights: list[float], cap: float) -> DataFrame:
     shards, so no window holds more than FAN cells or all sources. A shard takes at most the blocks of ``cap`` passes over
     it, of which the last may be partial; a source at its cap takes just these in every shard."""
     sizes = cells.groupBy("source").agg(F.sum("cell_size").alias("source_size"), F.max("shard").alias("last"))
-    levels, last = [], sizes.agg(F.max("last")).first()[0]
+    levels, last = [], sizes.agg(F.max("last")).first()[0] or 0  # 0: no rows
     cells = cells.withColumn("g0", F.col("shard"))
     while not levels or last >= FAN:
         if levels:
