@@ -164,7 +164,7 @@ def draw(docs: DataFrame, weights: list[float] = (1, 2, 3), cap: float = 3.0, se
     in the shard's seeded order. So a shard misses its quota by half a short text; only texts longer than the rest count
     by their mean, so that over many shards they neither add nor lack. No text is taken more than ``cap`` times. Rows without words, of which nothing can be taken, stay once."""
     rows = placed(docs, [F.struct(*docs.columns).alias("__row")], list(weights), cap, seed)  # no clash of names
-    size, rate = F.col("__size"), F.col("__rest") / F.col("__cell")
+    size, rate = F.col("__size"), F.coalesce(F.try_divide("__rest", "__cell"), F.lit(0.0))
     shard = Window.partitionBy("__source", "__shard")
     rows = rows.withColumn("__long", size * LONG > F.col("__cell"))
     rows = rows.withColumn("__rank", F.row_number().over(shard.orderBy(F.desc("__long"), F.desc("__size"), "__mark")))
