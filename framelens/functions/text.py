@@ -8,11 +8,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Function words that carry no content, folded.
-STOPWORDS = (
-    "ai anh ban bang bi biet cac cach can chi cho chu chung co con cua cung da dang day de den di do duoc gi hay hien hon khi "
-    "khong la lai lam len luc ma minh mot muon nao nay neu ngay nguoi nhieu nhung noi o qua ra rat roi sau se su tai tat the theo "
-    "thi thoi trong truoc tu tung va van ve vi voi vua"
-).split()
+STOPWORDS = [
+    "ai", "anh", "ban", "bang", "bi", "biet", "cac", "cach", "can", "chi", "cho", "chu", "chung", "co", "con", "cua", "cung", "da", "dang", "day",
+    "de", "den", "di", "do", "duoc", "gi", "hay", "hien", "hon", "khi", "khong", "la", "lai", "lam", "len", "luc", "ma", "minh", "mot", "muon", "nao",
+    "nay", "neu", "ngay", "nguoi", "nhieu", "nhung", "noi", "o", "qua", "ra", "rat", "roi", "sau", "se", "su", "tai", "tat", "the", "theo", "thi",
+    "thoi", "trong", "truoc", "tu", "tung", "va", "van", "ve", "vi", "voi", "vua",
+]
 
 # Phrases of greetings and channel promotion, folded.
 BOILERPLATE = [
@@ -111,10 +112,12 @@ def phrase_ngrams(tokens: Column) -> Column:
 
 
 def join_distinct(texts: Column, limit: int, sep: str = " ") -> Column:
-    """Texts in order, blank ones and those of equal folded case left out, at most ``limit``, joined."""
+    """Texts in order, blank ones and those of equal folded case left out, at most ``limit``, joined. Each text is cleaned
+    and folded once: the arrays are bound to a lambda's variable."""
     clean = F.filter(F.transform(texts, normalize_text), lambda t: t.isNotNull() & (t != ""))
-    first = F.filter(clean, lambda t, i: F.array_position(F.transform(clean, F.lower), F.lower(t)) == i + 1)
-    return F.array_join(F.slice(first, 1, limit), sep)
+    folded = F.transform(F.array(clean), lambda c: F.struct(c.alias("said"), F.transform(c, F.lower).alias("key")))
+    first = F.transform(folded, lambda f: F.transform(F.slice(F.array_distinct(f["key"]), 1, limit), lambda k: F.element_at(f["said"], F.array_position(f["key"], k).cast("int"))))
+    return F.array_join(F.element_at(first, 1), sep)
 
 
 def truncate_words(c: Column, limit: int) -> Column:

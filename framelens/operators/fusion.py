@@ -113,15 +113,12 @@ def localized_rerank(candidates: DataFrame, regions: DataFrame, rerank_k: int =
     return scored.withColumn("new_rank", F.row_number().over(order))
 
 
-def hybrid(channels: dict[str, DataFrame], docs: DataFrame, k: int, candidate_k: int, weights: dict[str, float] | None = None, collapse_key: str | None = "shot_id") -> DataFrame:
-    """Channels of (query_id, rank, doc_id) to fused, hydrated and collapsed answers."""
+def hybrid(channels: DataFrame, docs: DataFrame, k: int, candidate_k: int, weights: dict[str, float] | None = None, collapse_key: str | None = "shot_id") -> DataFrame:
+    """Channels (query_id, channel, rank, doc_id), such as text and vectors of each level, to fused, hydrated and collapsed
+    answers, each with its rank in every channel."""
     if not candidate_k >= k >= 1:
         raise ValueError("candidate_k >= k >= 1 is required")
-    union = None
-    for name, ranking in channels.items():
-        part = ranking.select("query_id", F.lit(name).alias("channel"), "rank", "doc_id")
-        union = part if union is None else union.unionByName(part)
-    full = hydrate(rrf(union, candidate_k, weights), docs)
+    full = hydrate(rrf(channels, candidate_k, weights), docs)
     return collapse(full, k, collapse_key) if collapse_key else full.withColumn("new_rank", F.col("rank")).where(F.col("rank") <= k)
 
 

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.text import ascii_fold, query_terms, tokenize
 
 K1, B = 1.2, 0.75
+#: Terms of queries that are broadcast (about 100 bytes each), and parts of a token beyond that.
+BROADCAST_TERMS = 200_000
+SALTS = 32
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: bool = False) -> DataFrame:
@@ -17,50 +20,92 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fo
     return words.select("doc_id", "length", F.explode("words").alias("token")).groupBy("token", "doc_id", "length").agg(F.count("*").alias("tf"))
 
 
-def corpus_stats(docs: DataFrame, text_col: str = "text", fold: bool = False) -> DataFrame:
-    """One row: number of documents and their mean number of tokens."""
-    text = ascii_fold(F.col(text_col)) if fold else F.col(text_col)
-    return docs.select(F.size(tokenize(text)).alias("length")).agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"))
-
-
 def idf(n_docs: Column, df: Column) -> Column:
     return F.log(1 + (n_docs - df + 0.5) / (df + 0.5))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int, allowed: DataFrame | None = None, require_all: bool = False, fold: bool = True, k1: float = K1, b: float = B) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, k: int, allowed: DataFrame | None = None, require_all: bool = False, fold: bool = True, k1: float = K1, b: float = B, within: str | None = None) -> DataFrame:
     """(query_id, rank, doc_id, score) for ``queries`` (query_id, text) over ``docs`` (doc_id, text).
 
     A document matches with any query term, or with all under ``require_all``. Statistics are those of the whole index;
-    ``allowed`` (doc_id) restricts answers only. Ties by doc_id. Tokens outside the queries leave before grouping, so
-    the shuffle follows the queries' terms and not the corpus.
+    ``allowed`` (doc_id) restricts answers only. Ties by doc_id. With ``within``, a column of ``docs``, the k best of each
+    of its values are ranked apart, and it is returned too.
+
+    Texts are tokenised once: tokens that some query has, and an empty one for each document, are dealt by doc_id; document
+    frequencies, lengths and scores all come from that one exchange, and a document's scores need no other. Terms of the
+    queries with their weights are broadcast up to BROADCAST_TERMS of them; beyond that they meet the hits in a shuffle
+    join in which every token is dealt in SALTS parts, so a common word is no hot key.
     """
     if k < 1:
         raise ValueError("k must be positive")
     text = ascii_fold(F.col("text")) if fold else F.col("text")
     terms = queries.select("query_id", F.explode(query_terms(text)).alias("token")).distinct()
-    wanted = terms.select("token").distinct()
-    words = docs.select("doc_id", tokenize(text).alias("words")).withColumn("length", F.size("words"))
-    hits = words.select("doc_id", "length", F.explode("words").alias("token")).join(wanted, "token", "left_semi")
-    hits = hits.groupBy("token", "doc_id", "length").agg(F.count("*").alias("tf"))
+    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    wanted = terms.select("token").unionByName(terms.sparkSession.range(1).select(F.lit("").alias("token"))).distinct()
+    keys = ["doc_id", "length", *([within] if within else [])]
+    words = docs.select("doc_id", *([within] if within else []), F.coalesce(tokenize(text), F.array().cast("array<string>")).alias("words"))
+    words = words.select(*[c for c in keys if c != "length"], F.size("words").alias("length"), F.explode(F.concat(F.array(F.lit("")), "words")).alias("token"))
+    hits = words.join(F.broadcast(wanted) if few else wanted, "token", "left_semi").repartition("doc_id")
+    hits = hits.groupBy(*keys, "token").agg(F.count("*").alias("tf"))
+    own = F.col("token") == ""  # no filters here, so that all three plans share the exchange
+    stats = hits.agg(F.count_if(own).alias("n_docs"), F.avg(F.when(own, F.col("length"))).alias("avg_length"))
     df = hits.groupBy("token").agg(F.count("*").alias("df"))
-    stats = corpus_stats(docs, fold=fold)
     weights = terms.join(df, "token").crossJoin(F.broadcast(stats))  # one row of statistics
     weights = weights.select("query_id", "token", "avg_length", idf(F.col("n_docs"), F.col("df")).alias("idf"))
-    scored = hits.join(weights, "token").withColumn(
-        "part", F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length"))))
-    if allowed is not None:
-        scored = scored.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi")
-    total = scored.groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"), F.count("*").alias("matched"))
+    scored = hits if allowed is None else hits.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi")
+    if few:
+        scored = scored.join(F.broadcast(weights), "token")
+    else:
+        salted = weights.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        scored = scored.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["token", "salt"])
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
+    scored = scored.withColumn("part", part)
+    groups = ["query_id", *[c for c in keys if c != "length"]]
+    total = scored.groupBy(*groups).agg(F.round(F.sum("part"), 6).alias("score"), F.count("*").alias("matched"))
     if require_all:
         size = terms.groupBy("query_id").agg(F.count("*").alias("n_terms"))
-        total = total.join(size, "query_id").where("matched = n_terms")
-    return top_k(total.select("query_id", "doc_id", "score"), k)
+        total = total.join(F.broadcast(size) if few else size, "query_id").where("matched = n_terms")
+    return top_k(total.select(*groups, "score"), k, within=within)
+
+
+def substring_hits(docs: DataFrame, queries: DataFrame, columns: list[str]) -> DataFrame:
+    """(query_id, doc_id) where a column of ``docs`` (doc_id, ...) holds the query's whole text, ignoring case.
+
+    A word that stands between two others in the query stands whole in any text that holds the query, so documents are
+    found by the query's longest inner word and then checked. Queries without one go by their longest word, through the
+    distinct words of the documents that hold it; queries without words match nothing."""
+    word = r"[\p{L}\p{N}_]+"
+    asked = queries.select("query_id", F.lower(F.trim("text")).alias("said")).where("said <> ''")
+    found = F.regexp_extract_all("said", F.lit(f"({word})"), F.lit(1))
+    inner = F.slice(found, F.lit(2), F.greatest(F.size(found) - 2, F.lit(0)))
+    longest = lambda words: F.element_at(F.array_sort(words, lambda a, b: F.length(b) - F.length(a)), 1)
+    asked = asked.withColumns({"inner": F.size(found) > 2, "n": F.size(found), "key": F.when(F.size(found) > 2, longest(inner)).when(F.size(found) > 0, longest(found))}).where("key IS NOT NULL")
+    text = F.lower(F.concat_ws("\n", *columns))
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(f"({word})"), F.lit(1)))).alias("token"))
+    vocabulary = words.select("token").distinct()
+    short = vocabulary.join(asked.where("NOT inner"), F.contains("token", F.col("key"))).select("query_id", "said", "token")
+    sought = asked.where("inner").select("query_id", "said", F.col("key").alias("token")).unionByName(short)
+    near = words.join(sought, "token").select("doc_id", "query_id", "said").distinct()
+    holds = F.lit(False)
+    for c in columns:
+        holds = holds | F.coalesce(F.contains(F.lower(F.col(c)), F.col("said")), F.lit(False))
+    return near.join(docs.select("doc_id", *columns), "doc_id").where(holds).select("query_id", "doc_id").distinct()
+
+
+def text_search(docs: DataFrame, queries: DataFrame, k: int, require_all: bool = False, columns: list[str] | None = None) -> DataFrame:
+    """``bm25`` over ``docs`` (doc_id, text), and after its answers, with score 0, the documents that hold a query's text as
+    a substring of one of ``columns`` (default: text) without matching its terms."""
+    ranked = bm25(docs.select("doc_id", "text"), queries, k, require_all=require_all)
+    held = substring_hits(docs, queries, columns or ["text"])
+    more = held.join(ranked, ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))
+    return top_k(ranked.select("query_id", "doc_id", "score").unionByName(more), k)
 
 
-def top_k(scores: DataFrame, k: int, id_col: str = "doc_id") -> DataFrame:
-    """The k best of each query by score, ties by id."""
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
-    return scores.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", id_col, "score")
+def top_k(scores: DataFrame, k: int, id_col: str = "doc_id", within: str | None = None) -> DataFrame:
+    """The k best of each query (and value of ``within``) by score, ties by id."""
+    more = [within] if within else []
+    by = Window.partitionBy("query_id", *more).orderBy(F.desc("score"), id_col)
+    return scores.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", *more, "rank", id_col, "score")
 
 
 def ilike_any(columns: list[str], text: Column) -> Column:

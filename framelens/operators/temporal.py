@@ -2,25 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _spans(rows: DataFrame, low: Column, high: Column, unit: float) -> DataFrame:
+    """``rows`` with the buckets that [low, high] touches, two at most: a bucket's width is the unit doubled ``level``
+    times, until the span fits. So a span of any length is two rows."""
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(high - low, F.lit(unit)) / unit))).cast("int")
+    rows = rows.withColumn("level", level)
+    width = unit * F.pow(F.lit(2.0), F.col("level"))
+    return rows.withColumn("bucket", F.explode(F.array_distinct(F.array(F.floor(low / width), F.floor(high / width)))))
+
+
+def _points(rows: DataFrame, spans: DataFrame, at: str, unit: float) -> DataFrame:
+    """``rows`` with the bucket of ``at`` on each level that occurs in ``spans``; there are few."""
+    levels = spans.agg(F.collect_set("level")).scalar()
+    rows = rows.withColumn("level", F.explode(levels))
+    return rows.withColumn("bucket", F.floor(F.col(at) / (unit * F.pow(F.lit(2.0), F.col("level")))))
+
+
 def interval_join(keyframes: DataFrame, speech: DataFrame, margin: float = 1.5, max_chars: int = 1200, bucket: float = 30.0) -> DataFrame:
     """Each keyframe with the speech around it: (keyframe_id, asr_text).
 
     A segment counts within ``margin`` seconds of its ends, both included; ends in the wrong order are swapped; rows
     without finite times or words are left out. Texts stand in the order of their expanded start, once for equal folded
     case, joined by single spaces; the text is cut to ``max_chars`` and its right end trimmed. Keyframes without speech
-    have an empty text. Segments are exploded over time buckets so that video and bucket are join keys, and only the
-    exact range is left to check.
+    have an empty text. Segments are dealt to time buckets, two at most whatever their length, so that video and bucket are
+    join keys, and only the exact range is left to check.
     """
     text = F.trim(F.regexp_replace("text", r"(?U)\s+", " "))
     s = speech.where("start_time IS NOT NULL AND end_time IS NOT NULL AND NOT isnan(start_time) AND NOT isnan(end_time) AND abs(start_time) < double('Infinity') AND abs(end_time) < double('Infinity')")
     s = s.select("video_id", (F.least("start_time", "end_time") - margin).alias("low"), (F.greatest("start_time", "end_time") + margin).alias("high"), text.alias("said")).where("said <> ''")
-    s = s.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("low") / bucket), F.floor(F.col("high") / bucket))))
-    k = keyframes.select("keyframe_id", "video_id", "pts_time").withColumn("bucket", F.floor(F.col("pts_time") / bucket))
-    near = k.join(s, ["video_id", "bucket"]).where(F.col("pts_time").between(F.col("low"), F.col("high")))
+    s = _spans(s, F.col("low"), F.col("high"), bucket)
+    k = keyframes.select("keyframe_id", "video_id", "pts_time")
+    near = _points(k, s, "pts_time", bucket).join(s, ["video_id", "level", "bucket"]).where(F.col("pts_time").between(F.col("low"), F.col("high")))
     once = near.groupBy("keyframe_id", F.lower("said").alias("folded")).agg(F.min(F.struct("low", "said")).alias("first"))
     said = once.groupBy("keyframe_id").agg(F.array_sort(F.collect_list(F.struct(F.col("first.low").alias("low"), "folded", F.col("first.said").alias("said")))).alias("all"))
     joined = F.rtrim(F.substring(F.array_join(F.transform("all", lambda x: x["said"]), " "), 1, max_chars))
@@ -29,22 +48,29 @@ def interval_join(keyframes: DataFrame, speech: DataFrame, margin: float = 1.5,
 
 def nearest_inside(segments: DataFrame, keyframes: DataFrame, bucket: float = 30.0) -> DataFrame:
     """Each segment with the keyframe inside its time that is nearest to its start, or none; ties to the smaller id."""
-    s = segments.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start_time") / bucket), F.floor(F.col("end_time") / bucket))))
-    k = keyframes.select("video_id", "keyframe_id", "pts_time").withColumn("bucket", F.floor(F.col("pts_time") / bucket))
-    near = s.join(k, ["video_id", "bucket"]).where(F.col("pts_time").between(F.col("start_time"), F.col("end_time")))
+    s = _spans(segments.where("start_time <= end_time"), F.col("start_time"), F.col("end_time"), bucket)
+    k = _points(keyframes.select("video_id", "keyframe_id", "pts_time"), s, "pts_time", bucket)
+    near = s.join(k, ["video_id", "level", "bucket"]).where(F.col("pts_time").between(F.col("start_time"), F.col("end_time")))
     best = near.groupBy("segment_id").agg(F.min(F.struct(F.abs(F.col("pts_time") - F.col("start_time")).alias("gap"), "keyframe_id")).alias("best"))
     return segments.join(best, "segment_id", "left").select("segment_id", "video_id", F.col("best.keyframe_id").alias("keyframe_id"), F.col("best.gap").alias("gap"))
 
 
 def propagate_captions(keyframes: DataFrame, captions: DataFrame) -> DataFrame:
     """Caption of the nearest directly captioned frame of the same shot by frame distance (ties to the earlier frame):
-    direct at distance 0, else propagated; evidence_only where the shot has none."""
-    c = captions.select("shot_id", F.col("frame_idx").alias("c_frame"), "caption")
-    near = keyframes.select("keyframe_id", "shot_id", "frame_idx").join(c, "shot_id", "left")
-    gap = F.abs(F.col("frame_idx") - F.col("c_frame"))
-    best = near.groupBy("keyframe_id").agg(F.min(F.when(F.col("c_frame").isNotNull(), F.struct(gap.alias("gap"), "c_frame", "caption"))).alias("best"))
-    source = F.when(F.col("best").isNull(), "evidence_only").when(F.col("best.gap") == 0, "direct").otherwise("propagated")
-    return best.select("keyframe_id", F.col("best.caption").alias("caption"), F.col("best.c_frame").alias("source_frame"), source.alias("caption_source"))
+    direct at distance 0, else propagated; evidence_only where the shot has none. One sort of a shot's frames: the last
+    caption before a frame and the first one behind it are all that can be nearest."""
+    c = captions.where("frame_idx IS NOT NULL").groupBy("shot_id", "frame_idx").agg(F.min("caption").alias("caption"))
+    said = F.struct(F.col("frame_idx").alias("c_frame"), "caption").alias("said")
+    rows = keyframes.select("keyframe_id", "shot_id", "frame_idx", F.lit(None).cast("struct<c_frame:bigint,caption:string>").alias("said"), F.lit(1).alias("turn")).unionByName(
+        c.select(F.lit(None).cast("string").alias("keyframe_id"), "shot_id", F.col("frame_idx").cast("long").alias("frame_idx"), said, F.lit(0).alias("turn")))
+    by = Window.partitionBy("shot_id").orderBy("frame_idx", "turn")
+    before, after = F.last("said", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0)), F.first("said", ignorenulls=True).over(by.rowsBetween(0, Window.unboundedFollowing))
+    rows = rows.withColumns({"before": before, "after": after}).where("turn = 1")
+    gap = lambda c: F.abs(F.col("frame_idx") - F.col(f"{c}.c_frame"))
+    best = F.when(F.col("after").isNull() | (gap("before") <= gap("after")), F.col("before")).otherwise(F.col("after"))
+    rows = rows.withColumn("best", best)
+    source = F.when(F.col("best").isNull(), "evidence_only").when(gap("best") == 0, "direct").otherwise("propagated")
+    return rows.select("keyframe_id", F.col("best.caption").alias("caption"), F.col("best.c_frame").alias("source_frame"), source.alias("caption_source"))
 
 
 def temporal_edges(shots: DataFrame, max_gap: float = 3.0) -> DataFrame:
@@ -59,21 +85,33 @@ def temporal_edges(shots: DataFrame, max_gap: float = 3.0) -> DataFrame:
 
 def pack_events(shots: DataFrame, max_duration: float = 30.0) -> DataFrame:
     """Greedy windows over a video's shots in order: a shot joins while it ends within ``max_duration`` of the window's
-    start. One fold over the video's sorted shots; a video's shots fit a row."""
-    shot = F.struct("shot_index", "shot_id", "start_time", "end_time")
-    videos = shots.groupBy("video_id").agg(F.array_sort(F.collect_list(shot)).alias("all"))
-    start = F.expr("cast(array() as array<struct<first:double,last:double,ids:array<string>>>)")
-
-    def step(acc, s):
-        last = F.element_at(acc, -1)
-        joins = (F.size(acc) > 0) & (s["end_time"] - F.try_element_at(acc, F.lit(-1))["first"] <= max_duration)
-        tail = F.try_element_at(acc, F.lit(-1))
-        grown = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(tail["first"].alias("first"), F.greatest(tail["last"], s["end_time"]).alias("last"), F.concat(tail["ids"], F.array(s["shot_id"])).alias("ids"))))
-        fresh = F.concat(acc, F.array(F.struct(s["start_time"].alias("first"), s["end_time"].alias("last"), F.array(s["shot_id"]).alias("ids"))))
-        return F.when(joins, grown).otherwise(fresh)
-
-    packed = videos.select("video_id", F.posexplode(F.aggregate("all", start, step)).alias("event_no", "e"))
-    return packed.select("video_id", "event_no", F.col("e.first").alias("start_time"), F.col("e.last").alias("end_time"), F.col("e.ids").alias("shot_ids"), F.size("e.ids").alias("shot_count"))
+    start. A task walks its videos' sorted shots once and holds the open window alone, however many shots a video has."""
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        video, number, first, last, ids = None, 0, None, None, []
+        for batch in batches:
+            out = []
+            for v, shot, start, end in zip(*(batch.column(c).to_pylist() for c in ("video_id", "shot_id", "start_time", "end_time"))):
+                if ids and (v != video or not (start is not None and end is not None and first is not None and end - first <= max_duration)):
+                    out.append((video, number, first, last, ids, len(ids)))
+                    number, ids = number + 1, []
+                if v != video:
+                    video, number = v, 0
+                if not ids:
+                    first, last = start, end
+                ids.append(shot)
+                last = max((t for t in (last, end) if t is not None), default=None)
+            yield _events(out)
+        if ids:
+            yield _events([(video, number, first, last, ids, len(ids))])
+
+    rows = shots.select("video_id", "shot_index", "shot_id", F.col("start_time").cast("double").alias("start_time"), F.col("end_time").cast("double").alias("end_time"))
+    rows = rows.repartition("video_id").sortWithinPartitions("video_id", "shot_index", "shot_id")
+    return rows.mapInArrow(walk, "video_id string, event_no int, start_time double, end_time double, shot_ids array<string>, shot_count int")
+
+
+def _events(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"video_id": pa.string(), "event_no": pa.int32(), "start_time": pa.float64(), "end_time": pa.float64(), "shot_ids": pa.list_(pa.string()), "shot_count": pa.int32()}
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds.values())], names=list(kinds))
 
 
 def merge_short_shots(shots: DataFrame, shortest: float = 0.6) -> DataFrame:

@@ -10,72 +10,64 @@ from pyspark.sql import functions as F
 from ..functions.geometry import dot, l2_normalize
 from .lexical import top_k
 
-#: Bytes of query vectors that are broadcast at a time; more queries take more passes over the vectors.
-QUERY_BYTES = 64 << 20
+#: Queries and vectors of a tile: a task holds a tile and its product at a time.
+QUERY_ROWS = 1024
+VECTOR_ROWS = 8192
+
+sound = "vector IS NOT NULL AND size(vector) > 0 AND forall(vector, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity'))"
 
 
 def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id", match: tuple[str, str] | None = None) -> DataFrame:
     """(query_id, rank, id, score): the k highest inner products for each row of ``queries`` (query_id, vector).
 
-    ``match`` (query column, vector column) restricts answers to equal values. Scores are rounded to six places before
-    ranking, ties go to the smaller id. Each partition multiplies its vectors with a block of queries and keeps k for
-    each, so only partitions times queries times k rows are shuffled.
+    ``match`` (query column, vector column) restricts answers to equal values: only these meet. Vectors that are null or
+    empty or hold null or non-finite components take no part, and only those of equal length meet. Scores are rounded to
+    six places before ranking, ties go to the smaller id.
+
+    Queries in blocks meet vectors in blocks; each pair of blocks is one product in one task, from which k rows for each
+    query go on. Nothing passes the driver; the rows that are dealt grow as queries times vectors over a block's size.
     """
     if not 1 <= k <= 1000:
         raise ValueError("k must lie between 1 and 1000")
-    spark = vectors.sparkSession
-    keep = ["query_id", "vector", *([match[0]] if match else [])]
-    found, block, size = [], [], 0
-    columns = [id_col, "vector", *([match[1]] if match else [])]
-
-    def searched(rows):
-        ids = np.array([r["query_id"] for r in rows])
-        q = np.array([r["vector"] for r in rows], np.float64)
-        wanted = [r[match[0]] for r in rows] if match else None
-        held = spark.sparkContext.broadcast((ids, q, wanted))
-
-        def run(batches):
-            ids, q, wanted = held.value
-            for batch in batches:
-                n = batch.num_rows
-                if not n:
-                    continue
-                x = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
-                key = batch.column(id_col).to_numpy(zero_copy_only=False)
-                score = np.round(q @ x.T, 6)
-                if wanted is not None:
-                    own = np.array(batch.column(match[1]).to_pylist(), object)
-                    score[np.array(wanted, object)[:, None] != own[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(np.argsort(np.argsort(key)), score.shape), -score), axis=-1)[:, :k]
-                row = np.repeat(np.arange(len(q)), order.shape[1])
-                value = np.take_along_axis(score, order, axis=1).ravel()
-                sound = np.isfinite(value)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row[sound]]), pa.array(key[order.ravel()[sound]]), pa.array(value[sound])], names=["query_id", id_col, "score"])
-
-        kinds = {f.name: f.dataType.simpleString() for f in (*queries.schema, *vectors.schema)}
-        return vectors.select(columns).mapInArrow(run, f"query_id {kinds['query_id']}, {id_col} {kinds[id_col]}, score double")
-
-    for row in queries.select(keep).toLocalIterator():
-        block.append(row)
-        size += 8 * len(row["vector"])
-        if size >= QUERY_BYTES:
-            found.append(searched(block))
-            block, size = [], 0
-    if block or not found:
-        found.append(searched(block) if block else vectors.limit(0).select(F.lit(None).cast("long").alias("query_id"), id_col, F.lit(0.0).alias("score")))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return top_k(out, k, id_col)
+    kinds = {f.name: f.dataType.simpleString() for f in (*queries.schema, *vectors.schema)}
+    key = lambda side: (F.col(match[side]) if match else F.lit(0)).cast("string").alias("key")
+    plain = [F.col("vector").cast("array<double>").alias("vector"), F.size("vector").alias("dim")]
+    q = queries.where(sound).select("query_id", F.lit(None).cast(kinds[id_col]).alias("id"), key(0), *plain)
+    x = vectors.where(sound).select(F.lit(None).cast(kinds["query_id"]).alias("query_id"), F.col(id_col).alias("id"), key(1), *plain)
+    counted = lambda df, name, size: df.groupBy("key", "dim").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+    sizes = counted(q, "blocks", QUERY_ROWS).join(counted(x, "turns", VECTOR_ROWS), ["key", "dim"])
+    sizes = sizes if match else F.broadcast(sizes)  # a row for each length of vector
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    some = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    left = q.join(sizes, ["key", "dim"]).withColumns({"block": some("query_id", "blocks"), "side": F.lit(0)}).withColumn("turn", every("turns"))
+    right = x.join(sizes, ["key", "dim"]).withColumns({"turn": some("id", "turns"), "side": F.lit(1)}).withColumn("block", every("blocks"))
+    out = f"query_id {kinds['query_id']}, {id_col} {kinds[id_col]}, score double"
+
+    def product(table: pa.Table) -> pa.Table:
+        side = table["side"].to_numpy()
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        rows = table["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(side), -1)
+        asked, ids = table["query_id"].take(a), table["id"].take(b)
+        order = np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable")  # so that ties go to the smaller id
+        score = np.round(rows[a] @ rows[b][order].T, 6)
+        best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+        place = np.repeat(np.arange(len(a)), best.shape[1])
+        return pa.table({"query_id": asked.take(place), id_col: ids.take(order[best.ravel()]), "score": np.take_along_axis(score, best, axis=1).ravel()})
+
+    names = ["key", "dim", "block", "turn", "side", "query_id", "id", "vector"]
+    found = left.select(names).unionByName(right.select(names)).groupBy("key", "dim", "block", "turn").applyInArrow(product, out)
+    return top_k(found, k, id_col)
 
 
 def group_vectors(rows: DataFrame, group: list[str]) -> DataFrame:
-    """Per group: mean vector normalised to unit length, first and last time, and number of rows."""
-    long = rows.select(*group, F.posexplode("vector").alias("pos", "x"))
-    mean = long.groupBy(*group, "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    mean = mean.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("mean"))
+    """Per group: mean vector normalised to unit length, first and last time, and number of rows. Vectors of a group have
+    one length; null ones count for no mean."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    made = rows.where("vector IS NOT NULL").groupBy(*group).agg(Summarizer.mean(array_to_vector(F.col("vector").cast("array<double>"))).alias("mean"))
     span = rows.groupBy(*group).agg(F.min("pts_time").alias("start_time"), F.max("pts_time").alias("end_time"), F.count("*").alias("keyframe_count"))
-    return mean.join(span, group).withColumn("vector", l2_normalize(F.col("mean"))).drop("mean")
+    return made.join(span, group).withColumn("vector", l2_normalize(vector_to_array("mean"))).drop("mean")
 
 
 def build_cells(vectors: DataFrame, n_cells: int | None = None, sample: int = 20_000, seed: int = 7) -> tuple[DataFrame, np.ndarray]:

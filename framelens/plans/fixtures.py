@@ -112,10 +112,10 @@ SQL["vectors"] = """SELECT vec_id, 'kf:' || vec_id AS keyframe_id, 'v' || label
 
 
 def query_vectors(spark, d) -> DataFrame:
-    return vectors(spark, d).where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "vector", F.col("video_id").alias("wanted_video"))
+    return vectors(spark, d).where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "vector", F.col("video_id").alias("wanted_video"))
 
 
-SQL["query_vectors"] = "SELECT vec_id AS query_id, vector, video_id AS wanted_video FROM vectors WHERE vec_id % 50 = 0"
+SQL["query_vectors"] = "SELECT vec_id AS query_id, vector, video_id AS wanted_video FROM vectors WHERE vec_id % 20 = 0"
 
 
 def queries(spark, d) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import FOLD_FROM, FOLD_TO
-from ..operators import evaluate, fusion, lexical, vectors
+from ..operators import evaluate, fusion, lexical, temporal, vectors
 from . import fixtures as X
 from .fixtures import with_views
 
@@ -28,8 +28,8 @@ def query(sql: str | None = None):
     return add
 
 
-def bm25_sql(docs: str, queries: str, k: int = K, where: str = "true", all_terms: bool = False, fold: bool = True, p: str = "") -> str:
-    """CTEs up to ``{p}ranked`` (query_id, doc_id, score, rank)."""
+def bm25_sql(docs: str, queries: str, k: int = K, where: str = "true", all_terms: bool = False, fold: bool = True, p: str = "", level: str = "") -> str:
+    """CTEs up to ``{p}ranked`` (query_id, doc_id, score, rank); ``level``: an expression whose values are ranked apart."""
     text = FOLD if fold else "text"
     return f"""
 {p}tok AS (SELECT doc_id, {TOKENS.format(text)} AS w FROM {docs}),
@@ -40,7 +40,7 @@ def bm25_sql(docs: str, queries: str, k: int = K, where: str = "true", all_terms
 {p}nt AS (SELECT query_id, count(*) AS n_terms FROM {p}terms GROUP BY query_id),
 {p}scored AS (SELECT query_id, doc_id, round(sum(ln(1 + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / avg_length))), 6) AS score, count(*) AS matched
   FROM {p}terms JOIN {p}tf USING (token) JOIN {p}dfs USING (token), {p}st WHERE {where} GROUP BY query_id, doc_id),
-{p}ranked AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank
+{p}ranked AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id{", " + level if level else ""} ORDER BY score DESC, doc_id) AS rank
   FROM {p}scored {f"JOIN {p}nt USING (query_id) WHERE matched = n_terms" if all_terms else ""} QUALIFY rank <= {k})"""
 
 
@@ -71,30 +71,47 @@ def bm25_search_filtered(spark, d):
     return lexical.bm25(docs.select("doc_id", "text"), X.queries(spark, d), K, allowed)
 
 
-HEAD_SQL = "heads AS (SELECT query_id, array_to_string(list_slice(string_split(text, ' '), 1, 3), ' ') AS text FROM search_queries)"
+def text_search_sql(docs: str, queries: str, k: int = K, all_terms: bool = False, held: str = "contains(lower(text), lower(trim(q.text)))") -> str:
+    """``bm25_sql`` and, with score 0, the documents that hold the query's text otherwise, up to ``found``."""
+    held = held.replace("text)", "d.text)", 1) if held.startswith("contains(lower(text)") else held
+    return bm25_sql(docs, queries, k, all_terms=all_terms) + f""",
+held AS (SELECT q.query_id, d.doc_id FROM {docs} d JOIN {queries} q ON {held} WHERE regexp_matches(q.text, '[\\p{{L}}\\p{{N}}_]')),
+merged AS (SELECT query_id, doc_id, score FROM ranked UNION ALL SELECT query_id, doc_id, 0 FROM held ANTI JOIN ranked USING (query_id, doc_id)),
+found AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM merged QUALIFY rank <= {k})"""
 
 
-def _heads(spark, d):
-    return X.queries(spark, d).select("query_id", F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("text"))
+#: The benchmark's texts, and of each a piece that starts and ends inside words, which only a substring can find.
+ASKED_SQL = "asked AS (SELECT query_id, text FROM search_queries UNION ALL SELECT query_id + 1000000, substr(text, 4, 25) FROM search_queries)"
 
 
-@query(bodied(HEAD_SQL + "," + bm25_sql("documents", "heads", all_terms=True), "SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked", "search_queries"))
+def _asked(spark, d):
+    q = X.queries(spark, d).select("query_id", "text")
+    return q.unionByName(q.select((F.col("query_id") + 1_000_000).alias("query_id"), F.substring("text", 4, 25).alias("text")))
+
+
+@query(bodied(ASKED_SQL + "," + text_search_sql("documents", "asked", all_terms=True), "SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM found", "search_queries"))
 def lexical_and_search(spark, d):
-    return lexical.bm25(X.table(spark, d, "documents").select("doc_id", "text"), _heads(spark, d), K, require_all=True)
+    """All terms or a substring, as text on screen is searched."""
+    return lexical.text_search(X.table(spark, d, "documents").select("doc_id", "text"), _asked(spark, d), K, require_all=True)
+
 
+@query(bodied(bm25_sql("documents", "search_queries", all_terms=True), "SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked", "search_queries"))
+def caption_search(spark, d):
+    """All terms, as captions are searched."""
+    return lexical.bm25(X.table(spark, d, "documents").select("doc_id", "text"), X.queries(spark, d), K, require_all=True)
 
-@query(bodied("docs AS (SELECT segment_id AS doc_id, text FROM speech)," + HEAD_SQL + "," + bm25_sql("docs", "heads") + """,
+
+@query(bodied("docs AS (SELECT segment_id AS doc_id, text FROM speech)," + ASKED_SQL + "," + text_search_sql("docs", "asked") + """,
 near AS (SELECT r.query_id, r.rank, r.doc_id, r.score, k.keyframe_id, row_number() OVER (PARTITION BY r.query_id, r.rank ORDER BY abs(k.pts_time - s.start_time), k.keyframe_id) AS rn
-  FROM ranked r JOIN speech s ON s.segment_id = r.doc_id LEFT JOIN keyframes k ON k.video_id = s.video_id AND k.pts_time BETWEEN s.start_time AND s.end_time)""",
+  FROM found r JOIN speech s ON s.segment_id = r.doc_id LEFT JOIN keyframes k ON k.video_id = s.video_id AND k.pts_time BETWEEN s.start_time AND s.end_time)""",
               "SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score, keyframe_id FROM near WHERE rn = 1", "search_queries", "speech", "keyframes"))
 def transcript_search(spark, d):
+    """Any term or a substring, each hit with the keyframe inside the segment that is nearest to its start."""
     speech = X.speech(spark, d)
-    ranked = lexical.bm25(speech.select(F.col("segment_id").alias("doc_id"), "text"), _heads(spark, d), K)
+    ranked = lexical.text_search(speech.select(F.col("segment_id").alias("doc_id"), "text"), _asked(spark, d), K)
     hits = ranked.join(speech.select(F.col("segment_id").alias("doc_id"), "video_id", "start_time", "end_time"), "doc_id")
-    k = X.keyframes(spark, d).select(F.col("video_id").alias("kv"), "keyframe_id", "pts_time")
-    near = hits.join(k, (F.col("video_id") == F.col("kv")) & F.col("pts_time").between(F.col("start_time"), F.col("end_time")), "left")
-    by = Window.partitionBy("query_id", "rank").orderBy(F.abs(F.col("pts_time") - F.col("start_time")), "keyframe_id")
-    return near.withColumn("rn", F.row_number().over(by)).where("rn = 1").select("query_id", "rank", "doc_id", "score", "keyframe_id")
+    inside = temporal.nearest_inside(hits.select(F.col("doc_id").alias("segment_id"), "video_id", "start_time", "end_time").distinct(), X.keyframes(spark, d))
+    return hits.join(inside.select(F.col("segment_id").alias("doc_id"), "keyframe_id"), "doc_id", "left").select("query_id", "rank", "doc_id", "score", "keyframe_id")
 
 
 @query(with_views("detections", body="""SELECT query_id, keyframe_id, labels, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (
@@ -106,20 +123,29 @@ def object_search(spark, d):
     return lexical.object_search(X.detections(spark, d), asked, 20).select("query_id", "keyframe_id", "labels", F.round("score", 6).alias("score"), "rank")
 
 
-MEDIA_SQL = "media AS (SELECT CAST(page_id AS VARCHAR) AS video_id, url AS watch_url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages)"
+MEDIA_SQL = """media AS (SELECT CAST(page_id AS VARCHAR) AS video_id, url AS watch_url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
+ regexp_extract(html, '<div class="ad">([^<]*)</div>', 1) AS description, split_part(url, '/', 5) AS topic FROM pages)"""
 
 
 def media_info(spark, d):
-    return X.table(spark, d, "pages").select(F.col("page_id").cast("string").alias("video_id"), F.col("url").alias("watch_url"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+    return X.table(spark, d, "pages").select(
+        F.col("page_id").cast("string").alias("video_id"), F.col("url").alias("watch_url"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"),
+        F.regexp_extract("html", '<div class="ad">([^<]*)</div>', 1).alias("description"), F.split_part("url", F.lit("/"), F.lit(5)).alias("topic"))
+
 
+_TOPIC_FIELDS = "concat_ws(' ', title, description, topic)"
 
-@query("WITH " + MEDIA_SQL + ", docs AS (SELECT video_id AS doc_id, title AS text FROM media), asked AS (SELECT item_id AS query_id, text FROM benchmark)," + bm25_sql("docs", "asked", 5) + ", " + """
+
+@query("WITH " + MEDIA_SQL + f", docs AS (SELECT video_id AS doc_id, {_TOPIC_FIELDS} AS text, title, topic FROM media), search_queries AS (SELECT item_id AS query_id, text FROM benchmark), titled AS (SELECT CAST(video_id AS BIGINT) + 2000000 AS query_id, substr(title, 3, 20) AS text FROM media WHERE CAST(video_id AS BIGINT) % 20 = 0), "
+       + ASKED_SQL.replace("asked AS (", "asked AS (SELECT query_id, text FROM titled UNION ALL ") + "," + text_search_sql("docs", "asked", 5, held="(contains(lower(d.title), lower(trim(q.text))) OR contains(lower(d.topic), lower(trim(q.text))))") + ", " + """
 first AS (SELECT 'v' || user_id AS v, min('kf:' || event_id) AS first_keyframe FROM events GROUP BY 1)
-SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id AS video_id, score, first_keyframe FROM ranked LEFT JOIN first ON v = 'v' || doc_id""")
+SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id AS video_id, score, first_keyframe FROM found LEFT JOIN first ON v = 'v' || doc_id""")
 def topic_search(spark, d):
+    """Any term of title, description and topic, or a substring of title or topic; each hit with its video's first keyframe."""
     media = media_info(spark, d)
-    asked = X.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    ranked = lexical.bm25(media.select(F.col("video_id").alias("doc_id"), F.col("title").alias("text")), asked, 5)
+    titled = media.withColumn("n", F.col("video_id").cast("long")).where("n % 20 = 0").select((F.col("n") + 2_000_000).alias("query_id"), F.substring("title", 3, 20).alias("text"))
+    docs = media.select(F.col("video_id").alias("doc_id"), F.concat_ws(" ", "title", "description", "topic").alias("text"), "title", "topic")
+    ranked = lexical.text_search(docs, titled.unionByName(_asked(spark, d)), 5, columns=["title", "topic"])
     first = X.keyframes(spark, d).groupBy(F.substring("video_id", 2, 20).alias("doc_id")).agg(F.min("keyframe_id").alias("first_keyframe"))
     return ranked.join(first, "doc_id", "left").withColumnRenamed("doc_id", "video_id")
 
@@ -154,36 +180,47 @@ def two_stage_topk(spark, d):
     return vectors.two_stage(X.query_vectors(spark, d), X.vectors(spark, d), 5, K)
 
 
-def _channels(spark, d, k=50):
-    docs = X.search_documents(spark, d)
-    whole = lexical.bm25(docs.select("doc_id", "text"), X.queries(spark, d), k)
-    head = lexical.bm25(docs.select("doc_id", "text"), _heads(spark, d), k)
-    return {"lexical": whole, "head": head}
+#: Weights of the channels of level-aware search, text by level and vectors by level.
+WEIGHTS = {"fts:event": 0.8, "fts:shot": 1.0, "fts:frame": 0.65, "ann:shot": 1.15, "ann:frame": 0.85}
+CANDIDATES = 50
 
 
-#: CTEs up to ``c`` (query_id, channel, rank, doc_id).
-CHANNELS_SQL = (HEAD_SQL + "," + bm25_sql("documents", "search_queries", 50) + "," + bm25_sql("documents", "heads", 50, p="h_")
-                + ", c AS (SELECT query_id, 'lexical' AS channel, rank, doc_id FROM ranked UNION ALL SELECT query_id, 'head', rank, doc_id FROM h_ranked)")
+def _channels(spark, d, k=CANDIDATES):
+    """(query_id, channel, rank, doc_id): BM25 and vectors, each level ranked apart. A document's vector is the embedding of
+    its id, a query's that of the item's id; both have the benchmark's text only by chance, as the tables hold no encoder."""
+    docs, queries = X.search_documents(spark, d), X.queries(spark, d)
+    text = lexical.bm25(docs.select("doc_id", "text", "level"), queries, k, within="level").select("query_id", F.concat(F.lit("fts:"), "level").alias("channel"), "rank", "doc_id")
+    v = X.vectors(spark, d).select("vec_id", "vector")
+    asked = queries.join(v, F.col("query_id") == F.col("vec_id")).select("query_id", "vector", F.explode(F.array(F.lit("shot"), F.lit("frame"))).alias("level"))
+    seen = docs.join(v, F.col("doc_id") == F.col("vec_id")).select("doc_id", "vector", "level")
+    asked = asked.withColumn("query_id", F.concat_ws(":", "query_id", "level"))
+    found = vectors.exact_top_k(asked, seen, k, "doc_id", match=("level", "level"))
+    near = found.select(F.split_part("query_id", F.lit(":"), F.lit(1)).cast("long").alias("query_id"), F.concat(F.lit("ann:"), F.split_part("query_id", F.lit(":"), F.lit(2))).alias("channel"), "rank", "doc_id")
+    return text.unionByName(near)
 
 
-RRF_SQL = """, fused AS (SELECT query_id, doc_id, round(sum(CASE channel WHEN 'lexical' THEN 1.2::DOUBLE ELSE 0.8::DOUBLE END / (60 + rank)), 9) AS score,
- row_number() OVER (PARTITION BY query_id ORDER BY round(sum(CASE channel WHEN 'lexical' THEN 1.2::DOUBLE ELSE 0.8::DOUBLE END / (60 + rank)), 9) DESC, doc_id) AS rank FROM c GROUP BY query_id, doc_id)"""
-WEIGHTS = {"lexical": 1.2, "head": 0.8}
+#: CTEs up to ``c`` (query_id, channel, rank, doc_id).
+CHANNELS_SQL = (bm25_sql("search_documents", "search_queries", CANDIDATES, level="(SELECT level FROM search_documents s WHERE s.doc_id = x.doc_id)").replace("FROM scored ", "FROM scored x ")
+                + f""", qv AS (SELECT query_id, vector FROM search_queries JOIN vectors ON vec_id = query_id), dv AS (SELECT doc_id, level, vector FROM search_documents JOIN vectors ON vec_id = doc_id WHERE level IN ('shot', 'frame')),
+nv AS (SELECT query_id, level, doc_id, row_number() OVER (PARTITION BY query_id, level ORDER BY {DOT_SQL} DESC, doc_id) AS rank FROM qv q, dv v QUALIFY rank <= {CANDIDATES}),
+c AS (SELECT query_id, 'fts:' || level AS channel, rank, doc_id FROM ranked JOIN search_documents USING (doc_id) UNION ALL SELECT query_id, 'ann:' || level, rank, doc_id FROM nv)""")
+
+_WEIGHT = "CASE channel " + " ".join(f"WHEN '{c}' THEN {w}::DOUBLE" for c, w in WEIGHTS.items()) + " END"
+RRF_SQL = f""", fused0 AS (SELECT query_id, doc_id, round(sum({_WEIGHT} / (60 + rank)), 9) AS score, count(*) AS channels, CAST(min(rank) AS INTEGER) AS best_rank FROM c GROUP BY query_id, doc_id),
+fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fused0)"""
 
 
-@query(bodied(CHANNELS_SQL + RRF_SQL, "SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM fused WHERE rank <= 10", "search_queries"))
+@query(bodied(CHANNELS_SQL + RRF_SQL, "SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank, CAST(channels AS INTEGER) AS channels, best_rank FROM fused WHERE rank <= 10", "search_queries", "search_documents", "vectors"))
 def rrf_fuse(spark, d):
-    union = None
-    for name, r in _channels(spark, d).items():
-        part = r.withColumn("channel", F.lit(name))
-        union = part if union is None else union.unionByName(part)
-    return fusion.rrf(union, K, WEIGHTS).select("query_id", "doc_id", "score", "rank")
+    fused = fusion.rrf(_channels(spark, d), K, WEIGHTS)
+    return fused.select("query_id", "doc_id", "score", "rank", F.size("ranks").alias("channels"), F.array_min(F.map_values("ranks")).alias("best_rank"))
 
 
-@query(bodied(CHANNELS_SQL + RRF_SQL + """, col AS (SELECT f.*, d.shot_id, d.level, row_number() OVER (PARTITION BY query_id, d.shot_id ORDER BY f.rank) AS r FROM fused f JOIN search_documents d USING (doc_id) WHERE f.rank <= 40)""",
-              "SELECT query_id, doc_id, shot_id, level, score, CAST(row_number() OVER w AS INTEGER) AS rank FROM col WHERE r = 1 WINDOW w AS (PARTITION BY query_id ORDER BY col.rank) QUALIFY row_number() OVER w <= 10", "search_queries", "search_documents"))
+@query(bodied(CHANNELS_SQL + RRF_SQL + """, col AS (SELECT f.*, d.shot_id, d.level, row_number() OVER (PARTITION BY query_id, d.shot_id ORDER BY f.rank) AS r FROM fused f JOIN search_documents d USING (doc_id) WHERE f.rank <= 50)""",
+              "SELECT query_id, doc_id, shot_id, level, score, CAST(row_number() OVER w AS INTEGER) AS rank FROM col WHERE r = 1 WINDOW w AS (PARTITION BY query_id ORDER BY col.rank) QUALIFY row_number() OVER w <= 10", "search_queries", "search_documents", "vectors"))
 def hybrid_search(spark, d):
-    out = fusion.hybrid(_channels(spark, d), X.search_documents(spark, d), K, 40, WEIGHTS)
+    """Text and vectors of every level fused, hydrated and collapsed by shot."""
+    out = fusion.hybrid(_channels(spark, d), X.search_documents(spark, d).drop("text"), K, CANDIDATES, WEIGHTS)
     return out.select("query_id", "doc_id", "shot_id", "level", "score", F.col("new_rank").alias("rank"))
 
 
