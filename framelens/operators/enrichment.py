@@ -7,13 +7,48 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import STOPWORDS, content_tokens, fold_key, is_boilerplate, phrase_ngrams
+from ..functions.text import STOPWORDS, clean_text, content_tokens, fold_key, is_boilerplate, jaccard, normalize_text, phrase_ngrams
 
 # Phrases that open a new story, and phrases that are no subject, folded.
 LEAD_CUES = ["trong phan sau", "tiep theo", "mo dau chuong trinh", "thong tin an ninh", "thong tin quoc te"]
 STOP_PHRASES = ["video hap dan", "kenh ghien", "subscribe", "tin tuc nhanh", "tin thoi su", "tin tuc the gioi", "chuong trinh mon", "hap dan", "video", "kenh", "chuong trinh"]
 HEADLINE_CUES = ["noi bat sau day", "noi dung dang chu y sau day", "noi dung chinh sau day", "thong tin duoc quan tam"]
 
+# Where the promotion in a line of a source's description begins, and marks of lines that are nothing else.
+DESCRIPTION_CUTS = ["http://", "https://", " #", "****************", "👉", "📱", "►", "- Tin tức nhanh", "Tin tức nhanh:", "Facebook:", "TÒA SOẠN"]
+DESCRIPTION_PROMOTION = [
+    "http://", "https://", "www.", "#", "đăng ký", "subscribe", "fanpage", "tiktok", "youtube", "website", "bản quyền", "copyright", "điện thoại", "email", "theo dõi các kênh",
+    "các show hấp dẫn khác", "theo dõi thông tin", "phát sóng lúc", "hàng tuần trên kênh", "htv entertainment", "full playlist", "các chương trình hấp dẫn khác", "tin tức nhanh nhất",
+    "kênh thông tin chính thức", "đồng hành cùng", "cảm ơn", "video nóng", "tin thời sự", "tin tức thế giới", "địa chỉ", "đường dây nóng", "tòa soạn", "kênh chính thức",
+]
+# Names of the groups of videos, what their titles repeat, and how their summaries begin.
+GROUP_LABELS = {
+    "L21": "Thời sự - Bản tin 60 Giây Sáng", "L22": "Thời sự - Bản tin 60 Giây Chiều", "L23": "Thể thao - Đua xe đạp Cúp Truyền hình TP.HCM 2024", "L24": "Thể thao biểu diễn - Lân sư rồng Cúp Chợ Lớn 2024",
+    "L25": "Giáo dục - Ôn thi tốt nghiệp THPT 2024", "L26": "Ẩm thực - Hướng dẫn nấu ăn", "L27": "Du lịch và ẩm thực Việt Nam", "L28": "Phim tài liệu - Văn hóa và đời sống vùng Mê Kông",
+    "L29": "Phóng sự - Con người và sinh kế vùng Mê Kông", "L30": "Cộng đồng - Câu chuyện truyền cảm hứng",
+}
+TITLE_REPEATS = {
+    "L21": [r"^60 Giây (Sáng|Chiều)\s*[-–—]?\s*", r"\s*[-–—]?\s*HTV Tin Tức.*$"], "L22": [r"^60 Giây (Sáng|Chiều)\s*[-–—]?\s*", r"\s*[-–—]?\s*HTV Tin Tức.*$"],
+    "L25": [r"^BÍ QUYẾT ÔN THI THPT\s*2024\s*"], "L26": [r"\bM[ÓO]N NGON M[ỖO]I NG[ÀA]Y\b.*$", r"\bVIVU TV\b"], "L28": [r"^Tản Mạn Mê Kông,? Đến Và Ở Lại\s*"],
+    "L29": [r"^Đôi Mắt M[eê]Kong\s*"], "L30": [r"^Lan tỏa năng lượng tích cực\s*2024\s*"],
+}
+SUMMARY_INTROS = {
+    "L21": 'Bản tin "60 Giây Sáng" ({}) tổng hợp các sự kiện đáng chú ý trong nước và quốc tế.', "L22": 'Bản tin "60 Giây Chiều" ({}) cập nhật thời sự, đời sống và tin quốc tế trong ngày.',
+    "L23": "Video thể thao ghi lại diễn biến {}.", "L24": "Video ghi lại tiết mục lân sư rồng {}.", "L25": "Bài giảng ôn thi tốt nghiệp THPT 2024 trình bày {}.",
+    "L26": 'Chương trình "Món ngon mỗi ngày" hướng dẫn chế biến {}.', "L27": "Tập du lịch - ẩm thực khám phá {}.",
+    "L28": 'Phim tài liệu "Tản mạn Mê Kông, Đến và Ở Lại" ({}) tìm hiểu dòng sông, vùng đất và đời sống cư dân Nam Bộ.', "L29": 'Phóng sự "Đôi Mắt Mê Kông" giới thiệu {}.',
+    "L30": "Video kể câu chuyện truyền cảm hứng về {}.",
+}
+OTHER_LABEL, OTHER_INTRO = "Nội dung video", "Video có nội dung: {}."
+SUMMARY_NOTES = {
+    "no_speech": "ASR không nhận dạng được lời nói; chủ đề được xác định từ tiêu đề và metadata nguồn.", "missing": "Không tìm thấy kết quả ASR; chủ đề được xác định từ tiêu đề và metadata nguồn.",
+    "boilerplate_only": "ASR chủ yếu chứa lời mời đăng ký kênh hoặc lời kết, không đủ dữ liệu để mô tả chi tiết diễn biến.",
+}
+OTHER_NOTE = "Lời thoại nhận dạng quá ít để tạo bản tóm tắt nội dung đáng tin cậy."
+# The group whose transcripts are judged by cues, words of its titles that say nothing, and its cues, folded.
+CUED_GROUP, CUED_GROUP_WORDS, CUED_GROUP_CUES = "L24", ["lan", "su", "rong", "cup", "cho", "lon", "htv", "2024", "doan", "mua", "trinh", "dien"], ["lan", "rong", "mai hoa thung", "dia buu", "nam su", "mua rong", "mua lan"]
+NEWS_GROUPS, DASHED_GROUPS = ["L21", "L22"], ["L21", "L22", "L28"]
+
 
 def _any_in(text, phrases: list[str]):
     return text.rlike("|".join(phrases))
@@ -118,8 +153,8 @@ def subject_terms(scores: DataFrame, k: int = 8, most_alike: float = 0.65) -> Da
 
 def unique_topics(topics: DataFrame) -> DataFrame:
     """Topics that several videos share get the video's id."""
-    n = F.count("*").over(Window.partitionBy("topic"))
-    return topics.withColumn("topic", F.when(n > 1, F.concat("topic", F.lit(" ["), "video_id", F.lit("]"))).otherwise(F.col("topic")))
+    rows = _shared(topics, "topic", "__shared")
+    return rows.withColumn("topic", F.when(F.col("__shared"), F.concat("topic", F.lit(" ["), "video_id", F.lit("]"))).otherwise(F.col("topic"))).drop("__shared")
 
 
 def sentence_windows(segments: DataFrame, short: int = 120, gap: float = 2.5, most: int = 280) -> DataFrame:
@@ -184,18 +219,111 @@ def key_points(windows: DataFrame, k: int = 5) -> DataFrame:
     return windows.groupBy("video_id").applyInPandas(choose, "video_id string, point_no int, segment_id string, text string, score double")
 
 
-def summaries(videos: DataFrame, intros: DataFrame, fallback: str = "{}") -> DataFrame:
-    """Summary of each video (video_id, group, detail, points, status): the group's intro with the detail in place of {},
-    then the points as a list, or the transcript's status. ``intros``: (group, intro)."""
-    rows = videos.join(intros, "group", "left")
-    intro = F.replace(F.coalesce("intro", F.lit(fallback)), F.lit("{}"), F.col("detail"))
-    points = F.concat(F.lit("\n\n"), F.array_join(F.transform("points", lambda p: F.concat(F.lit("- "), p)), "\n"))
-    return rows.select("video_id", F.concat(intro, F.when(F.size("points") > 0, points).otherwise(F.concat(F.lit("\n\n["), "status", F.lit("]")))).alias("summary"))
+def _strip(c, characters: str):
+    return F.regexp_replace(c, f"^[{characters}]+|[{characters}]+$", "")
+
+
+def _by(group, values: dict[str, str], other: str):
+    """The value of a group from a short fixed table."""
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[group], F.lit(other))
+
+
+def _within(text, marks: list[str]):
+    found = F.lit(False)
+    for m in marks:
+        found = found | F.contains(text, F.lit(m))
+    return found
+
+
+def distinct_texts(texts, threshold: float):
+    """Cleaned texts of an array in order that have three content tokens and are not too like a kept one."""
+    pairs = F.transform(texts, lambda t: F.struct(clean_text(t).alias("text"), content_tokens(clean_text(t)).alias("tokens")))
+    step = lambda kept, x: F.when((F.size(x["tokens"]) >= 3) & ~F.exists(kept, lambda k: jaccard(F.array_distinct(x["tokens"]), F.array_distinct(k["tokens"])) >= threshold), F.concat(kept, F.array(x))).otherwise(kept)
+    start = F.expr("cast(array() as array<struct<text:string,tokens:array<string>>>)")
+    return F.transform(F.aggregate(pairs, start, step), lambda k: k["text"])
+
+
+def clean_description(c, k: int = 3):
+    """The editorial paragraphs of a source's description, ``k`` at most: promotion at a line's end cut off, lines of nothing
+    else left out, paragraphs of seven content tokens at least, none too like an earlier one."""
+    def line(raw):
+        plain = _strip(normalize_text(raw), r" \-–—\t")
+        at = [F.when(F.instr(plain, m) > 0, F.instr(plain, m)) for m in DESCRIPTION_CUTS]
+        cut = F.when(F.coalesce(*at).isNull(), plain).otherwise(F.substring(plain, F.lit(1), F.least(*[F.coalesce(x, F.lit(1 << 30)) for x in at]) - 1))
+        return _strip(cut, r" \-–—|:")
+
+    def paragraph(block):
+        lines = F.filter(F.transform(F.split(block, r"\r?\n"), line), lambda x: (x != "") & ~_within(F.lower(x), DESCRIPTION_PROMOTION))
+        return F.trim(F.array_join(lines, " "))
+
+    made = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\n\s*\n"), paragraph), lambda p: (F.size(content_tokens(p)) >= 7) & ~is_boilerplate(p) & ~_within(F.lower(p), DESCRIPTION_PROMOTION))
+    return F.slice(distinct_texts(F.transform(made, lambda p: clean_text(p, 460)), 0.68), 1, k)
+
+
+def title_detail(group, title):
+    """A title without what its group's titles repeat; the whole title if nothing else is left."""
+    plain = _strip(normalize_text(title), r" \-|–—")
+    detail = plain
+    for name, patterns in TITLE_REPEATS.items():
+        own = plain
+        for p in patterns:
+            own = F.regexp_replace(own, "(?iu)" + p, "")
+        detail = F.when(group == name, _strip(own, r" \-|–—")).otherwise(detail)
+    return F.coalesce(F.nullif(detail, F.lit("")), title)
+
+
+def topic_for(group, title, description=None):
+    """The group's label and the title's detail. For the group whose titles say little, the first paragraph of the source's
+    description (``clean_description``) takes the detail's place if the detail has under four content tokens."""
+    detail = title_detail(group, title)
+    label = _by(group, GROUP_LABELS, OTHER_LABEL)
+    topic = F.concat(label, F.when(group.isin(DASHED_GROUPS), F.lit(" - ")).otherwise(F.lit(": ")), detail)
+    if description is None:
+        return topic
+    first = F.try_element_at(clean_description(description), F.lit(1))
+    return F.when((group == CUED_GROUP) & (F.size(content_tokens(detail)) < 4) & first.isNotNull(), F.concat(label, F.lit(": "), first)).otherwise(topic)
+
+
+def topic_conflict(group, title, text, coverage):
+    """Whether a transcript seems to belong to another title: hardly any of the title's tokens (``title_coverage`` of the
+    title's detail) in it. News are left out; the cued group is judged by its cues and the title's own words."""
+    detail = content_tokens(title_detail(group, title))
+    spoken = content_tokens(text)
+    own = F.array_except(F.array_distinct(detail), F.array(*map(F.lit, CUED_GROUP_WORDS)))
+    overlap = F.size(F.array_intersect(own, spoken)) / F.greatest(F.lit(1), F.size(own))
+    cued = (F.size(spoken) >= 80) & ~_within(fold_key(text), CUED_GROUP_CUES) & (overlap < 0.2)
+    other = coverage.isNotNull() & ~group.isin(NEWS_GROUPS) & (coverage < 0.12) & (F.size(detail) >= 5)
+    return F.when(F.coalesce(text, F.lit("")) == "", F.lit(False)).when(group == CUED_GROUP, cued).otherwise(F.coalesce(other, F.lit(False)))
+
+
+def summaries(videos: DataFrame) -> DataFrame:
+    """Summary of each video (video_id, group, title, points, status): the group's intro with the title's detail, then the
+    points as a list, or a note on the transcript."""
+    detail = title_detail(F.col("group"), F.col("title"))
+    intro = F.replace(_by(F.col("group"), SUMMARY_INTROS, OTHER_INTRO), F.lit("{}"), detail)
+    points = F.concat(F.lit("\n\nNội dung chính:\n"), F.array_join(F.transform("points", lambda p: F.concat(F.lit("- "), p)), "\n"))
+    note = F.concat(F.lit("\n\nGhi chú dữ liệu: "), _by(F.col("status"), SUMMARY_NOTES, OTHER_NOTE))
+    return videos.select("video_id", F.concat(intro, F.when(F.size("points") > 0, points).otherwise(note)).alias("summary"))
 
 
 def enrichment_report(videos: DataFrame) -> DataFrame:
     """Counts by status (video_id, status, summary, conflict, text_hash): videos, title conflicts, summaries and
     transcripts that other videos share."""
-    shared = lambda c: (F.count("*").over(Window.partitionBy(c)) > 1) & F.col(c).isNotNull()
-    rows = videos.withColumns({"same_summary": shared("summary"), "same_text": shared("text_hash")})
+    rows = _shared(_shared(videos, "summary", "same_summary"), "text_hash", "same_text")
     return rows.groupBy("status").agg(F.count("*").alias("videos"), F.count_if("conflict").alias("conflicts"), F.count_if("same_summary").alias("duplicate_summaries"), F.count_if("same_text").alias("duplicate_transcripts"))
+
+
+def _shared(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """Whether other rows have the column's value; counted before it is joined back, so that a common value is no one task's
+    work but that of the few rows that are counted."""
+    n = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("__v")).agg(F.count("*").alias("__n")).where("__n > 1")
+    return rows.join(n, F.col(column) == F.col("__v"), "left").withColumn(name, F.col("__n").isNotNull()).drop("__v", "__n")
+
+
+def enrichment_problems(videos: DataFrame) -> DataFrame:
+    """(kind, key, video_id): videos whose title conflicts, and those whose summary or transcript others share, with the
+    hash that they share as key. A group is as many rows as it has videos, never one array."""
+    rows = _shared(_shared(videos, "summary", "same_summary"), "text_hash", "same_text")
+    kinds = F.array_compact(F.array(F.when(F.col("conflict"), F.struct(F.lit("conflict").alias("kind"), F.lit("").alias("key"))), F.when(F.col("same_summary"), F.struct(F.lit("summary").alias("kind"), F.sha2("summary", 256).alias("key"))),
+                                    F.when(F.col("same_text"), F.struct(F.lit("transcript").alias("kind"), F.col("text_hash").alias("key")))))
+    return rows.select(F.explode(kinds).alias("p"), "video_id").select("p.kind", "p.key", "video_id")

@@ -33,6 +33,11 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], columns: list[
     return target.join(new, keys, "full").select(*keys, *[value(c) for c in rest])
 
 
+def trusted_files(files: DataFrame, rows: DataFrame, models: list[str]) -> DataFrame:
+    """Files (path) of which some row (path, model) comes from a trusted model."""
+    return files.join(rows.groupBy("path").agg(F.bool_or(F.col("model").isin(models)).alias("trusted")).where("trusted").select("path"), "path", "left_semi")
+
+
 def choose_artifact(files: DataFrame, preferred: str) -> DataFrame:
     """Best file of each video: 10 for the preferred version, 1 for the video id in the path; then the path."""
     score = F.when(F.col("version") == preferred, 10).otherwise(0) + F.when(F.contains("path", "video_id"), 1).otherwise(0)
@@ -81,15 +86,53 @@ def inventory(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def first_valid(items: DataFrame, n: int, order: list[str]) -> DataFrame:
-    """The first ``n`` valid items with a url."""
-    return items.where("valid AND url IS NOT NULL AND trim(url) <> ''").orderBy(*order).limit(n)
+def greatest_provenance(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """The greatest value of each provenance column among a run's or a job's rows."""
+    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(*[F.max(c).alias(c) for c in columns])
+
+
+def union_levels(*tables: DataFrame) -> DataFrame:
+    """Documents of several levels as one table; columns that a level lacks are null."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t, allowMissingColumns=True)
+    return out
+
+
+def compare_ids(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """(``key``, in_a, in_b) for the union of two sets of ids: their differences and their intersection are filters on it."""
+    left, right = a.select(key).distinct().withColumn("in_a", F.lit(True)), b.select(key).distinct().withColumn("in_b", F.lit(True))
+    return left.join(right, key, "full").select(key, F.coalesce("in_a", F.lit(False)).alias("in_a"), F.coalesce("in_b", F.lit(False)).alias("in_b"))
+
+
+def compare_summary(compared: DataFrame) -> DataFrame:
+    """One row of ``compare_ids``: sizes of the differences and the intersection, and whether a is part of b or equals it."""
+    only_a, only_b, both = (F.count_if(c) for c in (F.col("in_a") & ~F.col("in_b"), F.col("in_b") & ~F.col("in_a"), F.col("in_a") & F.col("in_b")))
+    n = compared.agg(only_a.alias("only_a"), only_b.alias("only_b"), both.alias("both"))
+    return n.withColumns({"subset": F.col("only_a") == 0, "equal": (F.col("only_a") == 0) & (F.col("only_b") == 0)})
+
+
+def first_valid(items: DataFrame, n: int, order: list[str], strict: bool = False) -> DataFrame:
+    """The first ``n`` valid items with a url; ``strict``: fewer are an error."""
+    found = items.where("valid AND url IS NOT NULL AND trim(url) <> ''").orderBy(*order).limit(n)
+    if strict and (have := found.count()) < n:
+        raise ValueError(f"only {have} of {n} items are valid")
+    return found
+
+
+def feedback_marks(events: DataFrame) -> DataFrame:
+    """(session_id, polarity, id, since): each id marked positive or negative in a session, and the revision that first did
+    so. The set of a revision is what has ``since`` up to it, so sets that grow are stored once."""
+    long = events.select("session_id", "revision", F.explode(F.array(F.struct(F.lit("positive").alias("polarity"), F.col("positive_id").alias("id")), F.struct(F.lit("negative").alias("polarity"), F.col("negative_id").alias("id")))).alias("m"))
+    return long.where("m.id IS NOT NULL").groupBy("session_id", "m.polarity", "m.id").agg(F.min("revision").alias("since"))
 
 
-def feedback_fold(events: DataFrame) -> DataFrame:
-    """Per session and revision: all ids marked positive and negative so far."""
+def feedback_sizes(events: DataFrame) -> DataFrame:
+    """Per session and revision the numbers of different ids marked positive and negative so far, as running sums."""
+    new = feedback_marks(events).groupBy("session_id", F.col("since").alias("revision")).agg(*[F.count_if(F.col("polarity") == p).alias(f"new_{p}s") for p in ("positive", "negative")])
     by = Window.partitionBy("session_id").orderBy("revision").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return events.select("session_id", "revision", F.array_sort(F.collect_set("positive_id").over(by)).alias("positive_ids"), F.array_sort(F.collect_set("negative_id").over(by)).alias("negative_ids"))
+    rows = events.select("session_id", "revision").distinct().join(new, ["session_id", "revision"], "left")
+    return rows.select("session_id", "revision", *[F.sum(F.coalesce(f"new_{p}s", F.lit(0))).over(by).alias(f"{p}s") for p in ("positive", "negative")])
 
 
 def review_answers(answers: DataFrame, most: int = 100) -> DataFrame:

@@ -42,8 +42,10 @@ def audit_summary(issues: DataFrame, videos: DataFrame, keyframes: DataFrame) ->
 
 
 def frame_contract(keyframes: DataFrame, shots: DataFrame, vectors: DataFrame, tolerance: float = 1e-3) -> DataFrame:
-    """(rule, key) of broken rules: duplicate keyframe ids, keyframes without a vector and vectors without a keyframe,
-    shots without a keyframe, vectors that are not finite or not of unit length."""
+    """(rule, key) of broken rules: duplicate keyframe ids, keyframes without a vector and vectors without a keyframe, shots
+    without a keyframe, vectors that are not finite or not of unit length. If both have video_id, a video with unequal
+    numbers of keyframes and vectors is MISALIGNED; if vectors have embedding_row too, one whose rows are not 0, 1, 2, ... is
+    NOT_CONTIGUOUS."""
     rule = lambda df, name, key: df.select(F.lit(name).alias("rule"), F.col(key).cast("string").alias("key"))
     k, v = keyframes.select("keyframe_id", "shot_id"), vectors.select("keyframe_id", "vector")
     duplicate = k.groupBy("keyframe_id").agg(F.count("*").alias("n")).where("n > 1")
@@ -51,12 +53,40 @@ def frame_contract(keyframes: DataFrame, shots: DataFrame, vectors: DataFrame, t
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     parts = [rule(duplicate, "DUPLICATE_KEYFRAME", "keyframe_id"), rule(k.join(v, "keyframe_id", "left_anti"), "MISSING_VECTOR", "keyframe_id"), rule(v.join(k, "keyframe_id", "left_anti"), "UNKNOWN_KEYFRAME", "keyframe_id"),
              rule(shots.join(k, "shot_id", "left_anti"), "EMPTY_SHOT", "shot_id"), rule(v.where(~finite), "NOT_FINITE", "keyframe_id"), rule(v.where(finite & (F.abs(norm - 1) > tolerance)), "NOT_UNIT", "keyframe_id")]
+    if "video_id" in keyframes.columns and "video_id" in vectors.columns:
+        both = keyframes.groupBy("video_id").agg(F.count("*").alias("a")).join(vectors.groupBy("video_id").agg(F.count("*").alias("b")), "video_id", "full")
+        parts.append(rule(both.where("NOT a <=> b"), "MISALIGNED", "video_id"))
+    if {"video_id", "embedding_row"} <= set(vectors.columns):
+        rows = vectors.groupBy("video_id").agg(F.min("embedding_row").alias("low"), F.max("embedding_row").alias("high"), F.countDistinct("embedding_row").alias("n"), F.count("*").alias("all"))
+        parts.append(rule(rows.where("low <> 0 OR high <> n - 1 OR n <> all"), "NOT_CONTIGUOUS", "video_id"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def artifact_violations(rows: DataFrame, summaries: DataFrame, key: str) -> DataFrame:
+    """(artifact, rule, detail) of artifacts (artifact, video_id, ``key``) and their summaries (artifact, video_id): more than
+    one video, another video than the summary says, a key that comes twice."""
+    videos = rows.groupBy("artifact").agg(F.countDistinct("video_id").alias("n"), F.min("video_id").alias("video_id"))
+    many = videos.where("n > 1").select("artifact", F.lit("SEVERAL_VIDEOS").alias("rule"), F.col("n").cast("string").alias("detail"))
+    said = videos.join(summaries.select("artifact", F.col("video_id").alias("said")), "artifact").where("n = 1 AND NOT video_id <=> said")
+    other = said.select("artifact", F.lit("OTHER_VIDEO").alias("rule"), F.col("said").alias("detail"))
+    twice = rows.groupBy("artifact", key).agg(F.count("*").alias("n")).where("n > 1").select("artifact", F.lit("DUPLICATE_KEY").alias("rule"), F.col(key).cast("string").alias("detail"))
+    return many.unionByName(other).unionByName(twice)
+
+
+def incomplete_stages(artifacts: DataFrame, need: str = "shot", then: str = "visual") -> DataFrame:
+    """Videos that have an artifact of stage ``need`` (video_id, stage) and none of stage ``then``."""
+    have = lambda stage: artifacts.where(F.col("stage") == stage).select("video_id").distinct()
+    return have(need).join(have(then), "video_id", "left_anti")
+
+
+def eligible_frames(frames: DataFrame, most: float = 0.60, least: float = 25.0) -> DataFrame:
+    """Frames (black_ratio, white_ratio, sharpness) that are neither mostly black or white nor blurred."""
+    return frames.where((F.col("black_ratio") <= most) & (F.col("white_ratio") <= most) & (F.col("sharpness") >= least))
+
+
 def unknown_references(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return rows.select(key).distinct().join(known.select(key), key, "left_anti")
 
@@ -73,7 +103,13 @@ def transcript_violations(segments: DataFrame, durations: DataFrame, slack: floa
 def bounds_violations(keyframes: DataFrame, manifest: DataFrame) -> DataFrame:
     """Keyframes beyond their video's frame count or duration."""
     rows = keyframes.join(manifest, "video_id")
-    return rows.where((F.col("frame_idx") < 0) | (F.col("frame_idx") >= F.col("frame_count")) | (F.col("pts_time") > F.col("duration_sec")))
+    return rows.where((F.col("frame_idx") < 0) | (F.col("frame_idx") >= F.col("frame_count")) | (F.col("pts_time") < 0) | (F.col("pts_time") > F.col("duration_sec")))
+
+
+def coverage_violations(keyframes: DataFrame, shots: DataFrame) -> DataFrame:
+    """(shot_id, rule): shots without a keyframe, and shots of keyframes that are not listed."""
+    k, s = keyframes.select("shot_id").distinct(), shots.select("shot_id").distinct()
+    return s.join(k, "shot_id", "left_anti").withColumn("rule", F.lit("NO_KEYFRAME")).unionByName(k.join(s, "shot_id", "left_anti").withColumn("rule", F.lit("UNKNOWN_SHOT")))
 
 
 def extraction_report(shots: DataFrame, keyframes: DataFrame, least_coverage: float = 0.5) -> DataFrame:
@@ -92,10 +128,30 @@ def transcript_summary(segments: DataFrame) -> DataFrame:
         F.round(F.avg("avg_logprob"), 6).alias("mean_logprob"), F.count_if(F.col("avg_logprob") < -1.0).alias("low_confidence"), F.count_if(F.col("no_speech_prob") > 0.5).alias("high_no_speech"))
 
 
-def ocr_line_filter(lines: DataFrame, least: float = 0.45, static_share: float = 0.6) -> DataFrame:
-    """Lines of enough confidence that read like text: two letters or digits at least, and these the greater part."""
+def lowest_segments(segments: DataFrame, k: int = 5) -> DataFrame:
+    """The ``k`` segments of lowest log-probability of each video."""
+    by = Window.partitionBy("video_id").orderBy("avg_logprob", "segment_id")
+    return segments.withColumn("place", F.row_number().over(by)).where(F.col("place") <= k)
+
+
+# Fixed value: what stations lay over every frame, without white space, in upper case.
+STATIC_OVERLAY = r"^(HTV[\p{L}\p{N}_]*|TV|HD|[0-9]{1,2}:[0-9]{2}(:[0-9]{2})?|LIVE|TRỰCTIẾP)$"
+# Five times the same letter or digit of a folded text in a row.
+STUTTER = "|".join(c * 5 for c in "abcdefghijklmnopqrstuvwxyz0123456789")
+
+
+def ocr_line_filter(lines: DataFrame, least: float = 0.45) -> DataFrame:
+    """Lines of enough confidence that read like text: two letters or digits at least, and these the greater part, no static
+    overlay, no character five times in a row. With columns box_width, box_height and frame_height (pixels), boxes are 10 wide
+    and 8 high at least and 0.4 of the frame's height at most."""
+    from ..functions.text import fold_key
+
     plain = F.regexp_replace("text", r"[^\p{L}\p{N}]", "")
-    return lines.where((F.col("confidence") >= least) & (F.length(plain) >= 2) & (F.length(plain) >= 0.5 * F.length(F.regexp_replace("text", r"\s", ""))))
+    static = F.upper(F.regexp_replace("text", r"(?U)\s+", "")).rlike(STATIC_OVERLAY)
+    keep = (F.col("confidence") >= least) & (F.length(plain) >= 2) & (F.length(plain) >= 0.5 * F.length(F.regexp_replace("text", r"\s", ""))) & ~static & ~fold_key(F.col("text")).rlike(STUTTER)
+    if {"box_width", "box_height", "frame_height"} <= set(lines.columns):
+        keep &= (F.col("box_width") >= 10) & (F.col("box_height") >= 8) & (F.col("box_height") <= 0.40 * F.col("frame_height"))
+    return lines.where(keep)
 
 
 def ocr_frame_dedupe(lines: DataFrame) -> DataFrame:

@@ -110,7 +110,7 @@ def transcript_summary(spark, d):
 
 
 OCR_KEY = "trim(regexp_replace(lower(replace(replace(strip_accents({}), 'đ', 'd'), 'Đ', 'D')), '[^a-z0-9]+', ' ', 'g'))"
-OCR_SQL = r", keep AS (SELECT *, " + OCR_KEY.format("text") + r" AS key FROM ocr_lines WHERE confidence >= 0.45 AND length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) >= 2 AND length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) >= 0.5 * length(regexp_replace(text, '\s', '', 'g')))"
+OCR_SQL = r", keep AS (SELECT *, " + OCR_KEY.format("text") + r" AS key FROM ocr_lines WHERE NOT regexp_matches(upper(regexp_replace(text, '\s+', '', 'g')), '" + quality.STATIC_OVERLAY + r"') AND NOT regexp_matches(" + OCR_KEY.format("text") + f", '{quality.STUTTER}') AND " + r" confidence >= 0.45 AND length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) >= 2 AND length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) >= 0.5 * length(regexp_replace(text, '\s', '', 'g')))"
 
 
 @query(with_views("ocr_lines", body=OCR_SQL + """, b AS (SELECT * FROM keep WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY keyframe_id, key ORDER BY confidence DESC, position) = 1)
@@ -221,7 +221,7 @@ def feedback_fold(spark, d):
     from pyspark.sql import Window
     e = X.table(spark, d, "events").select(F.col("user_id").alias("session_id"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("revision"),
                                            F.when(F.col("event_type") == "purchase", F.col("event_id")).alias("positive_id"), F.when(F.col("event_type") == "error", F.col("event_id")).alias("negative_id"))
-    return ledger.feedback_fold(e).select("session_id", "revision", F.size("positive_ids").cast("bigint").alias("positives"), F.size("negative_ids").cast("bigint").alias("negatives"))
+    return ledger.feedback_sizes(e)
 
 
 def _answers(spark, d):
