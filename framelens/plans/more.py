@@ -217,8 +217,8 @@ def _answered(spark, d):
 
 @query(with_views("keyframes", body=""", told AS (SELECT keyframe_id, shot_id, frame_idx, event_id, event_type FROM keyframes WHERE n % 3 = 0 AND event_id % 11 <> 0),
 once AS (SELECT * FROM told QUALIFY row_number() OVER (PARTITION BY shot_id, frame_idx ORDER BY keyframe_id) = 1),
-near AS (SELECT k.keyframe_id, k.frame_idx, o.keyframe_id AS src, o.event_id, o.event_type, abs(k.frame_idx - o.frame_idx) AS gap FROM keyframes k LEFT JOIN once o USING (shot_id) QUALIFY row_number() OVER (PARTITION BY k.keyframe_id ORDER BY gap, o.frame_idx) = 1)
-SELECT keyframe_id, src AS source_keyframe_id, CASE WHEN src IS NULL THEN 'evidence_only' WHEN gap = 0 THEN 'vlm' ELSE 'propagated' END AS description_source, CASE WHEN src IS NULL THEN 'unknown' WHEN event_id % 2 = 0 THEN 'indoor' ELSE 'outdoor' END AS environment,
+near AS (SELECT k.keyframe_id, k.frame_idx, o.keyframe_id AS src, o.event_id, o.event_type, abs(k.frame_idx - o.frame_idx) AS far FROM keyframes k LEFT JOIN once o USING (shot_id) QUALIFY row_number() OVER (PARTITION BY k.keyframe_id ORDER BY far, o.frame_idx) = 1)
+SELECT keyframe_id, src AS source_keyframe_id, CASE WHEN src IS NULL THEN 'evidence_only' WHEN far = 0 THEN 'vlm' ELSE 'propagated' END AS description_source, CASE WHEN src IS NULL THEN 'unknown' WHEN event_id % 2 = 0 THEN 'indoor' ELSE 'outdoor' END AS environment,
  CASE WHEN src IS NULL OR event_id % 2 = 0 THEN 'unknown' ELSE 'rain' END AS weather, CASE WHEN src IS NULL THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, event_id % 3) END AS confidence,
  CASE WHEN src IS NULL THEN '' WHEN event_id % 2 = 0 THEN event_type || ' trong nhà ' || event_type || ' x red blue A chạy trong nhà' ELSE event_type || ' ngoài trời ' || event_type || ' x red blue A chạy trời mưa ngoài trời' END AS search_text FROM near"""))
 def understanding_documents(spark, d):
