@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STOPWORDS, clean_text, content_tokens, fold_key, is_boilerplate, jaccard, normalize_text, phrase_ngrams
+from .walk import walk
 
 # Phrases that open a new story, and phrases that are no subject, folded.
 LEAD_CUES = ["trong phan sau", "tiep theo", "mo dau chuong trinh", "thong tin an ninh", "thong tin quoc te"]
@@ -133,22 +132,15 @@ def subject_scores(transcripts: DataFrame, frequency: DataFrame) -> DataFrame:
 
 
 def subject_terms(scores: DataFrame, k: int = 8, most_alike: float = 0.65) -> DataFrame:
-    """The best ``k`` phrases of each video, none too like a better one. A video's candidates are those of its own
-    transcript."""
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["score", "phrase"], ascending=[False, True])
-        chosen: list[tuple[int, set]] = []
-        for i, phrase in enumerate(rows.phrase):
-            words = {w for w in phrase.split() if w not in STOPWORDS}
-            if all(len(words & other) / max(1, len(words | other)) < most_alike for _, other in chosen):
-                chosen.append((i, words))
-                if len(chosen) == k:
-                    break
-        out = rows.iloc[[i for i, _ in chosen]].copy()
-        out["rank"] = np.arange(1, len(out) + 1)
-        return out[["video_id", "rank", "phrase", "score"]]
-
-    return scores.groupBy("video_id").applyInPandas(pick, "video_id string, rank int, phrase string, score double")
+    """The best ``k`` phrases of each video, none too like a better one. A task holds a video's chosen phrases alone."""
+    def pick(chosen: list[set], row: dict) -> dict | None:
+        words = {w for w in row["phrase"].split() if w not in STOPWORDS}
+        if len(chosen) == k or any(len(words & other) / max(1, len(words | other)) >= most_alike for other in chosen):
+            return None
+        chosen.append(words)
+        return {"video_id": row["video_id"], "rank": len(chosen), "phrase": row["phrase"], "score": row["score"]}
+
+    return walk(scores.select("video_id", "phrase", "score"), ["video_id"], [F.desc("score"), "phrase"], list, pick, "video_id string, rank int, phrase string, score double")
 
 
 def unique_topics(topics: DataFrame) -> DataFrame:
@@ -191,32 +183,22 @@ def window_scores(windows: DataFrame, segments: DataFrame, titles: DataFrame) ->
 
 def key_points(windows: DataFrame, k: int = 5) -> DataFrame:
     """Points of each video by repeated choice of the best score less 1.6 times the greatest likeness to a chosen one,
-    plus 0.35 for a fifth of the timeline not used yet; windows too like a chosen one leave. In time order. A video's
-    windows are no more than its segments."""
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["start_time", "segment_id"]).reset_index(drop=True)
-        sets = [set(t) for t in rows.tokens]
-        span = max(float(rows.end_time.max()), 1.0)
-        fifth = np.minimum(4, (5 * rows.start_time / span).astype(int)).to_numpy()
-        like = np.zeros(len(rows))
-        open_ = np.ones(len(rows), bool)
-        used: set[int] = set()
-        chosen: list[int] = []
-        while open_.any() and len(chosen) < k:
-            value = rows.score.to_numpy() - 1.6 * like + 0.35 * ~np.isin(fifth, list(used))
-            value[~open_] = -np.inf
-            best = int(np.argmax(value))
-            chosen.append(best)
-            used.add(int(fifth[best]))
-            near = np.array([len(s & sets[best]) / max(1, len(s | sets[best])) for s in sets])
-            like = np.maximum(like, near)
-            open_ &= near < 0.76
-            open_[best] = False
-        out = rows.iloc[sorted(chosen)].copy()
-        out["point_no"] = np.arange(1, len(out) + 1)
-        return out[["video_id", "point_no", "segment_id", "text", "score"]]
-
-    return windows.groupBy("video_id").applyInPandas(choose, "video_id string, point_no int, segment_id string, text string, score double")
+    plus 0.35 for a fifth of the timeline not used yet (ties to the earlier); windows too like a chosen one leave. In time
+    order. Each choice is the first row of a sort of the video's windows, so no video is gathered in memory."""
+    video = Window.partitionBy("video_id")
+    rows = windows.select(
+        "video_id", "segment_id", "start_time", "text", "score", F.array_distinct("tokens").alias("tokens"),
+        F.least(F.lit(4), (5 * F.col("start_time") / F.greatest(F.max("end_time").over(video), F.lit(1.0))).cast("int")).alias("fifth"),
+        F.lit(0.0).alias("like"), F.array().cast("array<int>").alias("used"), F.lit(True).alias("open"), F.lit(False).alias("picked"))
+    for _ in range(k):
+        value = F.col("score") - 1.6 * F.col("like") + 0.35 * (~F.array_contains("used", F.col("fifth"))).cast("int")
+        order = video.orderBy(F.desc("open"), value.desc(), "start_time", "segment_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rows = rows.withColumn("best", F.first(F.struct("open", "segment_id", "tokens", "fifth")).over(order))
+        rows = rows.withColumns({"near": jaccard(F.col("tokens"), F.col("best.tokens")), "own": F.col("best.open") & (F.col("segment_id") == F.col("best.segment_id"))})
+        rows = rows.withColumns({"picked": F.col("picked") | F.col("own"), "open": F.col("open") & ~F.col("own") & (F.col("near") < 0.76), "like": F.greatest("like", "near"),
+                                 "used": F.array_append("used", F.col("best.fifth"))}).drop("best", "near", "own")
+    by = video.orderBy("start_time", "segment_id")
+    return rows.where("picked").withColumn("point_no", F.row_number().over(by)).select("video_id", "point_no", "segment_id", "text", "score")
 
 
 def _strip(c, characters: str):

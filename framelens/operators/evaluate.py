@@ -34,10 +34,12 @@ def macro_quality(metrics: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def latency_summary(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """Count, mean, extremes and exact p50, p95, p99 by group, and overall under 'all'."""
-    both = rows.select(F.explode(F.array(F.lit("all"), F.col(by))).alias("group"), F.col(value).alias("v"))
+    """Count, mean, extremes and exact p50, p95, p99 by group, and overall under 'all', which a group of that name does not
+    join."""
+    pair = lambda overall, name: F.struct(F.lit(overall).alias("overall"), name.cast("string").alias("group"))
+    both = rows.select(F.explode(F.array(pair(True, F.lit("all")), pair(False, F.col(by)))).alias("g"), F.col(value).alias("v"))
     pct = [F.round(F.percentile("v", F.lit(p)), 6).alias(f"p{int(p * 100)}") for p in (0.5, 0.95, 0.99)]
-    return both.groupBy("group").agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"), *pct)
+    return both.groupBy("g.overall", "g.group").agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"), *pct).drop("overall")
 
 
 def r_scores(answers: DataFrame, truth: DataFrame) -> DataFrame:

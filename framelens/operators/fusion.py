@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geometry import valid_box
 from .lexical import filter_level, filter_time
 
 RRF_K = 60.0
@@ -32,6 +33,13 @@ def fuse_groups(hits: DataFrame, min_groups: int = 2) -> DataFrame:
     return fused.where(F.col("groups") >= min_groups)
 
 
+def contributions(hits: DataFrame, min_groups: int = 2) -> DataFrame:
+    """What each hit adds to its key in ``fuse_groups``: a row for each contribution, so that none is lost in a count."""
+    kept = fuse_groups(hits, min_groups).select("session_id", "key")
+    rows = hits.withColumns({"key": F.coalesce(F.nullif("shot_id", F.lit("")), "video_id"), "adds": F.round(1 / (RRF_K + F.col("rank")), 9)})
+    return rows.join(kept, ["session_id", "key"], "left_semi")
+
+
 def hydrate(ranked: DataFrame, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Ranked ids with their documents' columns; repeated ids of a query collapse to the best rank."""
     best = Window.partitionBy("query_id", id_col).orderBy("rank")
@@ -102,17 +110,28 @@ def diversify(ranked: DataFrame, k: int, per_shot: int = 1, gap: float = 3.0) ->
 
 def localized_rerank(candidates: DataFrame, regions: DataFrame, rerank_k: int = 50) -> DataFrame:
     """0.4 of the global score, brought to 0..1 within the query, and 0.6 of the weighted mean of the region scores.
-    ``regions`` (query_id, id, clause, weight, score) come from an encoder; candidates without regions fall away."""
+    ``regions`` (query_id, keyframe_id, clause, weight, region_score) come from an encoder; candidates without regions fall
+    away. If regions have boxes (x1, y1, x2, y2), one outside 0 <= low < high <= 1 is an error."""
     top = candidates.where(F.col("rank") <= rerank_k)
     by = Window.partitionBy("query_id")
     low, high = F.min("score").over(by), F.max("score").over(by)
     top = top.withColumn("global_score", (F.col("score") - low) / F.greatest(high - low, F.lit(1e-6)))
+    if {"x1", "y1", "x2", "y2"} <= set(regions.columns):
+        sound = F.coalesce(valid_box(*(F.col(c) for c in ("x1", "y1", "x2", "y2"))), F.lit(False))
+        regions = regions.withColumn("weight", F.when(sound, F.col("weight")).otherwise(F.raise_error(F.lit("invalid normalised box")).cast("double")))
     region = regions.groupBy("query_id", "keyframe_id").agg((F.sum(F.col("weight") * F.col("region_score")) / F.greatest(F.sum("weight"), F.lit(1e-9))).alias("region"))
     scored = top.join(region, ["query_id", "keyframe_id"]).withColumn("final_score", F.round(0.4 * F.col("global_score") + 0.6 * F.col("region"), 6))
     order = Window.partitionBy("query_id").orderBy(F.desc("final_score"), "keyframe_id")
     return scored.withColumn("new_rank", F.row_number().over(order))
 
 
+def localized_search(candidates: DataFrame, regions: DataFrame, k: int = 20, rerank_k: int = 50) -> DataFrame:
+    """``localized_rerank``, then ``diversify``: the answers of a search by regions."""
+    scored = localized_rerank(candidates, regions, rerank_k)
+    rows = scored.select("query_id", F.col("new_rank").alias("rank"), "keyframe_id", "video_id", "shot_id", "pts_time", F.col("final_score").alias("score"))
+    return diversify(rows, k)
+
+
 def hybrid(channels: DataFrame, docs: DataFrame, k: int, candidate_k: int, weights: dict[str, float] | None = None, collapse_key: str | None = "shot_id") -> DataFrame:
     """Channels (query_id, channel, rank, doc_id), such as text and vectors of each level, to fused, hydrated and collapsed
     answers, each with its rank in every channel."""

@@ -12,6 +12,7 @@ from ..streaming import ingest
 from . import fixtures as X
 from .fixtures import with_views
 from .records import OCR_KEY as FOLD_KEY
+from .search import bm25_sql, bodied
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -114,7 +115,15 @@ def subject_scores(spark, d):
     return enrichment.subject_scores(t, enrichment.phrase_frequency(t))
 
 
-@query()
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(recursive(with_views("speech", body=f", {TRANSCRIPTS_SQL}{SUBJECT_SQL}" + f""", o AS (SELECT video_id, phrase, score, list_filter(list_distinct(string_split(phrase, ' ')), lambda x: x NOT IN {STOP}) AS w, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, phrase) AS i FROM sc),
+k AS (SELECT video_id, i, phrase, score, true AS taken, [w] AS kept FROM o WHERE i = 1
+ UNION ALL SELECT o.video_id, o.i, o.phrase, o.score, t, CASE WHEN t THEN list_append(k.kept, o.w) ELSE k.kept END FROM k JOIN o ON o.video_id = k.video_id AND o.i = k.i + 1,
+  LATERAL (SELECT len(k.kept) < 8 AND len(list_filter(k.kept, lambda v: len(list_intersect(v, o.w)) / greatest(1, len(list_distinct(list_concat(v, o.w)))) >= 0.65)) = 0 AS t))
+SELECT video_id, CAST(len(kept) AS INTEGER) AS rank, phrase, score FROM k WHERE taken""")))
 def subject_terms(spark, d):
     return enrichment.subject_terms(subject_scores(spark, d))
 
@@ -125,7 +134,10 @@ def unique_topics(spark, d):
     return enrichment.unique_topics(t)
 
 
-@query()
+@query(recursive(with_views("speech", body=""", o AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY segment_index, segment_id) AS i FROM speech),
+g AS (SELECT video_id, segment_id, i, start_time, end_time, text FROM o
+ UNION ALL SELECT g.video_id, g.segment_id, o.i, g.start_time, o.end_time, g.text || ' ' || o.text FROM g JOIN o ON o.video_id = g.video_id AND o.i = g.i + 1 WHERE length(g.text) < 120 AND o.start_time - g.end_time <= 2.5 AND length(g.text) + length(o.text) <= 280)
+SELECT video_id, segment_id, start_time, end_time, text FROM g QUALIFY row_number() OVER (PARTITION BY segment_id ORDER BY i DESC) = 1""")))
 def sentence_windows(spark, d):
     return enrichment.sentence_windows(X.speech(spark, d))
 
@@ -137,7 +149,11 @@ def key_points(spark, d):
     return enrichment.key_points(enrichment.window_scores(windows, s, transcripts(spark, d)))
 
 
-@query()
+@query(recursive(with_views("speech", body=f""", o AS (SELECT video_id, segment_index, text, list_distinct({tokens_sql('text')}) AS w, row_number() OVER (PARTITION BY video_id ORDER BY segment_index, text) AS i FROM speech),
+k AS (SELECT video_id, segment_index, text, i, len(w) >= 3 AS taken, CASE WHEN len(w) >= 3 THEN [w] ELSE [] END AS kept FROM o WHERE i = 1
+ UNION ALL SELECT o.video_id, o.segment_index, o.text, o.i, t, CASE WHEN t THEN list_append(k.kept, o.w) ELSE k.kept END FROM k JOIN o ON o.video_id = k.video_id AND o.i = k.i + 1,
+  LATERAL (SELECT len(o.w) >= 3 AND len(list_filter(k.kept, lambda v: len(list_intersect(v, o.w)) / len(list_distinct(list_concat(v, o.w))) >= 0.67)) = 0 AS t))
+SELECT video_id, segment_index, text FROM k WHERE taken""")))
 def near_duplicate_text(spark, d):
     s = X.speech(spark, d).select("video_id", "segment_index", "text")
     return selection.drop_near_texts(s, "video_id", "segment_index", 0.67)
@@ -158,7 +174,11 @@ def cluster_reps(spark, d):
     return selection.cluster_representatives(frames, ["shot_id", "window_no"], 0.9)
 
 
-@query()
+@query(recursive(with_views("vectors", body=""", h AS (SELECT keyframe_id, shot_id, vec_id % 11 / 11.0::DOUBLE AS q, list_sum([CASE WHEN vector[i + 1] > 0 THEN CAST(1 AS HUGEINT) << i ELSE 0 END FOR i IN range(0, 63)])::BIGINT AS b FROM vectors),
+o AS (SELECT *, row_number() OVER (PARTITION BY shot_id ORDER BY q DESC, keyframe_id) AS i FROM h),
+k AS (SELECT shot_id, keyframe_id, i, true AS taken, [b] AS kept FROM o WHERE i = 1
+ UNION ALL SELECT o.shot_id, o.keyframe_id, o.i, t, CASE WHEN t THEN list_append(k.kept, o.b) ELSE k.kept END FROM k JOIN o ON o.shot_id = k.shot_id AND o.i = k.i + 1, LATERAL (SELECT len(list_filter(k.kept, lambda v: bit_count(xor(v, o.b)) < 20)) = 0 AS t))
+SELECT shot_id, keyframe_id FROM k WHERE taken""")))
 def phash_dedupe(spark, d):
     signs = F.aggregate(F.transform(F.slice("vector", 1, 63), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(x))
     return selection.drop_near_hashes(_vector_frames(spark, d).withColumn("phash", signs), least=20)
@@ -177,14 +197,19 @@ def clean_sentences(spark, d):
     return X.table(spark, d, "conversations").select("conv_id", "turn", clean_text(F.col("text")).alias("sentence"))
 
 
-@query("""WITH b AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Trong nhà, trời mưa' WHEN 1 THEN 'ngoài trời ban đêm' WHEN 2 THEN 'hoàng hôn' ELSE 'nothing' END AS caption, CASE WHEN doc_id % 3 = 0 THEN 'indoor' ELSE 'unknown' END AS e, 'daytime' AS t, CASE WHEN doc_id % 5 = 0 THEN 'sunny' ELSE 'unknown' END AS w FROM documents),
-c AS (SELECT *, CASE doc_id % 4 WHEN 0 THEN 'indoor' WHEN 1 THEN 'outdoor' END AS e2, CASE doc_id % 4 WHEN 1 THEN 'night' WHEN 2 THEN 'unknown' END AS t2, CASE doc_id % 4 WHEN 0 THEN 'rain' END AS w2 FROM b),
+def _cued(*labels: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches(said, '{'|'.join(documents.CAPTION_CUES[cues])}') THEN '{label}'" for cues, label in (x.split(":") for x in labels)) + " END"
+
+
+@query(f"""WITH b AS (SELECT doc_id, lower(CASE doc_id % 4 WHEN 0 THEN 'Trong nhà, trời mưa ' WHEN 1 THEN 'ngoài trời ban đêm ' WHEN 2 THEN 'hoàng hôn ' ELSE '' END || text) AS said, CASE WHEN doc_id % 3 = 0 THEN 'indoor' ELSE 'unknown' END AS e, 'daytime' AS t, CASE WHEN doc_id % 5 = 0 THEN 'sunny' ELSE 'unknown' END AS w FROM documents),
+c AS (SELECT *, {_cued("indoor:indoor", "outdoor:outdoor")} AS e2, {_cued("night:night", "daytime:daytime", "uncertain_time:unknown")} AS t2, {_cued("rain:rain", "sunny:sunny")} AS w2 FROM b),
 f AS (SELECT *, coalesce(e2, e) AS environment, coalesce(t2, t) AS time_of_day, coalesce(w2, w) AS weather0 FROM c)
 SELECT doc_id, environment, time_of_day, CASE WHEN environment = 'indoor' THEN 'unknown' ELSE weather0 END AS weather, concat_ws(',', CASE WHEN e2 <> e THEN 'caption_forced_' || e2 END, CASE WHEN t2 = 'unknown' THEN 'caption_cleared_uncertain_time' WHEN t2 <> t THEN 'caption_forced_' || t2 END,
  CASE WHEN w2 <> w THEN 'caption_forced_' || w2 END, CASE WHEN environment = 'indoor' AND weather0 <> 'unknown' THEN 'indoor_cleared_weather' END) AS notes FROM f""")
 def scene_crosscheck(spark, d):
-    caption = F.element_at(F.array(F.lit("Trong nhà, trời mưa"), F.lit("ngoài trời ban đêm"), F.lit("hoàng hôn"), F.lit("nothing")), (F.col("doc_id") % 4 + 1).cast("int"))
-    rows = X.table(spark, d, "documents").select("doc_id", caption.alias("caption"), F.array().cast("array<string>").alias("actions"), F.when(F.col("doc_id") % 3 == 0, "indoor").otherwise("unknown").alias("environment"),
+    """Captions are the documents' texts, three in four with cues before them."""
+    cue = F.element_at(F.array(F.lit("Trong nhà, trời mưa "), F.lit("ngoài trời ban đêm "), F.lit("hoàng hôn "), F.lit("")), (F.col("doc_id") % 4 + 1).cast("int"))
+    rows = X.table(spark, d, "documents").select("doc_id", F.concat(cue, "text").alias("caption"), F.array().cast("array<string>").alias("actions"), F.when(F.col("doc_id") % 3 == 0, "indoor").otherwise("unknown").alias("environment"),
                                                  F.lit("daytime").alias("time_of_day"), F.when(F.col("doc_id") % 5 == 0, "sunny").otherwise("unknown").alias("weather"))
     return documents.crosscheck_scene(rows).select("doc_id", "environment", "time_of_day", "weather", F.array_join("notes", ",").alias("notes"))
 
@@ -208,15 +233,16 @@ def keyword_lists(spark, d):
     return k.select("source", F.array_join(keyword_union(F.col("a"), F.array(F.upper("source"), F.concat("source", F.lit("!")), F.lit("film"), F.lit(" - "))), ",").alias("keywords"))
 
 
-@query(with_views("speech", body=f", {TRANSCRIPTS_SQL}" + f""", t AS (SELECT video_id, CASE WHEN length(text) % 3 = 0 THEN 'sparse' ELSE 'usable' END AS status, substr(text, 1, 3) AS summary, length(text) % 5 = 0 AS conflict, sha256({FOLD_KEY.format('text')}) AS text_hash FROM transcripts),
+@query(with_views("speech", body=f", {TRANSCRIPTS_SQL}" + f""", t AS (SELECT video_id, CASE WHEN length(text) % 3 = 0 THEN 'sparse' ELSE 'usable' END AS status, title AS summary, length(text) % 5 = 0 AS conflict, sha256({FOLD_KEY.format('text')}) AS text_hash FROM transcripts),
 s AS (SELECT *, count(*) OVER (PARTITION BY summary) > 1 AS a, count(*) OVER (PARTITION BY text_hash) > 1 AS b FROM t) SELECT status, count(*) AS videos, count(*) FILTER (conflict) AS conflicts, count(*) FILTER (a) AS duplicate_summaries, count(*) FILTER (b) AS duplicate_transcripts FROM s GROUP BY status"""))
 def enrichment_report(spark, d):
     from ..functions.text import fold_key
-    t = transcripts(spark, d).select("video_id", F.when(F.length("text") % 3 == 0, "sparse").otherwise("usable").alias("status"), F.substring("text", 1, 3).alias("summary"), (F.length("text") % 5 == 0).alias("conflict"), F.sha2(fold_key(F.col("text")), 256).alias("text_hash"))
+    t = transcripts(spark, d).select("video_id", F.when(F.length("text") % 3 == 0, "sparse").otherwise("usable").alias("status"), F.col("title").alias("summary"), (F.length("text") % 5 == 0).alias("conflict"), F.sha2(fold_key(F.col("text")), 256).alias("text_hash"))
     return enrichment.enrichment_report(t)
 
 
-@query()
+@query(bodied(bm25_sql("documents", "search_queries", 40), """, p AS (SELECT query_id, doc_id, rank FROM ranked JOIN search_documents USING (doc_id) WHERE level IN ('frame', 'shot') AND end_time >= 60 AND start_time <= 400)
+SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INTEGER) AS new_rank FROM p QUALIFY new_rank <= 10""", "search_queries", "search_documents"))
 def post_filtered_search(spark, d):
     """Over-fetched lexical answers filtered after retrieval."""
     docs = X.search_documents(spark, d)
@@ -225,9 +251,11 @@ def post_filtered_search(spark, d):
 
 
 def _shared(spark):
-    """A new folder in the one the cluster shares; a local one where no cluster names it."""
+    """A new folder in the one the cluster shares; a local one where a session of one machine names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
         named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}"

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.lexical import substring_hits
+
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
@@ -126,18 +128,13 @@ SQL["search_queries"] = "SELECT item_id AS query_id, CASE item_id % 3 WHEN 0 THE
 
 
 def qrels(spark, d) -> DataFrame:
-    """Grade 2 where a document holds the first 60 characters of the item. The items are a bounded list; the passage
-    search goes through the words of its first 60 characters, so that documents meet few items."""
-    q = queries(spark, d).select("query_id", F.substring("text", 1, 60).alias("head"))
-    q = q.withColumn("word", F.element_at(F.array_sort(F.regexp_extract_all("head", F.lit(r"(?<= )([^ \n]+)(?= )"), F.lit(1)), lambda a, b: F.length(b) - F.length(a)), 1))
+    """Grade 2 where a document holds the whole item."""
     docs = search_documents(spark, d)
-    words = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", "[ \n]"))).alias("word"))
-    near = words.join(q, "word").select("doc_id", "query_id", "head")
-    hits = near.join(docs.select("doc_id", "text", "shot_id", "video_id"), "doc_id").where(F.col("text").contains(F.col("head")))
+    hits = substring_hits(docs.select("doc_id", "text"), queries(spark, d).select("query_id", "text"), ["text"]).join(docs.select("doc_id", "shot_id", "video_id"), "doc_id")
     return hits.select("query_id", F.posexplode(F.array(F.col("doc_id").cast("string"), "shot_id", "video_id")).alias("p", "id")).select(
         "query_id", F.element_at(F.array(F.lit("doc_id"), F.lit("shot_id"), F.lit("video_id")), F.col("p") + 1).alias("level"), "id").distinct().withColumn("grade", F.lit(2.0))
 
 
-SQL["qrels0"] = "SELECT query_id, doc_id, shot_id, video_id FROM search_documents d JOIN search_queries q ON contains(d.text, substr(q.text, 1, 60))"
+SQL["qrels0"] = "SELECT query_id, doc_id, shot_id, video_id FROM search_documents d JOIN search_queries q ON contains(lower(d.text), lower(q.text))"
 SQL["qrels"] = """SELECT DISTINCT query_id, 'doc_id' AS level, CAST(doc_id AS VARCHAR) AS id, CAST(2.0 AS DOUBLE) AS grade FROM qrels0
  UNION SELECT query_id, 'shot_id', shot_id, 2.0 FROM qrels0 UNION SELECT query_id, 'video_id', video_id, 2.0 FROM qrels0"""

@@ -177,10 +177,10 @@ def provenance_fill(spark, d):
     return ledger.fill_provenance(rows, owners, "owner", ["dataset_group", "artifact_batch"]).drop("owner")
 
 
-@query("SELECT n_nationkey, n_name AS known, CASE WHEN n_nationkey % 5 = 0 THEN 'other' ELSE lower(n_name) END AS found FROM nation WHERE n_nationkey % 5 = 0")
+@query("SELECT c_custkey, c_mktsegment AS known, CASE WHEN c_custkey % 5 = 0 THEN 'other' ELSE lower(c_mktsegment) END AS found FROM customer WHERE c_custkey % 5 = 0 AND c_mktsegment IS NOT NULL")
 def provenance_conflicts(spark, d):
-    n = X.table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("batch"))
-    return ledger.provenance_conflicts(n, n.withColumn("batch", F.when(F.col("n_nationkey") % 5 == 0, "other").otherwise(F.lower("batch"))), "n_nationkey", "batch")
+    n = X.table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("batch"))
+    return ledger.provenance_conflicts(n, n.withColumn("batch", F.when(F.col("c_custkey") % 5 == 0, "other").otherwise(F.lower("batch"))), "c_custkey", "batch")
 
 
 @query(with_views("keyframes", body="SELECT substr(sha1('ocr|' || video_id), 1, 20) AS job_id, video_id, count(*) AS records, 'completed' AS status FROM keyframes GROUP BY video_id"))
@@ -225,22 +225,22 @@ def feedback_fold(spark, d):
 
 
 def _answers(spark, d):
-    k = X.keyframes(spark, d).where("n <= 4")
+    k = X.keyframes(spark, d)
     u = F.substring("video_id", 2, 20).cast("bigint")
     frame = F.struct(F.col("n"), F.when((u % 10 == 3) & (F.col("n") == 2), F.lit("clip.mp4")).otherwise(F.col("video_id")).alias("video_id"), "frame_idx", F.when(u % 7 == 1, -F.col("pts_time")).otherwise(F.col("pts_time")).alias("pts_time"))
     a = k.groupBy(F.col("video_id").alias("question_id")).agg(F.array_sort(F.collect_list(frame)).alias("frames"))
     q = F.substring("question_id", 2, 20).cast("bigint")
-    frames = F.transform(F.slice("frames", F.lit(1), F.when(q % 11 == 0, 0).when(q % 6 == 5, 3).otherwise(4)), lambda x: F.struct(x["video_id"].alias("video_id"), x["frame_idx"].alias("frame_idx"), x["pts_time"].alias("pts_time")))
+    frames = F.transform(F.slice("frames", F.lit(1), F.when(q % 11 == 0, 0).when(q % 6 == 5, 3).when((q % 3 == 2) & (q % 12 != 2), 4).otherwise(F.size("frames"))), lambda x: F.struct(x["video_id"].alias("video_id"), x["frame_idx"].alias("frame_idx"), x["pts_time"].alias("pts_time")))
     return a.select("question_id", F.element_at(F.array(F.lit("kis"), F.lit("qa"), F.lit("trake")), (q % 3 + 1).cast("int")).alias("qtype"), F.lit(4).alias("events"), frames.alias("frames"), F.when(q % 4 == 1, F.lit(" ")).otherwise(F.concat(F.lit('say "'), "question_id", F.lit('"'))).alias("answer_text"))
 
 
-ANSWERS_SQL = """k AS (SELECT *, CAST(substr(video_id, 2) AS BIGINT) AS u FROM keyframes WHERE n <= 4),
+ANSWERS_SQL = """k AS (SELECT *, CAST(substr(video_id, 2) AS BIGINT) AS u FROM keyframes),
 l AS (SELECT video_id AS question_id, u, n, CASE WHEN u % 10 = 3 AND n = 2 THEN 'clip.mp4' ELSE video_id END AS v, frame_idx, CASE WHEN u % 7 = 1 THEN -pts_time ELSE pts_time END AS t,
- CASE u % 3 WHEN 0 THEN 'kis' WHEN 1 THEN 'qa' ELSE 'trake' END AS qtype, CASE WHEN u % 4 = 1 THEN ' ' ELSE 'say "' || video_id || '"' END AS answer_text, n <= CASE WHEN u % 11 = 0 THEN 0 WHEN u % 6 = 5 THEN 3 ELSE 4 END AS kept FROM k),
+ CASE u % 3 WHEN 0 THEN 'kis' WHEN 1 THEN 'qa' ELSE 'trake' END AS qtype, CASE WHEN u % 4 = 1 THEN ' ' ELSE 'say "' || video_id || '"' END AS answer_text, n <= CASE WHEN u % 11 = 0 THEN 0 WHEN u % 6 = 5 THEN 3 WHEN u % 3 = 2 AND u % 12 <> 2 THEN 4 ELSE 1000000000 END AS kept FROM k),
 w AS (SELECT *, lag(t) OVER (PARTITION BY question_id ORDER BY n) AS last FROM l),
 a AS (SELECT question_id, any_value(u) AS u, any_value(qtype) AS q, trim(any_value(answer_text)) AS txt, count(*) FILTER (kept) AS n, count(DISTINCT v) FILTER (kept) AS vids, coalesce(bool_or(kept AND v LIKE '%.mp4'), false) AS badf, coalesce(bool_or(kept AND t < last), false) AS falling FROM w GROUP BY 1),
 r AS (SELECT question_id, q AS qtype, n, list_filter([CASE WHEN n = 0 THEN 'NO_FRAME' END, CASE WHEN q = 'qa' AND txt = '' THEN 'NO_ANSWER' END, CASE WHEN q = 'trake' AND n > 0 AND n < 4 THEN 'TOO_FEW_FRAMES' END], lambda x: x IS NOT NULL) AS missing,
- list_filter([CASE WHEN badf THEN 'FRAME' END, CASE WHEN q = 'trake' AND vids > 1 THEN 'VIDEOS' END, CASE WHEN q = 'trake' AND falling THEN 'ORDER' END], lambda x: x IS NOT NULL) AS errors FROM a),
+ list_filter([CASE WHEN badf THEN 'FRAME' END, CASE WHEN q IN ('kis', 'qa') AND n > 100 THEN 'TOO_MANY_ROWS' END, CASE WHEN q = 'trake' AND n > 4 THEN 'TOO_MANY_FRAMES' END, CASE WHEN q = 'trake' AND vids > 1 THEN 'VIDEOS' END, CASE WHEN q = 'trake' AND falling THEN 'ORDER' END], lambda x: x IS NOT NULL) AS errors FROM a),
 s AS (SELECT *, CASE WHEN len(errors) > 0 THEN 'invalid' WHEN len(missing) > 0 THEN 'missing' ELSE 'ready' END AS status FROM r)"""
 
 

@@ -166,8 +166,11 @@ def vector_topk_by_video(spark, d):
 
 @query()
 def ivf_topk(spark, d):
+    """Answers of the cells and, in every row, their recall against exact search over the same queries."""
     placed, centres = vectors.build_cells(X.vectors(spark, d))
-    return vectors.approximate_top_k(X.query_vectors(spark, d), placed, centres, K)
+    asked = X.query_vectors(spark, d)
+    found = vectors.approximate_top_k(asked, placed, centres, K)
+    return found.crossJoin(F.broadcast(vectors.recall_at(found, vectors.exact_top_k(asked, X.vectors(spark, d), K))))  # one row
 
 
 @query(with_views("vectors", "query_vectors", body=f""", long AS (SELECT shot_id, unnest(vector) AS x, unnest(range(0, len(vector))) AS pos FROM vectors),
@@ -249,6 +252,7 @@ def _vector_hits(spark, d, k):
 
 @query()
 def diversify(spark, d):
+    """Answers apart in shot and time (against brute force in the tests)."""
     hits = _vector_hits(spark, d, 50).select("query_id", "rank", "keyframe_id", "video_id", "shot_id", "pts_time", "score")
     return fusion.diversify(hits, K)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,22 +56,66 @@ def read_queries(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("file_name", (F.col("qtype") != "").alias("matched"), "part", "number", "qtype", "text", intro.alias("intro"), events.alias("events"))
 
 
+#: Levels of judgements, and the names that lines use for them; hyphens are underscores.
+LEVELS = ["doc_id", "shot_id", "video_id"]
+LEVEL_ALIASES = {"doc": "doc_id", "document": "doc_id", "documents": "doc_id", "docid": "doc_id", "shot": "shot_id", "shots": "shot_id", "shotid": "shot_id", "video": "video_id", "videos": "video_id", "videoid": "video_id",
+                 "doc_id": "doc_id", "shot_id": "shot_id", "video_id": "video_id"}
+#: Fields of a line that hold judgements: by level, by item, and plain lists of document ids.
+LEVEL_FIELDS = ["{}", "relevant_{}s", "relevant_{}", "gold_{}s", "gold_{}", "positive_{}s", "positive_{}", "{}s"]
+ITEM_FIELDS = ["relevant", "relevance", "qrels", "ground_truth", "positives", "relevant_items"]
+ID_FIELDS = ["relevant_ids", "positive_ids", "gold_ids"]
+
+
+def level_alias(c: Column) -> Column:
+    """The level that a name means, whatever its case and hyphens; null for others."""
+    names = F.create_map(*[F.lit(x) for pair in LEVEL_ALIASES.items() for x in pair])
+    return names[F.replace(F.lower(F.trim(c)), F.lit("-"), F.lit("_"))]
+
+
+def grade_of(c: Column) -> Column:
+    """A grade; 1 where it is missing, no finite number or not above 0."""
+    number = c.try_cast("double")
+    return F.when(number.isNotNull() & ~F.isnan(number) & (number > 0) & (number < float("inf")), number).otherwise(F.lit(1.0))
+
+
+def _items(value: Column, of: Column) -> Column:
+    """(level, id, grade) of a JSON value: an id, {id, relevance}, a map of ids to grades, or a list of the first two."""
+    text = F.trim(value)
+    pair = lambda name, one, grade: F.struct(name.cast("string").alias("level"), one.cast("string").alias("id"), grade_of(grade).alias("grade"))
+
+    def one(v):
+        """An item: an object with an id, or an id."""
+        o = F.when(F.startswith(v, F.lit("{")), F.from_json(v, "map<string,string>"))
+        grade = F.coalesce(o["relevance"], o["relevance_score"], o["score"], o["grade"], F.lit("1"))
+        named = level_alias(F.coalesce(o["level"], o["type"]))
+        own = [pair(F.lit(n), o[n], grade) for n in LEVELS]
+        inside = F.when(named.isNotNull(), F.array(pair(named, F.coalesce(F.when(named == "doc_id", o["doc_id"]).when(named == "shot_id", o["shot_id"]).otherwise(o["video_id"]), o["id"], o["value"]), grade))) \
+            .when(F.coalesce(o["id"], o["value"]).isNotNull() & F.coalesce(o["level"], o["type"]).isNull(), F.array(pair(of, F.coalesce(o["id"], o["value"]), grade))).otherwise(F.filter(F.array(*own), lambda p: p["id"].isNotNull()))
+        return F.when(o.isNotNull(), inside).otherwise(F.array(pair(of, F.when(~F.startswith(v, F.lit("[")), v), F.lit("1"))))
+
+    table = F.from_json(text, "map<string,string>")
+    is_item = F.exists(F.array(*[table[n] for n in (*LEVELS, "id", "value")]), lambda x: x.isNotNull())
+    pairs = F.transform(F.map_entries(table), lambda e: pair(of, e["key"], e["value"]))
+    listed = F.flatten(F.transform(F.from_json(text, "array<string>"), one))
+    made = F.when(F.startswith(text, F.lit("[")), listed).when(F.startswith(text, F.lit("{")) & is_item, one(text)).when(F.startswith(text, F.lit("{")), pairs).otherwise(one(text))
+    return F.filter(F.coalesce(made, F.array()), lambda p: p["id"].isNotNull() & (F.trim(p["id"]) != "") & p["level"].isNotNull())
+
+
 def read_qrels(spark: SparkSession, path: str) -> DataFrame:
-    """Judgements in JSON lines: lists of ids or of {id, relevance} under relevant_<level>_ids, or a list ``relevant`` of
-    {level, id, relevance}. One row for each query, level and id, with its greatest grade above 0."""
-    item = "array<string>"
-    kind = f"query_id string, relevant_doc_ids {item}, relevant_shot_ids {item}, relevant_video_ids {item}, relevant array<struct<level:string,id:string,relevance:double,grade:double>>"
-    rows = spark.read.text(path).where("trim(value) <> ''").select(F.from_json("value", kind).alias("r")).select("r.*")
-    parts = []
-    for column, level in (("relevant_doc_ids", "doc_id"), ("relevant_shot_ids", "shot_id"), ("relevant_video_ids", "video_id")):
-        entry = rows.select("query_id", F.explode(column).alias("e"))
-        parsed = F.from_json("e", "id string, relevance double, grade double")
-        parts.append(entry.select("query_id", F.lit(level).alias("level"), F.when(F.startswith("e", F.lit("{")), parsed["id"]).otherwise(F.col("e")).alias("id"),
-                                  F.when(F.startswith("e", F.lit("{")), F.coalesce(parsed["relevance"], parsed["grade"], F.lit(1.0))).otherwise(1.0).alias("grade")))
-    alias = F.lower("e.level")
-    level = F.when(alias.isin("doc", "doc_id", "document"), "doc_id").when(alias.isin("shot", "shot_id"), "shot_id").when(alias.isin("video", "video_id"), "video_id")
-    parts.append(rows.select("query_id", F.explode("relevant").alias("e")).select("query_id", level.alias("level"), "e.id", F.coalesce("e.relevance", "e.grade", F.lit(1.0)).alias("grade")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.where("id IS NOT NULL AND level IS NOT NULL AND grade > 0").groupBy("query_id", "level", "id").agg(F.max("grade").alias("grade"))
+    """Judgements in JSON lines: (query_id, level, id, grade), the greatest grade of an id. A line names its query as query_id,
+    qid, query or id, and its judgements in fields by level (LEVEL_FIELDS), in fields of items with levels (ITEM_FIELDS: lists
+    of items, or a map of levels, or a map of document ids to grades) or in lists of document ids (ID_FIELDS). Grades that
+    are missing, not finite or not above 0 count 1. Lines without a query or that are no JSON objects are left out."""
+    rows = spark.read.text(path).where("trim(value) <> ''").select(F.from_json("value", "map<string,string>").alias("m")).where("m IS NOT NULL")
+    m = F.col("m")
+    rows = rows.withColumn("query_id", F.trim(F.coalesce(m["query_id"], m["qid"], m["query"], m["id"]))).where("query_id <> ''")
+    fields = F.create_map(*[F.lit(x) for level in LEVELS for f in LEVEL_FIELDS for x in (f.format(level), level)])
+    rows = rows.select("query_id", F.explode(F.map_entries("m")).alias("e")).select("query_id", "e.key", "e.value").where("value IS NOT NULL")
+    item = F.col("key").isin(ITEM_FIELDS)
+    rows = rows.withColumn("nested", F.when(item & F.startswith(F.trim("value"), F.lit("{")), F.from_json("value", "map<string,string>")))
+    rows = rows.withColumn("by_level", F.filter(F.transform(F.map_entries("nested"), lambda e: F.struct(fields[e["key"]].alias("level"), e["value"].alias("value"))), lambda p: p["level"].isNotNull()))
+    one = lambda level: F.array(F.struct(level.alias("level"), F.col("value").alias("value")))
+    held = F.when(fields[F.col("key")].isNotNull(), one(fields[F.col("key")])).when(item & (F.size("by_level") > 0), F.col("by_level")).when(item | F.col("key").isin(ID_FIELDS), one(F.lit("doc_id")))
+    rows = rows.select("query_id", F.explode(held).alias("h")).select("query_id", "h.level", "h.value").where("value IS NOT NULL")
+    out = rows.select("query_id", F.explode(_items(F.col("value"), F.col("level"))).alias("j")).select("query_id", "j.level", F.trim("j.id").alias("id"), "j.grade")
+    return out.groupBy("query_id", "level", "id").agg(F.max("grade").alias("grade"))

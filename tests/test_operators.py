@@ -158,14 +158,15 @@ def test_exact_search_equals_numpy_and_cells_recall(spark):
         vectors.exact_top_k(q, df, 0)
 
 
-def test_cells_find_nine_tenths_without_a_number_of_probes(spark):
+def test_cells_find_nine_tenths_without_a_number_of_probes(spark, tmp_path):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((2500, 32)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, vector array<float>")
     q = df.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
     placed, centres = vectors.build_cells(df)
-    placed = placed.localCheckpoint()
+    placed.write.parquet(f"{tmp_path}/placed")
+    placed = spark.read.parquet(f"{tmp_path}/placed")
     assert len(centres) == 50
     exact = vectors.exact_top_k(q, df, 10)
     recall = lambda probes: vectors.recall_at(vectors.approximate_top_k(q, placed, centres, 10, probes), exact).first()["recall"]
@@ -222,10 +223,36 @@ def test_selection_by_brute_force(spark):
         if all((h ^ o).bit_count() >= 30 for _, o in kept.setdefault(s, [])):
             kept[s].append((k, h))
     assert {(r["shot_id"], r["keyframe_id"]) for r in selection.drop_near_hashes(df, least=30).collect()} == {(s, k) for s, v in kept.items() for k, _ in v}
-    far = selection.farthest_points(df, 5).collect()
-    assert len(far) == 10 and len({r["keyframe_id"] for r in far}) == 10
-    reps = selection.cluster_representatives(df, ["shot_id"], 0.5).collect()
-    assert sum(r["cluster_size"] for r in reps) == 24 and all(n == 1 for n in pd.Series([r["keyframe_id"] for r in reps]).value_counts())
+    def dot(a, b):
+        return sum(x * y for x, y in zip(a, b))
+
+    far = set()
+    for s in ("s0", "s1"):
+        own = sorted((r for r in rows if r[0] == s), key=lambda r: (r[2], r[1]))
+        span = own[-1][2] - own[0][2]
+        chosen = [max(own, key=lambda r: 0.65 * r[3] + 0.35 * sum(dot(r[5], o[5]) for o in own) / len(own))]
+        while len(chosen) < 5:
+            left = [r for r in own if r not in chosen]
+            chosen.append(max(left, key=lambda r: 0.65 * (1 - max(dot(r[5], c[5]) for c in chosen)) + 0.20 * min(abs(r[2] - c[2]) for c in chosen) / span + 0.15 * r[3]))
+        far |= {r[1] for r in chosen}
+    assert {r["keyframe_id"] for r in selection.farthest_points(df, 5).collect()} == far
+
+    unit = {r[1]: [x / dot(r[5], r[5]) ** 0.5 for x in r[5]] for r in rows}
+    want = set()
+    for s in ("s0", "s1"):
+        clusters = [[r[1]] for r in sorted((r for r in rows if r[0] == s), key=lambda r: r[2])]
+        while len(clusters) > 1:
+            gaps = {(i, j): sum(1 - dot(unit[a], unit[b]) for a in clusters[i] for b in clusters[j]) / (len(clusters[i]) * len(clusters[j])) for i in range(len(clusters)) for j in range(i)}
+            i, j = min(gaps, key=gaps.get)
+            if gaps[i, j] > 0.5:
+                break
+            clusters[j] += clusters.pop(i)
+        for c in clusters:
+            centre = [sum(unit[k][d] for k in c) / len(c) for d in range(4)]
+            norm = dot(centre, centre) ** 0.5
+            quality = {r[1]: r[3] for r in rows}
+            want.add((max(c, key=lambda k: 0.80 * dot(unit[k], centre) / norm + 0.20 * quality[k]), len(c)))
+    assert {(r["keyframe_id"], r["cluster_size"]) for r in selection.cluster_representatives(df, ["shot_id"], 0.5).collect()} == want
     want = set()
     for s in ("s0", "s1"):
         last, n = None, 0
@@ -246,6 +273,171 @@ def test_windows_and_key_points(spark):
     assert 1 <= len(points) <= 3 and [r["point_no"] for r in points] == list(range(1, len(points) + 1))
 
 
+def test_key_points_by_brute_force(spark):
+    rnd = random.Random(8)
+    rows = [(f"v{i % 3}", f"s{i:03d}", round(rnd.random() * 200, 1), "t", [rnd.choice("abcdefghijkl") for _ in range(8)], round(rnd.choice([1.0, 1.5, rnd.random() * 3]), 6)) for i in range(90)]
+    rows = [(v, s, t, t + 3, x, w, q) for v, s, t, x, w, q in rows] + [("one", "only", 0.0, 0.5, "t", list("abcdef"), 1.0)]
+    want = set()
+    for v in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == v), key=lambda r: (r[2], r[1]))
+        span = max(1.0, *(r[3] for r in own))
+        like, open_, used, chosen = [0.0] * len(own), [True] * len(own), set(), []
+        while any(open_) and len(chosen) < 4:
+            fifth = [min(4, int(5 * r[2] / span)) for r in own]
+            best = max((i for i in range(len(own)) if open_[i]), key=lambda i: own[i][6] - 1.6 * like[i] + 0.35 * (fifth[i] not in used))
+            chosen.append(best)
+            used.add(fifth[best])
+            for i, r in enumerate(own):
+                near = len(set(r[5]) & set(own[best][5])) / len(set(r[5]) | set(own[best][5]))
+                like[i] = max(like[i], near)
+                open_[i] = open_[i] and near < 0.76 and i != best
+        want |= {(v, n + 1, own[i][1]) for n, i in enumerate(sorted(chosen))}
+    df = spark.createDataFrame(rows, "video_id string, segment_id string, start_time double, end_time double, text string, tokens array<string>, score double")
+    assert {(r["video_id"], r["point_no"], r["segment_id"]) for r in enrichment.key_points(df, 4).collect()} == want
+
+
+def test_spans_of_any_length_are_two_rows(spark):
+    k = spark.createDataFrame([("k1", "v", 5.0), ("k2", "v", 1e9), ("k3", "w", 1.0), ("k4", "v", -40.0)], "keyframe_id string, video_id string, pts_time double")
+    s = spark.createDataFrame([("a", "v", 0.0, 1e12, "long"), ("b", "v", 4.0, 5.0, "short"), ("c", "v", -1e300, -30.0, "early"), ("d", "w", 9.0, 2.0, "swapped"), ("e", "v", float("nan"), 1.0, "no time"), ("f", "v", 1e12, 1e308, "late")],
+                              "segment_id string, video_id string, start_time double, end_time double, text string")
+    assert temporal._spans(s.where("segment_id <> 'e'"), F.least("start_time", "end_time"), F.greatest("start_time", "end_time"), 30.0).count() <= 10
+    got = {r["keyframe_id"]: r["asr_text"] for r in temporal.interval_join(k, s).collect()}
+    assert got == {"k1": "long short", "k2": "long", "k3": "swapped", "k4": "early"}
+    near = {r["segment_id"]: r["keyframe_id"] for r in temporal.nearest_inside(s.where("segment_id <> 'e'"), k).collect()}
+    assert near == {"a": "k1", "b": "k1", "c": "k4", "d": None, "f": None}
+
+
+def test_joined_texts_stand_once(spark):
+    from framelens.functions.text import join_distinct
+
+    df = spark.createDataFrame([(["A  b", "a B", None, " ", "c", "C", "d"],), ([],), (None,)], "t array<string>")
+    assert [r[0] for r in df.select(join_distinct(F.col("t"), 2), join_distinct(F.col("t"), 9)).collect()][:2] == ["A b c", ""]
+    assert df.select(join_distinct(F.col("t"), 9)).first()[0] == "A b c d"
+
+
+def test_events_walk_over_many_batches(spark):
+    rnd = random.Random(4)
+    rows, at = [], {"a": 0.0, "b": 0.0}
+    for i in range(3000):
+        v = "a" if i % 4 else "b"
+        end = at[v] + rnd.choice([0.5, 3.0, 20.0, 45.0])
+        rows.append((v, f"{v}{i:05d}", i, at[v], end))
+        at[v] = end
+    want = []
+    for v in "ab":
+        first, ids, last = None, [], None
+        for _, s, _, start, end in (r for r in rows if r[0] == v):
+            if ids and end - first > 30:
+                want.append((v, first, last, tuple(ids)))
+                ids = []
+            first, last = (first, max(last, end)) if ids else (start, end)
+            ids.append(s)
+        want.append((v, first, last, tuple(ids)))
+    df = spark.createDataFrame(rows, "video_id string, shot_id string, shot_index int, start_time double, end_time double").repartition(5)
+    got = temporal.pack_events(df).collect()
+    assert sorted((r["video_id"], r["start_time"], r["end_time"], tuple(r["shot_ids"])) for r in got) == sorted(want) and all(r["shot_count"] == len(r["shot_ids"]) for r in got)
+    assert {(r["video_id"], r["event_no"]) for r in got} == {(v, n) for v in "ab" for n in range(sum(w[0] == v for w in want))}
+
+
+def test_exact_search_in_small_blocks_and_with_odd_vectors(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "QUERY_ROWS", 3)
+    monkeypatch.setattr(vectors, "VECTOR_ROWS", 11)
+    rng = np.random.default_rng(5)
+    x = np.round(rng.standard_normal((90, 4)), 1)
+    rows = [(i, v.tolist(), f"g{i % 4}") for i, v in enumerate(x)] + [(500, None, "g0"), (501, [], "g0"), (502, [1.0, None, 0.0, 0.0], "g1"), (503, [1.0, 2.0], "g1"), (504, [2.0, 1.0], "g1"), (505, [float("nan")] * 4, "g1"), (506, [1.0] * 4, None)]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<double>, g string").repartition(3)
+    q = df.where("vec_id % 10 = 0 OR vec_id >= 500").select(F.col("vec_id").alias("query_id"), "vector", F.col("g").alias("want"))
+    good = [(i, v, g) for i, v, g in rows if v and all(c is not None and c == c for c in v)]
+    for match in (None, ("want", "g")):
+        want = set()
+        for i, v, g in good:
+            if i % 10 == 0 or i >= 500:
+                best = sorted((-round(float(np.dot(v, w)), 6), j) for j, w, h in good if len(w) == len(v) and (match is None or (g is not None and g == h)))[:4]
+                want |= {(i, n + 1, j) for n, (_, j) in enumerate(best)}
+        got = vectors.exact_top_k(q, df, 4, match=match).collect()
+        assert {(r["query_id"], r["rank"], r["vec_id"]) for r in got} == want and len(got) == len(want)
+    assert vectors.exact_top_k(q.limit(0), df, 4).count() == 0 and vectors.exact_top_k(q, df.limit(0), 4).count() == 0
+
+
+@pytest.mark.parametrize("terms", [200_000, 0])
+def test_bm25_by_brute_force_on_both_paths(spark, monkeypatch, terms):
+    import math
+
+    monkeypatch.setattr(lexical, "BROADCAST_TERMS", terms)
+    rnd = random.Random(2)
+    docs = [(i, " ".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(0, 12))), f"l{i % 3}") for i in range(60)]
+    asked = [(1, "a b"), (2, "c c h x"), (3, "zz"), (4, "")]
+    df, q = spark.createDataFrame(docs, "doc_id long, text string, level string"), spark.createDataFrame(asked, "query_id long, text string")
+    n, mean = len(docs), sum(len(t.split()) for _, t, _ in docs) / len(docs)
+    idf = {w: math.log(1 + (n - f + 0.5) / (f + 0.5)) for w in "abcdefgh" if (f := sum(w in t.split() for _, t, _ in docs))}
+    score = lambda t, ws: round(sum(idf[w] * t.count(w) * 2.2 / (t.count(w) + 1.2 * (0.25 + 0.75 * len(t) / mean)) for w in ws if w in t), 6)
+    every = [(qi, level, -score(t.split(), ws), i) for qi, text in asked for ws in [set(text.split())] for i, t, level in docs if ws & set(t.split())]
+    want = sorted(every, key=lambda r: (r[0], r[2], r[3]))
+    got = [(r["query_id"], r["doc_id"]) for r in lexical.bm25(df, q, 5).orderBy("query_id", "rank").collect()]
+    assert got == [(qi, i) for qi in (1, 2) for _, _, _, i in [r for r in want if r[0] == qi][:5]]
+    by_level = {(r["query_id"], r["level"], r["rank"], r["doc_id"]) for r in lexical.bm25(df, q, 2, within="level").collect()}
+    assert by_level == {(qi, lv, k + 1, r[3]) for qi in (1, 2) for lv in ("l0", "l1", "l2") for k, r in enumerate([r for r in want if r[0] == qi and r[1] == lv][:2])}
+
+
+def test_substrings_by_brute_force(spark):
+    rnd = random.Random(3)
+    docs = [(i, " ".join(rnd.choice(["Alpha", "beta", "gam-ma", "x", "xx", "delta,"]) for _ in range(rnd.randint(0, 9)))) for i in range(80)] + [(900, None)]
+    asked = [(1, "pha beta x"), (2, "ALPHA BETA XX"), (3, "a, x"), (4, "-"), (5, "  ma "), (6, "x x x"), (7, "nothing here at all"), (8, None), (9, "x%")]
+    got = {tuple(r) for r in lexical.substring_hits(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(asked, "query_id long, text string"), ["text"]).collect()}
+    assert got == {(q, i) for q, s in asked if s and any(c.isalnum() for c in s) for i, t in docs if s.strip().lower() in (t or "").lower()}
+
+
+def test_descriptions_keep_the_editorial_part(spark):
+    text = ("Người dân vùng lũ nhận lương thực cứu trợ sáng hôm nay tại trung tâm xã http://t.co/x\n#tag\nTheo dõi fanpage của chúng tôi\n\n"
+            "Người dân vùng lũ nhận lương thực cứu trợ sáng hôm nay tại trung tâm xã\n\nQuá ngắn\n\n - Đội cứu hộ tiếp cận khu dân cư bị cô lập, phát thuốc men nước sạch cho bà con |")
+    df = spark.createDataFrame([(text,), (None,), ("",)], "t string")
+    got = [r[0] for r in df.select(enrichment.clean_description(F.col("t"))).collect()]
+    assert got[0] == ["Người dân vùng lũ nhận lương thực cứu trợ sáng hôm nay tại trung tâm xã.", "Đội cứu hộ tiếp cận khu dân cư bị cô lập, phát thuốc men nước sạch cho bà con."] and got[1:] == [[], []]
+    topic = spark.range(1).select(enrichment.topic_for(F.lit("L24"), F.lit("Đoàn A"), F.lit(text)), enrichment.topic_for(F.lit("L26"), F.lit("Gà kho MÓN NGON MỖI NGÀY tập 3"))).first()
+    assert topic[0].endswith("trung tâm xã.") and topic[1] == "Ẩm thực - Hướng dẫn nấu ăn: Gà kho"
+
+
+def test_captions_are_cleaned(spark):
+    from framelens.operators.understanding import parse_caption
+
+    raw = ['x ```json {"caption_vi": " a  b ", "main_subjects": [{"name_vi": "cô", "category": "PERSON", "count": "3", "confidence": "nan", "dominant_colors": ["đỏ", "đỏ"]}, {"category": "rock", "count": -2}], "visible_text": ["A", "", "A"], '
+           '"environment": "In door", "weather": "SUNNY", "confidence": 7}```', "no json", None, "{broken", '{"confidence": "x", "time_of_day": "Night"}']
+    got = [r[0] for r in spark.createDataFrame([(r,) for r in raw], "r string").select(parse_caption(F.col("r"))).collect()]
+    assert got[0]["caption"] == "a b" and got[0]["visible_text"] == ["A"] and (got[0]["environment"], got[0]["weather"], got[0]["confidence"]) == ("unknown", "sunny", 1.0)
+    one, two = got[0]["main_subjects"]
+    assert (one["category"], one["count"], one["confidence"], one["age_group"], one["dominant_colors"]) == ("person", 3, 0.0, "unknown", ["đỏ"]) and (two["category"], two["count"], two["age_group"]) == ("other", 1, "not_applicable")
+    assert got[1] is None and got[2] is None and got[4]["time_of_day"] == "night" and got[4]["confidence"] == 0.0
+
+
+def test_a_region_outside_the_frame_is_an_error(spark):
+    c = spark.createDataFrame([(1, 1, "k", "v", "s", 1.0, 0.9), (1, 2, "m", "v", "s", 2.0, 0.5)], "query_id int, rank int, keyframe_id string, video_id string, shot_id string, pts_time double, score double")
+    boxes = [(1, "k", 1, 1.0, 0.2, 0.1, 0.1, 0.5, 0.5), (1, "m", 1, 1.0, 0.9, 0.0, 0.0, 1.0, 1.0)]
+    kind = "query_id int, keyframe_id string, clause int, weight double, region_score double, x1 double, y1 double, x2 double, y2 double"
+    got = fusion.localized_search(c, spark.createDataFrame(boxes, kind), 5).collect()
+    assert [r["keyframe_id"] for r in got] == ["m"]  # one of a shot
+    with pytest.raises(Exception, match="invalid normalised box"):
+        fusion.localized_rerank(c, spark.createDataFrame(boxes[:1] + [(1, "m", 1, 1.0, 0.9, 0.5, 0.0, 0.5, 1.0)], kind)).collect()
+
+
+def test_feedback_marks_hold_each_id_once(spark):
+    rows = [("s", 1, 7, None), ("s", 2, 8, None), ("s", 3, 7, 5), ("s", 4, None, 5), ("t", 1, None, None)]
+    df = spark.createDataFrame(rows, "session_id string, revision int, positive_id long, negative_id long")
+    assert {tuple(r) for r in ledger.feedback_marks(df).collect()} == {("s", "positive", 7, 1), ("s", "positive", 8, 2), ("s", "negative", 5, 3)}
+    assert {tuple(r) for r in ledger.feedback_sizes(df).collect()} == {("s", 1, 1, 0), ("s", 2, 2, 0), ("s", 3, 2, 1), ("s", 4, 2, 1), ("t", 1, 0, 0)}
+
+
+def test_caption_of_the_nearest_frame(spark):
+    rnd = random.Random(1)
+    k = [(f"k{i:02d}", f"s{i % 3}", rnd.randint(0, 40)) for i in range(60)]
+    c = [("s0", rnd.randint(0, 40), f"c{i}") for i in range(9)] + [("s1", 5, "x"), ("s1", 15, "y"), ("s1", 15, "w")]
+    want = {}
+    for i, s, f in k:
+        best = min(((abs(f - g), g, t) for o, g, t in c if o == s), default=None)
+        want[i] = (best and best[2], "evidence_only" if best is None else "direct" if best[0] == 0 else "propagated")
+    got = temporal.propagate_captions(spark.createDataFrame(k, "keyframe_id string, shot_id string, frame_idx long"), spark.createDataFrame(c, "shot_id string, frame_idx long, caption string"))
+    assert {r["keyframe_id"]: (r["caption"], r["caption_source"]) for r in got.collect()} == want
+
+
 def test_sentence_windows_by_brute_force_without_a_video_in_memory(spark, capsys):
     rnd = random.Random(3)
     rows, at = [], 0.0

@@ -49,7 +49,21 @@ def test_qrels_of_every_shape(spark, tmp_path):
     lines = [{"query_id": "q", "relevant_doc_ids": ["d1", {"id": "d2", "relevance": 3}, {"id": "d0", "relevance": 0}]}, {"query_id": "q", "relevant_video_ids": ["v"], "relevant": [{"level": "shot", "id": "s", "relevance": 2}, {"level": "doc", "id": "d1", "relevance": 2}]}]
     (tmp_path / "q.jsonl").write_text("\n".join(map(json.dumps, lines)))
     got = {(r["level"], r["id"], r["grade"]) for r in readers.read_qrels(spark, str(tmp_path)).collect()}
-    assert got == {("doc_id", "d1", 2.0), ("doc_id", "d2", 3.0), ("video_id", "v", 1.0), ("shot_id", "s", 2.0)}
+    assert got == {("doc_id", "d0", 1.0), ("doc_id", "d1", 2.0), ("doc_id", "d2", 3.0), ("video_id", "v", 1.0), ("shot_id", "s", 2.0)}
+
+
+def test_qrels_of_other_names_and_grades(spark, tmp_path):
+    lines = [
+        {"qid": 7, "gold_shot_ids": {"s1": 2, "s2": -1, "s3": "x"}, "video_ids": "v1", "positive_ids": ["d1", {"value": "d2", "score": 2.5}]},
+        {"query": "q", "relevant": {"relevant_video_ids": ["v2"], "shot_id": {"id": "s4", "relevance_score": 4}}, "qrels": {"d3": 3, "d4": None}},
+        {"id": "r", "ground_truth": ["d5", {"level": "Video-ID", "video_id": "v3", "relevance": 1e400}, {"type": "SHOTS", "id": "s5"}, {"level": "scene", "id": "no"}, {"doc_id": "d6", "shot_id": "s6"}]},
+        {"relevant_ids": ["nobody"]}, "no object",
+    ]
+    (tmp_path / "q.jsonl").write_text("\n".join(map(json.dumps, lines)) + "\n\nbroken")
+    got = {tuple(r) for r in readers.read_qrels(spark, str(tmp_path)).collect()}
+    assert got == {("7", "shot_id", "s1", 2.0), ("7", "shot_id", "s2", 1.0), ("7", "shot_id", "s3", 1.0), ("7", "video_id", "v1", 1.0), ("7", "doc_id", "d1", 1.0), ("7", "doc_id", "d2", 2.5),
+                   ("q", "video_id", "v2", 1.0), ("q", "shot_id", "s4", 4.0), ("q", "doc_id", "d3", 3.0), ("q", "doc_id", "d4", 1.0),
+                   ("r", "doc_id", "d5", 1.0), ("r", "video_id", "v3", 1.0), ("r", "shot_id", "s5", 1.0), ("r", "doc_id", "d6", 1.0), ("r", "shot_id", "s6", 1.0)}
 
 
 def test_replacing_leaves_other_videos(spark, tmp_path):
