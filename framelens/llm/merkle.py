@@ -84,19 +84,19 @@ def split_records(payload: bytes):
 
 
 def records(chunks: DataFrame) -> DataFrame:
-    """segment, offset, length, page_id, record_id and sha256 digest of every record in ``chunks``."""
+    """segment, offset, length, page_id, record_id and sha256 digest of every record in ``chunks``, and its chunk's start."""
     ship_package(chunks.sparkSession)
 
     def run(batches):
         for batch in batches:
             for segment, start, payload in zip(batch.column("segment").to_pylist(), batch.column("start").to_pylist(), batch.column("payload")):
                 data = payload.as_py()
-                found = [(segment, start + at, n, page, name, hashlib.sha256(data[at:at + n]).hexdigest()) for at, n, name, page in split_records(data)]
+                found = [(segment, start, start + at, n, page, name, hashlib.sha256(data[at:at + n]).hexdigest()) for at, n, name, page in split_records(data)]
                 if found:
-                    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*found), kinds)], names=["segment", "offset", "length", "page_id", "record_id", "digest"])
+                    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*found), kinds)], names=["segment", "start", "offset", "length", "page_id", "record_id", "digest"])
 
-    return chunks.mapInArrow(run, "segment int, offset long, length long, page_id long, record_id string, digest string")
+    return chunks.mapInArrow(run, "segment int, start long, offset long, length long, page_id long, record_id string, digest string")
 
 
 def write_warc_files(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", compress: bool = True) -> None:
@@ -197,9 +197,10 @@ def audit(ours: DataFrame, theirs: DataFrame) -> DataFrame:
 
 
 def damaged(chunks: DataFrame) -> DataFrame:
-    """A replica with known faults, to measure the audit by. Of each record whose digest begins with 00 the last byte of
-    the content is inverted, one that begins with 01 is overwritten with zero bytes, one that begins with 02 is cut out,
-    and behind one that begins with 03 another is inserted, whose content is the digest."""
+    """The ``records`` of a replica with known faults, to measure the audit by. Of each record whose digest begins with 00
+    the last byte of the content is inverted, one that begins with 01 is overwritten with zero bytes, one that begins with
+    02 is cut out, and behind one that begins with 03 another is inserted, whose content is the digest. The replica is
+    written and read back; its chunks' starts follow from their new lengths, and only records are moved to them."""
     ship_package(chunks.sparkSession)
 
     def run(batches):
@@ -224,5 +225,5 @@ def damaged(chunks: DataFrame) -> DataFrame:
 
     made = materialize(chunks.mapInArrow(run, "segment int, start long, payload binary"))
     before = Window.partitionBy("segment").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    moved = made.select("segment", "start", F.coalesce(F.sum(F.octet_length("payload")).over(before), F.lit(0)).alias("moved"))
-    return made.join(moved, ["segment", "start"]).select("segment", F.col("moved").alias("start"), "payload")
+    moved = made.select("segment", "start", F.octet_length("payload").alias("n")).select("segment", "start", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("start")).alias("moved"))
+    return records(made).join(moved, ["segment", "start"]).withColumn("offset", F.col("offset") + F.col("moved")).drop("moved")

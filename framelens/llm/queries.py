@@ -61,7 +61,7 @@ def op9_merkle_audit(spark, sf_dir):
     """Pages as WARC segments against a replica with known faults: status of every record, ours and extra ones."""
     path = merkle.write_warc(table(spark, sf_dir, "pages"))
     ours = merkle.materialize(merkle.records(merkle.read_chunks(spark, path)))
-    theirs = merkle.materialize(merkle.records(merkle.damaged(merkle.read_chunks(spark, path))))
+    theirs = merkle.materialize(merkle.damaged(merkle.read_chunks(spark, path)))
     found = merkle.materialize(merkle.audit(ours, theirs))
     own = ours.join(found.where("status <> 'extra'").select("segment", "offset", "status"), ["segment", "offset"], "left")
     extra = theirs.join(found.where("status = 'extra'").select("segment", "offset", "status"), ["segment", "offset"])
