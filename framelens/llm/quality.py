@@ -201,7 +201,9 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> dict | No
     marks = marks.withColumn("part", F.pmod("turn", F.lit(parts)).cast("int"))
     found = documents_of(docs).join(F.broadcast(marks), "doc_id").select("part", "turn", "doc_id", "y", "text")
     told = found.mapInArrow(_describe, "part int, turn long, doc_id long, y double, x binary, count binary, bucket binary")
-    told = materialize(told.repartitionByRange(parts, "part").sortWithinPartitions("part", "turn", "doc_id", "x"))
+    loose = materialize(told)  # so that texts are described once, though the ranges are sampled
+    told = materialize(loose.repartitionByRange(parts, "part").sortWithinPartitions("part", "turn", "doc_id", "x"))
+    discard(loose)
 
     def trained(model: dict, rate: float):
         def run(batches):
