@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import STOPWORDS, clean_text, content_tokens, fold_key, is_boilerplate, jaccard, normalize_text, phrase_ngrams
+from ..functions.text import BOILERPLATE, STOPWORDS, clean_text, content_tokens, fold_key, is_boilerplate, jaccard, normalize_text, phrase_ngrams
 from .walk import walk
 
 # Phrases that open a new story, and phrases that are no subject, folded.
@@ -122,7 +122,7 @@ def subject_scores(transcripts: DataFrame, frequency: DataFrame) -> DataFrame:
     words = F.split("phrase", " ")
     content = F.filter(words, lambda w: ~w.isin(STOPWORDS))
     edge = ~F.element_at(words, 1).isin(STOPWORDS) & ~F.element_at(words, -1).isin(STOPWORDS)
-    rows = rows.where(edge & (F.size(content) >= 2) & F.forall(words, lambda w: F.length(w) >= 3) & ~_any_in(F.col("phrase"), STOP_PHRASES) & ~is_boilerplate(F.col("phrase")))
+    rows = rows.where(edge & (F.size(content) >= 2) & F.forall(words, lambda w: F.length(w) >= 3) & ~_any_in(F.col("phrase"), STOP_PHRASES + BOILERPLATE))  # phrases are folded already
     rows = rows.withColumn("weight", 1 + F.arrays_overlap(words, F.col("title_tokens")).cast("int"))
     counted = rows.groupBy("video_id", "phrase", "title_tokens").agg(F.sum("weight").alias("count"))
     in_title = F.size(F.array_except(F.filter(words, lambda w: ~w.isin(STOPWORDS)), F.col("title_tokens"))) == 0
