@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, kd_search, merkle, mixing, near_dedup, quality, sharding, token_files, url_rules, vector_dedup
+from . import bpe, kd_search, max_sketch, merkle, mixing, near_dedup, quality, sharding, token_files, url_rules, vector_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -134,6 +134,26 @@ def op8_token_files(spark, sf_dir):
     return read.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op12_lexical_search(spark, sf_dir):
+    index = max_sketch.read_index(spark, max_sketch.write_index(table(spark, sf_dir, "documents")))
+    return max_sketch.search(index, table(spark, sf_dir, "benchmark").select("item_id", "text"), 50)
+
+
+_TERMS_SQL = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP12_SQL = f"""
+WITH t AS (SELECT doc_id, {_TERMS_SQL.format("text")} AS t, row_number() OVER () AS r FROM documents WHERE text IS NOT NULL),
+d AS (SELECT r, doc_id, len(t) AS n, unnest(t) AS term FROM t),
+s AS (SELECT count(*) AS nn, CAST(sum(len(t)) AS BIGINT) AS l FROM t WHERE len(t) > 0),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS_SQL.format("text")}) AS term FROM benchmark),
+p AS (SELECT r, doc_id, n, term, count(*) AS tf FROM d WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * nn + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM p, s GROUP BY term, nn),
+c AS (SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nn) // l)))) AS BIGINT) AS score
+  FROM q JOIN p USING (term) JOIN w USING (term), s GROUP BY item_id, r, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM c WHERE score > 0 QUALIFY rank <= 50
+"""
+
+
 QUERIES = {
     "op1_url_rules": op1_url_rules,
     "op2_mixing": op2_mixing,
@@ -145,6 +165,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_merkle_audit": op9_merkle_audit,
     "op10_near_dedup": op10_near_dedup,
+    "op12_lexical_search": op12_lexical_search,
 }
 
 #: Components of links l (a, b): the smallest id that each end reaches.
@@ -182,4 +203,5 @@ ORACLES = {
     "op5_kd_search": OP5_SQL,
     "op9_merkle_audit": OP9_SQL,
     "op10_near_dedup": OP10_SQL,
+    "op12_lexical_search": OP12_SQL,
 }
