@@ -31,7 +31,7 @@ SPREAD, LEAST_SLOTS, MOST_SLOTS = 8, 64, 1 << 20
 FULL = 255
 #: Pairs of query and term in a block of queries, cells (documents times pairs) that are worked on at a time, documents
 #: that a query scores between two looks at its bounds, and rows of the sample.
-BLOCK_PAIRS, CELLS, TURN, PILOT_ROWS = 16_384, 1 << 21, 64, 16_384
+BLOCK_PAIRS, CELLS, TURN, PILOT_ROWS = 16_384, 1 << 21, 64, 4096
 #: Parts in which a query's answers meet before the last ranking.
 SALTS = 64
 
@@ -82,7 +82,7 @@ def write_index(docs: DataFrame) -> str:
     path = f"{shared_dir(spark)}/sketches-{uuid.uuid4().hex}"
     rows = documents_of(docs).mapInArrow(_index, INDEX.rsplit(",", 1)[0])
     share = max(1, docs.count() // PILOT_ROWS)
-    rows = rows.withColumn("pilot", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(share)) == 0)
+    rows = rows.withColumn("pilot", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(share)) == 0 if share > 1 else F.lit(False))
     rows.write.partitionBy("pilot").option("compression", "zstd").parquet(path)
     return path
 
