@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, kd_search, max_sketch, merkle, mixing, near_dedup, quality, sharding, token_files, url_rules, vector_dedup
+from . import bpe, kd_search, max_sketch, merkle, mixing, near_dedup, quality, sharding, token_files, toxicity, url_rules, vector_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -154,6 +154,10 @@ FROM c WHERE score > 0 QUALIFY rank <= 50
 """
 
 
+def op13_toxicity(spark, sf_dir):
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_url_rules": op1_url_rules,
     "op2_mixing": op2_mixing,
@@ -166,6 +170,7 @@ QUERIES = {
     "op9_merkle_audit": op9_merkle_audit,
     "op10_near_dedup": op10_near_dedup,
     "op12_lexical_search": op12_lexical_search,
+    "op13_toxicity": op13_toxicity,
 }
 
 #: Components of links l (a, b): the smallest id that each end reaches.
