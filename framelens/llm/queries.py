@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, kd_search, max_sketch, merkle, mixing, near_dedup, quality, sharding, token_files, toxicity, url_rules, vector_dedup
+from . import bpe, kd_search, max_sketch, merkle, mixing, near_dedup, quality, sharding, token_files, toxicity, url_rules, vector_dedup, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -134,6 +134,10 @@ def op8_token_files(spark, sf_dir):
     return read.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op11_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), 32)
+
+
 def op12_lexical_search(spark, sf_dir):
     index = max_sketch.read_index(spark, max_sketch.write_index(table(spark, sf_dir, "documents")))
     return max_sketch.search(index, table(spark, sf_dir, "benchmark").select("item_id", "text"), 50)
@@ -169,6 +173,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_merkle_audit": op9_merkle_audit,
     "op10_near_dedup": op10_near_dedup,
+    "op11_whitening": op11_whitening,
     "op12_lexical_search": op12_lexical_search,
     "op13_toxicity": op13_toxicity,
 }
