@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from heapq import heappop, heappush
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents_of, materialize
+from .common import discard, documents_of, materialize, spread_join
 
-#: A group larger than 1/LARGE of all bytes is packed alone; there can be fewer than LARGE of these.
-LARGE = 16_384
-#: The other groups are packed in so many hashed bundles. With LARGE this bounds what one place has to order.
-BUNDLES = 16_384
+#: Groups are packed by size; sizes that agree in so many leading bits are one class, packed as the largest of them. So
+#: there are fewer than 2**BITS classes for each power of two, whatever the corpus.
+BITS = 10
+#: Copies of a row that get their slots together.
+COPIES = 1 << 16
 #: Rows get their slots in parts of a shard: PARTS at least, and as many as keep a part at about PART_ROWS.
 PARTS = 64
 PART_ROWS = 1 << 16
@@ -92,73 +93,107 @@ class Rooms:
         return t
 
 
-def best_fit(items: list[tuple[int, int]], capacity: int) -> list[list]:
-    """Best fit of (size, item), largest first, into as few bins of ``capacity`` as it needs: each item enters the bin with
-    the least room that still holds it, found in a balanced tree. An item above the capacity has a bin of its own."""
-    bins: list[list] = []
+Classes = list[tuple[int, int]]
+Bins = list[dict[int, int]]
+
+
+def best_fit_counts(classes: Classes, capacity: int) -> Bins:
+    """Best fit of ``classes`` (size, number of items), largest first, into as few bins of ``capacity`` as it needs: for each
+    bin how many items of each class. Each item enters the bin with the least room that still holds it, found in a balanced
+    tree; as the next of its class then fits there best too while there is room, a bin takes several at once. An item above
+    the capacity has a bin of its own."""
+    bins: Bins = []
     rooms = Rooms()
-    for size, item in items:
-        room, k = rooms.take_tightest(size) or (capacity, len(bins))
-        if k == len(bins):
-            bins.append([])
-        bins[k].append(item)
-        if room > size:
-            rooms.add((room - size, k))
+    for c, (size, left) in enumerate(classes):
+        while left:
+            room, k = rooms.take_tightest(size) or (capacity, len(bins))
+            if k == len(bins):
+                bins.append({})
+            n = min(left, max(1, room // size))
+            bins[k][c] = n
+            left -= n
+            if room > n * size:
+                rooms.add((room - n * size, k))
     return bins
 
 
-def least_loaded(items: list[tuple[int, int]], shards: int) -> list[list]:
-    """Each of (size, item), largest first, into the bin with the fewest bytes so far."""
-    bins: list[list] = [[] for _ in range(shards)]
-    loads = [(0, k) for k in range(shards)]
-    for size, item in items:
-        load, k = heappop(loads)
-        bins[k].append(item)
-        heappush(loads, (load + size, k))
-    return bins
+def level(classes: Classes, bins: Bins) -> None:
+    """Moves between bins, which best fit fills in turn: into the emptiest, from the fullest bin that has one, the largest
+    item that fits into half of what the two differ by, or else the smallest that is below all of it; until no move helps."""
+    loads = [sum(classes[c][0] * n for c, n in held.items()) for held in bins]
+    for _ in range(64 * len(bins)):
+        low = min(range(len(bins)), key=loads.__getitem__)
+        for high in sorted(range(len(bins)), key=lambda k: -loads[k]):
+            differ = loads[high] - loads[low]
+            sizes = [(classes[c][0], c) for c in bins[high] if classes[c][0] < differ]
+            if sizes:
+                break
+        else:
+            return
+        size, c = max((x for x in sizes if 2 * x[0] <= differ), default=min(sizes))
+        n = min(bins[high][c], max(1, differ // 2 // size))
+        for k, m in ((high, -n), (low, n)):
+            bins[k][c] = bins[k].get(c, 0) + m
+            loads[k] += m * size
+        if not bins[high][c]:
+            del bins[high][c]
 
 
-def pack(items: list[tuple[int, int]], shards: int) -> dict[int, int]:
-    """Item to shard. An item above the fair share of what is left gets a shard of its own, largest first. The others
-    go by best fit into the remaining shards, at the smallest capacity, found by halving to a thousandth, that needs no more of them.
-    Best fit can leave shards empty or light where items are near the fair share; if one holds under nine tenths of the
-    mean, the others go to the least loaded shard instead, where that brings the loads closer together."""
-    items = sorted(((s, k) for s, k in items), key=lambda x: (-x[0], x[1]))
-    if not items:
-        return {}
-    total, own = sum(s for s, _ in items), 0
-    while items[own][0] * (shards - own) > total:
-        total -= items[own][0]
-        own += 1
-        if own == len(items):
-            return {item: k for k, (_, item) in enumerate(items)}
-    place = {item: k for k, (_, item) in enumerate(items[:own])}
-    items, shards = items[own:], shards - own
-    low, high = max(-(-total // shards), items[0][0]), max(2 * -(-total // shards), items[0][0])
-    bins = best_fit(items, high)
-    while len(bins) > shards:
-        high *= 2
-        bins = best_fit(items, high)
-    while high - low > total // (1000 * shards):
+def pack_counts(classes: Classes, shards: int) -> Bins:
+    """``classes`` (size, number of items), largest first, into ``shards`` bins. An item above the fair share of what is left
+    gets a bin of its own, largest first. The others go by best fit into the remaining bins, at the smallest capacity,
+    found by halving to a thousandth, that needs no more of them; ``level`` then evens what the last bins lack."""
+    total = sum(s * n for s, n in classes)
+    own: Bins = []
+    left = [n for _, n in classes]
+    for c, (size, _) in enumerate(classes):
+        while left[c] and size * (shards - len(own)) > total:
+            own.append({c: 1})
+            left[c] -= 1
+            total -= size
+    rest, at = [(s, n) for (s, _), n in zip(classes, left) if n], [c for c, n in enumerate(left) if n]
+    if not rest:
+        return own + [{} for _ in range(shards - len(own))]
+    free = shards - len(own)
+    low = max(-(-total // free), rest[0][0])
+    high = 2 * low
+    bins = best_fit_counts(rest, high)
+    while high - low > total // (1000 * free):
         mid = (low + high) // 2
-        tried = best_fit(items, mid)
-        if len(tried) <= shards:
+        tried = best_fit_counts(rest, mid)
+        if len(tried) <= free:
             bins, high = tried, mid
         else:
             low = mid + 1
-    bins += [[] for _ in range(shards - len(bins))]
-    size = {item: s for s, item in items}
-    loads = lambda bins: [sum(size[item] for item in held) for held in bins]
-    if 10 * shards * min(loads(bins)) < 9 * total:
-        bins = min(bins, least_loaded(items, shards), key=lambda b: max(loads(b)) - min(loads(b)))
-    return place | {item: own + k for k, held in enumerate(bins) for item in held}
+    bins += [{} for _ in range(free - len(bins))]
+    level(rest, bins)
+    return own + [{at[c]: n for c, n in held.items()} for held in bins]
+
+
+def _each(items: list[tuple[int, int]], packing: Callable[[Classes], Bins]) -> list[list]:
+    """``packing`` of single (size, item): the items of each bin, those of a size in their order."""
+    queues: dict[int, list] = {}
+    for size, item in sorted(items, key=lambda x: (-x[0], x[1])):
+        queues.setdefault(size, []).append(item)
+    classes = [(size, len(held)) for size, held in queues.items()]
+    taken = {size: iter(held) for size, held in queues.items()}
+    return [[next(taken[classes[c][0]]) for c, n in held.items() for _ in range(n)] for held in packing(classes)]
+
+
+def best_fit(items: list[tuple[int, int]], capacity: int) -> list[list]:
+    """``best_fit_counts`` of single (size, item)."""
+    return _each(items, lambda classes: best_fit_counts(classes, capacity))
+
+
+def pack(items: list[tuple[int, int]], shards: int) -> dict[int, int]:
+    """``pack_counts`` of single (size, item): item to shard."""
+    return {item: k for k, held in enumerate(_each(items, lambda classes: pack_counts(classes, shards))) for item in held}
 
 
 def fixed_capacity(docs: DataFrame, capacity: int) -> DataFrame:
     """The rows of ``shard`` for shards of ``capacity`` bytes each, of which best-fit-decreasing opens as few as it needs.
-    A group above the capacity fills a shard alone; small groups are packed in hashed bundles, so ``capacity`` should be
-    well above 1/16384 of all bytes. Input is handled as by ``shard``."""
-    return _packed(docs, lambda items: {item: k for k, held in enumerate(best_fit(sorted(items, key=lambda x: (-x[0], x[1])), capacity)) for item in held})
+    A group above the capacity fills a shard alone. Input is handled as by ``shard``."""
+    return _packed(docs, lambda classes: best_fit_counts(classes, capacity))
 
 
 def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
@@ -168,47 +203,61 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     numbers a shard's rows from 0 without gaps. Repeated rows stay; null doc_ids are ordinary values; texts of any length
     are one item; an empty table gives an empty one; extra columns are left out; fewer groups than shards leave shards
     empty; a group above a fair share fills a shard alone, and the other shards are near equal among themselves. Groups of
-    equal size are packed in the order of their hashes, so reruns agree.
+    one class of sizes (see BITS) are packed in the order of their hashes, so reruns agree.
 
-    Groups above 1/16384 of all bytes, fewer than 16384 of them, are packed one by one; all others in 16384 hashed
-    bundles. So what is ordered in one place has a fixed bound whatever the corpus.
+    Every group is an item of the packing. What is ordered in one place is the classes of sizes with their counts; which
+    groups of a class a shard gets is told by their places in it, which are counted in parts.
     """
-    return _packed(docs, lambda items: pack(items, shards))
+    return _packed(docs, lambda classes: pack_counts(classes, shards))
 
 
-def _packed(docs: DataFrame, packing) -> DataFrame:
+def _class(size):
+    """The greatest size with the same leading bits."""
+    unit = F.pow(F.lit(2.0), F.greatest(F.lit(0), F.floor(F.log2(size.cast("double"))) + 1 - BITS)).cast("long")
+    return (F.floor(size / unit) + 1) * unit - 1
+
+
+def _packed(docs: DataFrame, packing: Callable[[Classes], Bins]) -> DataFrame:
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     rows = materialize(documents_of(docs).select(
         "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
         F.xxhash64(text).alias("family")))
-    found = rows.agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).first()
-    total = found["bytes"]
-    if total is None:
-        return rows.select("doc_id", "size", "text_crc32", F.lit(None).cast("int").alias("shard"), F.lit(None).cast("long").alias("slot"))
-    bundle = F.pmod("family", F.lit(BUNDLES))
-    groups = materialize(rows.groupBy("family").agg(F.sum("size").alias("bytes")))
-    large = F.col("bytes") * LARGE > total
-    items = groups.groupBy(F.when(large, F.col("family")).alias("own"), F.when(~large, bundle).alias("item")).agg(F.sum("bytes").alias("bytes"))
-    # Fewer than LARGE groups alone, and at most BUNDLES bundles.
-    both = sorted(((r["bytes"], r["own"], r["item"]) for r in items.collect()), key=lambda x: (-x[0], x[1] is None, x[1] or 0, x[2] or 0))
-    place = packing([(size, k) for k, (size, _, _) in enumerate(both)])
-    table = spark.createDataFrame([(own, item, place[k]) for k, (_, own, item) in enumerate(both)], "own long, item long, shard int")
-    alone = table.where("own IS NOT NULL").select(F.col("own").alias("family"), F.col("shard").alias("own_shard"))
-    shared = table.where("own IS NULL").select("item", F.col("shard").alias("bundle_shard"))
-    rows = rows.join(F.broadcast(alone), "family", "left").withColumn("item", bundle).join(F.broadcast(shared), "item", "left")
-    parts = max(PARTS, found["n"] // (PART_ROWS * (max(place.values()) + 1)))
-    rows = rows.withColumns({"shard": F.coalesce("own_shard", "bundle_shard"),
-                             "part": F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(parts)).cast("int")})
-    return number(rows.select("doc_id", "size", "text_crc32", "shard", "part"))
-
-
-def number(rows: DataFrame) -> DataFrame:
-    """slot for rows with shard and part: the part's first slot plus the row's place in the part."""
-    counts = rows.groupBy("shard", "part").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    inside = Window.partitionBy("shard", "part").orderBy("doc_id", "size", "text_crc32")
-    rows = rows.withColumn("place", F.row_number().over(inside) - 1)
-    return rows.join(first, ["shard", "part"]).select(
-        "doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("place")).cast("long").alias("slot"))
+    groups = materialize(rows.groupBy("family").agg(F.sum("size").alias("bytes"), F.count("*").alias("weight")).withColumn("class", _class(F.col("bytes"))))
+    counted = sorted(((r["class"], r["n"]) for r in groups.groupBy("class").agg(F.count("*").alias("n")).collect()), reverse=True)  # one row for each class
+    bins = packing(counted)
+    before, table = {}, []
+    for k, held in enumerate(bins):
+        for c, n in held.items():
+            first = before.get(c, 0)
+            table.append((counted[c][0], first, first + n, k))
+            before[c] = first + n
+    ranges = spark.createDataFrame(table, "class long, low long, high long, shard int")  # one row for each class and shard
+    n_groups = sum(n for _, n in counted)
+    parts = max(PARTS, n_groups // PART_ROWS)
+    placed = number(groups.select("family", "weight", "class", F.pmod(F.xxhash64(F.lit(3), "family"), F.lit(parts)).cast("int").alias("part")), ["class"], ["family"], "place")
+    placed = placed.join(F.broadcast(ranges), "class").where("place >= low AND place < high").select("family", "weight", "shard")
+    placed = materialize(placed)
+    rows = spread_join(rows, placed, ["family"], F.xxhash64("doc_id", "size", F.monotonically_increasing_id()))
+    # Equal rows are counted first, so that many copies of one are not sorted in one task.
+    rows = rows.groupBy("shard", "doc_id", "size", "text_crc32").agg(F.count("*").alias("copies"))
+    rows = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES))))
+    rows = rows.withColumn("copies", F.least(F.col("copies") - F.col("chunk") * COPIES, F.lit(COPIES)))
+    total = placed.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
+    parts = max(PARTS, total // (PART_ROWS * max(1, len(bins))))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "size", "text_crc32", "chunk"), F.lit(parts)).cast("int"))
+    rows = materialize(number(rows, ["shard"], ["doc_id", "size", "text_crc32", "chunk"], "first", "copies"))
+    discard(groups, placed)
+    return rows.select("doc_id", "size", "text_crc32", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("copies") - 1)).alias("slot"))
+
+
+def number(rows: DataFrame, within: list[str], order: list[str], name: str, weight: str | None = None) -> DataFrame:
+    """``rows`` with ``name``: the sum of ``weight`` (or number) of the rows before each inside ``within``, by part and then
+    ``order``. Parts are summed first, so that a task sorts one part of a group."""
+    each = F.col(weight) if weight else F.lit(1).cast("long")
+    counts = rows.groupBy(*within, "part").agg(F.sum(each).alias("n"))
+    before = Window.partitionBy(*within).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select(*within, "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first_of_part"))
+    inside = Window.partitionBy(*within, "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn(name, F.sum(each).over(inside) - each)
+    return rows.join(first, [*within, "part"]).withColumn(name, (F.col(name) + F.col("first_of_part")).cast("long")).drop("first_of_part", "part")

@@ -53,9 +53,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     lengths, labels, size = sorted(found["lengths"]), sorted(found["labels"]), found["bytes"]
 
     judged = pages.drop("host", "path", "rule", "verdict")
-    judged = judged.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+    # The row goes as one column, so that none of its names meets one that is needed here.
+    judged = judged.select(F.struct(*[F.col(f"`{c}`") for c in judged.columns]).alias("row"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     if not lengths:
-        return judged.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
+        return judged.select("row.*", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
 
     pairs = judged.groupBy("host", "path").agg(F.count("*").alias("weight"))
     suffixes = F.transform(F.filter(F.array(*map(F.lit, labels)), lambda n: n <= F.col("n_labels")), lambda n: _last_labels("host", n))
@@ -73,9 +74,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     order = F.struct(F.length("r_host") + F.length("r_path"), F.length("r_host"), F.col("r_verdict") == "block")
     best = hits.groupBy("host", "path").agg(
         F.max_by(F.struct(F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict")), order).alias("best"))
-    by = F.col("page_id" if "page_id" in judged.columns else "url")
-    return spread_join(judged, pairs, ["host", "path"], by, found=best).select(*judged.columns, "best").withColumns({
-        "rule": F.col("best.rule"), "verdict": F.coalesce("best.verdict", F.lit(default))}).drop("best")
+    by = F.col("row.page_id" if "page_id" in pages.columns else "row.url")
+    return spread_join(judged, pairs, ["host", "path"], by, found=best).select(
+        "row.*", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
 def _labels(host: str) -> Column:

@@ -43,6 +43,16 @@ def test_url_rules_equal_brute_force(spark, monkeypatch, broadcast):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
+def test_url_rules_keep_columns_of_any_name(spark):
+    names = ["page_id", "url", "best", "row", "weight", "key", "digest", "__salt", "__parts", "suffix", "a.b"]
+    pages = spark.createDataFrame([(1, "http://x.com/en/1", *range(9)), (2, None, *range(9))], "page_id long, url string, " + ", ".join(f"`{n}` int" for n in names[2:]))
+    for rules in (URL_RULES, []):
+        got = url_rules.judge_urls(pages, spark.createDataFrame(rules, "host string, path string, verdict string"))
+        assert got.columns == [*names, "host", "path", "rule", "verdict"]
+        rows = sorted(map(tuple, got.collect()))
+        assert [r[2:11] for r in rows] == [tuple(range(9))] * 2 and rows[0][-1] == ("block" if rules else "allow")
+
+
 def test_long_hosts_and_rules_of_many_labels(spark):
     rules = [("a.b.c.d.com", "", "block"), ("com", "/x", "allow"), ("", "/y", "block")]
     long = "http://" + "q." * 30_000
