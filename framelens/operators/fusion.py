@@ -10,6 +10,8 @@ from ..functions.geometry import valid_box
 from .lexical import filter_level, filter_time
 
 RRF_K = 60.0
+#: Candidates that a channel without filters of its own fetches for each one that it passes on.
+OVER_FETCH = 4
 
 
 def rrf(rankings: DataFrame, k: int, weights: dict[str, float] | None = None, id_col: str = "doc_id", rrf_k: float = RRF_K) -> DataFrame:
@@ -154,3 +156,10 @@ def post_filter(ranked: DataFrame, docs: DataFrame, k: int, levels: list[str] |
             rows = rows.where(F.contains(F.lower(column), F.lit(value.lower())))
     by = Window.partitionBy("query_id").orderBy("rank")
     return rows.withColumn("new_rank", F.row_number().over(by)).where(F.col("new_rank") <= k)
+
+
+def over_fetched(ranked: DataFrame, docs: DataFrame, k: int, **filters) -> DataFrame:
+    """A channel whose search cannot filter: of its candidates, OVER_FETCH times k of which are asked for, the ``k`` best that
+    pass ``post_filter``, ranked anew; (query_id, rank, doc_id)."""
+    kept = post_filter(ranked, docs, k, **filters)
+    return kept.select("query_id", F.col("new_rank").alias("rank"), "doc_id")

@@ -60,90 +60,16 @@ def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "v
 
 
 def group_vectors(rows: DataFrame, group: list[str]) -> DataFrame:
-    """Per group: mean vector normalised to unit length, first and last time, and number of rows. Vectors of a group have
-    one length; null ones count for no mean."""
+    """Per group: mean vector normalised to unit length, first and last time, and number of rows. The mean is that of the
+    sound vectors (see ``exact_top_k``) of the group's commonest length, of equally common ones the greatest; a group without a
+    sound vector has no row. Times and numbers count all rows of the group."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
-    made = rows.where("vector IS NOT NULL").groupBy(*group).agg(Summarizer.mean(array_to_vector(F.col("vector").cast("array<double>"))).alias("mean"))
+    by_length = rows.where(sound).groupBy(*group, F.size("vector").alias("__dim")).agg(Summarizer.mean(array_to_vector(F.col("vector").cast("array<double>"))).alias("__mean"), F.count("*").alias("__n"))
+    made = by_length.groupBy(*group).agg(F.max_by(vector_to_array("__mean"), F.struct("__n", "__dim")).alias("mean"))
     span = rows.groupBy(*group).agg(F.min("pts_time").alias("start_time"), F.max("pts_time").alias("end_time"), F.count("*").alias("keyframe_count"))
-    return made.join(span, group).withColumn("vector", l2_normalize(vector_to_array("mean"))).drop("mean")
-
-
-def build_cells(vectors: DataFrame, n_cells: int | None = None, sample: int = 20_000, seed: int = 7) -> tuple[DataFrame, np.ndarray]:
-    """Inverted-file cells: every row of ``vectors`` with its cell, and the cell centres. Centres are fitted by k-means
-    on about ``sample`` rows, or 40 for each cell if that is more; their number is the square root of the rows, between
-    1 and 4096."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    n = vectors.count()
-    n_cells = n_cells or max(1, min(4096, round(n**0.5)))
-    sample = max(sample, 40 * n_cells)
-    part = vectors.select(array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
-    if n > sample:
-        part = part.sample(False, min(1.0, sample / n), seed)
-    model = KMeans(k=max(2, n_cells), seed=seed, maxIter=10).fit(part)
-    centres = np.array(model.clusterCenters())
-    placed = model.transform(vectors.withColumn("features", array_to_vector(F.col("vector").cast("array<double>"))))
-    return placed.drop("features").withColumnRenamed("prediction", "cell"), centres
-
-
-def _far(vector: pa.Array, centres: np.ndarray) -> np.ndarray:
-    """Squared distance of each vector to each centre, less the vector's own square."""
-    x = vector.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vector), -1)
-    return (centres**2).sum(axis=1)[None, :] - 2 * x @ centres.T
-
-
-def probes_for(queries: DataFrame, placed: DataFrame, centres: np.ndarray, k: int, least: float = 0.92, sample: int = 1000, id_col: str = "vec_id") -> int:
-    """Smallest number of probes with a recall of ``least`` against exact search.
-
-    An exact answer is found if its cell is among the probed ones, so its cell's place in the query's order of cells
-    gives the recall at every number of probes. Measured on all queries, or on ``sample`` of them in the order of their
-    hashes if there are more; ``least`` lies above the required 0.9 for that.
-    """
-    asked = queries.select("query_id", "vector").orderBy(F.xxhash64("query_id"), "query_id").limit(sample)
-    answers = exact_top_k(asked, placed, k, id_col).join(placed.select(id_col, "cell"), id_col)
-    answers = answers.join(asked, "query_id").select("vector", "cell")
-
-    def place(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                far, cell = _far(part.column("vector"), centres), part.column("cell").to_numpy()
-                order = np.argsort(far, axis=1, kind="stable")
-                yield pa.RecordBatch.from_arrays([pa.array(np.argmax(order == cell[:, None], axis=1).astype(np.int32))], names=["place"])
-
-    # One row for each place at most.
-    counts = sorted((r["place"], r["count"]) for r in answers.mapInArrow(place, "place int").groupBy("place").count().collect())
-    found, total = 0, sum(n for _, n in counts)
-    for at, n in counts:
-        found += n
-        if found >= least * total:
-            return at + 1
-    return len(centres)
-
-
-def approximate_top_k(queries: DataFrame, placed: DataFrame, centres: np.ndarray, k: int, probes: int | None = None, id_col: str = "vec_id") -> DataFrame:
-    """Top k of the rows in the ``probes`` cells whose centres are nearest to the query; without a number, as many as
-    ``probes_for`` measures."""
-    probes = min(probes or probes_for(queries, placed, centres, k, id_col=id_col), len(centres))
-    # Queries at a time, so that at most 65,536 copies of a query are in memory.
-    step = max(1, 65_536 // probes)
-
-    def nearest(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                cells = np.argsort(_far(part.column("vector"), centres), axis=1, kind="stable")[:, :probes].astype(np.int32)
-                copies = part.take(pa.array(np.repeat(np.arange(part.num_rows), probes)))
-                yield pa.RecordBatch.from_arrays([copies.column("query_id"), copies.column("vector"), pa.array(cells.ravel())], names=["query_id", "vector", "cell"])
-
-    kind = queries.schema["query_id"].dataType.simpleString()
-    vector = queries.schema["vector"].dataType.simpleString()
-    probed = queries.select("query_id", "vector").mapInArrow(nearest, f"query_id {kind}, vector {vector}, cell int").withColumnRenamed("vector", "q")
-    scored = placed.join(probed, "cell").select("query_id", id_col, F.round(dot(F.col("q"), F.col("vector")), 6).alias("score"))
-    return top_k(scored, k, id_col)
+    return made.join(span, group).withColumn("vector", l2_normalize(F.col("mean"))).drop("mean")
 
 
 def recall_at(found: DataFrame, exact: DataFrame, id_col: str = "vec_id") -> DataFrame:
@@ -153,10 +79,11 @@ def recall_at(found: DataFrame, exact: DataFrame, id_col: str = "vec_id") -> Dat
 
 
 def two_stage(queries: DataFrame, vectors: DataFrame, n_groups: int, k: int) -> DataFrame:
-    """Best shots by their mean vectors, then the best keyframes inside these."""
+    """Best shots by their mean vectors, then the best keyframes inside these. Unsound vectors, and those that differ in
+    length from the query's, take no part."""
     shots = group_vectors(vectors, ["shot_id"])
     best = exact_top_k(queries, shots.select("shot_id", "vector"), n_groups, "shot_id").select("query_id", "shot_id")
-    inside = vectors.join(best, "shot_id").join(queries.select("query_id", F.col("vector").alias("q")), "query_id")
+    inside = vectors.where(sound).join(best, "shot_id").join(queries.where(sound).select("query_id", F.col("vector").alias("q")), "query_id").where("size(q) = size(vector)")
     return top_k(inside.select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("vector")), 6).alias("score")), k, "vec_id")
 
 

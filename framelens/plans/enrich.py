@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions.text import BOILERPLATE, STOPWORDS, clean_text, content_tokens, keyword_union
@@ -250,21 +248,10 @@ def post_filtered_search(spark, d):
     return fusion.post_filter(ranked, docs.drop("text"), 10, ["frame", "shot"], low=60.0, high=400.0).select("query_id", "doc_id", "new_rank")
 
 
-def _shared(spark):
-    """A new folder in the one the cluster shares; a local one where a session of one machine names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        import tempfile
-        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 @query("SELECT event_id, user_id, event_type FROM events")
 def streaming_ingest(spark, d):
     """Events as files that arrive, kept by user."""
-    at = _shared(spark)
+    at = X.new_folder(spark, "stream")
     stream = ingest.file_stream(spark, f"{d}/events.parque[t]", X.table(spark, d, "events").schema)
     ingest.ingest_by_video(stream.withColumn("part", F.col("user_id") % 16), f"{at}/table", f"{at}/log", "part").awaitTermination()
     return spark.read.parquet(f"{at}/table").select("event_id", "user_id", "event_type")
@@ -273,7 +260,7 @@ def streaming_ingest(spark, d):
 @query("SELECT o_custkey, o_orderkey, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
 def streaming_latest(spark, d):
     """Latest order of each customer from an append log that arrives as files."""
-    at = _shared(spark)
+    at = X.new_folder(spark, "stream")
     stream = ingest.file_stream(spark, f"{d}/orders.parque[t]", X.table(spark, d, "orders").schema)
     ingest.keep_latest(stream, f"{at}/table", f"{at}/log", ["o_custkey"], ["o_orderdate", "o_orderkey"], 8).awaitTermination()
     return spark.read.parquet(f"{at}/table").select("o_custkey", "o_orderkey", "o_orderstatus")
@@ -282,7 +269,7 @@ def streaming_latest(spark, d):
 @query(with_views("speech", body="SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations GROUP BY conv_id"))
 def streaming_refresh(spark, d):
     """Transcripts of the conversations that new files touch, rebuilt from all their turns."""
-    at = _shared(spark)
+    at = X.new_folder(spark, "stream")
     stream = ingest.file_stream(spark, f"{d}/conversations.parque[t]", X.table(spark, d, "conversations").schema).withColumn("part", F.col("conv_id") % 16)
     source = lambda s: X.table(s, d, "conversations").withColumn("part", F.col("conv_id") % 16)
     build = lambda rows: rows.groupBy("part", "conv_id").agg(F.array_join(documents.ordered_texts(["turn"], "text"), " ").alias("text"))

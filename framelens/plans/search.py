@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import FOLD_FROM, FOLD_TO
-from ..operators import evaluate, fusion, lexical, temporal, vectors
+from ..operators import cells, encoder, evaluate, fusion, lexical, temporal, vectors
 from . import fixtures as X
 from .fixtures import with_views
 
@@ -166,11 +166,11 @@ def vector_topk_by_video(spark, d):
 
 @query()
 def ivf_topk(spark, d):
-    """Answers of the cells and, in every row, their recall against exact search over the same queries."""
-    placed, centres = vectors.build_cells(X.vectors(spark, d))
-    asked = X.query_vectors(spark, d)
-    found = vectors.approximate_top_k(asked, placed, centres, K)
-    return found.crossJoin(F.broadcast(vectors.recall_at(found, vectors.exact_top_k(asked, X.vectors(spark, d), K))))  # one row
+    """A stored index of cells, built here, and its answers; each row has the recall measured when it was built."""
+    path = X.new_folder(spark, "cells")
+    cells.write_cells(X.vectors(spark, d).select("vec_id", "vector"), path, K)
+    index = cells.open_cells(spark, path)
+    return cells.search_cells(index, X.query_vectors(spark, d), K).withColumn("recall", F.lit(index.recall).cast("double"))
 
 
 @query(with_views("vectors", "query_vectors", body=f""", long AS (SELECT shot_id, unnest(vector) AS x, unnest(range(0, len(vector))) AS pos FROM vectors),
@@ -188,45 +188,113 @@ WEIGHTS = {"fts:event": 0.8, "fts:shot": 1.0, "fts:frame": 0.65, "ann:shot": 1.1
 CANDIDATES = 50
 
 
+def _encoded(spark, d):
+    """Vectors of documents (shots and frames) and of queries, in one space."""
+    docs = X.search_documents(spark, d)
+    weights = encoder.bucket_weights(docs.select("doc_id", "text"))
+    seen = encoder.encode(docs.where("level IN ('shot', 'frame')").select("doc_id", "text"), weights)
+    return seen, encoder.encode(X.queries(spark, d).select("query_id", "text"), weights, "query_id")
+
+
+def _near(spark, d, k):
+    """(query_id, level, rank, doc_id): vectors of each level, ranked apart."""
+    seen, asked = _encoded(spark, d)
+    seen = seen.join(X.search_documents(spark, d).select("doc_id", "level"), "doc_id")
+    asked = asked.select(F.explode(F.array(F.lit("shot"), F.lit("frame"))).alias("level"), "query_id", "vector")
+    asked = asked.select("level", F.concat_ws(":", "query_id", "level").alias("query_id"), "vector")
+    found = vectors.exact_top_k(asked, seen, k, "doc_id", match=("level", "level"))
+    return found.select(F.split_part("query_id", F.lit(":"), F.lit(1)).cast("long").alias("query_id"), F.split_part("query_id", F.lit(":"), F.lit(2)).alias("level"), "rank", "doc_id", "score")
+
+
 def _channels(spark, d, k=CANDIDATES):
-    """(query_id, channel, rank, doc_id): BM25 and vectors, each level ranked apart. A document's vector is the embedding of
-    its id, a query's that of the item's id; both have the benchmark's text only by chance, as the tables hold no encoder."""
+    """(query_id, channel, rank, doc_id): BM25 and text vectors, each level ranked apart."""
     docs, queries = X.search_documents(spark, d), X.queries(spark, d)
     text = lexical.bm25(docs.select("doc_id", "text", "level"), queries, k, within="level").select("query_id", F.concat(F.lit("fts:"), "level").alias("channel"), "rank", "doc_id")
-    v = X.vectors(spark, d).select("vec_id", "vector")
-    asked = queries.join(v, F.col("query_id") == F.col("vec_id")).select("query_id", "vector", F.explode(F.array(F.lit("shot"), F.lit("frame"))).alias("level"))
-    seen = docs.join(v, F.col("doc_id") == F.col("vec_id")).select("doc_id", "vector", "level")
-    asked = asked.withColumn("query_id", F.concat_ws(":", "query_id", "level"))
-    found = vectors.exact_top_k(asked, seen, k, "doc_id", match=("level", "level"))
-    near = found.select(F.split_part("query_id", F.lit(":"), F.lit(1)).cast("long").alias("query_id"), F.concat(F.lit("ann:"), F.split_part("query_id", F.lit(":"), F.lit(2))).alias("channel"), "rank", "doc_id")
+    near = _near(spark, d, k).select("query_id", F.concat(F.lit("ann:"), "level").alias("channel"), "rank", "doc_id")
     return text.unionByName(near)
 
 
+def _digits(at: int, n: int) -> str:
+    return " + ".join(f"{16 ** (n - 1 - j)} * (strpos('0123456789abcdef', substr(h, {at + j}, 1)) - 1)" for j in range(n))
+
+
+def _vector_sql(name: str, rows: str, key: str) -> str:
+    """CTE ``name`` (key, vector): text vectors of ``rows`` (key, text) with the weights ``bw``."""
+    places = ", ".join(f"({_digits(3 * i + 1, 2)}) % {encoder.DIMS}" for i in range(encoder.ENTRIES))
+    signs = ", ".join(f"CASE WHEN {_digits(3 * i + 3, 1)} < 8 THEN 1 ELSE -1 END" for i in range(encoder.ENTRIES))
+    return f"""{name}1 AS (SELECT {key}, h, count(*) AS tf FROM (SELECT {key}, md5(unnest({TOKENS.format(FOLD)})) AS h FROM {rows}) GROUP BY ALL),
+{name}2 AS (SELECT {key}, tf * weight AS w, unnest([{places}]) AS place, unnest([{signs}]) AS sign FROM {name}1 JOIN bw ON bucket = {_digits(30, 3)}),
+{name}3 AS (SELECT {key}, place, sum(w * sign) AS v FROM {name}2 GROUP BY ALL), {name}4 AS (SELECT {key}, map(list(place), list(v)) AS m FROM {name}3 GROUP BY {key}),
+{name}5 AS (SELECT {key}, [coalesce(m[i], 0.0::DOUBLE) FOR i IN range(0, {encoder.DIMS})] AS vector FROM {name}4),
+{name} AS (SELECT {key}, [x / sqrt(list_dot_product(vector, vector)) FOR x IN vector] AS vector FROM {name}5 WHERE len(list_filter(vector, lambda x: abs(x) > 1e-9)) > 0)"""
+
+
+#: CTEs up to ``nv`` (query_id, level, doc_id, rank) of all documents, without a limit.
+NEAR_SQL = f"""
+bd AS (SELECT DISTINCT doc_id, {_digits(30, 3)} AS bucket FROM (SELECT doc_id, md5(unnest({TOKENS.format(FOLD)})) AS h FROM search_documents)),
+bw AS (SELECT bucket, ln(1 + ((SELECT count(*) FROM search_documents) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS weight FROM bd GROUP BY bucket),
+{_vector_sql("dv", "(SELECT doc_id, text FROM search_documents WHERE level IN ('shot', 'frame'))", "doc_id")},
+{_vector_sql("qv", "search_queries", "query_id")},
+nv AS (SELECT query_id, level, doc_id, {DOT_SQL.replace("v.vector", "dv.vector").replace("q.vector", "qv.vector")} AS score, row_number() OVER (PARTITION BY query_id, level ORDER BY score DESC, doc_id) AS rank
+  FROM qv, dv JOIN search_documents USING (doc_id))"""
+
 #: CTEs up to ``c`` (query_id, channel, rank, doc_id).
-CHANNELS_SQL = (bm25_sql("search_documents", "search_queries", CANDIDATES, level="(SELECT level FROM search_documents s WHERE s.doc_id = x.doc_id)").replace("FROM scored ", "FROM scored x ")
-                + f""", qv AS (SELECT query_id, vector FROM search_queries JOIN vectors ON vec_id = query_id), dv AS (SELECT doc_id, level, vector FROM search_documents JOIN vectors ON vec_id = doc_id WHERE level IN ('shot', 'frame')),
-nv AS (SELECT query_id, level, doc_id, row_number() OVER (PARTITION BY query_id, level ORDER BY {DOT_SQL} DESC, doc_id) AS rank FROM qv q, dv v QUALIFY rank <= {CANDIDATES}),
-c AS (SELECT query_id, 'fts:' || level AS channel, rank, doc_id FROM ranked JOIN search_documents USING (doc_id) UNION ALL SELECT query_id, 'ann:' || level, rank, doc_id FROM nv)""")
+CHANNELS_SQL = (bm25_sql("search_documents", "search_queries", CANDIDATES, level="(SELECT level FROM search_documents s WHERE s.doc_id = x.doc_id)").replace("FROM scored ", "FROM scored x ") + "," + NEAR_SQL
+                + f""",
+c AS (SELECT query_id, 'fts:' || level AS channel, rank, doc_id FROM ranked JOIN search_documents USING (doc_id) UNION ALL SELECT query_id, 'ann:' || level, rank, doc_id FROM nv WHERE rank <= {CANDIDATES})""")
 
 _WEIGHT = "CASE channel " + " ".join(f"WHEN '{c}' THEN {w}::DOUBLE" for c, w in WEIGHTS.items()) + " END"
 RRF_SQL = f""", fused0 AS (SELECT query_id, doc_id, round(sum({_WEIGHT} / (60 + rank)), 9) AS score, count(*) AS channels, CAST(min(rank) AS INTEGER) AS best_rank FROM c GROUP BY query_id, doc_id),
 fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fused0)"""
 
 
-@query(bodied(CHANNELS_SQL + RRF_SQL, "SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank, CAST(channels AS INTEGER) AS channels, best_rank FROM fused WHERE rank <= 10", "search_queries", "search_documents", "vectors"))
+@query(bodied(CHANNELS_SQL + RRF_SQL, "SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank, CAST(channels AS INTEGER) AS channels, best_rank FROM fused WHERE rank <= 10", "search_queries", "search_documents"))
 def rrf_fuse(spark, d):
     fused = fusion.rrf(_channels(spark, d), K, WEIGHTS)
     return fused.select("query_id", "doc_id", "score", "rank", F.size("ranks").alias("channels"), F.array_min(F.map_values("ranks")).alias("best_rank"))
 
 
 @query(bodied(CHANNELS_SQL + RRF_SQL + """, col AS (SELECT f.*, d.shot_id, d.level, row_number() OVER (PARTITION BY query_id, d.shot_id ORDER BY f.rank) AS r FROM fused f JOIN search_documents d USING (doc_id) WHERE f.rank <= 50)""",
-              "SELECT query_id, doc_id, shot_id, level, score, CAST(row_number() OVER w AS INTEGER) AS rank FROM col WHERE r = 1 WINDOW w AS (PARTITION BY query_id ORDER BY col.rank) QUALIFY row_number() OVER w <= 10", "search_queries", "search_documents", "vectors"))
+              "SELECT query_id, doc_id, shot_id, level, score, CAST(row_number() OVER w AS INTEGER) AS rank FROM col WHERE r = 1 WINDOW w AS (PARTITION BY query_id ORDER BY col.rank) QUALIFY row_number() OVER w <= 10", "search_queries", "search_documents"))
 def hybrid_search(spark, d):
     """Text and vectors of every level fused, hydrated and collapsed by shot."""
     out = fusion.hybrid(_channels(spark, d), X.search_documents(spark, d).drop("text"), K, CANDIDATES, WEIGHTS)
     return out.select("query_id", "doc_id", "shot_id", "level", "score", F.col("new_rank").alias("rank"))
 
 
+#: Filters of a whole search: levels, time and facet.
+WANTED = "d.level IN ('frame', 'shot') AND d.end_time >= 60 AND d.start_time <= 400 AND d.facet = 'en'"
+_FILTERED_SQL = (bm25_sql("search_documents", "search_queries", 20, where=f"doc_id IN (SELECT doc_id FROM search_documents d WHERE {WANTED})", level="(SELECT level FROM search_documents s WHERE s.doc_id = x.doc_id)").replace("FROM scored ", "FROM scored x ") + "," + NEAR_SQL
+                 + f""",
+nf AS (SELECT query_id, level, doc_id, row_number() OVER (PARTITION BY query_id, level ORDER BY nv.rank) AS rank FROM nv JOIN search_documents d USING (doc_id, level) WHERE nv.rank <= 80 AND {WANTED} QUALIFY row_number() OVER (PARTITION BY query_id, level ORDER BY nv.rank) <= 20),
+c AS (SELECT query_id, 'fts:' || level AS channel, rank, doc_id FROM ranked JOIN search_documents USING (doc_id) UNION ALL SELECT query_id, 'ann:' || level, rank, doc_id FROM nf)""")
+
+
+@query(bodied(_FILTERED_SQL + RRF_SQL + """, col AS (SELECT f.*, d.shot_id, d.level, row_number() OVER (PARTITION BY query_id, d.shot_id ORDER BY f.rank) AS r FROM fused f JOIN search_documents d USING (doc_id) WHERE f.rank <= 20)""",
+              "SELECT query_id, doc_id, shot_id, level, score, CAST(row_number() OVER w AS INTEGER) AS rank FROM col WHERE r = 1 WINDOW w AS (PARTITION BY query_id ORDER BY col.rank) QUALIFY row_number() OVER w <= 10", "search_queries", "search_documents"))
+def filtered_hybrid_search(spark, d):
+    """The whole chain under filters: BM25 filters before it ranks, vectors are over-fetched and filtered after; then
+    fusion, documents' columns and one answer for each shot."""
+    docs = X.search_documents(spark, d)
+    allowed = lexical.filter_facets(lexical.filter_time(lexical.filter_level(docs, ["frame", "shot"]), 60.0, 400.0), docs.select("doc_id", "facet"), ["en"])
+    text = lexical.bm25(docs.select("doc_id", "text", "level"), X.queries(spark, d), 20, allowed, within="level").select("query_id", F.concat(F.lit("fts:"), "level").alias("channel"), "rank", "doc_id")
+    near = _near(spark, d, 20 * fusion.OVER_FETCH)
+    known = docs.select("doc_id", F.col("facet").alias("scene_text"), "video_id", "start_time", "end_time", "level")
+    for level in ("shot", "frame"):
+        kept = fusion.over_fetched(near.where(F.col("level") == level).drop("level"), known, 20, levels=["frame", "shot"], low=60.0, high=400.0, scenes=["en"])
+        text = text.unionByName(kept.withColumn("channel", F.lit(f"ann:{level}")))
+    out = fusion.hybrid(text, docs.drop("text"), K, 20, WEIGHTS)
+    return out.select("query_id", "doc_id", "shot_id", "level", "score", F.col("new_rank").alias("rank"))
+
+
+@query(bodied(NEAR_SQL, """SELECT query_id, doc_id, shot_id, start_time, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INTEGER) AS rank, score
+FROM nv JOIN search_documents USING (doc_id, level) WHERE level = 'frame' AND rank <= 10""", "search_queries", "search_documents"))
+def caption_vector_search(spark, d):
+    """Vectors of captions (the texts of frames), with the frames' columns."""
+    near = _near(spark, d, K).where("level = 'frame'").select("query_id", "rank", "doc_id", "score")
+    return fusion.hydrate(near, X.search_documents(spark, d).select("doc_id", "shot_id", "start_time")).select("query_id", "doc_id", "shot_id", "start_time", "rank", "score")
+
+
 @query(bodied(bm25_sql("documents", "search_queries", 50), """, hit AS (SELECT query_id // 2 AS session_id, query_id, rank, shot_id FROM ranked JOIN search_documents USING (doc_id))
 SELECT session_id, shot_id AS key, round(sum(1 / (60.0::DOUBLE + rank)), 9) AS score, count(DISTINCT query_id) AS groups, count(*) AS contributions, CAST(min(rank) AS INTEGER) AS best_rank
 FROM hit GROUP BY ALL HAVING count(DISTINCT query_id) >= 2""", "search_queries", "search_documents"))

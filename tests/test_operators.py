@@ -150,28 +150,57 @@ def test_exact_search_equals_numpy_and_cells_recall(spark):
     score = np.round(x[::40].astype(float) @ x.T.astype(float), 6)
     want = {(40 * i, int(j)) for i, row in enumerate(score) for j in np.lexsort((np.arange(400), -row))[:5]}
     assert {(r["query_id"], r["vec_id"]) for r in exact.collect()} == want
-    placed, centres = vectors.build_cells(df, 10)
-    found = vectors.approximate_top_k(q, placed, centres, 5, probes=8)
-    assert vectors.recall_at(found, exact).first()["recall"] >= 0.9
-    assert vectors.recall_at(vectors.approximate_top_k(q, placed, centres, 5, probes=10), exact).first()["recall"] == 1.0
     with pytest.raises(ValueError):
         vectors.exact_top_k(q, df, 0)
 
 
-def test_cells_find_nine_tenths_without_a_number_of_probes(spark, tmp_path):
+def test_stored_cells_find_nine_tenths_and_prune(spark, tmp_path):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((2500, 32)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, vector array<float>")
     q = df.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
-    placed, centres = vectors.build_cells(df)
-    placed.write.parquet(f"{tmp_path}/placed")
-    placed = spark.read.parquet(f"{tmp_path}/placed")
-    assert len(centres) == 50
+    cells.write_cells(df, f"{tmp_path}/index")
+    index = cells.open_cells(spark, f"{tmp_path}/index")
+    assert len(index.centres) == 50 and 0.92 <= index.recall <= 1 and 1 < index.probes < 50
     exact = vectors.exact_top_k(q, df, 10)
-    recall = lambda probes: vectors.recall_at(vectors.approximate_top_k(q, placed, centres, 10, probes), exact).first()["recall"]
-    probes = vectors.probes_for(q, placed, centres, 10)
-    assert recall(None) == recall(probes) >= 0.92 > recall(probes - 1)
+    recall = lambda probes=None: vectors.recall_at(cells.search_cells(index, q, 10, probes=probes), exact).first()["recall"]
+    assert recall() >= 0.9 and recall(50) == 1.0 > recall(2)
+    one = cells.search_cells(index, q.where("query_id = 0"), 10, probes=2)
+    plan = one._jdf.queryExecution().toString()
+    assert len(set(re.findall(r"cell#\d+ IN \(([^)]*)\)", plan))) == 1 and "PartitionFilters: [cell" in plan.replace("isnotnull(cell", "cell")
+
+
+def odd_vectors(spark):
+    rows = [(i, [float(i), 1.0, 2.0]) for i in range(40)] + [(50, None), (51, [None, 1.0, 1.0]), (52, [float("nan"), 1.0, 1.0]), (53, []), (54, [1.0, 2.0]), (55, [2.0, 2.0]), (56, [float("inf"), 0.0, 0.0]), (3, [3.0, 1.0, 2.0])]
+    return spark.createDataFrame([(i, v, f"s{i % 3}", float(i)) for i, v in rows], "vec_id long, vector array<double>, shot_id string, pts_time double")
+
+
+def test_cells_of_odd_and_no_vectors(spark, tmp_path):
+    df = odd_vectors(spark)
+    q = df.select(F.col("vec_id").alias("query_id"), "vector").dropDuplicates(["query_id"])
+    cells.write_cells(df, f"{tmp_path}/a", n_cells=4)
+    index = cells.open_cells(spark, f"{tmp_path}/a")
+    got = {tuple(r) for r in cells.search_cells(index, q, 5, probes=4).collect()}
+    assert got == {tuple(r) for r in vectors.exact_top_k(q, df, 5).collect()}  # all cells: exact, lengths apart
+    assert {r[0] for r in got} == {*range(40), 54, 55}
+    cells.write_cells(df.limit(0), f"{tmp_path}/b")
+    none = cells.open_cells(spark, f"{tmp_path}/b")
+    assert cells.search_cells(none, q, 5).collect() == [] and none.recall is None
+    assert cells.search_cells(index, q.limit(0), 5).collect() == []
+    cells.write_cells(df.where("vec_id = 7"), f"{tmp_path}/c")
+    assert {r["vec_id"] for r in cells.search_cells(cells.open_cells(spark, f"{tmp_path}/c"), q, 5).collect()} == {7}
+
+
+def test_group_vectors_of_odd_vectors(spark):
+    got = {r["shot_id"]: r for r in vectors.group_vectors(odd_vectors(spark), ["shot_id"]).collect()}
+    assert set(got) == {"s0", "s1", "s2"} and all(len(r["vector"]) == 3 and abs(sum(x * x for x in r["vector"]) - 1) < 1e-9 for r in got.values())
+    assert sum(r["keyframe_count"] for r in got.values()) == 48
+    own = [v for i, v in [(i, [float(i), 1.0, 2.0]) for i in range(40) if i % 3 == 0] + [(3, [3.0, 1.0, 2.0])]]
+    mean = np.mean(own, axis=0)
+    assert np.allclose(got["s0"]["vector"], mean / np.linalg.norm(mean))
+    q = odd_vectors(spark).select(F.col("vec_id").alias("query_id"), "vector").dropDuplicates(["query_id"])
+    assert {r["query_id"] for r in vectors.two_stage(q, odd_vectors(spark), 2, 3).collect()} == set(range(40))
 
 
 def test_bm25_needs_a_positive_k_and_folds_accents(spark):
