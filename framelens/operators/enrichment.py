@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import BOILERPLATE, STOPWORDS, clean_text, content_tokens, fold_key, is_boilerplate, jaccard, normalize_text, phrase_ngrams
-from .walk import walk
+from .walk import Walk, walk
 
 # Phrases that open a new story, and phrases that are no subject, folded.
 LEAD_CUES = ["trong phan sau", "tiep theo", "mo dau chuong trinh", "thong tin an ninh", "thong tin quoc te"]
@@ -133,14 +133,19 @@ def subject_scores(transcripts: DataFrame, frequency: DataFrame) -> DataFrame:
 
 def subject_terms(scores: DataFrame, k: int = 8, most_alike: float = 0.65) -> DataFrame:
     """The best ``k`` phrases of each video, none too like a better one. A task holds a video's chosen phrases alone."""
-    def pick(chosen: list[set], row: dict) -> dict | None:
-        words = {w for w in row["phrase"].split() if w not in STOPWORDS}
-        if len(chosen) == k or any(len(words & other) / max(1, len(words | other)) >= most_alike for other in chosen):
-            return None
-        chosen.append(words)
-        return {"video_id": row["video_id"], "rank": len(chosen), "phrase": row["phrase"], "score": row["score"]}
-
-    return walk(scores.select("video_id", "phrase", "score"), ["video_id"], [F.desc("score"), "phrase"], list, pick, "video_id string, rank int, phrase string, score double")
+    class Pick(Walk):
+        def __init__(self):
+            self.chosen: list[set] = []
+
+        def step(self, row):
+            words = {w for w in row["phrase"].split() if w not in STOPWORDS}
+            if any(len(words & other) / max(1, len(words | other)) >= most_alike for other in self.chosen):
+                return None
+            self.chosen.append(words)
+            self.done = len(self.chosen) == k
+            return {"video_id": row["video_id"], "rank": len(self.chosen), "phrase": row["phrase"], "score": row["score"]}
+
+    return walk(scores.select("video_id", "phrase", "score"), ["video_id"], [F.desc("score"), "phrase"], Pick, "video_id string, rank int, phrase string, score double")
 
 
 def unique_topics(topics: DataFrame) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import bisect
+from collections import Counter
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import valid_box
 from .lexical import filter_level, filter_time
+from .walk import Walk, walk
 
 RRF_K = 60.0
 #: Candidates that a channel without filters of its own fetches for each one that it passes on.
@@ -66,48 +69,52 @@ def results_by_video(ranked: DataFrame) -> DataFrame:
     return rows.withColumns({"group_no": F.dense_rank().over(group), "item_no": F.row_number().over(item)})
 
 
+class _Apart(Walk):
+    """Answers of one query that are apart in shot and time, and those that a second choice may fill up from."""
+
+    def __init__(self, k: int, per_shot: int, gap: float):
+        self.k, self.per_shot, self.gap = k, per_shot, gap
+        self.n, self.of_shot, self.seconds = 0, Counter(), {}
+        self.spare: list[tuple[str, dict]] = []
+        self.spare_of_shot: Counter = Counter()
+
+    def _answer(self, shot: str, row: dict) -> dict:
+        self.n += 1
+        self.of_shot[shot] += 1
+        self.done = self.n == self.k
+        return row | {"new_rank": self.n}
+
+    def step(self, row):
+        shot = row["shot_id"] or f"keyframe {row['keyframe_id']}"
+        if self.of_shot[shot] == self.per_shot:
+            return None  # its shot is full for good
+        t, times = row["pts_time"], self.seconds.setdefault(row["video_id"], [])
+        if t is not None:
+            at = bisect.bisect_left(times, t)
+            if any(abs(t - other) < self.gap for other in times[max(0, at - 1):at + 1]):
+                if self.spare_of_shot[shot] < self.per_shot:
+                    self.spare_of_shot[shot] += 1
+                    self.spare.append((shot, row))
+                return None
+            times.insert(at, t)
+        return self._answer(shot, row)
+
+    def finish(self):
+        for shot, row in self.spare:
+            if not self.done and self.of_shot[shot] < self.per_shot:
+                yield self._answer(shot, row)
+
+
 def diversify(ranked: DataFrame, k: int, per_shot: int = 1, gap: float = 3.0) -> DataFrame:
     """Greedy by rank: at most ``per_shot`` of a shot and none within ``gap`` seconds of a chosen one of its video; then
     filled up by rank under the shot limit alone. ``ranked`` (query_id, rank, keyframe_id, video_id, shot_id, pts_time,
-    score) holds the bounded candidates of each query, so a query's rows fit a task."""
+    score) is walked once: what the second choice may need, ``per_shot`` candidates of a shot at most, is remembered on the
+    way. Rows without a time are near nothing; a row without a shot is a shot of its own."""
     if k < 1 or per_shot < 1:
         raise ValueError("k and per_shot must be positive")
     if gap < 0:
         raise ValueError("gap must not be negative")
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("rank")
-        shots: dict = {}
-        times: dict = {}
-        taken: list[int] = []
-
-        def allowed(i):
-            return shots.get(key[i], 0) < per_shot
-
-        def take(i):
-            shots[key[i]] = shots.get(key[i], 0) + 1
-            taken.append(i)
-
-        key = [s if isinstance(s, str) and s else f"keyframe {f}" for s, f in zip(rows.shot_id, rows.keyframe_id)]
-        for i, (video, t) in enumerate(zip(rows.video_id, rows.pts_time)):
-            if len(taken) == k:
-                break
-            near = pd.notna(t) and any(abs(t - other) < gap for other in times.get(video, ()))
-            if allowed(i) and not near:
-                take(i)
-                if pd.notna(t):
-                    times.setdefault(video, []).append(t)
-        first = set(taken)
-        for i in range(len(rows)):
-            if len(taken) == k:
-                break
-            if i not in first and allowed(i):
-                take(i)
-        out = rows.iloc[taken].copy()
-        out["new_rank"] = range(1, len(out) + 1)
-        return out
-
-    return ranked.groupBy("query_id").applyInPandas(choose, ranked.schema.simpleString()[7:-1].replace(":", " ") + ", new_rank int")
+    return walk(ranked, ["query_id"], ["rank"], lambda: _Apart(k, per_shot, gap), ranked.schema.simpleString()[7:-1].replace(":", " ") + ", new_rank int")
 
 
 def localized_rerank(candidates: DataFrame, regions: DataFrame, rerank_k: int = 50) -> DataFrame:

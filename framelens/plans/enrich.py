@@ -161,7 +161,21 @@ def _vector_frames(spark, d):
     return X.vectors(spark, d).select("keyframe_id", "shot_id", "vector", F.col("vec_id").alias("frame_idx"), (F.col("vec_id") % 11 / 11.0).alias("quality_score"))
 
 
-@query()
+def _farthest_sql(k: int) -> str:
+    """CTEs c1 ... ck: shots with more than k frames and the frames chosen so far."""
+    far = "0.65::DOUBLE * (1 - list_max([list_dot_product(f.vector, c.vector) FOR c IN chosen])) + 0.20::DOUBLE * list_min([abs(f.frame_idx - c.frame_idx) FOR c IN chosen]) / span + 0.15::DOUBLE * quality"
+    out = [f"""f AS (SELECT keyframe_id, shot_id, vec_id AS frame_idx, vec_id % 11 / 11.0::DOUBLE AS quality, CAST(vector AS DOUBLE[]) AS vector FROM vectors),
+l AS (SELECT shot_id, unnest(vector) AS x, unnest(range(0, len(vector))) AS pos FROM f), mp AS (SELECT shot_id, pos, avg(x) AS x FROM l GROUP BY ALL), m AS (SELECT shot_id, list(x ORDER BY pos) AS mean FROM mp GROUP BY shot_id),
+s AS (SELECT shot_id, count(*) AS n, CAST(greatest(max(frame_idx) - min(frame_idx), 1) AS DOUBLE) AS span FROM f GROUP BY shot_id),
+c1 AS (SELECT shot_id, span, [{{'keyframe_id': keyframe_id, 'frame_idx': frame_idx, 'vector': vector}}] AS chosen FROM f JOIN s USING (shot_id) JOIN m USING (shot_id) WHERE n > {k}
+ QUALIFY row_number() OVER (PARTITION BY shot_id ORDER BY round(0.65::DOUBLE * quality + 0.35::DOUBLE * list_dot_product(vector, mean), 9) DESC, frame_idx, keyframe_id) = 1)"""]
+    for i in range(2, k + 1):
+        out.append(f"""c{i} AS (SELECT shot_id, span, list_append(chosen, {{'keyframe_id': keyframe_id, 'frame_idx': frame_idx, 'vector': f.vector}}) AS chosen FROM f JOIN c{i - 1} USING (shot_id)
+ WHERE NOT list_contains([c.keyframe_id FOR c IN chosen], keyframe_id) QUALIFY row_number() OVER (PARTITION BY shot_id ORDER BY round({far}, 9) DESC, frame_idx, keyframe_id) = 1)""")
+    return ",\n".join(out)
+
+
+@query(with_views("vectors", body=f", {_farthest_sql(4)} SELECT shot_id, c.keyframe_id, c.frame_idx FROM (SELECT shot_id, unnest(chosen) AS c FROM c4) UNION ALL SELECT shot_id, keyframe_id, frame_idx FROM f JOIN s USING (shot_id) WHERE n <= 4"))
 def farthest_point(spark, d):
     return selection.farthest_points(_vector_frames(spark, d), 4)
 

@@ -1,6 +1,7 @@
 import datetime
 import math
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from framelens.functions import geometry, ids, text
-from framelens.operators import documents, enrichment, evaluate, fusion, ledger, lexical, quality, selection, temporal, vectors
+from framelens.operators import cells, documents, encoder, enrichment, evaluate, fusion, ledger, lexical, quality, selection, temporal, vectors
 
 FEW = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
