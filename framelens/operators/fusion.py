@@ -19,12 +19,17 @@ OVER_FETCH = 4
 
 def rrf(rankings: DataFrame, k: int, weights: dict[str, float] | None = None, id_col: str = "doc_id", rrf_k: float = RRF_K) -> DataFrame:
     """Weighted reciprocal-rank fusion of (query_id, channel, rank, id): sum of weight / (60 + rank), ties by id, with
-    each channel's rank."""
-    weight = F.lit(1.0)
-    for channel, w in (weights or {}).items():
-        weight = F.when(F.col("channel") == channel, F.lit(float(w))).otherwise(weight)
-    fused = rankings.groupBy("query_id", id_col).agg(
-        F.round(F.sum(weight / (rrf_k + F.col("rank"))), 9).alias("score"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("channel", "rank")))).alias("ranks"))
+    each channel's rank. An id that a channel names twice counts there once, at its better rank."""
+    hits = rankings.groupBy("query_id", id_col).agg(F.array_sort(F.collect_list(F.struct("channel", "rank"))).alias("hits"))  # as many as channels
+    hits = hits.withColumn("hits", F.filter("hits", lambda h, i: (i == 0) | (F.try_element_at("hits", i)["channel"] != h["channel"])))
+
+    def part(h):
+        weight = F.lit(1.0)
+        for channel, w in (weights or {}).items():
+            weight = F.when(h["channel"] == channel, F.lit(float(w))).otherwise(weight)
+        return weight / (rrf_k + h["rank"])
+
+    fused = hits.select("query_id", id_col, F.round(F.aggregate("hits", F.lit(0.0), lambda s, h: s + part(h)), 9).alias("score"), F.map_from_entries("hits").alias("ranks"))
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
     return fused.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 

@@ -9,6 +9,7 @@ from ..operators import documents, enrichment, fusion, ledger, lexical, selectio
 from ..streaming import ingest
 from . import fixtures as X
 from .fixtures import with_views
+from .media import FRAMES_SQL, frames_of
 from .records import OCR_KEY as FOLD_KEY
 from .search import bm25_sql, bodied
 
@@ -265,19 +266,19 @@ def post_filtered_search(spark, d):
 @query("SELECT event_id, user_id, event_type FROM events")
 def streaming_ingest(spark, d):
     """Events as files that arrive, kept by user."""
-    at = X.new_folder(spark, "stream")
-    stream = ingest.file_stream(spark, f"{d}/events.parque[t]", X.table(spark, d, "events").schema)
+    at, schema = X.new_folder(spark, "stream"), X.table(spark, d, "events").schema
+    stream = ingest.file_stream(spark, f"{d}/events.parque[t]", schema)
     ingest.ingest_by_video(stream.withColumn("part", F.col("user_id") % 16), f"{at}/table", f"{at}/log", "part").awaitTermination()
-    return spark.read.parquet(f"{at}/table").select("event_id", "user_id", "event_type")
+    return ingest.read_target(spark, f"{at}/table", schema).select("event_id", "user_id", "event_type")
 
 
 @query("SELECT o_custkey, o_orderkey, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
 def streaming_latest(spark, d):
     """Latest order of each customer from an append log that arrives as files."""
-    at = X.new_folder(spark, "stream")
-    stream = ingest.file_stream(spark, f"{d}/orders.parque[t]", X.table(spark, d, "orders").schema)
+    at, schema = X.new_folder(spark, "stream"), X.table(spark, d, "orders").schema
+    stream = ingest.file_stream(spark, f"{d}/orders.parque[t]", schema)
     ingest.keep_latest(stream, f"{at}/table", f"{at}/log", ["o_custkey"], ["o_orderdate", "o_orderkey"], 8).awaitTermination()
-    return spark.read.parquet(f"{at}/table").select("o_custkey", "o_orderkey", "o_orderstatus")
+    return ingest.read_target(spark, f"{at}/table", schema).select("o_custkey", "o_orderkey", "o_orderstatus")
 
 
 @query(with_views("speech", body="SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations GROUP BY conv_id"))
@@ -288,4 +289,30 @@ def streaming_refresh(spark, d):
     source = lambda s: X.table(s, d, "conversations").withColumn("part", F.col("conv_id") % 16)
     build = lambda rows: rows.groupBy("part", "conv_id").agg(F.array_join(documents.ordered_texts(["turn"], "text"), " ").alias("text"))
     ingest.refresh_touched(stream, source, build, f"{at}/table", f"{at}/log", "part").awaitTermination()
-    return spark.read.parquet(f"{at}/table").select("conv_id", "text")
+    return ingest.read_target(spark, f"{at}/table", "conv_id long, text string").select("conv_id", "text")
+
+
+#: Parts in which frame documents are kept and rebuilt.
+FRAME_PARTS = 16
+
+
+def refresh_frames(spark, d, at: str, files: int = 100):
+    """Frame documents kept in ``at`` as files of events (keyframes, their texts and detections) and of speech arrive, from
+    either of them first. Returns the started query."""
+    streams = [ingest.file_stream(spark, f"{d}/{name}.parque[t]", X.table(spark, d, name).schema, files).select((F.col(c) % FRAME_PARTS).alias("part")) for name, c in (("events", "user_id"), ("conversations", "conv_id"))]
+
+    def build(touched):
+        own = lambda name, c: X.table(touched.sparkSession, d, name).join(touched, F.col(c) % FRAME_PARTS == F.col("part"), "left_semi")
+        made = frames_of(touched.sparkSession, d, own("events", "user_id"), own("conversations", "conv_id"))
+        return made.select("doc_id", "shot_id", "frame_idx", "caption", "search_text", "asr_text", "confidence", (F.substring("video_id", 2, 20).cast("long") % FRAME_PARTS).alias("part"))
+
+    return ingest.refresh_from(streams, build, f"{at}/table", f"{at}/log", "part")
+
+
+@query(with_views("keyframes", "speech", "detections", body="," + FRAMES_SQL + " SELECT doc_id, shot_id, frame_idx, caption, search_text, asr_text, confidence FROM fd"))
+def streaming_frame_documents(spark, d):
+    """Frame documents refreshed from two streams."""
+    at = X.new_folder(spark, "stream")
+    refresh_frames(spark, d, at).awaitTermination()
+    columns = "doc_id string, shot_id string, frame_idx long, caption string, search_text string, asr_text string, confidence double"
+    return ingest.read_target(spark, f"{at}/table", columns).drop("part")

@@ -40,9 +40,10 @@ def with_views(*names: str, body: str) -> str:
     return "WITH " + ",\n".join(f"{name} AS ({SQL[name]})" for name in SQL if name in need) + "\n" + body
 
 
-def keyframes(spark, d) -> DataFrame:
+def keyframes(spark, d, events: DataFrame | None = None) -> DataFrame:
+    """Of ``events``, or of all."""
     by = Window.partitionBy("video_id").orderBy("pts_time", "event_id")
-    rows = table(spark, d, "events").select(
+    rows = (table(spark, d, "events") if events is None else events).select(
         "event_id", "event_type", "value", "props", F.concat(F.lit("kf:"), "event_id").alias("keyframe_id"), F.concat(F.lit("v"), "user_id").alias("video_id"),
         F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts) / 3.6e9").alias("pts_time"))
     rows = rows.withColumns({"fps": F.lit(25.0), "frame_idx": F.floor(F.col("pts_time") * 25).cast("long"), "quality_score": F.least(F.lit(1.0), F.col("value") / 200),
@@ -69,9 +70,9 @@ SQL["shots"] = """SELECT video_id, shot_id, shot_no AS shot_index, min(frame_idx
  max(pts_time) AS end_time, max(pts_time) - min(pts_time) AS duration_sec FROM keyframes GROUP BY ALL"""
 
 
-def speech(spark, d) -> DataFrame:
+def speech(spark, d, turns: DataFrame | None = None) -> DataFrame:
     start = (F.col("turn") * 90 + F.col("conv_id") % 90).cast("double")
-    return table(spark, d, "conversations").select(
+    return (table(spark, d, "conversations") if turns is None else turns).select(
         F.concat_ws(":", F.lit("s"), "conv_id", "turn").alias("segment_id"), F.concat(F.lit("v"), "conv_id").alias("video_id"), F.col("turn").alias("segment_index"),
         start.alias("start_time"), (start + 1 + F.length("text") % 8).alias("end_time"), "text")
 
@@ -80,9 +81,9 @@ SQL["speech"] = """SELECT 's:' || conv_id || ':' || turn AS segment_id, 'v' || c
  CAST(turn * 90 + conv_id % 90 AS DOUBLE) + 1 + length(text) % 8 AS end_time, text FROM conversations"""
 
 
-def detections(spark, d) -> DataFrame:
+def detections(spark, d, events: DataFrame | None = None) -> DataFrame:
     by = Window.partitionBy("video_id").orderBy("pts_time", "event_id")
-    k = keyframes(spark, d).withColumns({"one": F.lag("event_type", 1).over(by), "two": F.lag("event_type", 2).over(by), "k": F.get_json_object("props", "$.k").cast("int")})
+    k = keyframes(spark, d, events).withColumns({"one": F.lag("event_type", 1).over(by), "two": F.lag("event_type", 2).over(by), "k": F.get_json_object("props", "$.k").cast("int")})
     rows = k.select("*", F.posexplode(F.array("event_type", "one", "two")).alias("pos", "class_name")).where("class_name IS NOT NULL")
     x, y = (F.col("k") % 10) / 10.0, (F.floor(F.col("k") / 10) % 10) / 10.0
     return rows.select(F.concat_ws(":", F.lit("d"), "event_id", "pos").alias("detection_id"), "keyframe_id", "video_id", "shot_id", "frame_idx", "pts_time", "class_name",

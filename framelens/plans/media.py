@@ -148,12 +148,13 @@ def trusted_objects(spark, d):
     return kept.groupBy("keyframe_id").agg(F.array_join(F.array_sort(F.collect_set("class_name")), ", ").alias("labels"), F.round(F.max("confidence"), 6).alias("confidence"))
 
 
-def _frames(spark, d):
-    k = X.keyframes(spark, d)
-    speech = temporal.interval_join(k, X.speech(spark, d))
+def frames_of(spark, d, events=None, turns=None):
+    """Frame documents of ``events`` and ``turns`` of speech, or of all."""
+    k = X.keyframes(spark, d, events)
+    speech = temporal.interval_join(k, X.speech(spark, d, turns))
     text = k.select("keyframe_id", F.concat_ws(" ", "event_type", F.floor(F.col("value") / 50)).alias("scene_text"), F.col("event_type").alias("text"))
     caption = k.where("event_id % 9 = 0").select("keyframe_id", F.concat(F.lit("clip "), "event_type").alias("caption"))
-    return documents.frame_documents(k, text, documents.frame_objects(k, X.detections(spark, d)), speech, caption)
+    return documents.frame_documents(k, text, documents.frame_objects(k, X.detections(spark, d, events)), speech, caption)
 
 
 #: Distinct texts of a list by folded case, in order.
@@ -169,7 +170,7 @@ fd AS (SELECT 'frame:' || keyframe_id AS doc_id, keyframe_id, video_id, shot_id,
 
 @query(with_views("keyframes", "speech", "detections", body="," + FRAMES_SQL + " SELECT doc_id, shot_id, frame_idx, caption, search_text, asr_text, ocr_other_text, object_labels_text, confidence, propagation_confidence FROM fd"))
 def frame_documents(spark, d):
-    return _frames(spark, d).select("doc_id", "shot_id", "frame_idx", "caption", "search_text", "asr_text", "ocr_other_text", "object_labels_text", "confidence", "propagation_confidence")
+    return frames_of(spark, d).select("doc_id", "shot_id", "frame_idx", "caption", "search_text", "asr_text", "ocr_other_text", "object_labels_text", "confidence", "propagation_confidence")
 
 
 SHOTS_SQL = f""", sg AS (SELECT video_id, shot_id, min(pts_time) AS start_time, max(pts_time) AS end_time, max(confidence) AS confidence, round(avg(propagation_confidence), 6) AS propagation_confidence, count(*) AS frames,
@@ -180,7 +181,7 @@ mc0 AS (SELECT shot_id, class_name, max(fo0.n) AS n FROM fo0 JOIN keyframes USIN
 
 @query(with_views("keyframes", "speech", "detections", body="," + FRAMES_SQL + SHOTS_SQL + " SELECT 'shot:' || shot_id AS doc_id, keyframe_id, start_time, end_time, caption, search_text, object_counts, confidence, propagation_confidence, frames FROM sd JOIN mc USING (shot_id)"))
 def shot_documents(spark, d):
-    s = documents.shot_documents(_frames(spark, d))
+    s = documents.shot_documents(frames_of(spark, d))
     return s.select("doc_id", "keyframe_id", "start_time", "end_time", "caption", "search_text", F.expr(MAP_TEXT).alias("object_counts"), "confidence", F.round("propagation_confidence", 6).alias("propagation_confidence"), "frames")
 
 
@@ -189,7 +190,7 @@ mem AS (SELECT w.video_id, w.event_no, w.i, sd.* EXCLUDE (video_id, start_time,
 eg AS (SELECT video_id, event_no, list(caption ORDER BY i) AS caps, list(search_text ORDER BY i) AS sts, arg_min(keyframe_id, i) AS keyframe_id, max(confidence) AS confidence, count(*) AS shots FROM mem GROUP BY 1, 2)
 SELECT 'event:' || eg.video_id || ':' || eg.event_no AS doc_id, keyframe_id, start_time, end_time, {UNIQ.format("caps", 8)} AS caption, {UNIQ.format("sts", 150)} AS search_text, confidence, shots FROM eg JOIN ev USING (video_id, event_no)""")))
 def event_documents(spark, d):
-    e = documents.event_documents(temporal.pack_events(X.shots(spark, d)), documents.shot_documents(_frames(spark, d)))
+    e = documents.event_documents(temporal.pack_events(X.shots(spark, d)), documents.shot_documents(frames_of(spark, d)))
     return e.select("doc_id", "keyframe_id", "start_time", "end_time", "caption", "search_text", "confidence", "shots")
 
 
