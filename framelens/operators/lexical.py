@@ -68,43 +68,101 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, allowed: DataFrame | None
     return top_k(total.select(*groups, "score"), k, within=within)
 
 
+def _few(rows: DataFrame) -> bool:
+    """Whether a table is small enough to be broadcast."""
+    return rows.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+
+
+def field_bm25(docs: DataFrame, queries: DataFrame, k: int, fields: dict[str, float], require_all: bool = False, fold: bool = True, then: str | None = None, k1: float = K1, b: float = B) -> DataFrame:
+    """``bm25`` over several text columns of ``docs`` (doc_id, ...): a document's score is the sum over ``fields`` (column to
+    weight) of weight times the column's own BM25, with document frequencies and mean lengths of the column. A term is matched,
+    also for ``require_all``, whichever column has it. Equal scores rank by ``then``, a column of ``docs`` (nulls last), and
+    doc_id. Null columns are empty. Postings carry their field, so that one exchange by doc_id serves all fields."""
+    if k < 1:
+        raise ValueError("k must be positive")
+    plain = ascii_fold if fold else (lambda c: c)
+    terms = queries.select("query_id", F.explode(query_terms(plain(F.col("text")))).alias("token")).distinct()
+    few = _few(terms)
+    wanted = terms.select("token").unionByName(terms.sparkSession.range(1).select(F.lit("").alias("token"))).distinct()
+    keys = ["doc_id", *([then] if then else [])]
+    parts = [F.struct(F.lit(f).alias("field"), F.coalesce(tokenize(plain(F.col(f))), F.array().cast("array<string>")).alias("words")) for f in fields]
+    words = docs.select(*keys, F.explode(F.array(*parts)).alias("p")).select(*keys, "p.field", F.size("p.words").alias("length"), F.explode(F.concat(F.array(F.lit("")), "p.words")).alias("token"))
+    hits = words.join(F.broadcast(wanted) if few else wanted, "token", "left_semi").repartition("doc_id")
+    hits = hits.groupBy(*keys, "field", "length", "token").agg(F.count("*").alias("tf"))
+    own = F.col("token") == ""
+    stats = hits.groupBy("field").agg(F.count_if(own).alias("n_docs"), F.avg(F.when(own, F.col("length"))).alias("avg_length"))  # a row for each field
+    df = hits.groupBy("field", "token").agg(F.count("*").alias("df"))
+    boost = F.create_map(*[F.lit(x) for f, w in fields.items() for x in (f, float(w))])[F.col("field")]
+    weights = terms.join(df, "token").join(F.broadcast(stats), "field").select("query_id", "token", "field", "avg_length", (boost * idf(F.col("n_docs"), F.col("df"))).alias("idf"))
+    if few:
+        scored = hits.join(F.broadcast(weights), ["token", "field"])
+    else:
+        salted = weights.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        scored = hits.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["token", "field", "salt"])
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
+    total = scored.groupBy("query_id", *keys).agg(F.round(F.sum(part), 6).alias("score"), F.size(F.collect_set("token")).alias("matched"))
+    if require_all:
+        size = terms.groupBy("query_id").agg(F.count("*").alias("n_terms"))
+        total = total.join(F.broadcast(size) if few else size, "query_id").where("matched = n_terms")
+    return top_k(total.select("query_id", *keys, "score"), k, then=then)
+
+
 def substring_hits(docs: DataFrame, queries: DataFrame, columns: list[str]) -> DataFrame:
     """(query_id, doc_id) where a column of ``docs`` (doc_id, ...) holds the query's whole text, ignoring case.
 
     A word that stands between two others in the query stands whole in any text that holds the query, so documents are
-    found by the query's longest inner word and then checked. Queries without one go by their longest word, through the
-    distinct words of the documents that hold it; queries without words match nothing."""
+    found by the query's longest inner word and then checked. Of queries without one the longest word stands inside a word of
+    the text: these words are found by an index of the vocabulary's pieces of up to three letters, through the query's
+    rarest piece. Queries without words match nothing. Sought words are broadcast up to BROADCAST_TERMS of them; beyond
+    that a word is dealt in SALTS parts, so a frequent one is no hot key."""
     word = r"[\p{L}\p{N}_]+"
     asked = queries.select("query_id", F.lower(F.trim("text")).alias("said")).where("said <> ''")
     found = F.regexp_extract_all("said", F.lit(f"({word})"), F.lit(1))
     inner = F.slice(found, F.lit(2), F.greatest(F.size(found) - 2, F.lit(0)))
     longest = lambda words: F.element_at(F.array_sort(words, lambda a, b: F.length(b) - F.length(a)), 1)
-    asked = asked.withColumns({"inner": F.size(found) > 2, "n": F.size(found), "key": F.when(F.size(found) > 2, longest(inner)).when(F.size(found) > 0, longest(found))}).where("key IS NOT NULL")
+    asked = asked.withColumns({"inner": F.size(found) > 2, "key": F.when(F.size(found) > 2, longest(inner)).when(F.size(found) > 0, longest(found))}).where("key IS NOT NULL")
     text = F.lower(F.concat_ws("\n", *columns))
     words = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(f"({word})"), F.lit(1)))).alias("token"))
-    vocabulary = words.select("token").distinct()
-    short = vocabulary.join(asked.where("NOT inner"), F.contains("token", F.col("key"))).select("query_id", "said", "token")
-    sought = asked.where("inner").select("query_id", "said", F.col("key").alias("token")).unionByName(short)
-    near = words.join(sought, "token").select("doc_id", "query_id", "said").distinct()
+    pieces = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, n)))
+    short = asked.where("NOT inner").withColumn("n", F.least(F.lit(3), F.length("key")))
+    sizes = [r["n"] for r in short.select("n").distinct().collect()]  # three at most
+    sought = asked.where("inner").select("query_id", "said", F.col("key").alias("token"))
+    if sizes:
+        vocabulary = words.select("token").distinct()
+        held = vocabulary.select("token", F.explode(F.array_distinct(F.concat(*[F.when(F.length("token") >= n, pieces("token", n)).otherwise(F.array().cast("array<string>")) for n in sizes]))).alias("piece"))
+        own = short.select("query_id", "said", "key", F.explode(pieces("key", F.col("n"))).alias("piece"))
+        held = held.join(own.select("piece").distinct(), "piece", "left_semi")
+        count = held.groupBy("piece").agg(F.count("*").alias("tokens"))
+        rarest = own.join(count, "piece").groupBy("query_id", "said", "key").agg(F.min_by("piece", F.struct("tokens", "piece")).alias("piece"))
+        sought = sought.unionByName(held.join(rarest, "piece").where(F.contains("token", F.col("key"))).select("query_id", "said", "token"))
+    if _few(sought):
+        near = words.join(F.broadcast(sought), "token")
+    else:
+        salted = sought.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        near = words.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["token", "salt"])
+    near = near.select("doc_id", "query_id", "said").distinct()
     holds = F.lit(False)
     for c in columns:
         holds = holds | F.coalesce(F.contains(F.lower(F.col(c)), F.col("said")), F.lit(False))
     return near.join(docs.select("doc_id", *columns), "doc_id").where(holds).select("query_id", "doc_id").distinct()
 
 
-def text_search(docs: DataFrame, queries: DataFrame, k: int, require_all: bool = False, columns: list[str] | None = None) -> DataFrame:
-    """``bm25`` over ``docs`` (doc_id, text), and after its answers, with score 0, the documents that hold a query's text as
-    a substring of one of ``columns`` (default: text) without matching its terms."""
-    ranked = bm25(docs.select("doc_id", "text"), queries, k, require_all=require_all)
+def text_search(docs: DataFrame, queries: DataFrame, k: int, require_all: bool = False, columns: list[str] | None = None, fields: dict[str, float] | None = None, then: str | None = None) -> DataFrame:
+    """``bm25`` over ``docs`` (doc_id, text), or ``field_bm25`` over ``fields``, and after its answers, with score 0, the documents
+    that hold a query's text as a substring of one of ``columns`` (default: text) without matching its terms. Equal scores
+    rank by ``then`` and doc_id."""
+    ranked = field_bm25(docs, queries, k, fields or {"text": 1.0}, require_all, then=then) if fields or then else bm25(docs.select("doc_id", "text"), queries, k, require_all=require_all)
     held = substring_hits(docs, queries, columns or ["text"])
+    held = held.join(docs.select("doc_id", then), "doc_id") if then else held
     more = held.join(ranked, ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))
-    return top_k(ranked.select("query_id", "doc_id", "score").unionByName(more), k)
+    names = ["query_id", "doc_id", *([then] if then else []), "score"]
+    return top_k(ranked.select(*names).unionByName(more.select(*names)), k, then=then)
 
 
-def top_k(scores: DataFrame, k: int, id_col: str = "doc_id", within: str | None = None) -> DataFrame:
-    """The k best of each query (and value of ``within``) by score, ties by id."""
-    more = [within] if within else []
-    by = Window.partitionBy("query_id", *more).orderBy(F.desc("score"), id_col)
+def top_k(scores: DataFrame, k: int, id_col: str = "doc_id", within: str | None = None, then: str | None = None) -> DataFrame:
+    """The k best of each query (and value of ``within``) by score, ties by ``then`` (nulls last) and id."""
+    more = [c for c in (within, then) if c]
+    by = Window.partitionBy("query_id", *([within] if within else [])).orderBy(F.desc("score"), *([F.asc_nulls_last(then)] if then else []), id_col)
     return scores.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", *more, "rank", id_col, "score")
 
 

@@ -11,7 +11,7 @@ from . import fixtures as X
 from .fixtures import with_views
 from .media import FRAMES_SQL, frames_of
 from .records import OCR_KEY as FOLD_KEY
-from .search import bm25_sql, bodied
+from .search import ASKED_SQL, MEDIA_SQL, TOPIC_FIELDS, asked, bm25_sql, bodied, field_bm25_sql, media_info
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -127,6 +127,55 @@ def subject_terms(spark, d):
     return enrichment.subject_terms(subject_scores(spark, d))
 
 
+_TOPIC_HELD = "(contains(lower(d.title), lower(trim(q.text))) OR contains(lower(d.topic), lower(trim(q.text))))"
+
+
+@query(with_views("speech", "keyframes", body=f", {TRANSCRIPTS_SQL}{SUBJECT_SQL}{INFO_SQL}, " + MEDIA_SQL + """,
+kp AS (SELECT substr(video_id, 2) AS video_id, string_agg(text, ' ' ORDER BY segment_index) AS key_points FROM info GROUP BY 1),
+su0 AS (SELECT video_id, phrase, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, phrase) AS i FROM sc QUALIFY i <= 8),
+su AS (SELECT substr(video_id, 2) AS video_id, string_agg(phrase, ', ' ORDER BY i) AS subject_terms FROM su0 GROUP BY 1),
+docs AS (SELECT video_id AS doc_id, title, topic, description, key_points, subject_terms FROM media LEFT JOIN kp USING (video_id) LEFT JOIN su USING (video_id)),
+search_queries AS (SELECT item_id AS query_id, text FROM benchmark), titled AS (SELECT CAST(video_id AS BIGINT) + 2000000 AS query_id, substr(title, 3, 20) AS text FROM media WHERE CAST(video_id AS BIGINT) % 20 = 0),
+spoken AS (SELECT CAST(substr(video_id, 2) AS BIGINT) + 3000000 AS query_id, phrase AS text FROM su0 WHERE i = 1), """
+       + ASKED_SQL.replace("asked AS (", "asked AS (SELECT query_id, text FROM titled UNION ALL SELECT query_id, text FROM spoken UNION ALL ") + "," + field_bm25_sql("docs", "asked", TOPIC_FIELDS, 5) + f""",
+held AS (SELECT q.query_id, d.doc_id FROM docs d JOIN asked q ON {_TOPIC_HELD} WHERE regexp_matches(q.text, '[\\p{{L}}\\p{{N}}_]')),
+merged AS (SELECT query_id, doc_id, score FROM ranked UNION ALL SELECT query_id, doc_id, 0 FROM held ANTI JOIN ranked USING (query_id, doc_id)),
+found AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM merged QUALIFY rank <= 5),
+ff AS (SELECT video_id AS v, min(keyframe_id) AS first_keyframe FROM keyframes GROUP BY 1)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id AS video_id, score, first_keyframe FROM found LEFT JOIN ff ON v = 'v' || doc_id"""))
+def topic_search(spark, d):
+    """Any term of title, topic, description, informative segments and subject terms, each field weighed, or a substring of
+    title or topic; each hit with its video's first keyframe."""
+    media, s, t = media_info(spark, d), X.speech(spark, d), transcripts(spark, d)
+    info = enrichment.informative_segments(s, enrichment.segment_frequency(s)).groupBy(F.substring("video_id", 2, 20).alias("video_id")).agg(F.array_join(documents.ordered_texts(["segment_index"], "text"), " ").alias("key_points"))
+    best = lexical.top_k(enrichment.subject_scores(t, enrichment.phrase_frequency(t)).withColumnRenamed("video_id", "query_id"), 8, "phrase")
+    terms = best.groupBy(F.substring("query_id", 2, 20).alias("video_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "phrase"))), lambda x: x["phrase"]), ", ").alias("subject_terms"))
+    docs = media.join(info, "video_id", "left").join(terms, "video_id", "left").select(F.col("video_id").alias("doc_id"), *TOPIC_FIELDS)
+    n = F.col("video_id").cast("long")
+    titled = media.where(n % 20 == 0).select((n + 2_000_000).alias("query_id"), F.substring("title", 3, 20).alias("text"))
+    spoken = best.where("rank = 1").select((F.substring("query_id", 2, 20).cast("long") + 3_000_000).alias("query_id"), F.col("phrase").alias("text"))
+    ranked = lexical.text_search(docs, titled.unionByName(spoken).unionByName(asked(spark, d)), 5, columns=["title", "topic"], fields=TOPIC_FIELDS)
+    first = X.keyframes(spark, d).groupBy(F.substring("video_id", 2, 20).alias("doc_id")).agg(F.min("keyframe_id").alias("first_keyframe"))
+    return ranked.join(first, "doc_id", "left").withColumnRenamed("doc_id", "video_id")
+
+
+#: Fields of a line on screen and their weights: the text to be searched counts, the others are looked through for substrings.
+SCREEN_SQL = """screen AS (SELECT keyframe_id || ':' || position AS doc_id, lower(text) AS search_text, text, string_agg(text, ' ') OVER (PARTITION BY keyframe_id ORDER BY position ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS shot_text, confidence AS pts_time FROM ocr_lines)"""
+
+
+@query(with_views("ocr_lines", "search_queries", body=", " + SCREEN_SQL + "," + ASKED_SQL + "," + field_bm25_sql("screen", "asked", {"search_text": 1.0}, 10, True, "pts_time") + """,
+held AS (SELECT q.query_id, d.doc_id FROM screen d JOIN asked q ON contains(lower(d.text), lower(trim(q.text))) OR contains(lower(d.shot_text), lower(trim(q.text))) WHERE regexp_matches(q.text, '[\p{L}\p{N}_]')),
+merged AS (SELECT query_id, doc_id, score FROM ranked UNION ALL SELECT query_id, doc_id, 0 FROM held ANTI JOIN ranked USING (query_id, doc_id))
+SELECT query_id, doc_id, pts_time, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pts_time, doc_id) AS INTEGER) AS rank FROM merged JOIN screen USING (doc_id) QUALIFY rank <= 10"""))
+def screen_text_search(spark, d):
+    """Lines on screen: all terms of the searched text, or a substring of the line or of it with its neighbours; by score, then time."""
+    from pyspark.sql import Window
+    by = Window.partitionBy("keyframe_id").orderBy("position").rowsBetween(-1, 1)
+    lines = X.ocr_lines(spark, d).select(F.concat_ws(":", "keyframe_id", "position").alias("doc_id"), F.lower("text").alias("search_text"), "text",
+                                         F.array_join(F.collect_list("text").over(by), " ").alias("shot_text"), F.col("confidence").alias("pts_time"))
+    return lexical.text_search(lines, asked(spark, d), 10, require_all=True, columns=["text", "shot_text"], fields={"search_text": 1.0}, then="pts_time")
+
+
 @query("WITH t AS (SELECT CAST(page_id AS VARCHAR) AS video_id, split_part(url, '/', 5) AS topic FROM pages) SELECT video_id, CASE WHEN count(*) OVER (PARTITION BY topic) > 1 THEN topic || ' [' || video_id || ']' ELSE topic END AS topic FROM t WHERE topic IS NOT NULL")
 def unique_topics(spark, d):
     t = X.table(spark, d, "pages").select(F.col("page_id").cast("string").alias("video_id"), F.split_part("url", F.lit("/"), F.lit(5)).alias("topic")).where("topic IS NOT NULL")

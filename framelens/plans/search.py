@@ -71,6 +71,23 @@ def bm25_search_filtered(spark, d):
     return lexical.bm25(docs.select("doc_id", "text"), X.queries(spark, d), K, allowed)
 
 
+def field_bm25_sql(docs: str, queries: str, fields: dict[str, float], k: int = K, all_terms: bool = False, then: str = "doc_id", p: str = "") -> str:
+    """CTEs up to ``{p}ranked`` (query_id, doc_id, score, rank) over several columns of ``docs``; equal scores by ``then`` of docs."""
+    weight = "CASE field " + " ".join(f"WHEN '{f}' THEN {w}::DOUBLE" for f, w in fields.items()) + " END"
+    return f"""
+{p}ft AS (SELECT doc_id, unnest([{", ".join(f"'{f}'" for f in fields)}]) AS field, unnest([{", ".join(f"coalesce({f}, '')" for f in fields)}]) AS text FROM {docs}),
+{p}tok AS (SELECT doc_id, field, {TOKENS.format(FOLD)} AS w FROM {p}ft),
+{p}st AS (SELECT field, count(*) AS n_docs, avg(len(w)) AS avg_length FROM {p}tok GROUP BY field),
+{p}tf AS (SELECT field, token, doc_id, length, count(*) AS tf FROM (SELECT field, doc_id, len(w) AS length, unnest(w) AS token FROM {p}tok) GROUP BY ALL),
+{p}dfs AS (SELECT field, token, count(*) AS df FROM {p}tf GROUP BY ALL),
+{p}terms AS (SELECT DISTINCT query_id, unnest({TERMS.format(FOLD)}) AS token FROM {queries}),
+{p}nt AS (SELECT query_id, count(*) AS n_terms FROM {p}terms GROUP BY query_id),
+{p}scored AS (SELECT query_id, doc_id, round(sum({weight} * ln(1 + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / avg_length))), 6) AS score, count(DISTINCT token) AS matched
+  FROM {p}terms JOIN {p}tf USING (token) JOIN {p}dfs USING (field, token) JOIN {p}st USING (field) GROUP BY query_id, doc_id),
+{p}ranked AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, d.{then}, doc_id) AS rank
+  FROM {p}scored JOIN {docs} d USING (doc_id) {f"JOIN {p}nt USING (query_id) WHERE matched = n_terms" if all_terms else ""} QUALIFY rank <= {k})"""
+
+
 def text_search_sql(docs: str, queries: str, k: int = K, all_terms: bool = False, held: str = "contains(lower(text), lower(trim(q.text)))") -> str:
     """``bm25_sql`` and, with score 0, the documents that hold the query's text otherwise, up to ``found``."""
     held = held.replace("text)", "d.text)", 1) if held.startswith("contains(lower(text)") else held
@@ -84,7 +101,7 @@ found AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_
 ASKED_SQL = "asked AS (SELECT query_id, text FROM search_queries UNION ALL SELECT query_id + 1000000, substr(text, 4, 25) FROM search_queries)"
 
 
-def _asked(spark, d):
+def asked(spark, d):
     q = X.queries(spark, d).select("query_id", "text")
     return q.unionByName(q.select((F.col("query_id") + 1_000_000).alias("query_id"), F.substring("text", 4, 25).alias("text")))
 
@@ -92,7 +109,7 @@ def _asked(spark, d):
 @query(bodied(ASKED_SQL + "," + text_search_sql("documents", "asked", all_terms=True), "SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM found", "search_queries"))
 def lexical_and_search(spark, d):
     """All terms or a substring, as text on screen is searched."""
-    return lexical.text_search(X.table(spark, d, "documents").select("doc_id", "text"), _asked(spark, d), K, require_all=True)
+    return lexical.text_search(X.table(spark, d, "documents").select("doc_id", "text"), asked(spark, d), K, require_all=True)
 
 
 @query(bodied(bm25_sql("documents", "search_queries", all_terms=True), "SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked", "search_queries"))
@@ -108,7 +125,7 @@ near AS (SELECT r.query_id, r.rank, r.doc_id, r.score, k.keyframe_id, row_number
 def transcript_search(spark, d):
     """Any term or a substring, each hit with the keyframe inside the segment that is nearest to its start."""
     speech = X.speech(spark, d)
-    ranked = lexical.text_search(speech.select(F.col("segment_id").alias("doc_id"), "text"), _asked(spark, d), K)
+    ranked = lexical.text_search(speech.select(F.col("segment_id").alias("doc_id"), "text"), asked(spark, d), K)
     hits = ranked.join(speech.select(F.col("segment_id").alias("doc_id"), "video_id", "start_time", "end_time"), "doc_id")
     inside = temporal.nearest_inside(hits.select(F.col("doc_id").alias("segment_id"), "video_id", "start_time", "end_time").distinct(), X.keyframes(spark, d))
     return hits.join(inside.select(F.col("segment_id").alias("doc_id"), "keyframe_id"), "doc_id", "left").select("query_id", "rank", "doc_id", "score", "keyframe_id")
@@ -133,21 +150,8 @@ def media_info(spark, d):
         F.regexp_extract("html", '<div class="ad">([^<]*)</div>', 1).alias("description"), F.split_part("url", F.lit("/"), F.lit(5)).alias("topic"))
 
 
-_TOPIC_FIELDS = "concat_ws(' ', title, description, topic)"
-
-
-@query("WITH " + MEDIA_SQL + f", docs AS (SELECT video_id AS doc_id, {_TOPIC_FIELDS} AS text, title, topic FROM media), search_queries AS (SELECT item_id AS query_id, text FROM benchmark), titled AS (SELECT CAST(video_id AS BIGINT) + 2000000 AS query_id, substr(title, 3, 20) AS text FROM media WHERE CAST(video_id AS BIGINT) % 20 = 0), "
-       + ASKED_SQL.replace("asked AS (", "asked AS (SELECT query_id, text FROM titled UNION ALL ") + "," + text_search_sql("docs", "asked", 5, held="(contains(lower(d.title), lower(trim(q.text))) OR contains(lower(d.topic), lower(trim(q.text))))") + ", " + """
-first AS (SELECT 'v' || user_id AS v, min('kf:' || event_id) AS first_keyframe FROM events GROUP BY 1)
-SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id AS video_id, score, first_keyframe FROM found LEFT JOIN first ON v = 'v' || doc_id""")
-def topic_search(spark, d):
-    """Any term of title, description and topic, or a substring of title or topic; each hit with its video's first keyframe."""
-    media = media_info(spark, d)
-    titled = media.withColumn("n", F.col("video_id").cast("long")).where("n % 20 = 0").select((F.col("n") + 2_000_000).alias("query_id"), F.substring("title", 3, 20).alias("text"))
-    docs = media.select(F.col("video_id").alias("doc_id"), F.concat_ws(" ", "title", "description", "topic").alias("text"), "title", "topic")
-    ranked = lexical.text_search(docs, titled.unionByName(_asked(spark, d)), 5, columns=["title", "topic"])
-    first = X.keyframes(spark, d).groupBy(F.substring("video_id", 2, 20).alias("doc_id")).agg(F.min("keyframe_id").alias("first_keyframe"))
-    return ranked.join(first, "doc_id", "left").withColumnRenamed("doc_id", "video_id")
+#: Fields of a video that topic search reads, and their weights.
+TOPIC_FIELDS = {"title": 2.0, "topic": 2.0, "description": 1.0, "key_points": 1.0, "subject_terms": 1.0}
 
 
 VECTOR_SQL = "SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 10"
