@@ -36,6 +36,11 @@ def keyframe_budget(duration, motion) -> Column:
     return F.least(F.lit(4), base + F.when((motion >= 0.12) & (duration >= 2), 1).otherwise(0))
 
 
+def keyframe_limit(duration, most: int = 4) -> Column:
+    """Keyframes of a shot by its length alone: one up to 3 seconds, two up to 10, three up to 25, else ``most``."""
+    return F.when(duration <= 3, 1).when(duration <= 10, 2).when(duration <= 25, 3).otherwise(most)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

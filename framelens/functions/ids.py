@@ -46,3 +46,19 @@ def url_host(url: Column, hosts: list[str]) -> Column:
     for h in hosts:
         fits = fits | (host == h) | host.endswith(f".{h}")
     return F.when(fits, host)
+
+
+# Hosts of watch urls, of which the last one has the id as its path, and the form of an id.
+WATCH_HOSTS, SHORT_HOST = ["youtube.com", "www.youtube.com", "m.youtube.com"], "youtu.be"
+WATCH_ID = "^[A-Za-z0-9_-]{11}$"
+
+
+def watch_id(url: Column) -> Column:
+    """The 11 characters that name a video in a watch url: the first ``v`` parameter that is not empty, or the path of a
+    short url. Null for any other host (compared whole, without case, port included), any other form and a null url."""
+    parts = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)([^?#]*)(?:\?([^#]*))?"
+    host = F.lower(F.regexp_extract(url, parts, 1))
+    path = F.regexp_replace(F.regexp_extract(url, parts, 2), "^/+|/+$", "")
+    value = F.try_url_decode(F.regexp_extract(F.regexp_extract(url, parts, 3), r"(?:^|&)v=([^&]+)", 1))
+    found = F.when(host == SHORT_HOST, path).when(host.isin(WATCH_HOSTS), value)
+    return F.when(found.rlike(WATCH_ID), found)

@@ -1,10 +1,11 @@
-"""Text functions, Column to Column."""
+"""Text functions, Column to Column; ``compose`` takes a table."""
 
 from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Function words that carry no content, folded.
@@ -58,6 +59,34 @@ def normalize_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
+def _composable() -> str:
+    """A class of the characters without which a text is composed already: marks, Hangul letters, and those that composition
+    replaces by others."""
+    codes = [c for c in range(0x80, 0x30000) if not 0xD800 <= c < 0xE000 and unicodedata.normalize("NFC", chr(c)) != chr(c)]
+    ranges: list[list[int]] = []
+    for c in codes:
+        if ranges and c == ranges[-1][1] + 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return r"[\p{M}\u1100-\u11FF" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
+
+
+COMPOSABLE = _composable()
+
+
+def compose(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` with ``column`` in composed form (NFC) and single spaces, as ``normalize_text``. Only texts that hold a
+    character which composition may touch go through Arrow; a regular expression on the JVM tells them. Nulls stay."""
+    @F.pandas_udf("string")
+    def composed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+    touched = F.coalesce(F.col(column).rlike(COMPOSABLE), F.lit(False))
+    both = rows.where(~touched).unionByName(rows.where(touched).withColumn(column, composed(column)))
+    return both.withColumn(column, normalize_text(F.col(column)))
+
+
 def tokenize(c: Column) -> Column:
     """Word runs, case-folded."""
     return F.regexp_extract_all(F.lower(F.replace(c, F.lit("ß"), F.lit("ss"))), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))

@@ -104,6 +104,18 @@ def object_hints(detections: DataFrame, k: int = 12) -> DataFrame:
     return top.groupBy("keyframe_id").agg(F.array_join(ordered_texts(["r"], "class_name"), ", ").alias("hints"), F.max("prominence").alias("top_prominence"))
 
 
+def with_shots(detections: DataFrame, shots: DataFrame) -> DataFrame:
+    """Detections (video_id, frame_idx, ...) with the shot that holds their frame, or none: of shots that overlap the one that
+    starts last. Both are sorted by frame once for each video, so no detection meets all of its video's shots."""
+    names = [c for c in detections.columns if c != "shot_id"]
+    shot = F.struct("shot_id", "end_frame").alias("shot")
+    starts = shots.select("video_id", F.col("start_frame").cast("long").alias("at"), shot, F.lit(0).alias("turn"))
+    rows = detections.select(F.struct(*names).alias("row"), "video_id", F.col("frame_idx").cast("long").alias("at"), F.lit(1).alias("turn"))
+    by = Window.partitionBy("video_id").orderBy("at", "turn", F.col("shot.shot_id"))
+    both = rows.unionByName(starts, allowMissingColumns=True).withColumn("last", F.last("shot", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    return both.where("turn = 1").select("row.*", F.when(F.col("at") <= F.col("last.end_frame"), F.col("last.shot_id")).alias("shot_id"))
+
+
 def trusted_detections(detections: DataFrame, classes: list[str], least: float) -> DataFrame:
     return detections.where((F.col("confidence") >= least) & F.lower("class_name").isin([c.lower() for c in classes]))
 

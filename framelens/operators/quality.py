@@ -25,6 +25,12 @@ def mapping_audit(rows: DataFrame) -> DataFrame:
     return bad.unionByName(found.select("video_id", "row_number", F.when(F.col("code") == "DUPLICATE_FRAME", "warning").otherwise("error").alias("severity"), "code"))
 
 
+def folder_audit(rows: DataFrame, header_issues: DataFrame) -> DataFrame:
+    """All issues of a folder of keyframe maps: those of headers (``checked_keyframe_map``) and, of the files whose header is
+    sound, ``mapping_audit``. ``rows`` have row_number."""
+    return header_issues.unionByName(mapping_audit(rows))
+
+
 def pair_issues(metadata: DataFrame, mapping: DataFrame, valid_url: Column) -> DataFrame:
     """MISSING_PAIR of videos that stand on one side only, INVALID_JSON (corrupt) and INVALID_WATCH_URL of the others."""
     m = metadata.withColumn("url_ok", valid_url)

@@ -78,9 +78,17 @@ def news_leads(spark, d):
     return enrichment.news_leads(X.speech(spark, d)).select("segment_id", F.round("pause", 6).alias("pause"))
 
 
-@query(with_views("speech", body=f"SELECT segment_id FROM speech WHERE start_time <= 38 AND len({tokens_sql('text')}) >= 5"))
+@query(with_views("speech", body=f""", n AS (SELECT segment_id, video_id, segment_index, CAST(substr(video_id, 2) AS BIGINT) AS v, segment_index * 6 + 1.0::DOUBLE AS start_time, text FROM speech),
+c AS (SELECT *, CASE WHEN segment_index = 1 AND v % 3 = 0 THEN 'Nổi bật sau đây: ' WHEN segment_index = 2 AND v % 5 = 0 THEN 'Xin chào tất cả các bạn! ' ELSE '' END || text AS said FROM n),
+k AS (SELECT *, {FOLD_KEY.format('said')} AS key, row_number() OVER w AS no, max(CAST(start_time > 38 AS INTEGER)) OVER (w ROWS UNBOUNDED PRECEDING) AS late FROM c WINDOW w AS (PARTITION BY video_id ORDER BY segment_index, segment_id)),
+f AS (SELECT *, coalesce(min(no) FILTER (no <= 12 AND len(list_filter(['noi bat sau day', 'noi dung dang chu y sau day', 'noi dung chinh sau day', 'thong tin duoc quan tam'], lambda m: contains(key, m))) > 0) OVER (PARTITION BY video_id), 0) AS cue FROM k)
+SELECT segment_id FROM f WHERE no > cue AND late = 0 AND len(list_filter({MARKS}, lambda m: contains(key, m))) = 0 AND len({tokens_sql('said')}) >= 5"""))
 def news_headlines(spark, d):
-    return enrichment.news_headlines(X.speech(spark, d)).select("segment_id")
+    """Some videos announce their headlines, some greet in between."""
+    v, at = F.substring("video_id", 2, 20).cast("long"), F.col("segment_index")
+    head = F.when((at == 1) & (v % 3 == 0), "Nổi bật sau đây: ").when((at == 2) & (v % 5 == 0), "Xin chào tất cả các bạn! ").otherwise("")
+    s = X.speech(spark, d).select("segment_id", "video_id", "segment_index", (at * 6 + 1.0).cast("double").alias("start_time"), F.concat(head, "text").alias("text"))
+    return enrichment.news_headlines(s).select("segment_id")
 
 
 STATUS_SQL = """ SELECT video_id, CASE WHEN tw <= 25 OR iw <= 20 THEN 'insufficient' WHEN iw / greatest(tw, 1) < 0.12 THEN 'boilerplate_only' WHEN iw < 140 THEN 'sparse' ELSE 'usable' END AS status,

@@ -125,6 +125,13 @@ def keyframe_budgets(spark, d):
     return m.join(X.shots(spark, d).select("shot_id", "duration_sec"), "shot_id").select("shot_id", "motion_score", keyframe_budget(F.col("duration_sec"), F.col("motion_score")).alias("budget"))
 
 
+@query(with_views("shots", body=" SELECT shot_id, CASE WHEN duration_sec <= 3 THEN 1 WHEN duration_sec <= 10 THEN 2 WHEN duration_sec <= 25 THEN 3 ELSE 4 END AS most FROM shots"))
+def keyframe_limits(spark, d):
+    """Keyframes of each shot by its length alone."""
+    from ..functions.geometry import keyframe_limit
+    return X.shots(spark, d).select("shot_id", keyframe_limit(F.col("duration_sec")).alias("most"))
+
+
 OBJECTS_SQL = """fo0 AS (SELECT keyframe_id, class_name, count(*) AS n, min(detection_id) AS first FROM detections GROUP BY ALL),
 fo AS (SELECT k.keyframe_id, coalesce(list(class_name ORDER BY first) FILTER (class_name IS NOT NULL), []) AS labels, list(class_name || '=' || fo0.n ORDER BY class_name) FILTER (class_name IS NOT NULL) AS counts, CAST(coalesce(sum(fo0.n), 0) AS BIGINT) AS detection_count
  FROM keyframes k LEFT JOIN fo0 USING (keyframe_id) GROUP BY 1)"""

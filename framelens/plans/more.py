@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry, ids
+from ..functions.text import compose
 from ..operators import documents, enrichment, ledger, lexical, quality, understanding, vectors
 from . import fixtures as X
 from .enrich import TRANSCRIPTS_SQL, tokens_sql, transcripts
@@ -114,10 +115,20 @@ def object_filter(spark, d):
     return lexical.filter_objects(X.keyframes(spark, d).select(F.col("keyframe_id").alias("doc_id")), n, ["click", "view"])
 
 
-@query(r"""SELECT doc_id, concat_ws(' ', s, s, lang, lang, nullif(trim(regexp_replace(substr(text, 1, 80), '\s+', ' ', 'g')), '')) AS text FROM (SELECT *, nullif(source, '') AS s FROM documents)""")
+@query(r"""SELECT doc_id, concat_ws(' ', s, s, lang, lang, nullif(trim(regexp_replace(text, '\s+', ' ', 'g')), '')) AS text FROM (SELECT *, nullif(source, '') AS s FROM documents)""")
 def weighted_text(spark, d):
     docs = X.table(spark, d, "documents")
-    return docs.select("doc_id", documents.weighted_text(F.col("source"), F.col("lang"), F.substring("text", 1, 80)).alias("text"))
+    return docs.select("doc_id", documents.weighted_text(F.col("source"), F.col("lang"), F.col("text")).alias("text"))
+
+
+_MARKED = "replace(replace(replace(text, 'é', 'e' || chr(769)), 'ü', 'u' || chr(776)), 'ñ', 'n' || chr(771))"
+
+
+@query(rf"SELECT doc_id, trim(regexp_replace(nfc_normalize({_MARKED}), '\s+', ' ', 'g')) AS text FROM documents")
+def composed_text(spark, d):
+    """Texts with decomposed accents, composed again."""
+    marked = F.replace(F.replace(F.replace("text", F.lit("é"), F.lit("e\u0301")), F.lit("ü"), F.lit("u\u0308")), F.lit("ñ"), F.lit("n\u0303"))
+    return compose(X.table(spark, d, "documents").select("doc_id", marked.alias("text")), "text")
 
 
 @query("SELECT c_nationkey AS run_id, max(c_mktsegment) AS dataset_group, max(CAST(c_custkey AS BIGINT)) AS batch FROM customer GROUP BY 1")
@@ -218,11 +229,15 @@ def _answered(spark, d):
 @query(with_views("keyframes", body=""", told AS (SELECT keyframe_id, shot_id, frame_idx, event_id, event_type FROM keyframes WHERE n % 3 = 0 AND event_id % 11 <> 0),
 once AS (SELECT * FROM told QUALIFY row_number() OVER (PARTITION BY shot_id, frame_idx ORDER BY keyframe_id) = 1),
 near AS (SELECT k.keyframe_id, k.frame_idx, o.keyframe_id AS src, o.event_id, o.event_type, abs(k.frame_idx - o.frame_idx) AS far FROM keyframes k LEFT JOIN once o USING (shot_id) QUALIFY row_number() OVER (PARTITION BY k.keyframe_id ORDER BY far, o.frame_idx) = 1)
-SELECT keyframe_id, src AS source_keyframe_id, CASE WHEN src IS NULL THEN 'evidence_only' WHEN far = 0 THEN 'vlm' ELSE 'propagated' END AS description_source, CASE WHEN src IS NULL THEN 'unknown' WHEN event_id % 2 = 0 THEN 'indoor' ELSE 'outdoor' END AS environment,
+SELECT * EXCLUDE (text0), trim(regexp_replace(text0, ' +', ' ', 'g')) AS search_text FROM (SELECT keyframe_id, src AS source_keyframe_id, CASE WHEN src IS NULL THEN 'evidence_only' WHEN far = 0 THEN 'vlm' ELSE 'propagated' END AS description_source, CASE WHEN src IS NULL THEN 'unknown' WHEN event_id % 2 = 0 THEN 'indoor' ELSE 'outdoor' END AS environment,
  CASE WHEN src IS NULL OR event_id % 2 = 0 THEN 'unknown' ELSE 'rain' END AS weather, CASE WHEN src IS NULL THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, event_id % 3) END AS confidence,
- CASE WHEN src IS NULL THEN '' WHEN event_id % 2 = 0 THEN event_type || ' trong nhà ' || event_type || ' x red blue A chạy trong nhà' ELSE event_type || ' ngoài trời ' || event_type || ' x red blue A chạy trời mưa ngoài trời' END AS search_text FROM near"""))
+ CASE WHEN src IS NULL THEN '' WHEN event_id % 2 = 0 THEN event_type || ' trong nhà ' || event_type || ' x red blue A chạy ' ELSE event_type || ' ngoài trời ' || event_type || ' x red blue A chạy ' END
+ || CASE WHEN keyframe_id LIKE '%7' THEN '' ELSE 'line ' || right(keyframe_id, 1) || ' obj cam' END || CASE WHEN src IS NULL THEN '' WHEN event_id % 2 = 0 THEN ' trong nhà' ELSE ' trời mưa ngoài trời' END AS text0,
+ CASE WHEN keyframe_id LIKE '%7' THEN '' ELSE 'tick ' || right(keyframe_id, 1) END AS ocr_ticker_text FROM near)"""))
 def understanding_documents(spark, d):
     k = X.keyframes(spark, d).select("keyframe_id", "video_id", "shot_id", "frame_idx", "pts_time")
-    evidence = k.select("keyframe_id", *[F.lit("").alias(c) for c in ("ocr_text", "ocr_scene_text", "ocr_ticker_text")], F.array().cast("array<string>").alias("object_labels")).limit(0)
+    last = F.substring("keyframe_id", -1, 1)
+    evidence = k.where(last != "7").select("keyframe_id", F.concat(F.lit("line "), last, F.lit(" tick "), last).alias("ocr_text"), F.concat(F.lit("line "), last).alias("ocr_scene_text"), F.concat(F.lit("tick "), last).alias("ocr_ticker_text"),
+                                           F.array(F.lit("obj"), F.lit("cam")).alias("object_labels"))
     made = understanding.understanding_documents(k, _answered(spark, d), evidence)
-    return made.select("keyframe_id", "source_keyframe_id", "description_source", "environment", "weather", "confidence", "search_text")
+    return made.select("keyframe_id", "source_keyframe_id", "description_source", "environment", "weather", "confidence", "search_text", "ocr_ticker_text")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import ids as I
-from ..operators import ledger, quality
+from ..operators import documents, ledger, lexical, quality
 from . import fixtures as X
 from .fixtures import with_views
 
@@ -193,6 +193,45 @@ def feature_records(spark, d):
     return ledger.feature_records(X.keyframes(spark, d), "ocr")
 
 
+@query("""WITH p AS (SELECT *, CASE page_id % 8 WHEN 0 THEN 'https://www.youtube.com/watch?a=1&v=' WHEN 1 THEN 'http://YOUTU.be/' WHEN 2 THEN 'https://m.youtube.com/watch?v=' WHEN 3 THEN 'https://music.youtube.com/watch?v=' WHEN 4 THEN 'https://youtube.com/watch?v=&v=' WHEN 5 THEN 'youtube.com/watch?v=' WHEN 6 THEN 'https://youtube.com/v/' ELSE url || '?v=' END
+ || substr(sha256(CAST(page_id AS VARCHAR)), 1, CASE WHEN page_id % 5 = 0 THEN 10 ELSE 11 END) || CASE WHEN page_id % 3 = 0 THEN '#t' ELSE '' END AS u FROM pages),
+h AS (SELECT page_id, lower(regexp_extract(u, '^https?://([^/?#]*)', 1)) AS host, trim(regexp_extract(u, '^https?://[^/?#]*([^?#]*)', 1), '/') AS path, regexp_extract(regexp_extract(u, '[?]([^#]*)', 1), '(?:^|&)v=([^&]+)', 1) AS v FROM p),
+f AS (SELECT page_id, CASE WHEN host = 'youtu.be' THEN path WHEN host IN ('youtube.com', 'www.youtube.com', 'm.youtube.com') THEN v END AS id FROM h) SELECT page_id, CASE WHEN regexp_full_match(id, '[A-Za-z0-9_-]{11}') THEN id END AS watch_id FROM f""")
+def watch_ids(spark, d):
+    """Ids of watch urls of many forms, made of the pages' ids."""
+    p = X.table(spark, d, "pages")
+    heads = ["https://www.youtube.com/watch?a=1&v=", "http://YOUTU.be/", "https://m.youtube.com/watch?v=", "https://music.youtube.com/watch?v=", "https://youtube.com/watch?v=&v=", "youtube.com/watch?v=", "https://youtube.com/v/"]
+    n = F.col("page_id")
+    head = F.coalesce(*[F.when(n % 8 == i, F.lit(h)) for i, h in enumerate(heads)], F.concat("url", F.lit("?v=")))
+    name = F.sha2(n.cast("string"), 256)
+    url = F.concat(head, F.when(n % 5 == 0, F.substring(name, 1, 10)).otherwise(F.substring(name, 1, 11)), F.when(n % 3 == 0, F.lit("#t")).otherwise(F.lit("")))
+    return p.select("page_id", I.watch_id(url).alias("watch_id"))
+
+
+@query("SELECT DISTINCT 'd' || o_custkey AS path FROM orders WHERE o_orderstatus IN ('P', 'F')")
+def trusted_files(spark, d):
+    """Files (one for each customer) of which some row comes from a trusted model."""
+    o = X.table(spark, d, "orders").select(F.concat(F.lit("d"), "o_custkey").alias("path"), F.col("o_orderstatus").alias("model"))
+    return ledger.trusted_files(o.select("path").distinct(), o, ["P", "F"])
+
+
+@query(with_views("detections", "shots", body=" SELECT detection_id, d.frame_idx, s.shot_id FROM detections d LEFT JOIN (SELECT * FROM shots WHERE shot_index % 4 <> 2) s ON s.video_id = d.video_id AND d.frame_idx BETWEEN s.start_frame AND s.end_frame"
+                  " QUALIFY row_number() OVER (PARTITION BY detection_id ORDER BY s.start_frame DESC NULLS LAST, s.shot_id DESC) = 1"))
+def detections_with_shots(spark, d):
+    """Detections joined to the shot that holds their frame; every fourth shot is missing."""
+    return documents.with_shots(X.detections(spark, d), X.shots(spark, d).where("shot_index % 4 <> 2")).select("detection_id", "frame_idx", "shot_id")
+
+
+@query(with_views("ocr_lines", body=r""", b AS (SELECT *, 4 + keyframe_id * 7 % 60 AS w, 3 + position * 5 % 50 AS h FROM ocr_lines),
+p AS (SELECT *, regexp_replace(text, '[^\p{L}\p{N}]', '', 'g') AS plain FROM b WHERE confidence >= 0.45 AND w >= 10 AND h >= 8 AND h <= 0.40 * 100)
+SELECT keyframe_id, position FROM p WHERE length(plain) >= 2 AND length(plain) >= 0.5 * length(regexp_replace(text, '\s', '', 'g')) AND NOT regexp_full_match(upper(regexp_replace(text, '\s+', '', 'g')), '(HTV[\p{L}\p{N}_]*|TV|HD|[0-9]{1,2}:[0-9]{2}(:[0-9]{2})?|LIVE|TRỰCTIẾP)')
+ AND NOT regexp_matches(""" + OCR_KEY.format("text") + """, '""" + quality.STUTTER + """')"""))
+def ocr_line_boxes(spark, d):
+    """The line gate with boxes."""
+    lines = X.ocr_lines(spark, d).withColumns({"box_width": 4 + F.col("keyframe_id") * 7 % 60, "box_height": 3 + F.col("position") * 5 % 50, "frame_height": F.lit(100)})
+    return quality.ocr_line_filter(lines).select("keyframe_id", "position")
+
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
@@ -201,10 +240,15 @@ def inventory(spark, d):
     return ledger.inventory({t: X.table(spark, d, t) for t in TABLES})
 
 
-@query(with_views("search_documents", "vectors", body="""SELECT 'documents ' || level AS part, count(*) AS n FROM search_documents GROUP BY level UNION ALL SELECT 'vectors ' || len(vector), count(*) FROM vectors GROUP BY len(vector)"""))
+@query(with_views("search_documents", "vectors", body="""SELECT 'documents ' || level AS part, count(*) AS n FROM search_documents GROUP BY level UNION ALL SELECT 'vectors ' || len(vector), count(*) FROM vectors WHERE vector IS NOT NULL GROUP BY len(vector)
+ UNION ALL SELECT 'postings', count(*) FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(replace(text, 'ß', 'ss')), '([\\p{L}\\p{N}_]+)', 1)) FROM search_documents)"""))
 def index_counts(spark, d):
-    docs = X.search_documents(spark, d).groupBy(F.concat(F.lit("documents "), "level").alias("part")).agg(F.count("*").alias("n"))
-    return docs.unionByName(X.vectors(spark, d).groupBy(F.concat(F.lit("vectors "), F.size("vector")).alias("part")).agg(F.count("*").alias("n")))
+    """Documents of each level, vectors of each length and postings."""
+    counted = lambda df, name: df.groupBy(name.alias("part")).agg(F.count("*").alias("n"))
+    docs = X.search_documents(spark, d)
+    postings = lexical.postings(docs.select("doc_id", "text")).agg(F.count("*").alias("n")).select(F.lit("postings").alias("part"), "n")
+    vectors = X.vectors(spark, d).where("vector IS NOT NULL")
+    return counted(docs, F.concat(F.lit("documents "), "level")).unionByName(counted(vectors, F.concat(F.lit("vectors "), F.size("vector")))).unionByName(postings)
 
 
 @query("SELECT l.doc_id, d.source FROM labels l JOIN documents d USING (doc_id) WHERE quality = 1 AND d.source IS NOT NULL AND trim(d.source) <> '' ORDER BY l.doc_id LIMIT 25")

@@ -131,13 +131,19 @@ def transcript_search(spark, d):
     return hits.join(inside.select(F.col("segment_id").alias("doc_id"), "keyframe_id"), "doc_id", "left").select("query_id", "rank", "doc_id", "score", "keyframe_id")
 
 
-@query(with_views("detections", body="""SELECT query_id, keyframe_id, labels, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (
+@query(with_views("detections", body=""", types AS (SELECT class_name, row_number() OVER (ORDER BY class_name) AS i FROM (SELECT DISTINCT class_name FROM detections)),
+q AS (SELECT i AS query_id, upper(class_name) AS text FROM types UNION ALL SELECT 1000 + i, substr(class_name, 2, 3) FROM types UNION ALL SELECT 2000 + i, substr(class_name, 1, 1) FROM types)
+SELECT query_id, keyframe_id, labels, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pts_time, keyframe_id) AS rank FROM (
  SELECT q.query_id, keyframe_id, pts_time, array_to_string(list_sort(list_distinct(list(class_name))), ', ') AS labels, max(confidence) AS score
- FROM detections JOIN (VALUES (1, 'CLICK'), (2, 'pur'), (3, 'e')) q(query_id, text) ON contains(lower(class_name), lower(q.text)) GROUP BY ALL)) WHERE rank <= 20"""))
+ FROM detections JOIN q ON contains(lower(class_name), lower(q.text)) GROUP BY ALL)) WHERE rank <= 20"""))
 def object_search(spark, d):
-    asked = spark.createDataFrame([(1, "CLICK"), (2, "pur"), (3, "e")], "query_id int, text string")
-    return lexical.object_search(X.detections(spark, d), asked, 20).select("query_id", "keyframe_id", "labels", F.round("score", 6).alias("score"), "rank")
+    """Each class by its whole name, by a piece of it and by its first letter."""
+    found = X.detections(spark, d)
+    types = found.select("class_name").distinct().withColumn("i", F.row_number().over(Window.orderBy("class_name")))  # one row for each class
+    name = lambda add, text: types.select((F.col("i") + add).alias("query_id"), text.alias("text"))
+    asked_ = name(0, F.upper("class_name")).unionByName(name(1000, F.substring("class_name", 2, 3))).unionByName(name(2000, F.substring("class_name", 1, 1)))
+    return lexical.object_search(found, asked_, 20).select(F.col("query_id").cast("long").alias("query_id"), "keyframe_id", "labels", F.round("score", 6).alias("score"), "rank")
 
 
 MEDIA_SQL = """media AS (SELECT CAST(page_id AS VARCHAR) AS video_id, url AS watch_url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
@@ -309,6 +315,26 @@ def multi_query_fusion(spark, d):
     return fusion.fuse_groups(hits)
 
 
+@query(bodied(bm25_sql("documents", "search_queries", 50), """, hit AS (SELECT query_id // 2 AS session_id, query_id, rank, shot_id FROM ranked JOIN search_documents USING (doc_id)),
+n AS (SELECT session_id, shot_id, count(DISTINCT query_id) AS n FROM hit GROUP BY ALL)
+SELECT session_id, query_id, shot_id AS key, CAST(rank AS INTEGER) AS rank, round(1 / (60.0::DOUBLE + rank), 9) AS adds FROM hit JOIN n USING (session_id, shot_id) WHERE n >= 2""", "search_queries", "search_documents"))
+def fusion_contributions(spark, d):
+    """What each hit of a session's queries adds to its shot."""
+    docs = X.search_documents(spark, d)
+    ranked = lexical.bm25(docs.select("doc_id", "text"), X.queries(spark, d), 50)
+    hits = ranked.join(docs.select("doc_id", "shot_id", "video_id"), "doc_id").withColumn("session_id", F.floor(F.col("query_id") / 2))
+    return fusion.contributions(hits).select("session_id", "query_id", "key", "rank", "adds")
+
+
+@query(bodied(bm25_sql("documents", "search_queries", 50), """, p AS (SELECT query_id, doc_id, rank FROM ranked JOIN documents USING (doc_id) WHERE source = 'src1' AND contains(lower(lang || ' ' || source), 'src') AND contains(lower(lang), 'e'))
+SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INTEGER) AS new_rank FROM p QUALIFY new_rank <= 10""", "search_queries"))
+def content_filtered_search(spark, d):
+    """Over-fetched answers of one video, by words of its objects and its scene."""
+    docs = X.table(spark, d, "documents").select("doc_id", F.col("source").alias("video_id"), F.concat_ws(" ", "lang", "source").alias("objects_text"), F.col("lang").alias("scene_text"), *[F.lit(None).cast("double").alias(c) for c in ("start_time", "end_time")])
+    ranked = lexical.bm25(X.table(spark, d, "documents").select("doc_id", "text"), X.queries(spark, d), 50)
+    return fusion.post_filter(ranked, docs, 10, video_id="src1", objects=["SRC"], scenes=["E"]).select("query_id", "doc_id", "new_rank")
+
+
 @query(bodied(bm25_sql("documents", "search_queries", 50), """, h AS (SELECT r.*, shot_id, row_number() OVER (PARTITION BY query_id, shot_id ORDER BY rank) AS x FROM ranked r JOIN search_documents USING (doc_id))
 SELECT query_id, doc_id, shot_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INTEGER) AS new_rank FROM h WHERE x = 1 QUALIFY new_rank <= 10""", "search_queries", "search_documents"))
 def collapse_by_shot(spark, d):
@@ -424,10 +450,12 @@ def task_score(spark, d):
     return evaluate.final_scores(evaluate.r_scores(answers, truth))
 
 
-@query(with_views("vectors", "query_vectors", body=f""", s AS (SELECT query_id, vec_id, {DOT_SQL} AS score FROM query_vectors q, vectors v),
+@query(with_views("vectors", "query_vectors", body=f""", w AS (SELECT query_id, CASE WHEN query_id % 60 = 0 THEN list_reverse(vector) ELSE vector END AS vector FROM query_vectors), s AS (SELECT query_id, vec_id, {DOT_SQL} AS score FROM w q, vectors v),
 b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank = 1) SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM b WHERE query_id <> vec_id"""))
 def self_retrieval(spark, d):
-    return vectors.self_retrieval(X.vectors(spark, d), X.query_vectors(spark, d))
+    """Vectors that do not find themselves; of every third query the vector was stored backwards."""
+    asked_ = X.query_vectors(spark, d).withColumn("vector", F.when(F.col("query_id") % 60 == 0, F.reverse("vector")).otherwise(F.col("vector")))
+    return vectors.self_retrieval(X.vectors(spark, d), asked_)
 
 
 @query(with_views("vectors", body=""", src AS (SELECT vec_id, video_id, pts_time, vector, unnest([0, 1]) AS source_no FROM vectors),

@@ -21,6 +21,19 @@ def read_keyframe_map(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(_stem().alias("video_id"), *MAP_COLUMNS)
 
 
+def checked_keyframe_map(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Keyframe maps as ``read_keyframe_map`` reads them, and the issues of their headers (video_id, row_number, severity, code).
+
+    A file whose first line is not the contract's names in their order (a byte-order mark and carriage returns aside) is an
+    INVALID_COLUMNS issue, and its rows are left out; the other files are read all the same. An empty file is such an
+    issue too. Maps are one small file for each video, so the first lines are read with whole files."""
+    files = spark.read.text(path, wholetext=True).select(_stem().alias("video_id"), F.regexp_replace(F.substring_index("value", "\n", 1), r"^\uFEFF|\r$", "").alias("head"))
+    bad = files.where(F.col("head") != ",".join(MAP_COLUMNS)).select("video_id")
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in MAP_COLUMNS])
+    rows = spark.read.schema(schema).csv(path, header=True, enforceSchema=True).select(_stem().alias("video_id"), *MAP_COLUMNS).join(bad, "video_id", "left_anti")
+    return rows, bad.select("video_id", F.lit(None).cast("long").alias("row_number"), F.lit("error").alias("severity"), F.lit("INVALID_COLUMNS").alias("code"))
+
+
 def read_media_info(spark: SparkSession, path: str) -> DataFrame:
     """One JSON document a file: its known fields, and corrupt where it cannot be parsed."""
     kind = "author string, title string, description string, keywords array<string>, length long, publish_date string, thumbnail_url string, watch_url string, topic string, bad string"
