@@ -172,7 +172,7 @@ SCREEN_SQL = """screen AS (SELECT keyframe_id || ':' || position AS doc_id, lowe
 
 
 @query(with_views("ocr_lines", "search_queries", body=", " + SCREEN_SQL + "," + ASKED_SQL + "," + field_bm25_sql("screen", "asked", {"search_text": 1.0}, 10, True, "pts_time") + """,
-held AS (SELECT q.query_id, d.doc_id FROM screen d JOIN asked q ON contains(lower(d.text), lower(trim(q.text))) OR contains(lower(d.shot_text), lower(trim(q.text))) WHERE regexp_matches(q.text, '[\p{L}\p{N}_]')),
+held AS (SELECT q.query_id, d.doc_id FROM screen d JOIN asked q ON contains(lower(d.text), lower(trim(q.text))) OR contains(lower(d.shot_text), lower(trim(q.text))) WHERE regexp_matches(q.text, '[\\p{L}\\p{N}_]')),
 merged AS (SELECT query_id, doc_id, score FROM ranked UNION ALL SELECT query_id, doc_id, 0 FROM held ANTI JOIN ranked USING (query_id, doc_id))
 SELECT query_id, doc_id, pts_time, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pts_time, doc_id) AS INTEGER) AS rank FROM merged JOIN screen USING (doc_id) QUALIFY rank <= 10"""))
 def screen_text_search(spark, d):

@@ -25,8 +25,8 @@ def checked_keyframe_map(spark: SparkSession, path: str) -> tuple[DataFrame, Dat
     """Keyframe maps as ``read_keyframe_map`` reads them, and the issues of their headers (video_id, row_number, severity, code).
 
     A file whose first line is not the contract's names in their order (a byte-order mark and carriage returns aside) is an
-    INVALID_COLUMNS issue, and its rows are left out; the other files are read all the same. An empty file is such an
-    issue too. Maps are one small file for each video, so the first lines are read with whole files."""
+    INVALID_COLUMNS issue, and its rows are left out; the other files are read all the same. A file
+    of no bytes is nothing that Spark reads: its video has no mapping, which ``quality.pair_issues`` tells. Maps are one small file for each video, so the first lines are read with whole files."""
     files = spark.read.text(path, wholetext=True).select(_stem().alias("video_id"), F.regexp_replace(F.substring_index("value", "\n", 1), r"^\uFEFF|\r$", "").alias("head"))
     bad = files.where(F.col("head") != ",".join(MAP_COLUMNS)).select("video_id")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in MAP_COLUMNS])
