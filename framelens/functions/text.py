@@ -98,7 +98,8 @@ def query_terms(c: Column) -> Column:
 
 
 def ascii_fold(c: Column) -> Column:
-    return F.translate(c, FOLD_FROM, FOLD_TO)
+    """Accents off. A text of as many bytes as characters has none."""
+    return F.when(F.octet_length(c) != F.length(c), F.translate(c, FOLD_FROM, FOLD_TO)).otherwise(c)
 
 
 def fold_key(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import BOILERPLATE, STOPWORDS, clean_text, content_tokens, fold_key, is_boilerplate, jaccard, normalize_text, phrase_ngrams
+from ..functions.text import BOILERPLATE, STOPWORDS, clean_text, content_tokens, fold_key, is_boilerplate, jaccard, normalize_text
 from .walk import Walk, walk
 
 # Phrases that open a new story, and phrases that are no subject, folded.
@@ -59,10 +59,59 @@ def segment_frequency(segments: DataFrame) -> DataFrame:
     return keyed.groupBy("key").agg(F.countDistinct("video_id").alias("videos"))
 
 
-def phrase_frequency(transcripts: DataFrame) -> DataFrame:
-    """Folded phrases of two and three words and the number of videos that have them."""
-    phrases = transcripts.select("video_id", F.explode(F.array_distinct(phrase_ngrams(F.split(fold_key(F.col("text")), " ")))).alias("phrase"))
-    return phrases.groupBy("phrase").agg(F.countDistinct("video_id").alias("videos"))
+def phrases(segments: DataFrame, subjects: bool = False) -> DataFrame:
+    """(video_id, phrase) for every two and three words in a row of a video's folded words, in the order of its ``segments``
+    (video_id, segment_index, text), also across their borders. With ``subjects`` only those that can be subjects: every
+    word of three letters, the first and the last no function word, no promotion or greeting in it.
+
+    The words that follow a segment's last ones come from the next two segments that have words, so a video's words are
+    never one array. Words are judged once for each place, before phrases are made of them."""
+    by = Window.partitionBy("video_id").orderBy("segment_index")
+    rows = segments.select("video_id", "segment_index", F.explode(F.array(fold_key(F.col("text")))).alias("key")).where("key <> ''").withColumn("words", F.split("key", " "))
+    head = F.slice("words", 1, 2)
+    rows = rows.withColumns({"one": F.lead(head).over(by), "two": F.lead(head, 2).over(by)})
+    none = F.array().cast("array<string>")
+    n = F.size("words")
+    rows = rows.select("video_id", n.alias("n"), F.concat("words", F.slice(F.concat(F.coalesce("one", none), F.coalesce("two", none)), 1, 2)).alias("w"))
+    if not subjects:
+        made = lambda w, n: F.concat(_pairs(w, n, None), _triples(w, n, None))
+        return rows.select("video_id", F.explode(made("w", F.col("n"))).alias("phrase"))
+    judged = F.transform("w", lambda w: F.struct(w.alias("w"), ((F.length(w) >= 3) & ~w.isin(STOPWORDS)).alias("edge"), (F.length(w) >= 3).alias("inner")))
+    rows = rows.select("video_id", "n", judged.alias("w"))
+    kept = rows.select("video_id", F.explode(F.concat(_pairs("w", F.col("n"), True), _triples("w", F.col("n"), True))).alias("phrase"))
+    return kept.where(~_any_in(F.col("phrase"), STOP_PHRASES + BOILERPLATE))
+
+
+def _word(x, judged):
+    return x["w"] if judged else x
+
+
+def _pairs(w: str, n, judged):
+    """Of words that start among the first ``n``."""
+    space = F.lit(" ")
+
+    def pair(a, b):
+        both = F.concat(_word(a, judged), space, _word(b, judged))
+        return F.when(a["edge"] & b["edge"], both) if judged else both
+
+    return F.array_compact(F.zip_with(F.slice(F.col(w), F.lit(1), n), F.slice(F.col(w), F.lit(2), n), pair))
+
+
+def _triples(w: str, n, judged):
+    space = F.lit(" ")
+    follow = F.zip_with(F.slice(F.col(w), F.lit(2), n), F.slice(F.col(w), F.lit(3), n), lambda b, c: F.struct(b.alias("b"), c.alias("c")))
+
+    def triple(a, bc):
+        b, c = bc["b"], bc["c"]
+        every = F.concat(_word(a, judged), space, _word(b, judged), space, _word(c, judged))
+        return F.when(a["edge"] & b["inner"] & c["edge"], every) if judged else every
+
+    return F.array_compact(F.zip_with(F.slice(F.col(w), F.lit(1), n), follow, triple))
+
+
+def phrase_frequency(segments: DataFrame) -> DataFrame:
+    """Folded phrases of two and three words (``phrases``) and the number of videos that have them."""
+    return phrases(segments).distinct().groupBy("phrase").agg(F.count("*").alias("videos"))
 
 
 def duplicate_transcripts(transcripts: DataFrame) -> DataFrame:
@@ -114,19 +163,18 @@ def title_coverage(title, text):
     return F.when((F.size(tokens) > 0) & (text != ""), F.round(F.size(F.array_intersect(tokens, content_tokens(text))) / F.size(tokens), 3))
 
 
-def subject_scores(transcripts: DataFrame, frequency: DataFrame) -> DataFrame:
-    """(video_id, phrase, count, score): phrases of two or three words that neither start nor end with a function word,
-    twice at least or wholly in the title; score (1 + ln count) * ln((N + 1) / (videos + 1) + 1)."""
-    n = transcripts.agg(F.count("*").alias("n_videos"))
-    rows = transcripts.select("video_id", content_tokens(F.col("title")).alias("title_tokens"), F.explode(phrase_ngrams(F.split(fold_key(F.col("text")), " "))).alias("phrase"))
+def subject_scores(segments: DataFrame, titles: DataFrame) -> DataFrame:
+    """(video_id, phrase, count, score): phrases of two or three words that can be subjects (``phrases``), twice at least or
+    wholly in the title (``titles``: video_id, title; one row for each video with segments); a word of the title doubles the
+    count. Score: (1 + ln count) * ln((N + 1) / (videos + 1) + 1). Both counts come from one aggregate of the phrases."""
+    n = titles.agg(F.count("*").alias("n_videos"))
+    counted = phrases(segments, subjects=True).groupBy("video_id", "phrase").agg(F.count("*").alias("said"))
+    videos = counted.groupBy("phrase").agg(F.count("*").alias("videos"))
+    rows = counted.join(titles.select("video_id", F.explode(F.array(content_tokens(F.col("title")))).alias("title_tokens")), "video_id")
     words = F.split("phrase", " ")
-    content = F.filter(words, lambda w: ~w.isin(STOPWORDS))
-    edge = ~F.element_at(words, 1).isin(STOPWORDS) & ~F.element_at(words, -1).isin(STOPWORDS)
-    rows = rows.where(edge & (F.size(content) >= 2) & F.forall(words, lambda w: F.length(w) >= 3) & ~_any_in(F.col("phrase"), STOP_PHRASES + BOILERPLATE))  # phrases are folded already
-    rows = rows.withColumn("weight", 1 + F.arrays_overlap(words, F.col("title_tokens")).cast("int"))
-    counted = rows.groupBy("video_id", "phrase", "title_tokens").agg(F.sum("weight").alias("count"))
+    rows = rows.withColumn("count", F.col("said") * (1 + F.arrays_overlap(words, F.col("title_tokens")).cast("int")))
     in_title = F.size(F.array_except(F.filter(words, lambda w: ~w.isin(STOPWORDS)), F.col("title_tokens"))) == 0
-    kept = counted.where((F.col("count") >= 2) | in_title).join(frequency, "phrase").crossJoin(F.broadcast(n))  # one row
+    kept = rows.where((F.col("count") >= 2) | in_title).join(videos, "phrase").crossJoin(F.broadcast(n))  # one row
     score = (1 + F.log("count")) * F.log((F.col("n_videos") + 1) / (F.col("videos") + 1) + 1)
     return kept.select("video_id", "phrase", "count", F.round(score, 6).alias("score"))
 

@@ -142,29 +142,35 @@ def lowest_segments(segments: DataFrame, k: int = 5) -> DataFrame:
 
 # Fixed value: what stations lay over every frame, without white space, in upper case.
 STATIC_OVERLAY = r"^(HTV[\p{L}\p{N}_]*|TV|HD|[0-9]{1,2}:[0-9]{2}(:[0-9]{2})?|LIVE|TRỰCTIẾP)$"
-# Five times the same letter or digit of a folded text in a row.
+# Five times the same letter or digit of a folded text in a row, for engines without back references.
 STUTTER = "|".join(c * 5 for c in "abcdefghijklmnopqrstuvwxyz0123456789")
 
 
 def ocr_line_filter(lines: DataFrame, least: float = 0.45) -> DataFrame:
     """Lines of enough confidence that read like text: two letters or digits at least, and these the greater part, no static
-    overlay, no character five times in a row. With columns box_width, box_height and frame_height (pixels), boxes are 10 wide
+    overlay, no character five times in a row; with their folded text (key), worked out once. With columns box_width, box_height and frame_height (pixels), boxes are 10 wide
     and 8 high at least and 0.4 of the frame's height at most."""
     from ..functions.text import fold_key
 
     plain = F.regexp_replace("text", r"[^\p{L}\p{N}]", "")
     static = F.upper(F.regexp_replace("text", r"(?U)\s+", "")).rlike(STATIC_OVERLAY)
-    keep = (F.col("confidence") >= least) & (F.length(plain) >= 2) & (F.length(plain) >= 0.5 * F.length(F.regexp_replace("text", r"\s", ""))) & ~static & ~fold_key(F.col("text")).rlike(STUTTER)
+    keep = (F.col("confidence") >= least) & (F.length(plain) >= 2) & (F.length(plain) >= 0.5 * F.length(F.regexp_replace("text", r"\s", ""))) & ~static
     if {"box_width", "box_height", "frame_height"} <= set(lines.columns):
-        keep &= (F.col("box_width") >= 10) & (F.col("box_height") >= 8) & (F.col("box_height") <= 0.40 * F.col("frame_height"))
-    return lines.where(keep)
+        keep = (F.col("confidence") >= least) & (F.col("box_width") >= 10) & (F.col("box_height") >= 8) & (F.col("box_height") <= 0.40 * F.col("frame_height")) & keep
+    # A generator, unlike a projection, is not worked out again in the filter behind it.
+    keyed = lines.where(keep).select(*lines.columns, F.explode(F.array(fold_key(F.col("text")))).alias("key"))
+    return keyed.where(~F.col("key").rlike(r"([a-z0-9])\1{4}"))
 
 
-def ocr_frame_dedupe(lines: DataFrame) -> DataFrame:
-    """The most confident line of each folded text in a frame, in reading order."""
+def _keyed(lines: DataFrame) -> DataFrame:
     from ..functions.text import fold_key
 
-    keyed = lines.withColumn("key", fold_key(F.col("text"))).where("key <> ''")
+    return (lines if "key" in lines.columns else lines.withColumn("key", fold_key(F.col("text")))).where("key <> ''")
+
+
+def ocr_frame_dedupe(lines: DataFrame) -> DataFrame:
+    """The most confident line of each folded text in a frame, in reading order."""
+    keyed = _keyed(lines)
     best = Window.partitionBy("keyframe_id", "key").orderBy(F.desc("confidence"), "position")
     kept = keyed.withColumn("__r", F.row_number().over(best)).where("__r = 1")
     return kept.withColumn("line_no", F.row_number().over(Window.partitionBy("keyframe_id").orderBy("position"))).drop("__r")
@@ -172,9 +178,7 @@ def ocr_frame_dedupe(lines: DataFrame) -> DataFrame:
 
 def ocr_shot_merge(lines: DataFrame) -> DataFrame:
     """Per shot and folded text: frames that show it and its best reading, ordered by support, confidence and key."""
-    from ..functions.text import fold_key
-
-    keyed = lines.withColumn("key", fold_key(F.col("text"))).where("key <> ''")
+    keyed = _keyed(lines)
     grouped = keyed.groupBy("shot_id", "key").agg(F.countDistinct("keyframe_id").alias("support"), F.max(F.struct("confidence", (-F.col("keyframe_id")).alias("k"), (-F.col("position")).alias("p"), "text")).alias("best"))
     rows = grouped.select("shot_id", "key", "support", F.col("best.text").alias("text"), F.col("best.confidence").alias("confidence"))
     return rows.withColumn("line_no", F.row_number().over(Window.partitionBy("shot_id").orderBy(F.desc("support"), F.desc("confidence"), "key")))

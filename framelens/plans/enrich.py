@@ -41,6 +41,11 @@ def transcripts(spark, d):
     return X.speech(spark, d).groupBy("video_id").agg(F.array_join(documents.ordered_texts(["segment_index"], "text"), " ").alias("text"), F.min_by("text", "segment_index").alias("title"))
 
 
+def titles(spark, d):
+    """The first segment of each video as its title."""
+    return X.speech(spark, d).groupBy("video_id").agg(F.min_by("text", "segment_index").alias("title"))
+
+
 @query(with_views("speech", body=f"SELECT {FOLD_KEY.format('text')} AS key, count(DISTINCT video_id) AS videos FROM speech WHERE {FOLD_KEY.format('text')} <> '' GROUP BY 1"))
 def segment_doc_frequency(spark, d):
     return enrichment.segment_frequency(X.speech(spark, d))
@@ -52,7 +57,7 @@ g AS (SELECT video_id, title, unnest(list_concat([w[i] || ' ' || w[i + 1] FOR i
 
 @query(with_views("speech", body=f", {TRANSCRIPTS_SQL}{GRAMS_SQL} SELECT phrase, count(DISTINCT video_id) AS videos FROM g GROUP BY phrase"))
 def phrase_doc_frequency(spark, d):
-    return enrichment.phrase_frequency(transcripts(spark, d))
+    return enrichment.phrase_frequency(X.speech(spark, d))
 
 
 @query(with_views("ocr_lines", body=f", h AS (SELECT keyframe_id || ':' || position AS video_id, sha256({FOLD_KEY.format('text')}) AS text_hash FROM ocr_lines) SELECT text_hash, min(video_id) AS first_video, count(*) AS videos FROM h GROUP BY 1 HAVING count(*) > 1"))
@@ -118,8 +123,7 @@ sc AS (SELECT video_id, phrase, count, round((1 + ln(count)) * ln((n + 1) / (vid
 
 @query(with_views("speech", body=f", {TRANSCRIPTS_SQL}{SUBJECT_SQL} SELECT * FROM sc"))
 def subject_scores(spark, d):
-    t = transcripts(spark, d)
-    return enrichment.subject_scores(t, enrichment.phrase_frequency(t))
+    return enrichment.subject_scores(X.speech(spark, d), titles(spark, d))
 
 
 def recursive(sql: str) -> str:
@@ -154,9 +158,9 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id AS video_id, score, first
 def topic_search(spark, d):
     """Any term of title, topic, description, informative segments and subject terms, each field weighed, or a substring of
     title or topic; each hit with its video's first keyframe."""
-    media, s, t = media_info(spark, d), X.speech(spark, d), transcripts(spark, d)
+    media, s = media_info(spark, d), X.speech(spark, d)
     info = enrichment.informative_segments(s, enrichment.segment_frequency(s)).groupBy(F.substring("video_id", 2, 20).alias("video_id")).agg(F.array_join(documents.ordered_texts(["segment_index"], "text"), " ").alias("key_points"))
-    best = lexical.top_k(enrichment.subject_scores(t, enrichment.phrase_frequency(t)).withColumnRenamed("video_id", "query_id"), 8, "phrase")
+    best = lexical.top_k(enrichment.subject_scores(s, titles(spark, d)).withColumnRenamed("video_id", "query_id"), 8, "phrase")
     terms = best.groupBy(F.substring("query_id", 2, 20).alias("video_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "phrase"))), lambda x: x["phrase"]), ", ").alias("subject_terms"))
     docs = media.join(info, "video_id", "left").join(terms, "video_id", "left").select(F.col("video_id").alias("doc_id"), *TOPIC_FIELDS)
     n = F.col("video_id").cast("long")
@@ -202,7 +206,7 @@ def sentence_windows(spark, d):
 def key_points(spark, d):
     s = X.speech(spark, d)
     windows = enrichment.sentence_windows(s)
-    return enrichment.key_points(enrichment.window_scores(windows, s, transcripts(spark, d)))
+    return enrichment.key_points(enrichment.window_scores(windows, s, titles(spark, d)))
 
 
 @query(recursive(with_views("speech", body=f""", o AS (SELECT video_id, segment_index, text, list_distinct({tokens_sql('text')}) AS w, row_number() OVER (PARTITION BY video_id ORDER BY segment_index, text) AS i FROM speech),
