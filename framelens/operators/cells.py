@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .vectors import exact_top_k, sound
+from .vectors import QUERY_ROWS, VECTOR_ROWS, exact_top_k, sound
 
 #: Cells at most, rows for each cell that centres are fitted on, and rows at least.
 MOST_CELLS, FIT_PER_CELL, FIT_ROWS = 4096, 40, 20_000
@@ -25,13 +25,15 @@ COPIES = 1 << 16
 
 
 class Cells(NamedTuple):
-    """An index that was opened: its folder, the length of its centres, the centres, the number of probes and their recall."""
+    """An index that was opened: its folder, the length of its centres, the centres, the number of probes and their recall,
+    and the rows of each cell."""
 
     path: str
     dim: int
     centres: np.ndarray
     probes: int
     recall: float | None
+    rows: dict
 
 
 def _rows(vectors: pa.Array) -> np.ndarray:
@@ -91,12 +93,13 @@ def write_cells(vectors: DataFrame, path: str, k: int = 10, id_col: str = "vec_i
         else:
             centres = np.array([main.select("vector").first()["vector"]], np.float64)
     placed = _placed(vectors, dim, centres)
-    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / FILE_ROWS).cast("int").alias("__files"))  # a row for each cell
+    counts = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}  # a row for each cell
+    sizes = spark.createDataFrame([(c, -(-m // FILE_ROWS)) for c, m in counts.items()], "cell int, __files int")
     dealt = placed.join(F.broadcast(sizes), "cell").withColumn("__file", F.pmod(F.xxhash64(id_col), F.col("__files")))
     dealt.repartition("cell", "__file").drop("__files", "__file").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/cells")
     probes, recall = _calibrated(_stored(spark, path, placed.schema).where("cell >= 0"), centres, k, id_col, least, sample) if n else (1, None)
-    rows = [(c, centre.tolist(), dim, probes, recall) for c, centre in enumerate(centres)]
-    spark.createDataFrame(rows, "cell int, centre array<double>, dim int, probes int, recall double").write.mode("overwrite").parquet(f"{path}/centres")
+    rows = [(c, centre.tolist(), dim, counts.get(c, 0), probes, recall) for c, centre in enumerate(centres)] + [(c, None, dim, m, probes, recall) for c, m in counts.items() if c < 0]
+    spark.createDataFrame(rows, "cell int, centre array<double>, dim int, rows long, probes int, recall double").write.mode("overwrite").parquet(f"{path}/centres")
 
 
 def _stored(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -129,7 +132,8 @@ def _calibrated(stored: DataFrame, centres: np.ndarray, k: int, id_col: str, lea
 def open_cells(spark: SparkSession, path: str) -> Cells:
     """The index in ``path``; the driver holds its centres, MOST_CELLS at most."""
     rows = sorted(spark.read.parquet(f"{path}/centres").collect(), key=lambda r: r["cell"])
-    return Cells(path, rows[0]["dim"], np.array([r["centre"] for r in rows], np.float64).reshape(len(rows), -1), rows[0]["probes"], rows[0]["recall"])
+    centres = [r["centre"] for r in rows if r["cell"] >= 0]
+    return Cells(path, rows[0]["dim"], np.array(centres, np.float64).reshape(len(centres), -1), rows[0]["probes"], rows[0]["recall"], {r["cell"]: r["rows"] for r in rows})
 
 
 def search_cells(index: Cells, queries: DataFrame, k: int, id_col: str = "vec_id", probes: int | None = None) -> DataFrame:
@@ -153,8 +157,9 @@ def search_cells(index: Cells, queries: DataFrame, k: int, id_col: str = "vec_id
 
     asked = queries.where(sound).select("query_id", F.col("vector").cast("array<double>").alias("vector"), F.size("vector").alias("dim"))
     probed = asked.mapInArrow(nearest, f"query_id {kind}, vector array<double>, cell int")
-    wanted = [r["cell"] for r in probed.select("cell").distinct().collect()]  # as many as cells at most
-    stored = spark.read.parquet(f"{index.path}/cells") if wanted and index.dim else None
-    if stored is None:
+    wanted = {r["cell"]: r["count"] for r in probed.groupBy("cell").count().collect() if index.rows.get(r["cell"])}  # as many as cells at most
+    if not wanted:
         return spark.createDataFrame([], f"query_id {kind}, rank int, {id_col} long, score double")
-    return exact_top_k(probed, stored.where(F.col("cell").isin(wanted)), k, id_col, match=("cell", "cell"))
+    sizes = [(str(c), index.dim if c >= 0 else -c, -(-n // QUERY_ROWS), -(-index.rows[c] // VECTOR_ROWS)) for c, n in wanted.items()]
+    stored = spark.read.parquet(f"{index.path}/cells").where(F.col("cell").isin(list(wanted)))
+    return exact_top_k(probed, stored, k, id_col, match=("cell", "cell"), sizes=spark.createDataFrame(sizes, "key string, dim int, blocks int, turns int"))

@@ -14,27 +14,27 @@ from ..functions.geometry import l2_normalize
 from ..functions.text import ascii_fold, tokenize
 
 #: Length of a vector, entries of a token, and buckets of tokens.
-DIMS, ENTRIES, BUCKETS = 64, 4, 4096
+DIMS, ENTRIES, BUCKETS = 64, 2, 4096
 
 
-def _hex(digits: Column, at: int, n: int) -> Column:
-    return F.conv(F.substring(digits, at, n), 16, 10).cast("int")
+def _number(token: Column) -> Column:
+    """The first 40 bits of the token's MD5: seven for each entry from below (place and sign), then its bucket."""
+    return F.conv(F.substring(F.md5(token), 1, 10), 16, 10).cast("long")
 
 
-def _bucket(digits: Column) -> Column:
-    return _hex(digits, 30, 3)  # 3 digits: BUCKETS values
+def _bits(number: Column, at: int, n: int) -> Column:
+    return F.shiftright(number, at).bitwiseAND(F.lit((1 << n) - 1)).cast("int")
 
 
-def _tokens(texts: DataFrame, id_col: str) -> DataFrame:
-    words = F.coalesce(tokenize(ascii_fold(F.col("text"))), F.array().cast("array<string>"))
-    return texts.select(F.col(id_col), F.explode(words).alias("token")).select(id_col, F.md5("token").alias("digits"))
+def _bucket(number: Column) -> Column:
+    return _bits(number, 7 * ENTRIES, 12)  # 12 bits: BUCKETS values
 
 
 def bucket_weights(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(bucket, weight) of the tokens of ``docs`` (id, text): ln(1 + (N - df + 0.5) / (df + 0.5)), where df is the number of
     documents with a token of the bucket and N the number of all. BUCKETS rows at most."""
     words = F.array_distinct(tokenize(ascii_fold(F.col("text"))))
-    buckets = F.array_distinct(F.transform(words, lambda w: _bucket(F.md5(w))))
+    buckets = F.array_distinct(F.transform(words, lambda w: _bucket(_number(w))))
     df = docs.select(F.explode(buckets).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("df"))
     n = docs.agg(F.count("*").alias("n"))
     return df.crossJoin(F.broadcast(n)).select("bucket", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("weight"))  # one row
@@ -45,10 +45,11 @@ def encode(texts: DataFrame, weights: DataFrame, id_col: str = "doc_id") -> Data
 
     Tokens of buckets that ``weights`` lacks count for nothing. Texts without tokens, null ones among them, and those whose
     entries cancel out have no vector and no row. Rows of one id are one text; a null id is an id like another."""
-    tokens = _tokens(texts, id_col).groupBy(id_col, "digits").agg(F.count("*").alias("tf"))
-    tokens = tokens.withColumn("bucket", _bucket(F.col("digits"))).join(F.broadcast(weights), "bucket")  # BUCKETS rows
-    entry = lambda i: F.struct((_hex(F.col("digits"), 3 * i + 1, 2) % DIMS).alias("place"), F.when(_hex(F.col("digits"), 3 * i + 3, 1) < 8, 1).otherwise(-1).alias("sign"))
-    entries = tokens.select(id_col, (F.col("tf") * F.col("weight")).alias("w"), F.explode(F.array(*[entry(i) for i in range(ENTRIES)])).alias("e"))
+    words = F.coalesce(tokenize(ascii_fold(F.col("text"))), F.array().cast("array<string>"))
+    tokens = texts.select(F.col(id_col), F.explode(words).alias("token")).select(id_col, _number(F.col("token")).alias("number"))
+    tokens = tokens.withColumn("bucket", _bucket(F.col("number"))).join(F.broadcast(weights), "bucket")  # BUCKETS rows
+    entry = lambda i: F.struct(_bits(F.col("number"), 7 * i, 6).alias("place"), (1 - 2 * _bits(F.col("number"), 7 * i + 6, 1)).alias("sign"))
+    entries = tokens.select(id_col, F.col("weight").alias("w"), F.explode(F.array(*[entry(i) for i in range(ENTRIES)])).alias("e"))
     sums = entries.groupBy(id_col, F.col("e.place").alias("place")).agg(F.sum(F.col("w") * F.col("e.sign")).alias("v"))
     made = sums.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("place", "v"))).alias("m"))  # DIMS entries at most
     vector = F.transform(F.sequence(F.lit(0), F.lit(DIMS - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)))

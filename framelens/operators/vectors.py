@@ -17,13 +17,16 @@ VECTOR_ROWS = 8192
 sound = "vector IS NOT NULL AND size(vector) > 0 AND forall(vector, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity'))"
 
 
-def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id", match: tuple[str, str] | None = None) -> DataFrame:
+def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id", match: tuple[str, str] | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """(query_id, rank, id, score): the k highest inner products for each row of ``queries`` (query_id, vector).
 
     ``match`` (query column, vector column) restricts answers to equal values: only these meet. Vectors that are null or
     empty or hold null or non-finite components take no part, and only those of equal length meet. Scores are rounded to
     six places before ranking, ties go to the smaller id.
 
+    ``sizes`` (key, dim, blocks, turns): the blocks of queries and of vectors for each value of ``match`` as a string and each
+    length, if they are known and few; otherwise both tables are counted.
+
     Queries in blocks meet vectors in blocks; each pair of blocks is one product in one task, from which k rows for each
     query go on. Nothing passes the driver; the rows that are dealt grow as queries times vectors over a block's size.
     """
@@ -35,8 +38,9 @@ def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "v
     q = queries.where(sound).select("query_id", F.lit(None).cast(kinds[id_col]).alias("id"), key(0), *plain)
     x = vectors.where(sound).select(F.lit(None).cast(kinds["query_id"]).alias("query_id"), F.col(id_col).alias("id"), key(1), *plain)
     counted = lambda df, name, size: df.groupBy("key", "dim").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
-    sizes = counted(q, "blocks", QUERY_ROWS).join(counted(x, "turns", VECTOR_ROWS), ["key", "dim"])
-    sizes = sizes if match else F.broadcast(sizes)  # a row for each length of vector
+    known = sizes is not None
+    sizes = sizes if known else counted(q, "blocks", QUERY_ROWS).join(counted(x, "turns", VECTOR_ROWS), ["key", "dim"])
+    sizes = F.broadcast(sizes) if known or not match else sizes  # a row for each length of vector
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     some = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     left = q.join(sizes, ["key", "dim"]).withColumns({"block": some("query_id", "blocks"), "side": F.lit(0)}).withColumn("turn", every("turns"))

@@ -224,16 +224,17 @@ def _channels(spark, d, k=CANDIDATES):
     return text.unionByName(near)
 
 
-def _digits(at: int, n: int) -> str:
-    return " + ".join(f"{16 ** (n - 1 - j)} * (strpos('0123456789abcdef', substr(h, {at + j}, 1)) - 1)" for j in range(n))
+#: The first 40 bits of a token's MD5.
+_NUMBER = " + ".join(f"{16 ** (9 - j)}::BIGINT * (strpos('0123456789abcdef', substr(md5(token), {1 + j}, 1)) - 1)" for j in range(10))
+_BUCKET = f"((h >> {7 * encoder.ENTRIES}) & 4095)"
 
 
 def _vector_sql(name: str, rows: str, key: str) -> str:
     """CTE ``name`` (key, vector): text vectors of ``rows`` (key, text) with the weights ``bw``."""
-    places = ", ".join(f"({_digits(3 * i + 1, 2)}) % {encoder.DIMS}" for i in range(encoder.ENTRIES))
-    signs = ", ".join(f"CASE WHEN {_digits(3 * i + 3, 1)} < 8 THEN 1 ELSE -1 END" for i in range(encoder.ENTRIES))
-    return f"""{name}1 AS (SELECT {key}, h, count(*) AS tf FROM (SELECT {key}, md5(unnest({TOKENS.format(FOLD)})) AS h FROM {rows}) GROUP BY ALL),
-{name}2 AS (SELECT {key}, tf * weight AS w, unnest([{places}]) AS place, unnest([{signs}]) AS sign FROM {name}1 JOIN bw ON bucket = {_digits(30, 3)}),
+    places = ", ".join(f"(h >> {7 * i}) & 63" for i in range(encoder.ENTRIES))
+    signs = ", ".join(f"1 - 2 * ((h >> {7 * i + 6}) & 1)" for i in range(encoder.ENTRIES))
+    return f"""{name}1 AS (SELECT {key}, h, count(*) AS tf FROM (SELECT {key}, {_NUMBER} AS h FROM (SELECT {key}, unnest({TOKENS.format(FOLD)}) AS token FROM {rows})) GROUP BY ALL),
+{name}2 AS (SELECT {key}, tf * weight AS w, unnest([{places}]) AS place, unnest([{signs}]) AS sign FROM {name}1 JOIN bw ON bucket = {_BUCKET}),
 {name}3 AS (SELECT {key}, place, sum(w * sign) AS v FROM {name}2 GROUP BY ALL), {name}4 AS (SELECT {key}, map(list(place), list(v)) AS m FROM {name}3 GROUP BY {key}),
 {name}5 AS (SELECT {key}, [coalesce(m[i], 0.0::DOUBLE) FOR i IN range(0, {encoder.DIMS})] AS vector FROM {name}4),
 {name} AS (SELECT {key}, [x / sqrt(list_dot_product(vector, vector)) FOR x IN vector] AS vector FROM {name}5 WHERE len(list_filter(vector, lambda x: abs(x) > 1e-9)) > 0)"""
@@ -241,7 +242,7 @@ def _vector_sql(name: str, rows: str, key: str) -> str:
 
 #: CTEs up to ``nv`` (query_id, level, doc_id, rank) of all documents, without a limit.
 NEAR_SQL = f"""
-bd AS (SELECT DISTINCT doc_id, {_digits(30, 3)} AS bucket FROM (SELECT doc_id, md5(unnest({TOKENS.format(FOLD)})) AS h FROM search_documents)),
+bh AS (SELECT doc_id, {_NUMBER} AS h FROM (SELECT doc_id, unnest({TOKENS.format(FOLD)}) AS token FROM search_documents)), bd AS (SELECT DISTINCT doc_id, {_BUCKET} AS bucket FROM bh),
 bw AS (SELECT bucket, ln(1 + ((SELECT count(*) FROM search_documents) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS weight FROM bd GROUP BY bucket),
 {_vector_sql("dv", "(SELECT doc_id, text FROM search_documents WHERE level IN ('shot', 'frame'))", "doc_id")},
 {_vector_sql("qv", "search_queries", "query_id")},

@@ -123,12 +123,15 @@ def test_hashes_without_a_value_are_left_out(spark):
     assert {(r["shot_id"], r["keyframe_id"]) for r in selection.drop_near_hashes(df).collect()} == {("s", "b"), ("s", "e"), (None, "f")}
 
 
+def number_of(word):
+    return int(hashlib.md5(word.encode()).hexdigest()[:10], 16)
+
+
 def vector_of(words, weights):
     v = [0.0] * encoder.DIMS
-    for w in words:
-        h = hashlib.md5(w.encode()).hexdigest()
+    for h in map(number_of, words):
         for i in range(encoder.ENTRIES):
-            v[int(h[3 * i:3 * i + 2], 16) % encoder.DIMS] += weights.get(int(h[29:32], 16), 0.0) * (1 if int(h[3 * i + 2], 16) < 8 else -1)
+            v[h >> 7 * i & 63] += weights.get(h >> 7 * encoder.ENTRIES & 4095, 0.0) * (-1 if h >> 7 * i + 6 & 1 else 1)
     n = math.sqrt(sum(x * x for x in v))
     return [x / n for x in v] if n > 1e-9 else None
 
@@ -139,7 +142,7 @@ def test_text_vectors_equal_brute_force(spark):
     split = lambda t: re.findall(r"[a-z0-9_]+", "".join(c for c in unicodedata.normalize("NFD", t.replace("đ", "d")) if not unicodedata.combining(c)).lower()) if t else []
     df = {}
     for t in texts.values():
-        for b in {int(hashlib.md5(w.encode()).hexdigest()[29:32], 16) for w in split(t)}:
+        for b in {number_of(w) >> 7 * encoder.ENTRIES & 4095 for w in split(t)}:
             df[b] = df.get(b, 0) + 1
     weights = {b: math.log(1 + (len(texts) - n + 0.5) / (n + 0.5)) for b, n in df.items()}
     made = encoder.bucket_weights(docs)
