@@ -272,7 +272,9 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, all their columns, that the classifier does not reject."""
+    """The rows of ``docs``, all their columns, that the classifier does not reject. Input is handled as by ``classify``: null
+    and empty texts are scored as one blank passage, texts of any length whole; rows with equal texts stay or go together;
+    without labels every score is 0.5 and all rows stay; an empty table gives an empty one."""
     ship_package(docs.sparkSession)
     model = learn(docs, labels)
     at = docs.columns.index("text")
