@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ K1, B = 1.2, 0.75
 #: Terms of queries that are broadcast (about 100 bytes each), and parts of a token beyond that.
 BROADCAST_TERMS = 200_000
 SALTS = 32
+#: Pairs of document and query in a task, about: as many at most, and so many at least before a further task is opened.
+PAIRS, LEAST_PAIRS = 1_000_000, 50_000
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: bool = False) -> DataFrame:
@@ -24,6 +28,12 @@ def idf(n_docs: Column, df: Column) -> Column:
     return F.log(1 + (n_docs - df + 0.5) / (df + 0.5))
 
 
+def dealt_parts(docs: DataFrame, queries: DataFrame) -> int:
+    """Parts in which ``docs`` are dealt, so that a task meets about PAIRS pairs of document and query however many there are."""
+    pairs = docs.count() * queries.count()
+    return max(1, math.ceil(pairs / PAIRS), min(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(pairs / LEAST_PAIRS)))
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int, allowed: DataFrame | None = None, require_all: bool = False, fold: bool = True, k1: float = K1, b: float = B, within: str | None = None) -> DataFrame:
     """(query_id, rank, doc_id, score) for ``queries`` (query_id, text) over ``docs`` (doc_id, text).
 
@@ -32,8 +42,8 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, allowed: DataFrame | None
     of its values are ranked apart, and it is returned too.
 
     Texts are tokenised once: tokens that some query has, and an empty one for each document, are dealt by doc_id; document
-    frequencies, lengths and scores all come from that one exchange, and a document's scores need no other. Terms of the
-    queries with their weights are broadcast up to BROADCAST_TERMS of them; beyond that they meet the hits in a shuffle
+    frequencies, lengths and scores all come from that one exchange, and a document's scores need no other. Its parts are as many
+    as pairs of document and query ask for (``dealt_parts``): a task sums and sorts these pairs. Terms of the queries with their weights are broadcast up to BROADCAST_TERMS of them; beyond that they meet the hits in a shuffle
     join in which every token is dealt in SALTS parts, so a common word is no hot key.
     """
     if k < 1:
@@ -45,7 +55,8 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, allowed: DataFrame | None
     keys = ["doc_id", "length", *([within] if within else [])]
     words = docs.select("doc_id", *([within] if within else []), F.coalesce(tokenize(text), F.array().cast("array<string>")).alias("words"))
     words = words.select(*[c for c in keys if c != "length"], F.size("words").alias("length"), F.explode(F.concat(F.array(F.lit("")), "words")).alias("token"))
-    hits = words.join(F.broadcast(wanted) if few else wanted, "token", "left_semi").repartition("doc_id")
+    parts = dealt_parts(docs, queries)
+    hits = words.join(F.broadcast(wanted) if few else wanted, "token", "left_semi").repartition(parts, "doc_id")
     hits = hits.groupBy(*keys, "token").agg(F.count("*").alias("tf"))
     own = F.col("token") == ""  # no filters here, so that all three plans share the exchange
     stats = hits.agg(F.count_if(own).alias("n_docs"), F.avg(F.when(own, F.col("length"))).alias("avg_length"))
@@ -57,7 +68,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, allowed: DataFrame | None
         scored = scored.join(F.broadcast(weights), "token")
     else:
         salted = weights.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        scored = scored.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["token", "salt"])
+        scored = scored.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["token", "salt"]).repartition(parts, "doc_id")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
     scored = scored.withColumn("part", part)
     groups = ["query_id", *[c for c in keys if c != "length"]]
@@ -77,7 +88,8 @@ def field_bm25(docs: DataFrame, queries: DataFrame, k: int, fields: dict[str, fl
     """``bm25`` over several text columns of ``docs`` (doc_id, ...): a document's score is the sum over ``fields`` (column to
     weight) of weight times the column's own BM25, with document frequencies and mean lengths of the column. A term is matched,
     also for ``require_all``, whichever column has it. Equal scores rank by ``then``, a column of ``docs`` (nulls last), and
-    doc_id. Null columns are empty. Postings carry their field, so that one exchange by doc_id serves all fields."""
+    doc_id. Null columns are empty. A token's counts in all fields are one row of its document, so that one exchange by doc_id
+    serves all fields and a document's matched terms are a plain count."""
     if k < 1:
         raise ValueError("k must be positive")
     plain = ascii_fold if fold else (lambda c: c)
@@ -85,44 +97,56 @@ def field_bm25(docs: DataFrame, queries: DataFrame, k: int, fields: dict[str, fl
     few = _few(terms)
     wanted = terms.select("token").unionByName(terms.sparkSession.range(1).select(F.lit("").alias("token"))).distinct()
     keys = ["doc_id", *([then] if then else [])]
-    parts = [F.struct(F.lit(f).alias("field"), F.coalesce(tokenize(plain(F.col(f))), F.array().cast("array<string>")).alias("words")) for f in fields]
-    words = docs.select(*keys, F.explode(F.array(*parts)).alias("p")).select(*keys, "p.field", F.size("p.words").alias("length"), F.explode(F.concat(F.array(F.lit("")), "p.words")).alias("token"))
-    hits = words.join(F.broadcast(wanted) if few else wanted, "token", "left_semi").repartition("doc_id")
-    hits = hits.groupBy(*keys, "field", "length", "token").agg(F.count("*").alias("tf"))
-    own = F.col("token") == ""
-    stats = hits.groupBy("field").agg(F.count_if(own).alias("n_docs"), F.avg(F.when(own, F.col("length"))).alias("avg_length"))  # a row for each field
-    df = hits.groupBy("field", "token").agg(F.count("*").alias("df"))
-    boost = F.create_map(*[F.lit(x) for f, w in fields.items() for x in (f, float(w))])[F.col("field")]
-    weights = terms.join(df, "token").join(F.broadcast(stats), "field").select("query_id", "token", "field", "avg_length", (boost * idf(F.col("n_docs"), F.col("df"))).alias("idf"))
+    of = range(len(fields))
+    lengths = [f"length{i}" for i in of]
+    words = docs.select(*keys, *[F.coalesce(tokenize(plain(F.col(f))), F.array().cast("array<string>")).alias(f"words{i}") for i, f in enumerate(fields)])
+    words = words.select(*keys, *[F.size(f"words{i}").alias(f"length{i}") for i in of], F.posexplode(F.array(F.array(F.lit("")), *[F.col(f"words{i}") for i in of])).alias("field", "words"))
+    words = words.select(*keys, *lengths, "field", F.explode("words").alias("token"))  # field 0: an empty token for each document
+    parts = dealt_parts(docs, queries)
+    hits = words.join(F.broadcast(wanted) if few else wanted, "token", "left_semi").repartition(parts, "doc_id")
+    hits = hits.groupBy(*keys, *lengths, "token").agg(*[F.count_if(F.col("field") == i + 1).alias(f"tf{i}") for i in of])
+    own = (F.col("token") == "") & (F.col("tf0") == 0)  # names a count, so that all three plans share the exchange
+    stats = hits.agg(F.count_if(own).alias("n_docs"), *[F.avg(F.when(own, F.col(f"length{i}"))).alias(f"mean{i}") for i in of])
+    df = hits.groupBy("token").agg(*[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in of])
+    weights = terms.join(df, "token").crossJoin(F.broadcast(stats))  # one row of statistics
+    weights = weights.select("query_id", "token", *[f"mean{i}" for i in of], *[(F.lit(float(w)) * idf(F.col("n_docs"), F.col(f"df{i}"))).alias(f"idf{i}") for i, w in enumerate(fields.values())])
     if few:
-        scored = hits.join(F.broadcast(weights), ["token", "field"])
+        scored = hits.join(F.broadcast(weights), "token")
     else:
         salted = weights.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        scored = hits.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["token", "field", "salt"])
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
-    total = scored.groupBy("query_id", *keys).agg(F.round(F.sum(part), 6).alias("score"), F.size(F.collect_set("token")).alias("matched"))
+        scored = hits.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["token", "salt"]).repartition(parts, "doc_id")
+    part = F.lit(0.0)
+    for i in of:
+        tf = F.col(f"tf{i}")
+        part = part + F.when(tf > 0, F.col(f"idf{i}") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col(f"length{i}") / F.col(f"mean{i}")))).otherwise(0.0)
+    total = scored.groupBy("query_id", *keys).agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("matched"))
     if require_all:
         size = terms.groupBy("query_id").agg(F.count("*").alias("n_terms"))
         total = total.join(F.broadcast(size) if few else size, "query_id").where("matched = n_terms")
     return top_k(total.select("query_id", *keys, "score"), k, then=then)
 
 
-def substring_hits(docs: DataFrame, queries: DataFrame, columns: list[str]) -> DataFrame:
-    """(query_id, doc_id) where a column of ``docs`` (doc_id, ...) holds the query's whole text, ignoring case.
+def substring_hits(docs: DataFrame, queries: DataFrame, columns: list[str], keep: list[str] = ()) -> DataFrame:
+    """(query_id, doc_id) where a column of ``docs`` (doc_id, ...) holds the query's whole text, ignoring case; also the columns
+    ``keep`` of ``docs``.
 
     A word that stands between two others in the query stands whole in any text that holds the query, so documents are
     found by the query's longest inner word and then checked. Of queries without one the longest word stands inside a word of
     the text: these words are found by an index of the vocabulary's pieces of up to three letters, through the query's
-    rarest piece. Queries without words match nothing. Sought words are broadcast up to BROADCAST_TERMS of them; beyond
-    that a word is dealt in SALTS parts, so a frequent one is no hot key."""
+    rarest piece. Queries without words match nothing. Sought words are broadcast up to BROADCAST_TERMS of them, and texts are
+    checked where they stand; beyond that a word is dealt in SALTS parts, so a frequent one is no hot key, and ids of
+    documents and queries alone meet before the texts do."""
     word = r"[\p{L}\p{N}_]+"
     asked = queries.select("query_id", F.lower(F.trim("text")).alias("said")).where("said <> ''")
     found = F.regexp_extract_all("said", F.lit(f"({word})"), F.lit(1))
     inner = F.slice(found, F.lit(2), F.greatest(F.size(found) - 2, F.lit(0)))
     longest = lambda words: F.element_at(F.array_sort(words, lambda a, b: F.length(b) - F.length(a)), 1)
     asked = asked.withColumns({"inner": F.size(found) > 2, "key": F.when(F.size(found) > 2, longest(inner)).when(F.size(found) > 0, longest(found))}).where("key IS NOT NULL")
-    text = F.lower(F.concat_ws("\n", *columns))
-    words = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(f"({word})"), F.lit(1)))).alias("token"))
+    held_ = [f"held{i}" for i in range(len(columns))]
+    lowered = docs.select("doc_id", *keep, *[F.lower(F.col(c)).alias(h) for c, h in zip(columns, held_)])
+    found_words = F.array_distinct(F.regexp_extract_all(F.concat_ws("\n", *held_), F.lit(f"({word})"), F.lit(1)))
+    rows = lowered.select("*", F.explode(found_words).alias("token"))
+    words = rows.select("doc_id", "token")
     pieces = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, n)))
     short = asked.where("NOT inner").withColumn("n", F.least(F.lit(3), F.length("key")))
     sizes = [r["n"] for r in short.select("n").distinct().collect()]  # three at most
@@ -135,16 +159,16 @@ def substring_hits(docs: DataFrame, queries: DataFrame, columns: list[str]) -> D
         count = held.groupBy("piece").agg(F.count("*").alias("tokens"))
         rarest = own.join(count, "piece").groupBy("query_id", "said", "key").agg(F.min_by("piece", F.struct("tokens", "piece")).alias("piece"))
         sought = sought.unionByName(held.join(rarest, "piece").where(F.contains("token", F.col("key"))).select("query_id", "said", "token"))
-    if _few(sought):
-        near = words.join(F.broadcast(sought), "token")
-    else:
-        salted = sought.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        near = words.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["token", "salt"])
-    near = near.select("doc_id", "query_id", "said").distinct()
     holds = F.lit(False)
-    for c in columns:
-        holds = holds | F.coalesce(F.contains(F.lower(F.col(c)), F.col("said")), F.lit(False))
-    return near.join(docs.select("doc_id", *columns), "doc_id").where(holds).select("query_id", "doc_id").distinct()
+    for h in held_:
+        holds = holds | F.coalesce(F.contains(F.col(h), F.col("said")), F.lit(False))
+    out = ["query_id", "doc_id", *keep]
+    if _few(sought):
+        return rows.join(F.broadcast(sought), "token").where(holds).select(*out).distinct()
+    salted = sought.select("query_id", "token").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    near = words.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["token", "salt"]).select("doc_id", "query_id").repartition("doc_id").distinct()
+    near = near.join(asked.select("query_id", "said"), "query_id")
+    return near.join(lowered, "doc_id").where(holds).select(*out).distinct()
 
 
 def text_search(docs: DataFrame, queries: DataFrame, k: int, require_all: bool = False, columns: list[str] | None = None, fields: dict[str, float] | None = None, then: str | None = None) -> DataFrame:
@@ -152,8 +176,7 @@ def text_search(docs: DataFrame, queries: DataFrame, k: int, require_all: bool =
     that hold a query's text as a substring of one of ``columns`` (default: text) without matching its terms. Equal scores
     rank by ``then`` and doc_id."""
     ranked = field_bm25(docs, queries, k, fields or {"text": 1.0}, require_all, then=then) if fields or then else bm25(docs.select("doc_id", "text"), queries, k, require_all=require_all)
-    held = substring_hits(docs, queries, columns or ["text"])
-    held = held.join(docs.select("doc_id", then), "doc_id") if then else held
+    held = substring_hits(docs, queries, columns or ["text"], [then] if then else [])
     more = held.join(ranked, ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))
     names = ["query_id", "doc_id", *([then] if then else []), "score"]
     return top_k(ranked.select(*names).unionByName(more.select(*names)), k, then=then)

@@ -264,3 +264,34 @@ def test_frame_documents_of_two_streams_equal_a_batch_run(spark, tmp_path):
         assert refreshed() == batch
     done = ingest.read_target(spark, f"{at}/table-batches", "batch long, keys long").groupBy("batch").count().collect()
     assert done and all(r["count"] == 1 for r in done)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_field_search_counts_terms_without_sets(spark):
+    docs = spark.createDataFrame([(1, "red fox", "red"), (2, "fox", "den"), (3, None, None)], "doc_id long, title string, body string")
+    q = spark.createDataFrame([(7, "red fox"), (8, "den")], "query_id long, text string")
+    found = lexical.field_bm25(docs, q, 10, {"title": 2.0, "body": 1.0}, require_all=True)
+    assert [(r.query_id, r.doc_id) for r in found.orderBy("query_id").collect()] == [(7, 1), (8, 2)]
+    assert "collect_set" not in _plan(found)
+
+
+def test_documents_are_dealt_by_pairs(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"red w{i % 3}") for i in range(60)], "doc_id long, text string")
+    q = spark.createDataFrame([(i, f"red w{i}") for i in range(3)], "query_id long, text string")
+    before = lexical.bm25(docs, q, 5).orderBy("query_id", "rank").collect()
+    monkeypatch.setattr(lexical, "PAIRS", 10)
+    dealt = lexical.bm25(docs, q, 5)
+    assert "hashpartitioning(doc_id" in _plan(dealt) and ", 18), REPARTITION_BY_NUM" in _plan(dealt)
+    assert dealt.orderBy("query_id", "rank").collect() == before
+
+
+def test_substrings_in_place_and_dealt(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a Red fox ran", 0.5), (2, "redfoxes", 0.1), (3, None, 0.2), (1, "a Red fox ran", 0.5)], "doc_id long, text string, at double")
+    q = spark.createDataFrame([(7, "a red fox"), (8, "fox"), (9, "!")], "query_id long, text string")
+    rows = lambda: sorted(tuple(r) for r in lexical.substring_hits(docs, q, ["text"], ["at"]).collect())
+    assert rows() == [(7, 1, 0.5), (8, 1, 0.5), (8, 2, 0.1)]
+    monkeypatch.setattr(lexical, "BROADCAST_TERMS", 0)
+    assert rows() == [(7, 1, 0.5), (8, 1, 0.5), (8, 2, 0.1)]
