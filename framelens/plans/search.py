@@ -201,7 +201,7 @@ CANDIDATES = 50
 def _encoded(spark, d):
     """Vectors of documents (shots and frames) and of queries, in one space."""
     docs = X.search_documents(spark, d)
-    weights = encoder.bucket_weights(docs.select("doc_id", "text"))
+    weights = X.stored(encoder.bucket_weights(docs.select("doc_id", "text")), "weights")  # read by both, BUCKETS rows
     seen = encoder.encode(docs.where("level IN ('shot', 'frame')").select("doc_id", "text"), weights)
     return seen, encoder.encode(X.queries(spark, d).select("query_id", "text"), weights, "query_id")
 
@@ -209,7 +209,7 @@ def _encoded(spark, d):
 def _near(spark, d, k):
     """(query_id, level, rank, doc_id): vectors of each level, ranked apart."""
     seen, asked = _encoded(spark, d)
-    seen = seen.join(X.search_documents(spark, d).select("doc_id", "level"), "doc_id")
+    seen = X.stored(seen.join(X.search_documents(spark, d).select("doc_id", "level"), "doc_id"), "text-vectors")  # counted, then dealt
     asked = asked.select(F.explode(F.array(F.lit("shot"), F.lit("frame"))).alias("level"), "query_id", "vector")
     asked = asked.select("level", F.concat_ws(":", "query_id", "level").alias("query_id"), "vector")
     found = vectors.exact_top_k(asked, seen, k, "doc_id", match=("level", "level"))

@@ -295,3 +295,12 @@ def test_substrings_in_place_and_dealt(spark, monkeypatch):
     assert rows() == [(7, 1, 0.5), (8, 1, 0.5), (8, 2, 0.1)]
     monkeypatch.setattr(lexical, "BROADCAST_TERMS", 0)
     assert rows() == [(7, 1, 0.5), (8, 1, 0.5), (8, 2, 0.1)]
+
+
+def test_a_text_is_tokenised_once_for_its_vector(spark):
+    docs = spark.createDataFrame([(1, "red fox"), (1, "fox"), (None, "den"), (3, "")], "doc_id long, text string")
+    made = encoder.encode(docs, encoder.bucket_weights(docs))
+    assert {r["doc_id"] for r in made.collect()} == {1, None}
+    used = made.where("size(vector) > 0 AND forall(vector, x -> abs(x) <= 1)")
+    plan = _plan(used).split("== Physical Plan ==")[1]
+    assert "md5" not in plan and "conv(" not in plan and "sqrt" not in plan.lower() and plan.count("regexp_extract_all") <= 2
