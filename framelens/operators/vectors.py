@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from ..functions.geometry import dot, l2_normalize
 from .lexical import top_k
 
-#: Queries and vectors of a tile: a task holds a tile and its product at a time.
+#: Queries and vectors of a tile: a task holds a tile at a time.
 QUERY_ROWS = 1024
 VECTOR_ROWS = 8192
+#: Queries of a tile whose scores a task holds at a time.
+SCORED_ROWS = 64
 
 sound = "vector IS NOT NULL AND size(vector) > 0 AND forall(vector, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity'))"
 
@@ -53,10 +55,20 @@ def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "v
         rows = table["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(side), -1)
         asked, ids = table["query_id"].take(a), table["id"].take(b)
         order = np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable")  # so that ties go to the smaller id
-        score = np.round(rows[a] @ rows[b][order].T, 6)
-        best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-        place = np.repeat(np.arange(len(a)), best.shape[1])
-        return pa.table({"query_id": asked.take(place), id_col: ids.take(order[best.ravel()]), "score": np.take_along_axis(score, best, axis=1).ravel()})
+        b, ids = b[order], ids.take(order)
+        known, best, scores = rows[b], [], []
+        for start in range(0, len(a), SCORED_ROWS):
+            score = np.round(rows[a[start:start + SCORED_ROWS]] @ known.T, 6)
+            # Those that reach the kth score, ties among them; only they are sorted.
+            least = np.partition(score, -k, axis=1)[:, -k:].min(axis=1) if k < len(b) else np.full(len(score), -np.inf)
+            for own, floor in zip(score, least):
+                reach = np.flatnonzero(own >= floor)
+                reach = reach[np.argsort(-own[reach], kind="stable")][:k]
+                best.append(reach)
+                scores.append(own[reach])
+        place = np.repeat(np.arange(len(a)), np.array([len(x) for x in best], np.int64))
+        best, scores = (np.concatenate(x) if x else np.empty(0, kind) for x, kind in ((best, np.int64), (scores, np.float64)))
+        return pa.table({"query_id": asked.take(place), id_col: ids.take(best), "score": scores})
 
     names = ["key", "dim", "block", "turn", "side", "query_id", "id", "vector"]
     found = left.select(names).unionByName(right.select(names)).groupBy("key", "dim", "block", "turn").applyInArrow(product, out)
