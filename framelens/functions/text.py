@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,15 +76,24 @@ def _composable() -> str:
 COMPOSABLE = _composable()
 
 
+#: Texts that are composed at a time.
+COMPOSED_ROWS = 256
+
+
 def compose(rows: DataFrame, column: str) -> DataFrame:
     """``rows`` with ``column`` in composed form (NFC) and single spaces, as ``normalize_text``. Only texts that hold a
-    character which composition may touch go through Arrow; a regular expression on the JVM tells them. Nulls stay."""
-    @F.pandas_udf("string")
-    def composed(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+    character which composition may touch go through Arrow; a regular expression on the JVM tells them. COMPOSED_ROWS of a
+    batch are Python's strings at a time, and go on before the next are read. Nulls stay."""
+    def composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(column)
+            for start in range(0, batch.num_rows, COMPOSED_ROWS):
+                part = batch.slice(start, COMPOSED_ROWS)
+                texts = pa.array([unicodedata.normalize("NFC", t.as_py()) for t in part.column(at)], batch.schema.field(at).type)
+                yield pa.RecordBatch.from_arrays([texts if k == at else c for k, c in enumerate(part.columns)], schema=batch.schema)
 
     touched = F.coalesce(F.col(column).rlike(COMPOSABLE), F.lit(False))
-    both = rows.where(~touched).unionByName(rows.where(touched).withColumn(column, composed(column)))
+    both = rows.where(~touched).unionByName(rows.where(touched).mapInArrow(composed, rows.schema))
     return both.withColumn(column, normalize_text(F.col(column)))
 
 

@@ -304,3 +304,12 @@ def test_a_text_is_tokenised_once_for_its_vector(spark):
     used = made.where("size(vector) > 0 AND forall(vector, x -> abs(x) <= 1)")
     plan = _plan(used).split("== Physical Plan ==")[1]
     assert "md5" not in plan and "conv(" not in plan and "sqrt" not in plan.lower() and plan.count("regexp_extract_all") <= 2
+
+
+def test_composed_texts_go_on_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(text, "COMPOSED_ROWS", 2)
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(["é  x", None, "plain", "ü", "ñ é"])], "id long, t string")
+    made = text.compose(rows, "t")
+    assert {r.id: r.t for r in made.collect()} == {0: "é x", 1: None, 2: "plain", 3: "ü", 4: "ñ é"}
+    plan = _plan(made)
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
