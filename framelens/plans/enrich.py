@@ -163,6 +163,7 @@ def topic_search(spark, d):
     best = lexical.top_k(enrichment.subject_scores(s, titles(spark, d)).withColumnRenamed("video_id", "query_id"), 8, "phrase")
     terms = best.groupBy(F.substring("query_id", 2, 20).alias("video_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "phrase"))), lambda x: x["phrase"]), ", ").alias("subject_terms"))
     docs = media.join(info, "video_id", "left").join(terms, "video_id", "left").select(F.col("video_id").alias("doc_id"), *TOPIC_FIELDS)
+    docs = X.stored(docs, "topics")  # the search reads it several times
     n = F.col("video_id").cast("long")
     titled = media.where(n % 20 == 0).select((n + 2_000_000).alias("query_id"), F.substring("title", 3, 20).alias("text"))
     spoken = best.where("rank = 1").select((F.substring("query_id", 2, 20).cast("long") + 3_000_000).alias("query_id"), F.col("phrase").alias("text"))
