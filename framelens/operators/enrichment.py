@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +50,9 @@ OTHER_NOTE = "Lời thoại nhận dạng quá ít để tạo bản tóm tắt
 CUED_GROUP, CUED_GROUP_WORDS, CUED_GROUP_CUES = "L24", ["lan", "su", "rong", "cup", "cho", "lon", "htv", "2024", "doan", "mua", "trinh", "dien"], ["lan", "rong", "mai hoa thung", "dia buu", "nam su", "mua rong", "mua lan"]
 NEWS_GROUPS, DASHED_GROUPS = ["L21", "L22"], ["L21", "L22", "L28"]
 
+#: Characters of text whose phrases a task holds, about: as many at most, and so many at least before a further task is opened.
+CHARS, LEAST_CHARS = 2_000_000, 100_000
+
 
 def _any_in(text, phrases: list[str]):
     return text.rlike("|".join(phrases))
@@ -59,15 +64,23 @@ def segment_frequency(segments: DataFrame) -> DataFrame:
     return keyed.groupBy("key").agg(F.countDistinct("video_id").alias("videos"))
 
 
+def text_parts(segments: DataFrame) -> int:
+    """Parts in which ``segments`` are dealt, so that a task holds the phrases of about CHARS characters of text."""
+    chars = segments.agg(F.sum(F.length("text"))).first()[0] or 0
+    return max(1, math.ceil(chars / CHARS), min(segments.sparkSession.sparkContext.defaultParallelism, math.ceil(chars / LEAST_CHARS)))
+
+
 def phrases(segments: DataFrame, subjects: bool = False) -> DataFrame:
     """(video_id, phrase) for every two and three words in a row of a video's folded words, in the order of its ``segments``
     (video_id, segment_index, text), also across their borders. With ``subjects`` only those that can be subjects: every
     word of three letters, the first and the last no function word, no promotion or greeting in it.
 
     The words that follow a segment's last ones come from the next two segments that have words, so a video's words are
-    never one array. Words are judged once for each place, before phrases are made of them."""
+    never one array. Words are judged once for each place, before phrases are made of them. Videos are dealt in as many parts as
+    their text asks for (``text_parts``), so that what a task makes of them and counts stays the same however long the text is."""
     by = Window.partitionBy("video_id").orderBy("segment_index")
-    rows = segments.select("video_id", "segment_index", F.explode(F.array(fold_key(F.col("text")))).alias("key")).where("key <> ''").withColumn("words", F.split("key", " "))
+    rows = segments.select("video_id", "segment_index", F.explode(F.array(fold_key(F.col("text")))).alias("key")).where("key <> ''")
+    rows = rows.repartition(text_parts(segments), "video_id").withColumn("words", F.split("key", " "))
     head = F.slice("words", 1, 2)
     rows = rows.withColumns({"one": F.lead(head).over(by), "two": F.lead(head, 2).over(by)})
     none = F.array().cast("array<string>")
