@@ -79,9 +79,9 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, allowed: DataFrame | None
     return top_k(total.select(*groups, "score"), k, within=within)
 
 
-def _few(rows: DataFrame) -> bool:
+def _few(rows: DataFrame, most: int = BROADCAST_TERMS) -> bool:
     """Whether a table is small enough to be broadcast."""
-    return rows.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    return rows.limit(most + 1).count() <= most
 
 
 def field_bm25(docs: DataFrame, queries: DataFrame, k: int, fields: dict[str, float], require_all: bool = False, fold: bool = True, then: str | None = None, k1: float = K1, b: float = B) -> DataFrame:
@@ -244,14 +244,27 @@ def filter_scope(docs: DataFrame, batch: str = "", directory: str = "") -> DataF
 
 def object_search(detections: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Keyframes with a class that holds the query's text, by greatest confidence, then time, then id: labels are the
-    distinct classes in order. Texts are matched with the distinct classes alone; detections then join on their class."""
-    classes = detections.select("class_name").distinct()
-    wanted = classes.join(queries, ilike_any(["class_name"], F.col("text"))).select("class_name", "query_id")
-    hits = detections.join(wanted, "class_name")
-    grouped = hits.groupBy("query_id", "keyframe_id", "pts_time").agg(
-        F.array_join(F.array_sort(F.collect_set("class_name")), ", ").alias("labels"), F.max("confidence").alias("score"))
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "pts_time", "keyframe_id")
-    return grouped.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    distinct classes in order.
+
+    A keyframe among a query's k best has its confidence from a class among whose own k best it is. So each class names its k
+    best, texts are matched with the distinct classes alone, and queries rank what their classes name. Only for those keyframes
+    are labels gathered, from the same exchange of detections by keyframe."""
+    frame = ["keyframe_id", "pts_time"]
+    order = [F.desc("score"), *frame[::-1]]
+    rows = detections.select(*frame, "class_name", "confidence").repartition(*frame)
+    best = rows.groupBy(*frame, "class_name").agg(F.max("confidence").alias("score"))
+    best = best.withColumn("place", F.row_number().over(Window.partitionBy("class_name").orderBy(*order))).where(F.col("place") <= k)
+    wanted = best.select("class_name").distinct().join(queries, ilike_any(["class_name"], F.col("text"))).select("class_name", "query_id")
+    by = Window.partitionBy("query_id").orderBy(*order)
+    named = best.join(wanted, "class_name").groupBy("query_id", *frame).agg(F.max("score").alias("score"))
+    kept = named.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    kept = kept.select("query_id", "rank", *[F.col(c).alias(f"kept_{c}") for c in frame])
+    here = F.lit(True)
+    for c in frame:
+        here = here & F.col(c).eqNullSafe(F.col(f"kept_{c}"))
+    hits = rows.join(F.broadcast(kept) if _few(queries, BROADCAST_TERMS // k) else kept, here).join(wanted, ["class_name", "query_id"])
+    return hits.groupBy("query_id", *frame, "rank").agg(
+        F.array_join(F.array_sort(F.collect_set("class_name")), ", ").alias("labels"), F.max("confidence").alias("score")).select("query_id", *frame, "labels", "score", "rank")
 
 
 def video_lookup(media: DataFrame, query: str, k: int) -> DataFrame:

@@ -140,7 +140,9 @@ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pts_time
 def object_search(spark, d):
     """Each class by its whole name, by a piece of it and by its first letter."""
     found = X.detections(spark, d)
-    types = found.select("class_name").distinct().withColumn("i", F.row_number().over(Window.orderBy("class_name")))  # one row for each class
+    # Every class is some event's own type, so the classes are known without the events before it; one row for each class.
+    types = X.table(spark, d, "events").select(F.col("event_type").alias("class_name")).where("class_name IS NOT NULL").distinct()
+    types = X.stored(types.withColumn("i", F.row_number().over(Window.orderBy("class_name"))), "classes")
     name = lambda add, text: types.select((F.col("i") + add).alias("query_id"), text.alias("text"))
     asked_ = name(0, F.upper("class_name")).unionByName(name(1000, F.substring("class_name", 2, 3))).unionByName(name(2000, F.substring("class_name", 1, 1)))
     return lexical.object_search(found, asked_, 20).select(F.col("query_id").cast("long").alias("query_id"), "keyframe_id", "labels", F.round("score", 6).alias("score"), "rank")
