@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import dot, l2_normalize
-from .lexical import top_k
+from .lexical import _few, top_k
 
 #: Queries and vectors of a tile: a task holds a tile at a time.
 QUERY_ROWS = 1024
@@ -30,7 +30,8 @@ def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "v
     length, if they are known and few; otherwise both tables are counted.
 
     Queries in blocks meet vectors in blocks; each pair of blocks is one product in one task, from which k rows for each
-    query go on. Nothing passes the driver; the rows that are dealt grow as queries times vectors over a block's size.
+    query go on. Rows are dealt by pair of blocks, so a value of ``match`` that most rows have is no hot key. Nothing passes the
+    driver; the rows that are dealt grow as queries times vectors over a block's size.
     """
     if not 1 <= k <= 1000:
         raise ValueError("k must lie between 1 and 1000")
@@ -42,7 +43,7 @@ def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "v
     counted = lambda df, name, size: df.groupBy("key", "dim").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
     known = sizes is not None
     sizes = sizes if known else counted(q, "blocks", QUERY_ROWS).join(counted(x, "turns", VECTOR_ROWS), ["key", "dim"])
-    sizes = F.broadcast(sizes) if known or not match else sizes  # a row for each length of vector
+    sizes = F.broadcast(sizes) if known or not match or _few(sizes) else sizes  # a row for each value and length of vector
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     some = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     left = q.join(sizes, ["key", "dim"]).withColumns({"block": some("query_id", "blocks"), "side": F.lit(0)}).withColumn("turn", every("turns"))
@@ -71,7 +72,8 @@ def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "v
         return pa.table({"query_id": asked.take(place), id_col: ids.take(best), "score": scores})
 
     names = ["key", "dim", "block", "turn", "side", "query_id", "id", "vector"]
-    found = left.select(names).unionByName(right.select(names)).groupBy("key", "dim", "block", "turn").applyInArrow(product, out)
+    tiles = left.select(names).unionByName(right.select(names)).repartition("key", "dim", "block", "turn")
+    found = tiles.groupBy("key", "dim", "block", "turn").applyInArrow(product, out)
     return top_k(found, k, id_col)
 
 
