@@ -138,9 +138,11 @@ def jaccard_distance(a: Column, b: Column) -> Column:
 
 
 def scene_labels(c: Column) -> Column:
-    text = F.lower(normalize_text(c))
-    found = [F.when(F.greatest(*[text.contains(cue).cast("int") for cue in cues], F.lit(0)) == 1, F.lit(label)) for label, cues in SCENE_CUES.items()]
-    return F.array_compact(F.array(*found))
+    """Labels whose cues the text holds. It is cleaned once for all cues: it is bound to a lambda's variable."""
+    def found(text):
+        return F.array_compact(F.array(*[F.when(F.greatest(*[text.contains(cue).cast("int") for cue in cues], F.lit(0)) == 1, F.lit(label)) for label, cues in SCENE_CUES.items()]))
+
+    return F.element_at(F.transform(F.array(F.lower(normalize_text(c))), found), 1)
 
 
 def phrase_ngrams(tokens: Column) -> Column:
