@@ -15,6 +15,8 @@ BROADCAST_TERMS = 200_000
 SALTS = 32
 #: Pairs of document and query in a task, about: as many at most, and so many at least before a further task is opened.
 PAIRS, LEAST_PAIRS = 1_000_000, 50_000
+#: Parts up to which Spark writes an exchange straight to files (its default); for more, a task first gathers all that it deals in memory.
+STRAIGHT = 200
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: bool = False) -> DataFrame:
@@ -34,6 +36,13 @@ def dealt_parts(docs: DataFrame, queries: DataFrame) -> int:
     return max(1, math.ceil(pairs / PAIRS), min(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(pairs / LEAST_PAIRS)))
 
 
+def term_counts(words: DataFrame, keys: list[str], counts: list[Column], parts: int) -> DataFrame:
+    """``counts`` of ``words`` (``keys`` with a doc_id, token) by keys and token, dealt by doc_id in ``parts``. Beyond STRAIGHT of them words
+    go to STRAIGHT parts and only their counts go on to all, so that no task gathers the words of a whole split to deal them."""
+    hits = words.repartition(min(parts, STRAIGHT), "doc_id").groupBy(*keys, "token").agg(*counts)
+    return hits if parts <= STRAIGHT else hits.repartition(parts, "doc_id")
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int, allowed: DataFrame | None = None, require_all: bool = False, fold: bool = True, k1: float = K1, b: float = B, within: str | None = None) -> DataFrame:
     """(query_id, rank, doc_id, score) for ``queries`` (query_id, text) over ``docs`` (doc_id, text).
 
@@ -42,7 +51,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, allowed: DataFrame | None
     of its values are ranked apart, and it is returned too.
 
     Texts are tokenised once: tokens that some query has, and an empty one for each document, are dealt by doc_id; document
-    frequencies, lengths and scores all come from that one exchange, and a document's scores need no other. Its parts are as many
+    frequencies, lengths and scores all come from that one exchange (``term_counts``), and a document's scores need no other. Its parts are as many
     as pairs of document and query ask for (``dealt_parts``): a task sums and sorts these pairs. Terms of the queries with their weights are broadcast up to BROADCAST_TERMS of them; beyond that they meet the hits in a shuffle
     join in which every token is dealt in SALTS parts, so a common word is no hot key.
     """
@@ -56,8 +65,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, allowed: DataFrame | None
     words = docs.select("doc_id", *([within] if within else []), F.coalesce(tokenize(text), F.array().cast("array<string>")).alias("words"))
     words = words.select(*[c for c in keys if c != "length"], F.size("words").alias("length"), F.explode(F.concat(F.array(F.lit("")), "words")).alias("token"))
     parts = dealt_parts(docs, queries)
-    hits = words.join(F.broadcast(wanted) if few else wanted, "token", "left_semi").repartition(parts, "doc_id")
-    hits = hits.groupBy(*keys, "token").agg(F.count("*").alias("tf"))
+    hits = term_counts(words.join(F.broadcast(wanted) if few else wanted, "token", "left_semi"), keys, [F.count("*").alias("tf")], parts)
     own = F.col("token") == ""  # no filters here, so that all three plans share the exchange
     stats = hits.agg(F.count_if(own).alias("n_docs"), F.avg(F.when(own, F.col("length"))).alias("avg_length"))
     df = hits.groupBy("token").agg(F.count("*").alias("df"))
@@ -103,8 +111,8 @@ def field_bm25(docs: DataFrame, queries: DataFrame, k: int, fields: dict[str, fl
     words = words.select(*keys, *[F.size(f"words{i}").alias(f"length{i}") for i in of], F.posexplode(F.array(F.array(F.lit("")), *[F.col(f"words{i}") for i in of])).alias("field", "words"))
     words = words.select(*keys, *lengths, "field", F.explode("words").alias("token"))  # field 0: an empty token for each document
     parts = dealt_parts(docs, queries)
-    hits = words.join(F.broadcast(wanted) if few else wanted, "token", "left_semi").repartition(parts, "doc_id")
-    hits = hits.groupBy(*keys, *lengths, "token").agg(*[F.count_if(F.col("field") == i + 1).alias(f"tf{i}") for i in of])
+    counts = [F.count_if(F.col("field") == i + 1).alias(f"tf{i}") for i in of]
+    hits = term_counts(words.join(F.broadcast(wanted) if few else wanted, "token", "left_semi"), [*keys, *lengths], counts, parts)
     own = (F.col("token") == "") & (F.col("tf0") == 0)  # names a count, so that all three plans share the exchange
     stats = hits.agg(F.count_if(own).alias("n_docs"), *[F.avg(F.when(own, F.col(f"length{i}"))).alias(f"mean{i}") for i in of])
     df = hits.groupBy("token").agg(*[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in of])
