@@ -36,11 +36,12 @@ def dealt_parts(docs: DataFrame, queries: DataFrame) -> int:
     return max(1, math.ceil(pairs / PAIRS), min(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(pairs / LEAST_PAIRS)))
 
 
-def term_counts(words: DataFrame, keys: list[str], counts: list[Column], parts: int) -> DataFrame:
-    """``counts`` of ``words`` (``keys`` with a doc_id, token) by keys and token, dealt by doc_id in ``parts``. Beyond STRAIGHT of them words
-    go to STRAIGHT parts and only their counts go on to all, so that no task gathers the words of a whole split to deal them."""
+def term_counts(words: DataFrame, keys: list[str], counts: list[Column], parts: int) -> tuple[DataFrame, DataFrame]:
+    """``counts`` of ``words`` (``keys`` with a doc_id, token) by keys and token, twice the same rows: to be summed up, and dealt by doc_id in
+    ``parts`` to be scored. Beyond STRAIGHT of them words go to STRAIGHT parts and only the counts that are scored go on to all, so
+    that no task gathers the words of a whole split to deal them."""
     hits = words.repartition(min(parts, STRAIGHT), "doc_id").groupBy(*keys, "token").agg(*counts)
-    return hits if parts <= STRAIGHT else hits.repartition(parts, "doc_id")
+    return hits, hits if parts <= STRAIGHT else hits.repartition(parts, "doc_id")
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int, allowed: DataFrame | None = None, require_all: bool = False, fold: bool = True, k1: float = K1, b: float = B, within: str | None = None) -> DataFrame:
@@ -65,13 +66,14 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, allowed: DataFrame | None
     words = docs.select("doc_id", *([within] if within else []), F.coalesce(tokenize(text), F.array().cast("array<string>")).alias("words"))
     words = words.select(*[c for c in keys if c != "length"], F.size("words").alias("length"), F.explode(F.concat(F.array(F.lit("")), "words")).alias("token"))
     parts = dealt_parts(docs, queries)
-    hits = term_counts(words.join(F.broadcast(wanted) if few else wanted, "token", "left_semi"), keys, [F.count("*").alias("tf")], parts)
+    hits, scored = term_counts(words.join(F.broadcast(wanted) if few else wanted, "token", "left_semi"), keys, [F.count("*").alias("tf")], parts)
     own = F.col("token") == ""  # no filters here, so that all three plans share the exchange
     stats = hits.agg(F.count_if(own).alias("n_docs"), F.avg(F.when(own, F.col("length"))).alias("avg_length"))
     df = hits.groupBy("token").agg(F.count("*").alias("df"))
     weights = terms.join(df, "token").crossJoin(F.broadcast(stats))  # one row of statistics
     weights = weights.select("query_id", "token", "avg_length", idf(F.col("n_docs"), F.col("df")).alias("idf"))
-    scored = hits if allowed is None else hits.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi")
+    if allowed is not None:
+        scored = scored.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi")
     if few:
         scored = scored.join(F.broadcast(weights), "token")
     else:
@@ -112,17 +114,17 @@ def field_bm25(docs: DataFrame, queries: DataFrame, k: int, fields: dict[str, fl
     words = words.select(*keys, *lengths, "field", F.explode("words").alias("token"))  # field 0: an empty token for each document
     parts = dealt_parts(docs, queries)
     counts = [F.count_if(F.col("field") == i + 1).alias(f"tf{i}") for i in of]
-    hits = term_counts(words.join(F.broadcast(wanted) if few else wanted, "token", "left_semi"), [*keys, *lengths], counts, parts)
+    hits, dealt = term_counts(words.join(F.broadcast(wanted) if few else wanted, "token", "left_semi"), [*keys, *lengths], counts, parts)
     own = (F.col("token") == "") & (F.col("tf0") == 0)  # names a count, so that all three plans share the exchange
     stats = hits.agg(F.count_if(own).alias("n_docs"), *[F.avg(F.when(own, F.col(f"length{i}"))).alias(f"mean{i}") for i in of])
     df = hits.groupBy("token").agg(*[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in of])
     weights = terms.join(df, "token").crossJoin(F.broadcast(stats))  # one row of statistics
     weights = weights.select("query_id", "token", *[f"mean{i}" for i in of], *[(F.lit(float(w)) * idf(F.col("n_docs"), F.col(f"df{i}"))).alias(f"idf{i}") for i, w in enumerate(fields.values())])
     if few:
-        scored = hits.join(F.broadcast(weights), "token")
+        scored = dealt.join(F.broadcast(weights), "token")
     else:
         salted = weights.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        scored = hits.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["token", "salt"]).repartition(parts, "doc_id")
+        scored = dealt.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["token", "salt"]).repartition(parts, "doc_id")
     part = F.lit(0.0)
     for i in of:
         tf = F.col(f"tf{i}")
