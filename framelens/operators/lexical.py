@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +20,10 @@ SALTS = 32
 PAIRS, LEAST_PAIRS = 1_000_000, 50_000
 #: Parts up to which Spark writes an exchange straight to files (its default); for more, a task first gathers all that it deals in memory.
 STRAIGHT = 200
+#: Documents and queries of a tile, which a task holds, where both grow: as many at most, and so many documents at least before a further tile is opened.
+TILE_DOCS, LEAST_TILE_DOCS, TILE_QUERIES = 8_192, 512, 262_144
+#: Parts of a word that is sought in many short texts.
+SHORT_SALTS = 8
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: bool = False) -> DataFrame:
@@ -36,6 +43,12 @@ def dealt_parts(docs: DataFrame, queries: DataFrame) -> int:
     return max(1, math.ceil(pairs / PAIRS), min(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(pairs / LEAST_PAIRS)))
 
 
+def tile_blocks(docs: DataFrame) -> int:
+    """Blocks of about TILE_DOCS documents at most, two for each core where there are enough documents."""
+    n = docs.count()
+    return max(1, math.ceil(n / TILE_DOCS), min(2 * docs.sparkSession.sparkContext.defaultParallelism, math.ceil(n / LEAST_TILE_DOCS)))
+
+
 def term_counts(words: DataFrame, keys: list[str], counts: list[Column], parts: int) -> tuple[DataFrame, DataFrame]:
     """``counts`` of ``words`` (``keys`` with a doc_id, token) by keys and token, twice the same rows: to be summed up, and dealt by doc_id in
     ``parts`` to be scored. Beyond STRAIGHT of them words go to STRAIGHT parts and only the counts that are scored go on to all, so
@@ -94,17 +107,22 @@ def _few(rows: DataFrame, most: int = BROADCAST_TERMS) -> bool:
     return rows.limit(most + 1).count() <= most
 
 
-def field_bm25(docs: DataFrame, queries: DataFrame, k: int, fields: dict[str, float], require_all: bool = False, fold: bool = True, then: str | None = None, k1: float = K1, b: float = B) -> DataFrame:
+def field_bm25(docs: DataFrame, queries: DataFrame, k: int, fields: dict[str, float], require_all: bool = False, fold: bool = True, then: str | None = None, k1: float = K1, b: float = B, many: bool = False) -> DataFrame:
     """``bm25`` over several text columns of ``docs`` (doc_id, ...): a document's score is the sum over ``fields`` (column to
     weight) of weight times the column's own BM25, with document frequencies and mean lengths of the column. A term is matched,
     also for ``require_all``, whichever column has it. Equal scores rank by ``then``, a column of ``docs`` (nulls last), and
     doc_id. Null columns are empty. A token's counts in all fields are one row of its document, so that one exchange by doc_id
-    serves all fields and a document's matched terms are a plain count."""
+    serves all fields and a document's matched terms are a plain count.
+
+    With ``many``, for queries that grow with the documents, pairs of query and document are never rows: what a token adds to a
+    document's score is the same for all queries, so it is counted once, and queries meet it in tiles (``tiled_top_k``)."""
     if k < 1:
         raise ValueError("k must be positive")
+    if many and (require_all or then or min(fields.values()) <= 0):
+        raise ValueError("many queries are ranked by any term, by score and doc_id, with weights above 0")
     plain = ascii_fold if fold else (lambda c: c)
     terms = queries.select("query_id", F.explode(query_terms(plain(F.col("text")))).alias("token")).distinct()
-    few = _few(terms)
+    few = _few(terms.select("token").distinct() if many else terms)
     wanted = terms.select("token").unionByName(terms.sparkSession.range(1).select(F.lit("").alias("token"))).distinct()
     keys = ["doc_id", *([then] if then else [])]
     of = range(len(fields))
@@ -112,23 +130,28 @@ def field_bm25(docs: DataFrame, queries: DataFrame, k: int, fields: dict[str, fl
     words = docs.select(*keys, *[F.coalesce(tokenize(plain(F.col(f))), F.array().cast("array<string>")).alias(f"words{i}") for i, f in enumerate(fields)])
     words = words.select(*keys, *[F.size(f"words{i}").alias(f"length{i}") for i in of], F.posexplode(F.array(F.array(F.lit("")), *[F.col(f"words{i}") for i in of])).alias("field", "words"))
     words = words.select(*keys, *lengths, "field", F.explode("words").alias("token"))  # field 0: an empty token for each document
-    parts = dealt_parts(docs, queries)
+    parts = tile_blocks(docs) if many else dealt_parts(docs, queries)
     counts = [F.count_if(F.col("field") == i + 1).alias(f"tf{i}") for i in of]
-    hits, dealt = term_counts(words.join(F.broadcast(wanted) if few else wanted, "token", "left_semi"), [*keys, *lengths], counts, parts)
+    if few or not many:  # else all words are counted before any is dealt by itself
+        words = words.join(F.broadcast(wanted) if few else wanted, "token", "left_semi")
+    hits, dealt = term_counts(words, [*keys, *lengths], counts, parts)
     own = (F.col("token") == "") & (F.col("tf0") == 0)  # names a count, so that all three plans share the exchange
     stats = hits.agg(F.count_if(own).alias("n_docs"), *[F.avg(F.when(own, F.col(f"length{i}"))).alias(f"mean{i}") for i in of])
     df = hits.groupBy("token").agg(*[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in of])
-    weights = terms.join(df, "token").crossJoin(F.broadcast(stats))  # one row of statistics
-    weights = weights.select("query_id", "token", *[f"mean{i}" for i in of], *[(F.lit(float(w)) * idf(F.col("n_docs"), F.col(f"df{i}"))).alias(f"idf{i}") for i, w in enumerate(fields.values())])
+    weights = (terms.select("token").distinct() if many else terms).join(df, "token").crossJoin(F.broadcast(stats))  # one row of statistics
+    weights = weights.select(*([] if many else ["query_id"]), "token", *[f"mean{i}" for i in of], *[(F.lit(float(w)) * idf(F.col("n_docs"), F.col(f"df{i}"))).alias(f"idf{i}") for i, w in enumerate(fields.values())])
     if few:
         scored = dealt.join(F.broadcast(weights), "token")
     else:
         salted = weights.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        scored = dealt.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["token", "salt"]).repartition(parts, "doc_id")
+        scored = dealt.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["token", "salt"])
+        scored = scored if many else scored.repartition(parts, "doc_id")
     part = F.lit(0.0)
     for i in of:
         tf = F.col(f"tf{i}")
         part = part + F.when(tf > 0, F.col(f"idf{i}") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col(f"length{i}") / F.col(f"mean{i}")))).otherwise(0.0)
+    if many:
+        return tiled_top_k(scored.groupBy("doc_id", "token").agg(F.sum(part).alias("part")), terms, k, parts)  # a repeated doc_id is one document
     total = scored.groupBy("query_id", *keys).agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("matched"))
     if require_all:
         size = terms.groupBy("query_id").agg(F.count("*").alias("n_terms"))
@@ -136,7 +159,66 @@ def field_bm25(docs: DataFrame, queries: DataFrame, k: int, fields: dict[str, fl
     return top_k(total.select("query_id", *keys, "score"), k, then=then)
 
 
-def substring_hits(docs: DataFrame, queries: DataFrame, columns: list[str], keep: list[str] = ()) -> DataFrame:
+def tiled_top_k(parts: DataFrame, terms: DataFrame, k: int, blocks: int) -> DataFrame:
+    """(query_id, rank, doc_id, score): for each query of ``terms`` (query_id, token) the k documents with the highest sums of their
+    ``parts`` (doc_id, token, part above 0; one row for each token of a document) over its tokens, rounded to six places, ties by doc_id.
+
+    Documents in ``blocks`` meet queries in sets of about TILE_QUERIES; each pair is a tile in one task, which adds up a query's
+    parts over the tile's documents and gives k rows at most for each query. No document is left out that could be among the k: as k documents
+    reach the kth highest part of a token among all documents, a query has no answer below the greatest of these, nor in a tile whose
+    highest parts for its tokens add up to less. A task holds one tile however many documents and queries there are; the work
+    grows as their product, a few nanoseconds for a pair."""
+    kinds = {f.name: f.dataType.simpleString() for f in (*parts.schema, *terms.schema)}
+    kth = parts.withColumn("r", F.row_number().over(Window.partitionBy("token").orderBy(F.desc("part")))).where(F.col("r") == k).select("token", F.col("part").alias("kth"))
+    asked = terms.join(kth, "token", "left").groupBy("query_id").agg(F.collect_list("token").alias("tokens"), F.coalesce(F.max("kth"), F.lit(0.0)).alias("floor"))
+    sets = max(1, math.ceil(terms.select("query_id").distinct().count() / TILE_QUERIES))
+    some = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumn("set", some("query_id", sets)).withColumn("block", every(blocks)).repartition(sets * blocks, "set", "block")
+    right = parts.withColumn("block", some("doc_id", blocks)).withColumn("set", every(sets)).repartition(sets * blocks, "set", "block")
+
+    def best(asked: pa.Table, known: pa.Table) -> pa.Table:
+        if not asked.num_rows or not known.num_rows:
+            return pa.table({"query_id": asked["query_id"].slice(0, 0), "doc_id": known["doc_id"].slice(0, 0), "score": pa.array([], pa.float64())})
+        place = lambda values, among: pc.index_in(values, among).fill_null(-1).to_numpy()
+        ids, words = pc.unique(known["doc_id"]), pc.unique(known["token"])
+        ids = ids.take(pc.sort_indices(ids, null_placement="at_start"))  # so that ties go to the smaller id
+        word = place(known["token"], words)
+        order = np.argsort(word, kind="stable")
+        start = np.searchsorted(word[order], np.arange(len(words) + 1))
+        doc, part = place(known["doc_id"], ids)[order], known["part"].to_numpy()[order]
+        wide = {w: np.bincount(doc[start[w]:start[w + 1]], part[start[w]:start[w + 1]], len(ids)) for w in np.flatnonzero(8 * np.diff(start) > len(ids)).tolist()}
+        lists = asked["tokens"].combine_chunks()
+        said, at = place(lists.flatten(), words), np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())]
+        highest = np.add.reduceat(np.where(said >= 0, np.maximum.reduceat(part, start[:-1])[said], 0.0), at[:-1])
+        floor = np.maximum(asked["floor"].to_numpy() - 1e-6, np.nextafter(0.0, 1.0))  # less is only of use if it is rounded to as much
+        alive = np.flatnonzero(highest >= floor)
+        said, at, start, total = said.tolist(), at.tolist(), start.tolist(), np.empty(len(ids))
+        found, scores, sizes = [], [], np.zeros(asked.num_rows, np.int64)
+        for i in alive.tolist():
+            total[:] = 0.0
+            for w in said[at[i]:at[i + 1]]:
+                if w in wide:
+                    total += wide[w]
+                elif w >= 0:
+                    total[doc[start[w]:start[w + 1]]] += part[start[w]:start[w + 1]]
+            reach = np.flatnonzero(total >= floor[i])
+            score = np.round(total[reach], 6)
+            if len(reach) > 4 * k:
+                high = score >= np.partition(score, -k)[-k]
+                reach, score = reach[high], score[high]
+            top = np.argsort(-score, kind="stable")[:k]
+            found.append(reach[top])
+            scores.append(score[top])
+            sizes[i] = len(top)
+        flat = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
+        return pa.table({"query_id": asked["query_id"].take(np.repeat(np.arange(asked.num_rows), sizes)), "doc_id": ids.take(flat(found, np.int64)), "score": flat(scores, np.float64)})
+
+    rows = left.groupBy("set", "block").cogroup(right.groupBy("set", "block")).applyInArrow(best, f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, score double")
+    return top_k(rows, k)
+
+
+def substring_hits(docs: DataFrame, queries: DataFrame, columns: list[str], keep: list[str] = (), many: bool = False) -> DataFrame:
     """(query_id, doc_id) where a column of ``docs`` (doc_id, ...) holds the query's whole text, ignoring case; also the columns
     ``keep`` of ``docs``.
 
@@ -145,13 +227,23 @@ def substring_hits(docs: DataFrame, queries: DataFrame, columns: list[str], keep
     the text: these words are found by an index of the vocabulary's pieces of up to three letters, through the query's
     rarest piece. Queries without words match nothing. Sought words are broadcast up to BROADCAST_TERMS of them, and texts are
     checked where they stand; beyond that a word is dealt in SALTS parts, so a frequent one is no hot key, and ids of
-    documents and queries alone meet before the texts do."""
+    documents and queries alone meet before the texts do.
+
+    With ``many``, for queries that grow with the documents and short texts such as titles, the longest of all words of a query is sought, since
+    the inner one of three is mostly a common one. Its first word ends a word of the text and its last begins one. Texts are dealt
+    with their words and checked where these meet, so pairs that hold the word alone are never dealt."""
     word = r"[\p{L}\p{N}_]+"
     asked = queries.select("query_id", F.lower(F.trim("text")).alias("said")).where("said <> ''")
     found = F.regexp_extract_all("said", F.lit(f"({word})"), F.lit(1))
     inner = F.slice(found, F.lit(2), F.greatest(F.size(found) - 2, F.lit(0)))
     longest = lambda words: F.element_at(F.array_sort(words, lambda a, b: F.length(b) - F.length(a)), 1)
     asked = asked.withColumns({"inner": F.size(found) > 2, "key": F.when(F.size(found) > 2, longest(inner)).when(F.size(found) > 0, longest(found))}).where("key IS NOT NULL")
+    stands = F.contains("token", F.col("key"))
+    if many:
+        first, last, own = F.try_element_at(found, F.lit(1)), F.try_element_at(found, F.lit(-1)), F.when(F.col("inner"), F.length("key")).otherwise(0)
+        asked = asked.withColumn("side", F.when(own >= F.greatest(F.length(first), F.length(last)), "inner").when(F.size(found) == 1, "only").when(F.length(last) >= F.length(first), "last").otherwise("first"))
+        asked = asked.withColumns({"key": F.when(F.col("side") == "last", last).when(F.col("side") == "first", first).otherwise(F.col("key")), "inner": F.col("side") == "inner"})
+        stands = F.when(F.col("side") == "last", F.startswith("token", F.col("key"))).when(F.col("side") == "first", F.endswith("token", F.col("key"))).otherwise(stands)
     held_ = [f"held{i}" for i in range(len(columns))]
     lowered = docs.select("doc_id", *keep, *[F.lower(F.col(c)).alias(h) for c, h in zip(columns, held_)])
     found_words = F.array_distinct(F.regexp_extract_all(F.concat_ws("\n", *held_), F.lit(f"({word})"), F.lit(1)))
@@ -164,15 +256,19 @@ def substring_hits(docs: DataFrame, queries: DataFrame, columns: list[str], keep
     if sizes:
         vocabulary = words.select("token").distinct()
         held = vocabulary.select("token", F.explode(F.array_distinct(F.concat(*[F.when(F.length("token") >= n, pieces("token", n)).otherwise(F.array().cast("array<string>")) for n in sizes]))).alias("piece"))
-        own = short.select("query_id", "said", "key", F.explode(pieces("key", F.col("n"))).alias("piece"))
+        more = ["side"] if many else []
+        own = short.select("query_id", "said", "key", *more, F.explode(pieces("key", F.col("n"))).alias("piece"))
         held = held.join(own.select("piece").distinct(), "piece", "left_semi")
         count = held.groupBy("piece").agg(F.count("*").alias("tokens"))
-        rarest = own.join(count, "piece").groupBy("query_id", "said", "key").agg(F.min_by("piece", F.struct("tokens", "piece")).alias("piece"))
-        sought = sought.unionByName(held.join(rarest, "piece").where(F.contains("token", F.col("key"))).select("query_id", "said", "token"))
+        rarest = own.join(count, "piece").groupBy("query_id", "said", "key", *more).agg(F.min_by("piece", F.struct("tokens", "piece")).alias("piece"))
+        sought = sought.unionByName(held.join(rarest, "piece").where(stands).select("query_id", "said", "token"))
     holds = F.lit(False)
     for h in held_:
         holds = holds | F.coalesce(F.contains(F.col(h), F.col("said")), F.lit(False))
     out = ["query_id", "doc_id", *keep]
+    if many:
+        salted = sought.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SHORT_SALTS - 1))))
+        return rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SHORT_SALTS)).cast("int")).join(salted, ["token", "salt"]).where(holds).select(*out).distinct()
     if _few(sought):
         return rows.join(F.broadcast(sought), "token").where(holds).select(*out).distinct()
     salted = sought.select("query_id", "token").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -181,10 +277,15 @@ def substring_hits(docs: DataFrame, queries: DataFrame, columns: list[str], keep
     return near.join(lowered, "doc_id").where(holds).select(*out).distinct()
 
 
-def text_search(docs: DataFrame, queries: DataFrame, k: int, require_all: bool = False, columns: list[str] | None = None, fields: dict[str, float] | None = None, then: str | None = None) -> DataFrame:
+def text_search(docs: DataFrame, queries: DataFrame, k: int, require_all: bool = False, columns: list[str] | None = None, fields: dict[str, float] | None = None, then: str | None = None, many: bool = False) -> DataFrame:
     """``bm25`` over ``docs`` (doc_id, text), or ``field_bm25`` over ``fields``, and after its answers, with score 0, the documents
     that hold a query's text as a substring of one of ``columns`` (default: text) without matching its terms. Equal scores
-    rank by ``then`` and doc_id."""
+    rank by ``then`` and doc_id. ``many`` is for queries that grow with the documents, see ``field_bm25`` and ``substring_hits``; both
+    tables are read several times."""
+    if many:
+        ranked = field_bm25(docs, queries, k, fields or {"text": 1.0}, require_all, then=then, many=True).select("query_id", "doc_id", "score")
+        held = substring_hits(docs, queries, columns or ["text"], many=True).withColumn("score", F.lit(0.0))
+        return top_k(ranked.unionByName(held).groupBy("query_id", "doc_id").agg(F.max("score").alias("score")), k)
     ranked = field_bm25(docs, queries, k, fields or {"text": 1.0}, require_all, then=then) if fields or then else bm25(docs.select("doc_id", "text"), queries, k, require_all=require_all)
     held = substring_hits(docs, queries, columns or ["text"], [then] if then else [])
     more = held.join(ranked, ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))

@@ -161,13 +161,15 @@ def topic_search(spark, d):
     media, s = media_info(spark, d), X.speech(spark, d)
     info = enrichment.informative_segments(s, enrichment.segment_frequency(s)).groupBy(F.substring("video_id", 2, 20).alias("video_id")).agg(F.array_join(documents.ordered_texts(["segment_index"], "text"), " ").alias("key_points"))
     best = lexical.top_k(enrichment.subject_scores(s, titles(spark, d)).withColumnRenamed("video_id", "query_id"), 8, "phrase")
+    best = X.stored(best, "subjects")  # of the documents and of the queries
     terms = best.groupBy(F.substring("query_id", 2, 20).alias("video_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "phrase"))), lambda x: x["phrase"]), ", ").alias("subject_terms"))
     docs = media.join(info, "video_id", "left").join(terms, "video_id", "left").select(F.col("video_id").alias("doc_id"), *TOPIC_FIELDS)
     docs = X.stored(docs, "topics")  # the search reads it several times
-    n = F.col("video_id").cast("long")
-    titled = media.where(n % 20 == 0).select((n + 2_000_000).alias("query_id"), F.substring("title", 3, 20).alias("text"))
+    n = F.col("doc_id").cast("long")
+    titled = docs.where(n % 20 == 0).select((n + 2_000_000).alias("query_id"), F.substring("title", 3, 20).alias("text"))
     spoken = best.where("rank = 1").select((F.substring("query_id", 2, 20).cast("long") + 3_000_000).alias("query_id"), F.col("phrase").alias("text"))
-    ranked = lexical.text_search(docs, titled.unionByName(spoken).unionByName(asked(spark, d)), 5, columns=["title", "topic"], fields=TOPIC_FIELDS)
+    queries = X.stored(titled.unionByName(spoken).unionByName(asked(spark, d)), "asked")
+    ranked = lexical.text_search(docs, queries, 5, columns=["title", "topic"], fields=TOPIC_FIELDS, many=True)
     first = X.keyframes(spark, d).groupBy(F.substring("video_id", 2, 20).alias("doc_id")).agg(F.min("keyframe_id").alias("first_keyframe"))
     return ranked.join(first, "doc_id", "left").withColumnRenamed("doc_id", "video_id")
 
