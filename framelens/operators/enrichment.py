@@ -179,15 +179,17 @@ def title_coverage(title, text):
 def subject_scores(segments: DataFrame, titles: DataFrame) -> DataFrame:
     """(video_id, phrase, count, score): phrases of two or three words that can be subjects (``phrases``), twice at least or
     wholly in the title (``titles``: video_id, title; one row for each video with segments); a word of the title doubles the
-    count. Score: (1 + ln count) * ln((N + 1) / (videos + 1) + 1). Both counts come from one aggregate of the phrases."""
+    count. Score: (1 + ln count) * ln((N + 1) / (videos + 1) + 1). Phrases are made once: a video's are counted where it stands, and go
+    to their phrase with the video's count, where videos are counted."""
     n = titles.agg(F.count("*").alias("n_videos"))
     counted = phrases(segments, subjects=True).groupBy("video_id", "phrase").agg(F.count("*").alias("said"))
-    videos = counted.groupBy("phrase").agg(F.count("*").alias("videos"))
     rows = counted.join(titles.select("video_id", F.explode(F.array(content_tokens(F.col("title")))).alias("title_tokens")), "video_id")
     words = F.split("phrase", " ")
     rows = rows.withColumn("count", F.col("said") * (1 + F.arrays_overlap(words, F.col("title_tokens")).cast("int")))
     in_title = F.size(F.array_except(F.filter(words, lambda w: ~w.isin(STOPWORDS)), F.col("title_tokens"))) == 0
-    kept = rows.where((F.col("count") >= 2) | in_title).join(videos, "phrase").crossJoin(F.broadcast(n))  # one row
+    rows = rows.select("video_id", "phrase", "count", ((F.col("count") >= 2) | in_title).alias("kept"))
+    rows = rows.withColumn("videos", F.count("*").over(Window.partitionBy("phrase")))  # a row for each video at most
+    kept = rows.where("kept").crossJoin(F.broadcast(n))  # one row
     score = (1 + F.log("count")) * F.log((F.col("n_videos") + 1) / (F.col("videos") + 1) + 1)
     return kept.select("video_id", "phrase", "count", F.round(score, 6).alias("score"))
 

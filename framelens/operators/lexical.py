@@ -174,8 +174,8 @@ def tiled_top_k(parts: DataFrame, terms: DataFrame, k: int, blocks: int) -> Data
     sets = max(1, math.ceil(terms.select("query_id").distinct().count() / TILE_QUERIES))
     some = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asked.withColumn("set", some("query_id", sets)).withColumn("block", every(blocks)).repartition(sets * blocks, "set", "block")
-    right = parts.withColumn("block", some("doc_id", blocks)).withColumn("set", every(sets)).repartition(sets * blocks, "set", "block")
+    left = asked.withColumn("set", some("query_id", sets)).withColumn("block", every(blocks)).repartition(4 * sets * blocks, "set", "block")  # few tiles meet in a task
+    right = parts.withColumn("block", some("doc_id", blocks)).withColumn("set", every(sets)).repartition(4 * sets * blocks, "set", "block")
 
     def best(asked: pa.Table, known: pa.Table) -> pa.Table:
         if not asked.num_rows or not known.num_rows:
@@ -190,29 +190,45 @@ def tiled_top_k(parts: DataFrame, terms: DataFrame, k: int, blocks: int) -> Data
         wide = {w: np.bincount(doc[start[w]:start[w + 1]], part[start[w]:start[w + 1]], len(ids)) for w in np.flatnonzero(8 * np.diff(start) > len(ids)).tolist()}
         lists = asked["tokens"].combine_chunks()
         said, at = place(lists.flatten(), words), np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy())]
-        highest = np.add.reduceat(np.where(said >= 0, np.maximum.reduceat(part, start[:-1])[said], 0.0), at[:-1])
+        size, high = np.diff(start).tolist(), np.maximum.reduceat(part, start[:-1])
+        highest = np.add.reduceat(np.where(said >= 0, high[said], 0.0), at[:-1])
         floor = np.maximum(asked["floor"].to_numpy() - 1e-6, np.nextafter(0.0, 1.0))  # less is only of use if it is rounded to as much
-        alive = np.flatnonzero(highest >= floor)
-        said, at, start, total = said.tolist(), at.tolist(), start.tolist(), np.empty(len(ids))
-        found, scores, sizes = [], [], np.zeros(asked.num_rows, np.int64)
-        for i in alive.tolist():
+        alive = np.flatnonzero(highest >= floor).tolist()
+        high, highest, floor, said, at, start = (x.tolist() for x in (high, highest, floor, said, at, start))
+        total, found, scores, sizes = np.empty(len(ids)), [], [], np.zeros(asked.num_rows, np.int64)
+        for i in alive:
+            own = [w for w in said[at[i]:at[i + 1]] if w >= 0]
             total[:] = 0.0
-            for w in said[at[i]:at[i + 1]]:
-                if w in wide:
-                    total += wide[w]
-                elif w >= 0:
+            for w in own:
+                if w not in wide:
                     total[doc[start[w]:start[w + 1]]] += part[start[w]:start[w + 1]]
-            reach = np.flatnonzero(total >= floor[i])
-            score = np.round(total[reach], 6)
-            if len(reach) > 4 * k:
-                high = score >= np.partition(score, -k)[-k]
-                reach, score = reach[high], score[high]
-            top = np.argsort(-score, kind="stable")[:k]
-            found.append(reach[top])
-            scores.append(score[top])
-            sizes[i] = len(top)
+            needed = [w for w in own if highest[i] - high[w] < floor[i]]  # without one of these a document is below the floor
+            if needed:
+                rarest = min(needed, key=size.__getitem__)
+                near = doc[start[rarest]:start[rarest + 1]]
+                score = total[near]
+                for w in own:
+                    if w in wide:
+                        score += wide[w][near]
+                reach = np.flatnonzero(score >= floor[i])
+                near, score = near[reach], score[reach]
+            else:
+                for w in own:
+                    if w in wide:
+                        total += wide[w]
+                near = np.flatnonzero(total >= floor[i])
+                score = total[near]
+            if len(near) > 16 * k:
+                top = np.lexsort((near, -np.round(score, 6)))[:k]
+                near, score = near[top], score[top]
+            found.append(near)
+            scores.append(score)
+            sizes[i] = len(near)
         flat = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
-        return pa.table({"query_id": asked["query_id"].take(np.repeat(np.arange(asked.num_rows), sizes)), "doc_id": ids.take(flat(found, np.int64)), "score": flat(scores, np.float64)})
+        query, near, score = np.repeat(np.arange(asked.num_rows), sizes), flat(found, np.int64), np.round(flat(scores, np.float64), 6)
+        order = np.lexsort((near, -score, query))
+        order = order[np.arange(len(query)) - np.searchsorted(query, query) < k]  # queries stand in order before and after
+        return pa.table({"query_id": asked["query_id"].take(query[order]), "doc_id": ids.take(near[order]), "score": score[order]})
 
     rows = left.groupBy("set", "block").cogroup(right.groupBy("set", "block")).applyInArrow(best, f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, score double")
     return top_k(rows, k)
