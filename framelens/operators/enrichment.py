@@ -70,17 +70,17 @@ def text_parts(segments: DataFrame) -> int:
     return max(1, math.ceil(chars / CHARS), min(segments.sparkSession.sparkContext.defaultParallelism, math.ceil(chars / LEAST_CHARS)))
 
 
-def phrases(segments: DataFrame, subjects: bool = False) -> DataFrame:
+def phrases(segments: DataFrame, subjects: bool = False, parts: int | None = None) -> DataFrame:
     """(video_id, phrase) for every two and three words in a row of a video's folded words, in the order of its ``segments``
     (video_id, segment_index, text), also across their borders. With ``subjects`` only those that can be subjects: every
     word of three letters, the first and the last no function word, no promotion or greeting in it.
 
     The words that follow a segment's last ones come from the next two segments that have words, so a video's words are
     never one array. Words are judged once for each place, before phrases are made of them. Videos are dealt in as many parts as
-    their text asks for (``text_parts``), so that what a task makes of them and counts stays the same however long the text is."""
+    their text asks for (``parts``, else ``text_parts``), so that what a task makes of them and counts stays the same however long the text is."""
     by = Window.partitionBy("video_id").orderBy("segment_index")
     rows = segments.select("video_id", "segment_index", F.explode(F.array(fold_key(F.col("text")))).alias("key")).where("key <> ''")
-    rows = rows.repartition(text_parts(segments), "video_id").withColumn("words", F.split("key", " "))
+    rows = rows.repartition(parts or text_parts(segments), "video_id").withColumn("words", F.split("key", " "))
     head = F.slice("words", 1, 2)
     rows = rows.withColumns({"one": F.lead(head).over(by), "two": F.lead(head, 2).over(by)})
     none = F.array().cast("array<string>")
@@ -182,8 +182,10 @@ def subject_scores(segments: DataFrame, titles: DataFrame) -> DataFrame:
     count. Score: (1 + ln count) * ln((N + 1) / (videos + 1) + 1). Phrases are made once: a video's are counted where it stands, and go
     to their phrase with the video's count, where videos are counted."""
     n = titles.agg(F.count("*").alias("n_videos"))
-    counted = phrases(segments, subjects=True).groupBy("video_id", "phrase").agg(F.count("*").alias("said"))
-    rows = counted.join(titles.select("video_id", F.explode(F.array(content_tokens(F.col("title")))).alias("title_tokens")), "video_id")
+    parts = text_parts(segments)
+    counted = phrases(segments, True, parts).groupBy("video_id", "phrase").agg(F.count("*").alias("said"))
+    titled = titles.repartition(parts, "video_id")  # where the phrases stand, so that these stay
+    rows = counted.join(titled.select("video_id", F.explode(F.array(content_tokens(F.col("title")))).alias("title_tokens")), "video_id")
     words = F.split("phrase", " ")
     rows = rows.withColumn("count", F.col("said") * (1 + F.arrays_overlap(words, F.col("title_tokens")).cast("int")))
     in_title = F.size(F.array_except(F.filter(words, lambda w: ~w.isin(STOPWORDS)), F.col("title_tokens"))) == 0

@@ -32,3 +32,13 @@ def test_phrases_of_no_text(spark):
     none = spark.createDataFrame([], "video_id string, segment_index int, text string")
     null = spark.createDataFrame([("v", 1, None), ("v", 2, " ")], "video_id string, segment_index int, text string")
     assert enrichment.phrase_frequency(none).collect() == [] == enrichment.phrase_frequency(null).collect()
+
+
+def test_phrases_of_subjects_are_made_once(spark):
+    said = [(f"v{i}", j, f"red river road {w} tree") for i in range(4) for j, w in enumerate(WORDS[:i + 2])]
+    segments = spark.createDataFrame(said, "video_id string, segment_index int, text string")
+    titles = segments.groupBy("video_id").agg(F.min_by("text", "segment_index").alias("title"))
+    made = enrichment.subject_scores(segments, titles)
+    plan = made._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert len([line for line in plan if "Aggregate [video_id#" in line and ", phrase#" in line.split("]")[0]]) == 1
+    assert {(r["video_id"], r["count"]) for r in made.where("phrase = 'red river'").collect()} == {(f"v{i}", 2 * (i + 2)) for i in range(4)}
